@@ -60,3 +60,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(doc_id: str, modulus: int, remainder: int = 2):
     """True where crc32(doc_id as text) leaves the remainder; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound the rows of an Arrow batch: long texts make large rows."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def add_columns(df: DataFrame, make, schema: str, reads: list[str], drops: tuple[str, ...] = ()) -> DataFrame:
+    """Append columns made batch by batch in Arrow.
+
+    ``make()`` runs once per task and gives a function from the columns ``reads`` (Python lists) to a
+    list of value lists, one per field of ``schema``. A field that has the name of a column of ``df``
+    takes its place; ``drops`` leave.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    small_batches(df.sparkSession)
+    new = StructType.fromDDL(schema)
+    kept = [f for f in df.schema.fields if f.name not in drops and f.name not in new.names]
+    rest = [f.name for f in kept]
+    types = [f.type for f in to_arrow_schema(new)]
+
+    def run(batches):
+        score = make()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = score(*(batch.column(c).to_pylist() for c in reads))
+            made = [pa.array(v, t) for v, t in zip(values, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + made, rest + new.names)
+
+    needed = [c for c in df.columns if c in rest or c in reads]
+    return df.select(*(F.col(f"`{c}`") for c in needed)).mapInArrow(run, StructType(kept + new.fields))
+
+
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About ``rows`` rows, chosen by a hash of ``key``; all of a smaller table."""
+    every = max(1, -(-df.count() // rows))
+    return df if every == 1 else df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(every)) == 0)

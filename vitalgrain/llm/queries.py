@@ -57,6 +57,24 @@ def op4_byte_level_bpe(spark, sf_dir):
     )
 
 
+def op6_quality_classifier(spark, sf_dir):
+    from vitalgrain.llm import quality
+    from vitalgrain.llm.common import held_out
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, drops=("text",)).select(
+        "doc_id", held_out("doc_id", 4).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+def op10_secret_scan(spark, sf_dir):
+    from vitalgrain.llm import secret_scan
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.digest(secret_scan.scan(docs, secret_scan.train(docs), drops=("text",)))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
