@@ -147,8 +147,8 @@ class Tokenizer:
         return let(tables, lambda t: F.flatten(F.transform(words, lambda w: one(t, w))))
 
     def _texts(self, pieces: list[bytes], ids: Column) -> Column:
-        table = F.transform(F.split(F.lit(" ".join(p.hex() for p in pieces)), " "), lambda x: F.unhex(x).cast("string"))
-        return let(table, lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i)), "")).cast("binary")
+        table = literal([base64.b64encode(p).decode() for p in pieces], "array<binary>")
+        return let(table, lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i).cast("string")), "")).cast("binary")
 
     def le_bytes(self, ids: Column) -> Column:
         """Ids as little-endian unsigned 32-bit integers."""
