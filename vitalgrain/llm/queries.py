@@ -68,6 +68,13 @@ def op6_quality_classifier(spark, sf_dir):
     )
 
 
+def op7_benchmark_decontamination(spark, sf_dir):
+    from vitalgrain.llm import decontaminate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(decontaminate.find(docs, table(spark, sf_dir, "benchmark")))
+
+
 def op10_secret_scan(spark, sf_dir):
     from vitalgrain.llm import secret_scan
 
