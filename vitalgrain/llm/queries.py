@@ -40,6 +40,12 @@ FROM e GROUP BY conv_id
 """
 
 
+def op1_lm_score(spark, sf_dir):
+    from vitalgrain.llm import lm_score
+
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_level_bpe(spark, sf_dir):
     import public_tokenizers
 
