@@ -81,6 +81,13 @@ def op7_benchmark_decontamination(spark, sf_dir):
     return decontaminate.contaminated(decontaminate.find(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op8_nearest_neighbours(spark, sf_dir):
+    from vitalgrain.llm import ann
+
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op10_secret_scan(spark, sf_dir):
     from vitalgrain.llm import secret_scan
 
