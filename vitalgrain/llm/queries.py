@@ -46,6 +46,31 @@ def op1_lm_score(spark, sf_dir):
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark, sf_dir):
+    from vitalgrain.llm import warc
+
+    return warc.archive(table(spark, sf_dir, "pages"), least_bytes=0).drop("url")
+
+
+#: base32 of the 20 bytes, five bits at a time
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS x FROM pages
+), d AS (
+  SELECT page_id, strlen(x) AS n, sha1(x) AS h FROM p
+), b AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS leader,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((
+      (CAST('0x' || substr(h || '0000', 1 + 2 * CAST(floor(i * 5 / 8) AS INTEGER), 4) AS INTEGER) >> (11 - (i * 5) % 8)) & 31) AS INTEGER), 1)), '') AS code
+  FROM d
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, code AS payload_digest,
+  CASE WHEN page_id = leader THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = leader THEN NULL ELSE leader END AS refers_to
+FROM b
+"""
+
+
 def op4_byte_level_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -100,4 +125,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_chat_formatting": OP5_SQL}
+    return {"op3_warc": OP3_SQL, "op5_chat_formatting": OP5_SQL}
