@@ -27,8 +27,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NONE = 2**30  # no merge
 SHIFT = 17  # ids are below 2**17
+MASK = 2**SHIFT - 1
+NONE = 2 ** (2 * SHIFT)  # states from here on don't merge
+LAST = 2**60  # the state of a last token, above its id
+EMPTY = 2**40  # a cell of the merge table without a pair
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -49,13 +52,13 @@ def merge_table(path: str) -> tuple[list[int], list[int]]:
                 rows.setdefault(left, []).append((right, rank))
     size = max(ranks.values()) + 1
     room = 1 << int(np.ceil(np.log2(size + 4 * sum(map(len, rows.values())))))
-    cells = np.full(room, -1, np.int64)
+    cells = np.full(room, EMPTY, np.int64)
     offsets = np.zeros(size, np.int64)
     rng = np.random.default_rng(0)
     for left, entries in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
         rights = np.array([r for r, _ in entries], np.int64)
         at = 0
-        while (cells[at + rights] >= 0).any():
+        while (cells[at + rights] != EMPTY).any():
             at = int(rng.integers(room - size))
         cells[at + rights] = (left << SHIFT) | np.array([m for _, m in entries], np.int64)
         offsets[left] = at
@@ -82,50 +85,49 @@ class Tokenizer:
         self.tables = F.struct(
             literal(offsets, "array<int>").alias("offsets"),
             literal(cells, "array<bigint>").alias("cells"),
-            literal([self.ranks[bytes([b])] for b in range(256)], "array<int>").alias("bytes"),
+            literal([self.ranks[bytes([b])] for b in range(256)], "array<bigint>").alias("bytes"),
         )
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
     def fold(self, t: Column, word: Column) -> Column:
-        """The ids of one word, given the tables: merge the lowest-ranked pair until none is left."""
+        """The ids of one word, given the tables: merge the lowest-ranked pair until none is left.
 
-        def rank(left: Column, right: Column) -> Column:
-            cell = F.get(t["cells"], F.get(t["offsets"], left) + right)
-            return F.when(F.shiftright(cell, SHIFT) == left, cell.bitwiseAND(2**SHIFT - 1).cast("int")).otherwise(F.lit(NONE))
+        The state has a long per token: the id that merging it with its right neighbour gives, shifted
+        above its own id; values from NONE on say that the two don't merge.
+        """
 
-        def state(ids: Column, ranks: Column) -> Column:
-            return let(
-                ranks,
-                lambda r: F.struct(ids.alias("ids"), r.alias("ranks"), F.coalesce(F.array_min(r), F.lit(NONE)).alias("best")),
-            )
+        def pair(left: Column, right: Column) -> Column:
+            cell = F.get(t["cells"], F.get(t["offsets"], left.cast("int")) + right.cast("int"))
+            return F.shiftleft(cell.bitwiseXOR(F.shiftleft(left, SHIFT)), SHIFT).bitwiseOR(left)
+
+        def own(x: Column) -> Column:
+            return x.bitwiseAND(MASK)
 
-        def merge(acc: Column) -> Column:
-            ids, ranks, best, n = acc["ids"], acc["ranks"], acc["best"], F.size(acc["ids"])
-            none = F.array().cast("array<int>")
+        def merge(acc: Column, least: Column) -> Column:
+            best = F.shiftright(least, SHIFT)
 
-            def at_place(at: Column) -> Column:  # from 1: ids at and at + 1 become best
-                before = F.when(at > 1, F.array(rank(F.get(ids, at - 2), best))).otherwise(none)
-                behind = F.when(at + 1 < n, F.array(rank(best, F.get(ids, at + 1)))).otherwise(none)
-                return state(
-                    F.concat(F.slice(ids, F.lit(1), at - 1), F.array(best), F.slice(ids, at + 2, n)),
-                    F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), before, behind, F.slice(ranks, at + 2, n)),
-                )
+            def at_place(at: Column) -> Column:  # from 1: tokens at and at + 1 become best
+                before = F.concat(F.slice(acc, F.lit(1), at - 2), F.array(pair(own(F.get(acc, at - 2)), best)))
+                now = F.array(F.coalesce(pair(best, own(F.get(acc, at + 1))), best + LAST))
+                behind = F.slice(acc, at + 2, F.size(acc))
+                return F.when(at > 1, F.concat(before, now, behind)).otherwise(F.concat(now, behind))
 
-            return let(F.array_position(ranks, best).cast("int"), at_place)
+            return let(F.array_position(acc, least).cast("int"), at_place)
 
         def all_merges(ids: Column) -> Column:
-            ranks = F.transform(F.slice(ids, 2, F.size(ids)), lambda x, i: rank(F.get(ids, i), x))
+            start = F.transform(ids, lambda x, i: F.coalesce(pair(x, F.get(ids, i + 1)), x + LAST))
             return F.aggregate(
-                F.sequence(F.lit(1), F.size(ids)),
-                state(ids, ranks),
-                lambda acc, _: F.when(acc["best"] == NONE, acc).otherwise(merge(acc)),
-                lambda acc: acc["ids"],
+                F.sequence(F.lit(2), F.size(ids)),
+                start,
+                lambda acc, _: let(F.array_min(acc), lambda least: F.when(least >= NONE, acc).otherwise(merge(acc, least))),
+                lambda acc: F.transform(acc, lambda x: own(x).cast("int")),
             )
 
         chars = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
-        return let(F.transform(chars, lambda c: F.get(t["bytes"], F.ascii(c))), all_merges)
+        ids = F.transform(chars, lambda c: F.get(t["bytes"], F.ascii(c)))
+        return let(ids, lambda x: F.when(F.size(x) > 1, all_merges(x)).otherwise(F.transform(x, lambda y: y.cast("int"))))
 
     def ids(self, words: Column, cache: tuple[list, list] | None) -> Column:
         """The ids of an array of words, in order."""
@@ -191,7 +193,7 @@ def frequent_words(docs: DataFrame, tokenizer: Tokenizer, text: str, sample_docs
     return keys, values
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", sample_docs: int = 8_000, slots: int = 2**17) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", sample_docs: int = 20_000, slots: int = 2**19) -> DataFrame:
     """Adds the column ``out``: the ids of ``text``. ``slots`` is a power of two."""
     tokenizer = Tokenizer(path, pattern)
     cache = frequent_words(docs, tokenizer, text, sample_docs, slots)

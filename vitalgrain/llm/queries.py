@@ -46,6 +46,12 @@ def op1_lm_score(spark, sf_dir):
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark, sf_dir):
+    from vitalgrain.llm import jaccard_join
+
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark, sf_dir):
     from vitalgrain.llm import warc
 
