@@ -196,11 +196,15 @@ def representatives(docs: DataFrame, text: str, key: str, at: str, size: int) ->
                 h = shingles(t, size, words)
                 digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                 sigs.append(signature(h, s).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch["row"], batch["id"], pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["row", "id", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays(
+                [batch["row"], batch["id"], batch["th"], pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["row", "id", "th", "digest", "sig"]
+            )
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), F.col(text).alias("x"))
-    signed = materialize(numbered.mapInArrow(make, "row long, id long, digest binary, sig binary"), f"{at}/signed")
-    classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("row").alias("rid"), F.min("id").alias("first"), F.count("*").alias("copies"), F.min_by("sig", "row").alias("sig"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("x"))
+    signed = materialize(numbered.mapInArrow(make, "row long, id long, th long, digest binary, sig binary"), f"{at}/signed")
+    classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(
+        F.min("row").alias("rid"), F.min("id").alias("first"), F.count("*").alias("copies"), F.min_by(F.struct("id", "th", "sig"), "row").alias("r")
+    ).select("digest", "rid", "first", "copies", F.col("r.id").alias("rep_id"), F.col("r.th").alias("rep_th"), F.col("r.sig").alias("sig"))
     return signed.select("row", "id", "digest"), materialize(classes, f"{at}/classes")
 
 
@@ -242,8 +246,10 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5
     sizes = near.groupBy("label").agg(F.count("*").alias("n"))
     suspects = materialize(near.join(sizes, "label").select(F.col("node").alias("rid"), "label", "n"), f"{at}/suspects")
 
-    # the suspects' sets come from their texts: one row of each class
-    texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text).alias("x"))
+    # the suspects' sets come from their texts; id and text hash find the row of a class again
+    texts = docs.select(F.col(key).cast("long").alias("rep_id"), F.xxhash64(text).alias("rep_th"), F.col(text).alias("x"))
+    wanted = suspects.join(classes.select("rid", "copies", "rep_id", "rep_th"), "rid")
+    same_row = wanted["rep_id"].eqNullSafe(texts["rep_id"]) & (wanted["rep_th"] == texts["rep_th"])
 
     def sets(batches):
         words, s = WordHashes(), seeds()
@@ -255,8 +261,9 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5
             )
 
     with_sets = (
-        texts.join(suspects.join(classes.select("rid", "copies"), "rid"), "rid")
+        texts.join(wanted, same_row)
         .select("rid", "label", "n", "copies", "x")
+        .dropDuplicates(["rid"])
         .mapInArrow(sets, "rid long, label long, n long, copies long, hashes binary, sig binary")
     )
 

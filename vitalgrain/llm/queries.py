@@ -119,6 +119,13 @@ def op8_nearest_neighbours(spark, sf_dir):
     return ann.search(rows, rows.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op9_substring_dedup(spark, sf_dir):
+    from vitalgrain.llm import substring_dedup
+
+    found = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_secret_scan(spark, sf_dir):
     from vitalgrain.llm import secret_scan
 
