@@ -1,8 +1,65 @@
-"""Corpus pipeline: quality, near duplicates, decontamination, secrets, tokens."""
+"""Corpus pipeline: quality, near duplicates, decontamination, secrets, tokens.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each one's rows as
+Parquet in the shared folder and reads them again for the next. All stages but the last return the
+columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vitalgrain.llm import bpe, decontaminate, jaccard_join, quality, secret_scan
+from vitalgrain.llm.common import materialize, table, work_dir
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below 0.7 go."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, out="_quality").where("_quality >= 0.7").select(*docs.columns)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked at 0.8 or more, the document of the smallest id stays."""
+    return jaccard_join.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items go."""
+    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts give way to a mark; n_chars follows."""
+    clean = secret_scan.redact(docs, secret_scan.train(docs))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, and the text that they decode to."""
+    path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    coded = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    return coded.select("doc_id", F.col("decoded").cast("string").alias("text"), "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("ngram_jaccard_join", near_duplicates_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("secret_scans", secrets_stage),
+    ("byte_level_bpe", tokens_stage),
+]
+#: The stages train models and follow chains of links, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    at = work_dir(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"{at}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
