@@ -193,7 +193,7 @@ def frequent_words(docs: DataFrame, tokenizer: Tokenizer, text: str, sample_docs
     return keys, values
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", sample_docs: int = 20_000, slots: int = 2**19) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", sample_docs: int = 12_000, slots: int = 2**18) -> DataFrame:
     """Adds the column ``out``: the ids of ``text``. ``slots`` is a power of two."""
     tokenizer = Tokenizer(path, pattern)
     cache = frequent_words(docs, tokenizer, text, sample_docs, slots)
