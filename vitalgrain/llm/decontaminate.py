@@ -49,18 +49,31 @@ def _hash(token: str) -> int:
 
 
 class Canon(dict):
-    """White-space word -> (hash in mid-sentence, hash at a start, 2 if it ends a sentence + 1 if it has a slot), forgetting beyond a bound."""
+    """White-space word -> row of the arrays ``mid`` and ``start`` (hash of its template token in
+    mid-sentence and at a start), ``ends`` (it ends a sentence) and ``empty`` (it leaves no token)."""
 
     def __init__(self, most: int = 300_000):
         self.most = most
+        self.mid, self.start = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
+        self.ends, self.empty = np.zeros(1024, bool), np.zeros(1024, bool)
 
-    def __missing__(self, word: bytes) -> tuple[int, int, int, bool]:
-        if len(self) >= self.most:
+    def trim(self) -> None:
+        """Forget all words if they are too many; only between texts."""
+        if len(self) > self.most:
             self.clear()
+
+    def __missing__(self, word: bytes) -> int:
+        i = len(self)
+        if i == len(self.mid):
+            self.mid, self.start, self.ends, self.empty = (np.concatenate([x, np.zeros_like(x)]) for x in (self.mid, self.start, self.ends, self.empty))
         text = word.decode("utf-8", "replace")
         mid, start = token_of(text, False), token_of(text, True)
-        self[word] = made = (_hash(mid), _hash(start), text.endswith(ENDS), not mid)
-        return made
+        self.mid[i] = h = _hash(mid)
+        self.start[i] = h if mid == start else _hash(start)
+        self.ends[i] = text.endswith(ENDS)
+        self.empty[i] = not mid
+        self[word] = i
+        return i
 
 
 def token_of(word: str, start: bool) -> str:
@@ -68,7 +81,7 @@ def token_of(word: str, start: bool) -> str:
     bare = word.strip(OUTER)
     if not bare:
         return ""
-    if DIGITS.fullmatch(bare):
+    if (bare[0].isdigit() or bare[0] in "+-") and DIGITS.fullmatch(bare):
         return NUMBER
     if not start and bare[0].isupper() and len(bare) > 1 and not bare.isupper():
         return NAME
@@ -179,12 +192,12 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
                 words = (body or "").encode("utf-8", "surrogatepass").split()
                 if doc is None or len(words) < least:
                     continue
-                rows = [canon[w] for w in words]
-                mid, first, ends, empty = zip(*rows, strict=True)
+                canon.trim()
+                at = np.fromiter(map(canon.__getitem__, words), np.int64, len(words))
                 starts = np.empty(len(words), bool)
-                starts[0], starts[1:] = True, ends[:-1]
-                hashes = np.where(starts, np.array(first, np.uint64), np.array(mid, np.uint64))
-                hashes = hashes[~np.array(empty)]
+                starts[0], starts[1:] = True, canon.ends[at[:-1]]
+                hashes = np.where(starts, canon.start[at], canon.mid[at])
+                hashes = hashes[~canon.empty[at]]
                 after = np.flatnonzero(hashes[:-1] == np.uint64(number)) + 1
                 if len(after):
                     hashes[after[np.isin(hashes[after], unit_table)]] = unit
