@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,18 +12,26 @@ PATH, PATTERN = tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTE
 TEXTS = [None, "", " ", "a  b\t\n c", "the the them", "naïve Straße 漢字 𝄞 don't 12345 !!??", "x" * 300, "   y", "zq" * 40 + " \n"]
 
 
-@pytest.mark.parametrize("sample_docs", [0, 1000])
-def test_matches_the_library_and_round_trips(spark, sample_docs):
+def test_matches_the_library_and_round_trips(spark, tmp_path):
     own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
     df = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(TEXTS)], "doc_id long, text string, words string")
-    if sample_docs:
-        coded = bpe.encode(df, PATH, PATTERN, sample_docs=sample_docs, slots=64)
-    else:
-        tok = bpe.Tokenizer(PATH, PATTERN)
-        coded = df.withColumn("ids", tok.ids(tok.words(F.col("text")), None))
-    for r in bpe.decode(coded, PATH, PATTERN).collect():
-        text = TEXTS[r.doc_id] or ""
-        assert r.ids == own.encode_ordinary(text) and bytes(r.decoded) == text.encode() and r.words == "kept"
+    df.write.parquet(f"{tmp_path}/docs")
+    for docs in (df, spark.read.parquet(f"{tmp_path}/docs")):
+        rows = bpe.decode(bpe.encode(docs, PATH, PATTERN, chunk_words=2), PATH).collect()
+        assert len(rows) == len(TEXTS)
+        for r in rows:
+            text = TEXTS[r.doc_id] or ""
+            want = own.encode_ordinary(text)
+            assert r.ids == want and bytes(r.decoded) == text.encode() and r.words == "kept"
+            assert r.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in want)).hexdigest()
+
+
+def test_every_token_is_reached_by_merges(spark):
+    ranks = bpe.load_ranks(PATH)
+    tokens = [(t.decode(), r) for t, r in ranks.items() if len(t) > 1 and t.decode("utf-8", "ignore").encode() == t][::97]
+    tok = bpe.Tokenizer(PATH)
+    out = spark.createDataFrame(tokens, "w string, r int").select("r", tok.folded(F.array("w")).alias("ids")).collect()
+    assert all(x.ids == [[x.r]] for x in out)
 
 
 def test_empty_table(spark):

@@ -1,32 +1,42 @@
-"""Byte-level BPE encoding and decoding inside Spark expressions.
+"""Byte-level BPE encoding and decoding.
 
-A text is split by the tokenizer's pattern; each word's bytes are merged by a fold of higher-order
-functions that always takes the lowest-ranked adjacent pair, leftmost first. Ranks come from a
-literal table: the pairs (left id, right id) -> merged id form a sparse matrix whose rows are laid
-over each other without collisions (row displacement), so that one lookup costs two array reads.
+A text is split by the tokenizer's pattern. Each distinct word of the corpus is merged once, by a fold
+of Spark's higher-order functions over its bytes that always takes the lowest-ranked adjacent pair,
+leftmost first. Ranks come from a literal table: the pairs (left id, right id) -> merged id form a
+sparse matrix whose rows are laid over each other without collisions (row displacement), so that a
+lookup costs two array reads.
 
-Distinct words are folded once where that pays: words frequent in a bounded sample of documents are
-folded beforehand and put in a direct-mapped literal table (``slots`` places; the place is a hash of
-the word, and the word stored there is compared in full). Any other word is folded in place, so the
-table's size and the sample change the speed only, never a result.
+Words and ids travel packed, never as one row per token:
 
-Decoding looks up each id's bytes and concatenates them.
+1. Each chunk of documents (a part of one file split) sends its distinct words, sorted and packed, to
+   groups by a hash of the word.
+2. A group unites the words of all chunks, folds each, and answers every chunk with the ids of its
+   words, in their order. The answers of a chunk become one file in the shared folder.
+3. The chunk reads its documents again, makes the same order, and so has each word's ids.
+
+A frequent word is one entry per chunk, so no group grows with its count. Decoding concatenates the
+byte pieces of the ids.
 
 Defined results: a null text counts as empty; an empty text has no tokens and decodes to nothing;
-repeated rows give repeated rows; an empty table gives no rows; other columns are kept. A word of n
-bytes takes up to n - 1 merges over arrays of n entries, so only very long unbroken words are slow.
+repeated rows give repeated rows; an empty table gives no rows; other columns are kept, but one named
+like an output column gives way. A word of n bytes takes up to n - 1 merges over arrays of n entries,
+so only very long unbroken words are slow, each once.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
+import zlib
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitalgrain.llm.common import add_columns, chunk_file, chunked, load_file, materialize, rereadable, save_file, small_batches, split_column, work_dir
+
 SHIFT = 17  # ids are below 2**17
 MASK = 2**SHIFT - 1
 NONE = 2 ** (2 * SHIFT)  # states from here on don't merge
@@ -76,11 +86,10 @@ def let(value: Column, body) -> Column:
 
 
 class Tokenizer:
-    """Expressions for one vocabulary; ``path`` is a rank file, ``pattern`` splits texts into words."""
+    """The fold for one vocabulary; ``path`` is a rank file."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
         self.ranks = load_ranks(path)
-        self.pattern = "(?U)" + pattern
         offsets, cells = merge_table(path)
         self.tables = F.struct(
             literal(offsets, "array<int>").alias("offsets"),
@@ -88,9 +97,6 @@ class Tokenizer:
             literal([self.ranks[bytes([b])] for b in range(256)], "array<bigint>").alias("bytes"),
         )
 
-    def words(self, text: Column) -> Column:
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
-
     def fold(self, t: Column, word: Column) -> Column:
         """The ids of one word, given the tables: merge the lowest-ranked pair until none is left.
 
@@ -129,77 +135,154 @@ class Tokenizer:
         ids = F.transform(chars, lambda c: F.get(t["bytes"], F.ascii(c)))
         return let(ids, lambda x: F.when(F.size(x) > 1, all_merges(x)).otherwise(F.transform(x, lambda y: y.cast("int"))))
 
-    def ids(self, words: Column, cache: tuple[list, list] | None) -> Column:
-        """The ids of an array of words, in order."""
-        if not cache:
-            return let(self.tables, lambda t: F.flatten(F.transform(words, lambda w: self.fold(t, w))))
-        slots = len(cache[0])
-        tables = F.struct(
-            self.tables.alias("t"),
-            literal(cache[0], "array<string>").alias("keys"),
-            literal(cache[1], "array<array<int>>").alias("values"),
-        )
-
-        def one(t: Column, w: Column) -> Column:
-            return let(
-                place_of(w, slots),
-                lambda at: F.when(F.get(t["keys"], at) == w, F.get(t["values"], at)).otherwise(self.fold(t["t"], w)),
-            )
-
-        return let(tables, lambda t: F.flatten(F.transform(words, lambda w: one(t, w))))
-
-    def _texts(self, pieces: list[bytes], ids: Column) -> Column:
-        table = literal([base64.b64encode(p).decode() for p in pieces], "array<binary>")
-        return let(table, lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i).cast("string")), "")).cast("binary")
-
-    def le_bytes(self, ids: Column) -> Column:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return self._texts([i.to_bytes(4, "little") for i in range(max(self.ranks.values()) + 1)], ids)
-
-    def decode(self, ids: Column) -> Column:
-        """The bytes that the ids stand for."""
-        pieces = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            pieces[rank] = token
-        return self._texts(pieces, ids)
-
-
-def place_of(word: Column, slots: int) -> Column:
-    return F.xxhash64(word).bitwiseAND(slots - 1).cast("int")
-
-
-def frequent_words(docs: DataFrame, tokenizer: Tokenizer, text: str, sample_docs: int, slots: int) -> tuple[list, list] | None:
-    """The direct-mapped table: per place the most frequent word of a bounded sample, with its ids."""
-    total = docs.count()
-    if not total:
-        return None
-    every = max(1, -(-total // sample_docs))
-    words = (
-        docs.select(tokenizer.words(F.col(text)).alias("ws"))
-        .where(F.pmod(F.xxhash64(F.col(text)), F.lit(every)) == 0 if every > 1 else F.lit(True))
-        .select(F.explode("ws").alias("w"))
-        .groupBy("w")
-        .count()
-        .where(F.length("w") <= 64)
-        .groupBy(place_of(F.col("w"), slots).alias("at"))
-        .agg(F.max_by("w", F.struct("count", "w")).alias("w"))
-        .select("at", "w", let(tokenizer.tables, lambda t: tokenizer.fold(t, F.col("w"))).alias("ids"))
-        .toArrow()
-    )
-    keys: list = [None] * slots
-    values: list = [None] * slots
-    for at, word, ids in zip(words["at"].to_pylist(), words["w"].to_pylist(), words["ids"].to_pylist(), strict=True):
-        keys[at], values[at] = word, ids
-    return keys, values
-
-
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", sample_docs: int = 12_000, slots: int = 2**18) -> DataFrame:
-    """Adds the column ``out``: the ids of ``text``. ``slots`` is a power of two."""
-    tokenizer = Tokenizer(path, pattern)
-    cache = frequent_words(docs, tokenizer, text, sample_docs, slots)
-    return docs.withColumn(out, tokenizer.ids(tokenizer.words(F.col(text)), cache))
-
-
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds the column ``out``: the bytes that the ids stand for."""
-    return df.withColumn(out, Tokenizer(path, pattern).decode(F.col(ids)))
+    def folded(self, words: Column) -> Column:
+        """The ids of each word of an array."""
+        return let(self.tables, lambda t: F.transform(words, lambda w: self.fold(t, w)))
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    lengths = np.fromiter(map(len, words), np.uint32, len(words))
+    return zlib.compress(np.uint32(len(words)).tobytes() + lengths.tobytes() + b"".join(words), 1)
+
+
+def unpack_words(data: bytes) -> list[bytes]:
+    data = zlib.decompress(data)
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    ends = (np.cumsum(np.frombuffer(data, np.uint32, n, 4)) + 4 + 4 * n).tolist()
+    return [data[a:b] for a, b in zip([4 + 4 * n, *ends[:-1]], ends, strict=True)]
+
+
+def group_of(words: list[bytes], groups: int) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % groups
+
+
+class Chunk:
+    """The distinct words of a chunk in the order of (group, word)."""
+
+    def __init__(self, texts: list, split, groups: int):
+        seen: set[str] = set()
+        for t in texts:
+            if t:
+                seen.update(split(t))
+        self.texts = sorted(seen)
+        coded = [w.encode("utf-8", "surrogatepass") for w in self.texts]
+        g = group_of(coded, groups)
+        order = np.argsort(g, kind="stable").tolist()
+        self.texts, self.words, self.groups = [self.texts[i] for i in order], [coded[i] for i in order], g[order]
+
+    def parts(self):
+        """(group, its words)."""
+        cuts = np.flatnonzero(np.diff(self.groups)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(self.words)], strict=True):
+            if b > a:
+                yield int(self.groups[a]), self.words[a:b]
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", group_words: int = 500_000, chunk_words: int = 2_000_000) -> DataFrame:
+    """Adds ``out``, the ids of ``text``, with ``out``_sha256, the digest of the ids as little-endian unsigned 32-bit integers."""
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    spark = docs.sparkSession
+    small_batches(spark, 500)
+    at = work_dir(spark, "bpe")
+    docs = rereadable(docs, at)
+    size = docs.select(F.sum(F.octet_length(text)).alias("n")).first().n or 0
+    groups = max(1, size // 6 // group_words)
+    tokenizer = Tokenizer(path)
+
+    def splitter():
+        import regex
+
+        return regex.compile(pattern).findall
+
+    def send(batches):
+        split = splitter()
+        for name, rows in chunked(batches, ["split", "x"], 1, chunk_words):
+            parts = [(g, name, pack_words(w)) for g, w in Chunk([r[1] for r in rows], split, groups).parts()]
+            for i in range(0, len(parts), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*parts[i : i + 64], strict=True), (pa.int32(), pa.string(), pa.binary()), strict=True)], ["g", "chunk", "words"])
+
+    sent = materialize(docs.select(split_column().alias("split"), F.col(text).alias("x")).mapInArrow(send, "g int, chunk string, words binary"), f"{at}/sent")
+
+    def unite(rows):
+        words = sorted(set().union(*map(unpack_words, rows["words"].to_pylist())))
+        return pa.table({"g": pa.array([rows["g"][0].as_py()], pa.int32()), "w": pa.array([[w.decode("utf-8", "surrogatepass") for w in words]], pa.list_(pa.string()))})
+
+    united = sent.groupBy("g").applyInArrow(unite, "g int, w array<string>")
+    folded = united.select("g", "w", tokenizer.folded(F.col("w")).alias("ids"))
+
+    def answer(asked, known):
+        """Per chunk: how many ids each of its words has, and the ids, packed."""
+        ids = known["ids"].combine_chunks().values
+        values, offsets = ids.values.to_numpy().astype(np.uint32), ids.offsets.to_numpy()
+        place = {w.encode("utf-8", "surrogatepass"): i for i, w in enumerate(known["w"][0].as_py())}
+        packed = []
+        for data in asked["words"].to_pylist():
+            i = np.fromiter(map(place.__getitem__, unpack_words(data)), np.int64)
+            n = offsets[i + 1] - offsets[i]
+            at_ = np.repeat(offsets[i] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            packed.append(zlib.compress(np.uint32(len(n)).tobytes() + n.astype(np.uint32).tobytes() + values[at_].tobytes(), 1))
+        return pa.table({"chunk": asked["chunk"], "g": asked["g"], "ids": pa.array(packed, pa.binary())})
+
+    answers = sent.groupBy("g").cogroup(folded.groupBy("g")).applyInArrow(answer, "chunk string, g int, ids binary")
+
+    def save(key, rows):
+        """One file per chunk: the number of ids of each word, then the ids, in order of groups."""
+        counts, ids = [], []
+        for i in np.argsort(rows["g"].to_numpy()).tolist():
+            data = np.frombuffer(zlib.decompress(rows["ids"][i].as_py()), np.uint32)
+            counts.append(data[1 : 1 + data[0]])
+            ids.append(data[1 + data[0] :])
+        counts, ids = np.concatenate(counts), np.concatenate(ids)
+        save_file(f"{at}/answers", chunk_file(key[0].as_py()), zlib.compress(np.uint32(len(counts)).tobytes() + counts.tobytes() + ids.tobytes(), 1))
+        return pa.table({"chunk": pa.array([key[0].as_py()])})
+
+    answers.groupBy("chunk").applyInArrow(save, "chunk string").write.parquet(f"{at}/saved")
+
+    new = StructType.fromDDL(f"{out} array<int>, {out}_sha256 string")
+    rest = [f for f in docs.schema.fields if f.name not in new.names]
+    result = StructType([*rest, *new.fields])
+
+    def apply(batches):
+        from itertools import chain
+
+        split = splitter()
+        first = next(batches, None)
+        if first is None:
+            return
+        types = [first.schema.field(f.name).type for f in rest]
+        for name, rows in chunked(chain([first], batches), ["_split", "_x", *(f.name for f in rest)], 1, chunk_words):
+            c = Chunk([r[1] for r in rows], split, groups)
+            known: dict[str, bytes] = {}
+            if c.words:
+                data = np.frombuffer(zlib.decompress(load_file(f"{at}/answers", chunk_file(name))), np.uint32)
+                if data[0] != len(c.words):
+                    raise RuntimeError(f"{name} was read otherwise than before")
+                ends = (np.cumsum(data[1 : 1 + data[0]], dtype=np.int64) * 4).tolist()
+                ids = data[1 + data[0] :].tobytes()
+                known = {w: ids[a:b] for w, a, b in zip(c.texts, [0, *ends[:-1]], ends, strict=True)}
+            del c
+            for i in range(0, len(rows), 250):
+                part = rows[i : i + 250]
+                coded = [b"".join(map(known.__getitem__, split(r[1]))) if r[1] else b"" for r in part]
+                ends = np.cumsum([0] + [len(x) // 4 for x in coded]).astype(np.int32)
+                made = [
+                    *(pa.array([r[2 + k] for r in part], t) for k, t in enumerate(types)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32))),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in coded]),
+                ]
+                yield pa.RecordBatch.from_arrays(made, result.names)
+
+    return docs.select(split_column().alias("_split"), F.col(text).alias("_x"), *(f.name for f in rest)).mapInArrow(apply, result)
+
+
+def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Adds ``out``: the bytes that the ids stand for, piece by piece."""
+
+    def make():
+        pieces = {rank: token for token, rank in load.items()}
+        return lambda rows: [[b"".join(map(pieces.__getitem__, r or ())) for r in rows]]
+
+    load = load_ranks(path)
+    return add_columns(df, make, f"{out} binary", [ids])

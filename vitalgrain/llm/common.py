@@ -102,3 +102,64 @@ def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """About ``rows`` rows, chosen by a hash of ``key``; all of a smaller table."""
     every = max(1, -(-df.count() // rows))
     return df if every == 1 else df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(every)) == 0)
+
+
+def plain_scan(docs: DataFrame) -> bool:
+    """Whether the plan is one file scan with filters and projections, so that its splits can be read again."""
+    import re
+
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    names = [re.sub(r"^[\s:+-]*", "", line).split(" ")[0] for line in plan.strip().split("\n")]
+    return bool(docs.inputFiles()) and all(n in ("Project", "Filter") or n.startswith("Relation") for n in names)
+
+
+def rereadable(docs: DataFrame, at: str) -> DataFrame:
+    """The documents by a plan whose splits hold the same rows in the same order each time."""
+    return docs if plain_scan(docs) else materialize(docs, f"{at}/documents")
+
+
+def split_column():
+    """Names the file split of a row."""
+    return F.concat_ws(":", F.input_file_name(), F.input_file_block_start())
+
+
+def chunked(batches, columns: list[str], text: int, most_words: int):
+    """(name, rows) of each chunk: rows of one split, in order, up to about ``most_words`` words.
+
+    The first column names the split, column ``text`` has the texts. Where chunks begin depends on the
+    rows alone, so that a second reading meets the same chunks.
+    """
+    held, name, part, n = [], None, 0, 0
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            if row[0] != name or n >= most_words:
+                if held:
+                    yield f"{name}:{part:06d}", held
+                part = part + 1 if row[0] == name else 0
+                held, name, n = [], row[0], 0
+            held.append(row)
+            n += (len(row[text]) if row[text] else 0) // 6
+    if held:
+        yield f"{name}:{part:06d}", held
+
+
+def chunk_file(name: str) -> str:
+    import hashlib
+
+    return hashlib.sha1(name.encode()).hexdigest()
+
+
+def save_file(folder: str, name: str, data: bytes) -> None:
+    """Write under another name and rename, so that a file is whole or not there."""
+    fs, base = open_fs(folder)
+    fs.create_dir(base, recursive=True)
+    temp = f"{base}/{name}.{uuid.uuid4().hex[:8]}"
+    with fs.open_output_stream(temp, compression=None) as f:
+        f.write(data)
+    fs.move(temp, f"{base}/{name}")
+
+
+def load_file(folder: str, name: str) -> bytes:
+    fs, base = open_fs(folder)
+    with fs.open_input_stream(f"{base}/{name}", compression=None) as f:
+        return f.read()

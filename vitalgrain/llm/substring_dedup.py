@@ -26,14 +26,11 @@ rows; other columns stay, and of those a clash with an output column gives way t
 
 from __future__ import annotations
 
-import hashlib
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrain.llm.common import materialize, open_fs, small_batches, work_dir
+from vitalgrain.llm.common import chunk_file, chunked, load_file, rereadable, save_file, small_batches, split_column, work_dir
 
 LEAST_ID = -(2**63)
 
@@ -158,13 +155,6 @@ def repeated(leaves: np.ndarray, ids: np.ndarray, chunk: np.ndarray) -> np.ndarr
     return out
 
 
-def _plain_scan(docs: DataFrame) -> bool:
-    """Whether the plan is one file scan with filters and projections, so that its splits can be read again."""
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    names = [re.sub(r"^[\s:+-]*", "", line).split(" ")[0] for line in plan.strip().split("\n")]
-    return bool(docs.inputFiles()) and all(n in ("Project", "Filter") or n.startswith("Relation") for n in names)
-
-
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = 20, out: str = "kept", group_size: int = 1_500_000, chunk_words: int = 2_000_000) -> DataFrame:
     """Adds n_words, n_removed and ``out``, the kept words joined by one space."""
     import pyarrow as pa
@@ -173,31 +163,15 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int
     spark = docs.sparkSession
     small_batches(spark, 500)
     at = work_dir(spark, "substrings")
-    if not _plain_scan(docs):
-        docs = materialize(docs, f"{at}/documents")
-    split = F.concat_ws(":", F.input_file_name(), F.input_file_block_start())
+    docs = rereadable(docs, at)
+    split = split_column()
     size = docs.select(F.sum(F.octet_length(text)).alias("n")).first().n or 0
     bits = max(0, (size // 6 // group_size).bit_length())
 
-    def chunks(batches, columns):
-        """(name, ids, texts, rest) of each chunk: at most about chunk_words words of one split."""
-        held, name, part, n = [], None, 0, 0
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-                if row[0] != name or n >= chunk_words:
-                    if held:
-                        yield f"{name}:{part:06d}", held
-                    part = part + 1 if row[0] == name else 0
-                    held, name, n = [], row[0], 0
-                held.append(row)
-                n += (len(row[2]) if row[2] else 0) // 6
-        if held:
-            yield f"{name}:{part:06d}", held
-
     def send(batches):
         words = WordHashes()
         schema = pa.schema([("g", pa.int32()), ("chunk", pa.string()), ("leaves", pa.binary())])
-        for name, rows in chunks(batches, ["split", "id", "x"]):
+        for name, rows in chunked(batches, ["split", "id", "x"], 2, chunk_words):
             c = Chunk([r[1] for r in rows], [r[2] for r in rows], window, words)
             cuts = np.searchsorted(c.leaves >> np.uint64(64 - bits), np.arange(2**bits + 1, dtype=np.uint64)) if bits else np.array([0, len(c.leaves)])
             made = [(g, name, pack(c.leaves[a:b], c.leaf_ids[a:b])) for g, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
@@ -221,24 +195,14 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int
             "total": pa.array(sums, pa.int64()), "bits": pa.array([np.packbits(f).tobytes() for f in flags], pa.binary()),
         })
 
-    def place(name: str) -> str:
-        return hashlib.sha1(name.encode()).hexdigest()
-
     def save(key_, rows):
-        """One file per chunk with its answers in order of groups; written under another name first."""
-        import uuid
-
-        fs, base = open_fs(f"{at}/answers")
+        """One file per chunk with its answers in order of groups."""
         order = np.argsort(rows["g"].to_numpy())
         flags = [np.unpackbits(np.frombuffer(rows["bits"][i].as_py(), np.uint8), count=rows["n"][i].as_py()) for i in order.tolist()]
         total = int(rows["total"].to_numpy().astype(np.uint64).sum(dtype=np.uint64))
         all_flags = np.concatenate(flags)
-        name = place(key_[0].as_py())
-        fs.create_dir(base, recursive=True)
-        temp = f"{base}/{name}.{uuid.uuid4().hex[:8]}"
-        with fs.open_output_stream(temp) as f:
-            f.write(np.array([len(all_flags), total], "<u8").tobytes() + np.packbits(all_flags).tobytes())
-        fs.move(temp, f"{base}/{name}.bits")
+        data = np.array([len(all_flags), total], "<u8").tobytes() + np.packbits(all_flags).tobytes()
+        save_file(f"{at}/answers", chunk_file(key_[0].as_py()), data)
         return pa.table({"chunk": pa.array([key_[0].as_py()]), "n": pa.array([len(all_flags)], pa.int64())})
 
     source = docs.select(split.alias("split"), F.col(key).cast("long").alias("id"), F.col(text).alias("x"))
@@ -254,17 +218,15 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int
         from itertools import chain
 
         words = WordHashes()
-        fs, base = open_fs(f"{at}/answers")
         first = next(batches, None)
         if first is None:
             return
         types = [first.schema.field(c).type for c in (key, *rest)]
-        for name, rows in chunks(chain([first], batches), ["_split", "_id", "_x", *([key] + rest)]):
+        for name, rows in chunked(chain([first], batches), ["_split", "_id", "_x", key, *rest], 2, chunk_words):
             c = Chunk([r[1] for r in rows], [r[2] for r in rows], window, words)
             flags = np.zeros(0, bool)
             if len(c.leaves):
-                with fs.open_input_stream(f"{base}/{place(name)}.bits") as f:
-                    data = f.read()
+                data = load_file(f"{at}/answers", chunk_file(name))
                 n, total = (int(x) for x in np.frombuffer(data, "<u8", 2))
                 with np.errstate(over="ignore"):
                     if n != len(c.leaves) or total != int(c.leaves.sum(dtype=np.uint64)):
