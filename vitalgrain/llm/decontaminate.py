@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become template tokens: numbers, units behind a number and capitalised names in mid-sentence
-turn into typed placeholders, anything else is lower-cased and stripped of outer punctuation. Every
+turn into typed placeholders, anything else is lower-cased and loses its punctuation. Every
 run of ``window`` template tokens of a benchmark item (the whole item if it is shorter) is a window.
 Documents and items are joined on the hashes of their windows. A hit counts if the template tokens
 agree and its slots are consistent: equal values of the item stand opposite equal values of the
@@ -11,7 +11,7 @@ caught, while a chance meeting of placeholders is not.
 Item windows (two longs each) reach the scan as a filter if there are at most ``filter_windows`` of
 them; beyond that the scan passes all windows on. Either way the hits are settled by the same hash
 join, which Spark shuffles if the item side is large. Tokens of a hit travel with it, so that it is
-compared in full; windows that are nothing but placeholders are left out on both sides.
+compared in full; windows of which half or more are placeholders are left out on both sides.
 
 Defined results: null and empty texts have no windows; items of fewer than ``least`` tokens are left
 out; null ids of documents never match; repeated items or documents give the result of one; other
@@ -20,7 +20,7 @@ columns are ignored; empty tables give no rows.
 
 from __future__ import annotations
 
-import re
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,11 +29,18 @@ from pyspark.sql import functions as F
 from vitalgrain.llm.common import small_batches
 
 #: Units that count as a slot behind a number.
-UNITS = frozenset("mm cm m km in ft yd mi mg g kg t oz lb ml l s sec min h hr hrs day days week weeks month months year years % $ € £ usd eur mph kmh w kw v a hz °c °f c f".split())
-NUMBER, NAME, UNIT = "\x01n", "\x01p", "\x01u"
-OUTER = ".,;:!?\"'()[]{}<>«»“”‘’*#&%$|"
-DIGITS = re.compile(r"[+-]?\d[\d.,/:-]*\d|[+-]?\d")
-ENDS = (".", "!", "?", ":")
+UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml l s sec min h hr hrs day days week weeks month months year years usd eur mph kmh w kw v a hz c f".split()
+PLAIN, NUMBER, NAME, UNIT = range(4)
+MARKS = ("", "<number>", "<name>", "<unit>")
+ODD = 0x9E3779B97F4A7C15  # multiplier of the word hash; odd, so it has an inverse
+
+_CODES = np.arange(256)
+_SPACE = np.isin(_CODES, [9, 10, 11, 12, 13, 32])
+_DIGIT = (_CODES >= 48) & (_CODES <= 57)
+_UPPER = (_CODES >= 65) & (_CODES <= 90)
+_KEPT = _DIGIT | _UPPER | ((_CODES >= 97) & (_CODES <= 122)) | (_CODES >= 128)
+_ENDS = np.isin(_CODES, list(b".!?:"))
+_LOWER = np.where(_UPPER, _CODES + 32, _CODES).astype(np.uint8)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -42,113 +49,113 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hash(token: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
-
-
-class Canon(dict):
-    """White-space word -> row of the arrays ``mid`` and ``start`` (hash of its template token in
-    mid-sentence and at a start), ``ends`` (it ends a sentence) and ``empty`` (it leaves no token)."""
-
-    def __init__(self, most: int = 300_000):
-        self.most = most
-        self.mid, self.start = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
-        self.ends, self.empty = np.zeros(1024, bool), np.zeros(1024, bool)
-
-    def trim(self) -> None:
-        """Forget all words if they are too many; only between texts."""
-        if len(self) > self.most:
-            self.clear()
-
-    def __missing__(self, word: bytes) -> int:
-        i = len(self)
-        if i == len(self.mid):
-            self.mid, self.start, self.ends, self.empty = (np.concatenate([x, np.zeros_like(x)]) for x in (self.mid, self.start, self.ends, self.empty))
-        text = word.decode("utf-8", "replace")
-        mid, start = token_of(text, False), token_of(text, True)
-        self.mid[i] = h = _hash(mid)
-        self.start[i] = h if mid == start else _hash(start)
-        self.ends[i] = text.endswith(ENDS)
-        self.empty[i] = not mid
-        self[word] = i
-        return i
-
-
-def token_of(word: str, start: bool) -> str:
-    """The template token of a word without looking at units; empty if nothing is left of it."""
-    bare = word.strip(OUTER)
-    if not bare:
-        return ""
-    if (bare[0].isdigit() or bare[0] in "+-") and DIGITS.fullmatch(bare):
-        return NUMBER
-    if not start and bare[0].isupper() and len(bare) > 1 and not bare.isupper():
-        return NAME
-    return bare.lower()
-
-
-def tokens(text: str | None) -> list[tuple[str, str]]:
-    """(template token, value) of each word that leaves one."""
-    out: list[tuple[str, str]] = []
-    start = True
-    for word in (text or "").encode("utf-8", "surrogatepass").split():
-        w = word.decode("utf-8", "replace")
-        t = token_of(w, start)
-        if t:
-            if out and out[-1][0] == NUMBER and t in UNITS:
-                t = UNIT
-            out.append((t, w.strip(OUTER).lower()))
-        start = w.endswith(ENDS)
-    return out
-
-
-def _powers(n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    x = 1
-    for i in range(n):
-        out[i] = x
-        x = x * 0x9E3779B97F4A7C15 % 2**64
-    return out
-
-
-def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    """One hash per run of ``size`` token hashes."""
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for k, p in enumerate(_powers(size)):
-            out += hashes[k : k + n] * p
-        return _mix(out + np.uint64(size))
-
-
-#: Hashes of the placeholders and of the units.
-def _slots() -> tuple[int, int, int, frozenset[int]]:
-    return _hash(NUMBER), _hash(NAME), _hash(UNIT), frozenset(map(_hash, UNITS))
-
-
-def consistent(item: list[str], doc: list[str]) -> bool:
-    """A one-to-one relation between the slot values of item and document."""
-    return len(set(zip(item, doc, strict=True))) == len(set(item)) == len(set(doc))
-
-
-def _lengths(window: int, least: int) -> list[int]:
-    return list(range(least, window + 1))
-
-
-def _item_windows(text: str | None, window: int, least: int):
-    """(size, hash, template, slot values) of each window of an item that isn't made of placeholders only."""
-    toks = tokens(text)
-    if len(toks) < least:
-        return
-    size = min(window, len(toks))
-    hashes = window_hashes(np.array([_hash(t) for t, _ in toks], np.uint64), size)
-    for i, h in enumerate(hashes.astype(np.int64).tolist()):
-        part = toks[i : i + size]
-        if sum(not t.startswith("\x01") for t, _ in part) * 2 > size:
-            yield {"hash": h, "size": size, "template": " ".join(t for t, _ in part), "values": [v for t, v in part if t.startswith("\x01")]}
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """ODD ** i and its inverse, modulo 2 ** 64."""
+    both = []
+    for base in (ODD, pow(ODD, -1, 2**64)):
+        x = np.full(n, base, np.uint64)
+        x[0] = 1
+        both.append(np.cumprod(x, dtype=np.uint64))
+    return tuple(both)
+
+
+class Tokens:
+    """The template tokens of some texts, found with array operations over their joined bytes.
+
+    A word keeps its letters, digits and bytes beyond ASCII, in lower case (ASCII and Latin-1); a word
+    of which nothing is left is no token.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        buf = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+        begins = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])[:-1]])
+        upper = _UPPER[buf]
+        low = _LOWER[buf]
+        accents = np.flatnonzero((buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97))
+        low[accents + 1] += 0x20
+        upper[accents] = True
+        small = (buf >= 97) & (buf <= 122)
+        small[1:] |= (buf[:-1] == 0xC3) & (buf[1:] >= 0x9F) & (buf[1:] != 0xB7)
+        kept, inside = _KEPT[buf], ~_SPACE[buf]
+        edge = np.diff(inside.astype(np.int8), prepend=0)
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.buffer, self.low = buf, low
+        if not len(first):
+            self.hashes, self.kinds, self.docs, self.spans = np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+            return
+        count = np.concatenate([[0], np.cumsum(kept)])
+        before, size = count[first], count[last] - count[first]
+        room = 1 << int(len(buf) + 1).bit_length()
+        up, down = _powers(room)
+        with np.errstate(over="ignore"):
+            terms = (low.astype(np.uint64) + np.uint64(1)) * up[count[:-1]]
+            terms[~kept] = 0
+            hashes = _mix(np.add.reduceat(terms, first) * down[before] + size.astype(np.uint64))
+        digits = np.add.reduceat(_DIGIT[buf].astype(np.int32), first)
+        smalls = np.add.reduceat(small.astype(np.int32), first)
+        letters = np.append(np.flatnonzero(kept), 0)
+        docs = np.searchsorted(begins, first, "right") - 1
+        start = np.ones(len(first), bool)
+        start[1:] = _ENDS[buf[last[:-1] - 1]] | (docs[1:] != docs[:-1])
+        number = (size > 0) & (digits == size)
+        name = upper[letters[before]] & ~start & (size > 1) & (smalls > 0) & ~number
+        there = size > 0
+        kinds = np.where(number, NUMBER, np.where(name, NAME, PLAIN)).astype(np.int8)[there]
+        self.docs, self.spans = docs[there], np.stack([first[there], last[there]], 1)
+        hashes = hashes[there]
+        after = np.flatnonzero((kinds[:-1] == NUMBER) & (self.docs[1:] == self.docs[:-1])) + 1
+        if len(after):
+            kinds[after[np.isin(hashes[after], _unit_hashes()) & (kinds[after] == PLAIN)]] = UNIT
+        self.kinds = kinds
+        self.hashes = np.where(kinds == PLAIN, hashes, _mark_hashes()[kinds])
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, hash) of each run of ``size`` tokens of one text that isn't made of slots for the most part."""
+        n = len(self.hashes) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        out = np.full(n, size, np.uint64)
+        up = _powers(64)[0]
+        with np.errstate(over="ignore"):
+            for k in range(size):
+                out += self.hashes[k : k + n] * up[k + 1]
+            out = _mix(out)
+        slots = np.concatenate([[0], np.cumsum(self.kinds != PLAIN)])
+        at = np.flatnonzero((self.docs[:n] == self.docs[size - 1 :]) & ((slots[size:] - slots[:-size]) * 2 < size))
+        return at, out[at].astype(np.int64)
+
+    def word(self, i: int) -> str:
+        a, b = self.spans[i].tolist()
+        return self.low[a:b][_KEPT[self.buffer[a:b]]].tobytes().decode("utf-8", "replace")
+
+    def template(self, at: int, size: int) -> tuple[str, list[str]]:
+        """The window's template and the values of its slots."""
+        words, kinds = [self.word(i) for i in range(at, at + size)], self.kinds[at : at + size].tolist()
+        return " ".join(MARKS[k] or w for w, k in zip(words, kinds, strict=True)), [w for w, k in zip(words, kinds, strict=True) if k]
+
+
+@lru_cache(maxsize=1)
+def _unit_hashes() -> np.ndarray:
+    return np.sort(Tokens([" ".join(UNITS)]).hashes)
+
+
+@lru_cache(maxsize=1)
+def _mark_hashes() -> np.ndarray:
+    return _mix(np.arange(1, 5, dtype=np.uint64))
+
+
+def batches_of(ids: list, texts: list, most: int = 1 << 20):
+    """(ids, texts) of about a megabyte of text each."""
+    a, n = 0, 0
+    for i, t in enumerate(texts):
+        n += len(t) if t else 0
+        if n > most:
+            yield ids[a : i + 1], texts[a : i + 1]
+            a, n = i + 1, 0
+    if a < len(texts):
+        yield ids[a:], texts[a:]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", window: int = 10, least: int = 5, filter_windows: int = 1_000_000) -> DataFrame:
@@ -162,7 +169,15 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
     def explode_items(batches):
         schema = pa.schema([("item_id", pa.int64()), ("hash", pa.int64()), ("size", pa.int32()), ("template", pa.string()), ("values", pa.list_(pa.string()))])
         for batch in batches:
-            rows = [{"item_id": k} | w for k, t in zip(batch["k"].to_pylist(), batch["x"].to_pylist(), strict=True) for w in _item_windows(t, window, least)]
+            rows = []
+            for k, t in zip(batch["k"].to_pylist(), batch["x"].to_pylist(), strict=True):
+                toks = Tokens([t])
+                if len(toks.hashes) < least:
+                    continue
+                size = min(window, len(toks.hashes))
+                for i, h in zip(*(x.tolist() for x in toks.windows(size)), strict=True):
+                    template, values = toks.template(i, size)
+                    rows.append({"item_id": k, "hash": h, "size": size, "template": template, "values": values})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     items = (
@@ -176,60 +191,41 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
     known = None
     if n_windows <= filter_windows:
         known = np.sort(np.array(items.select("hash").distinct().toArrow()["hash"].to_pylist(), np.int64))
+    low_bits = (1 << 22) - 1
 
     def scan(batches):
-        number, name, unit, units = _slots()
-        unit_table = np.array(sorted(units), np.uint64)
-        canon = Canon()
         bits = None
         if known is not None:
-            bits = np.zeros(1 << 22, bool)
-            bits[(known & ((1 << 22) - 1))] = True
+            bits = np.zeros(low_bits + 1, bool)
+            bits[known & low_bits] = True
         schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("template", pa.string()), ("values", pa.list_(pa.string()))])
         for batch in batches:
-            out = []
-            for doc, body in zip(batch["k"].to_pylist(), batch["x"].to_pylist(), strict=True):
-                words = (body or "").encode("utf-8", "surrogatepass").split()
-                if doc is None or len(words) < least:
-                    continue
-                canon.trim()
-                at = np.fromiter(map(canon.__getitem__, words), np.int64, len(words))
-                starts = np.empty(len(words), bool)
-                starts[0], starts[1:] = True, canon.ends[at[:-1]]
-                hashes = np.where(starts, canon.start[at], canon.mid[at])
-                hashes = hashes[~canon.empty[at]]
-                after = np.flatnonzero(hashes[:-1] == np.uint64(number)) + 1
-                if len(after):
-                    hashes[after[np.isin(hashes[after], unit_table)]] = unit
-                toks = None
+            for ids, texts in batches_of(batch["k"].to_pylist(), batch["x"].to_pylist()):
+                toks, out = Tokens(texts), []
                 for size in sizes:
-                    h = window_hashes(hashes, size).astype(np.int64)
+                    at, h = toks.windows(size)
                     if bits is not None:
-                        at = np.flatnonzero(bits[h & ((1 << 22) - 1)])
-                        if len(at):
-                            at = at[np.isin(h[at], known)]
-                    else:
-                        at = np.arange(len(h))
-                    if not len(at):
-                        continue
-                    toks = toks or tokens(body)
+                        some = np.flatnonzero(bits[h & low_bits])
+                        some = some[np.isin(h[some], known)]
+                        at, h = at[some], h[some]
                     seen = set()
-                    for i in at.tolist():
-                        part = toks[i : i + size]
-                        found = (int(h[i]), " ".join(t for t, _ in part), tuple(v for t, v in part if t.startswith("\x01")))
-                        if found not in seen:
-                            seen.add(found)
-                            out.append({"doc_id": doc, "hash": found[0], "template": found[1], "values": list(found[2])})
-            yield pa.RecordBatch.from_pylist(out, schema)
+                    for i, x, d in zip(at.tolist(), h.tolist(), toks.docs[at].tolist(), strict=True):
+                        if ids[d] is None:
+                            continue
+                        template, values = toks.template(i, size)
+                        if (d, template, tuple(values)) not in seen:
+                            seen.add((d, template, tuple(values)))
+                            out.append({"doc_id": ids[d], "hash": x, "template": template, "values": values})
+                yield pa.RecordBatch.from_pylist(out, schema)
 
     hits = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("x")).mapInArrow(scan, "doc_id long, hash long, template string, values array<string>")
     own = items.withColumnRenamed("values", "item_values")
-    pair = F.arrays_zip(F.col("item_values").alias("a"), F.col("values").alias("b"))
-    consistent_slots = (F.size(F.array_distinct(pair)) == F.size(F.array_distinct("item_values"))) & (F.size(F.array_distinct(pair)) == F.size(F.array_distinct("values")))
+    pair = F.array_distinct(F.arrays_zip(F.col("item_values").alias("a"), F.col("values").alias("b")))
+    one_to_one = (F.size(pair) == F.size(F.array_distinct("item_values"))) & (F.size(pair) == F.size(F.array_distinct("values")))
     totals = items.groupBy("item_id").agg(F.count_distinct("hash").alias("item_windows"))
     return (
         hits.join(own, ["hash", "template"])
-        .where((F.size("values") == 0) | consistent_slots)
+        .where((F.size("values") == 0) | one_to_one)
         .groupBy("doc_id", "item_id")
         .agg(F.count_distinct("hash").alias("n_windows"))
         .join(totals, "item_id")
