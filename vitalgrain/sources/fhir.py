@@ -158,7 +158,7 @@ def encounters(df: DataFrame) -> DataFrame:
 
 
 def care_plans(df: DataFrame) -> DataFrame:
-    names = F.transform("category", S.coding_text)
+    names = F.transform("category", lambda c: S.coding_text(c))
     name = S.first_where(names, lambda n: S.medically_relevant(n) & (F.length(n) > 10))
     activities = S.map_or_null(
         F.col("activity"),
