@@ -120,6 +120,40 @@ def op9_substring_dedup(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), t AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d
+), g AS (
+  SELECT *, string_agg(word, ' ') OVER f AS run, count(*) OVER f = 20 AS whole FROM t
+  WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), r AS (SELECT *, whole AND row_number() OVER (PARTITION BY run, whole ORDER BY doc_id, i) > 1 AS again FROM g
+), c AS (SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r)
+SELECT d.doc_id, count(word) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) GROUP BY 1
+"""
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), t AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS i FROM d
+), s AS (
+  SELECT DISTINCT doc_id, run FROM (
+    SELECT doc_id, i, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS run FROM t
+  ) WHERE i + least(n, 5) <= n
+), k AS (SELECT doc_id, md5(string_agg(run, chr(10) ORDER BY run)) AS h, count(*) AS n FROM s GROUP BY 1
+), c AS (SELECT h, min(doc_id) AS rid, any_value(n) AS n, count(*) AS copies FROM k GROUP BY 1
+), x AS (SELECT rid, run, copies, c.n AS n FROM c JOIN s ON s.doc_id = rid
+), l AS (
+  SELECT a.rid AS a, b.rid AS b, any_value(b.copies) AS copies FROM x a JOIN x b ON a.run = b.run AND a.rid <> b.rid
+  GROUP BY 1, 2 HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9
+), reach AS (SELECT rid AS node, rid AS label FROM c UNION SELECT l.b, reach.label FROM reach JOIN l ON l.a = reach.node
+), m AS (SELECT node AS rid, min(label) AS class_id FROM reach GROUP BY 1
+), q AS (SELECT a AS rid, count(*) AS n_links, sum(copies) AS near FROM l GROUP BY 1)
+SELECT d.doc_id, coalesce(m.class_id, d.doc_id) AS class_id, coalesce(q.n_links, 0) AS n_links, coalesce(c.copies, 1) - 1 AS n_copies,
+  CAST(coalesce(q.near, 0) + coalesce(c.copies, 1) - 1 AS BIGINT) AS linked_rows
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN c USING (h) LEFT JOIN m ON m.rid = c.rid LEFT JOIN q ON q.rid = c.rid
+"""
+
+
 def op10_secret_scan(spark, sf_dir):
     from vitalgrain.llm import secret_scan
 
@@ -132,4 +166,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_warc": OP3_SQL, "op5_chat_formatting": OP5_SQL}
+    return {"op2_jaccard_join": OP2_SQL, "op3_warc": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op9_substring_dedup": OP9_SQL}
