@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from vitalgrain.functions import filters as L
 from vitalgrain.functions import scalars as S
 from vitalgrain.operators import analytics as A
-from vitalgrain.operators import governance, joins, limits, observe, quality, sinks, timeline
+from vitalgrain.operators import governance, joins, limits, observe, quality, runtime, sinks, timeline
 from vitalgrain.plans import pipeline, tools
+from vitalgrain.sources import fhir
 from vitalgrain.sources.entities import entity, entity_sql, read_table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -348,6 +349,26 @@ add("snk12_prometheus", lambda e: observe.prometheus(e.groupBy(F.col("event_type
 add("srt02_page_of_months", lambda c: A.conditions_by_month(c, 7), "SELECT year(onset_ts) AS year, month(onset_ts) AS month, COUNT(*) AS condition_count, COUNT(DISTINCT patient_id) AS patient_count, COUNT(DISTINCT condition_name) AS unique_conditions, COUNT(*) FILTER (status = 'active') AS active_count FROM conditions GROUP BY 1, 2 ORDER BY 1 DESC, 2 DESC LIMIT 7", ("conditions",))
 add("src06_scan_filter_project", lambda l: l.where("l_shipdate >= '1998-01-01' AND l_quantity > 40").select("l_orderkey", "l_linenumber", "l_partkey"), "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_quantity > 40", tables=("lineitem",))
 
+# ---- runtime ----
+add("prj01_include", lambda c: runtime.include(c, ["source_fhir_id", "status", "absent"]), "SELECT source_fhir_id, status FROM conditions", ("conditions",))
+add("prj01_exclude", lambda p: runtime.exclude(p, ["first_name", "last_name", "balance"]), "SELECT * EXCLUDE (first_name, last_name, balance) FROM patients", ("patients",))
+add("prj05_nested", lambda p: p.select("patient_id", F.struct("city", F.col("birth_date").alias("born")).alias("a")).transform(lambda d: d.select("patient_id", runtime.nested(d, "a.born", "none").alias("born"), runtime.nested(d, "a.zip", "none").alias("zip"))), "SELECT patient_id, coalesce(birth_date, 'none') AS born, 'none' AS zip FROM patients", ("patients",))
+add("flt18_list_checkpoints", lambda o: runtime.listed(_checkpoints(o), "start_time", "checkpoint_id", 50, status="failed", pipeline_stage="1-URGENT").select("checkpoint_id", "status"), CHECK + "SELECT checkpoint_id, status FROM c WHERE status = 'failed' AND pipeline_stage = '1-URGENT' ORDER BY o_orderdate DESC, checkpoint_id LIMIT 50", tables=("orders",))
+add("flt20_failures", lambda e: runtime.failures(e.select("event_id", F.when(F.col("event_type") == "error", "bad").alias("error_message"), F.struct(F.when(F.col("value") > 100, "slow").alias("error")).alias("tool_call"))).select("event_id", "error"), "SELECT event_id, CASE WHEN event_type = 'error' THEN 'bad' ELSE 'slow' END AS error FROM events WHERE event_type = 'error' OR value > 100", tables=("events",))
+add("flt21_by_id", lambda c: runtime.by_id(c.where("status = 'active'"), c, "source_fhir_id", "42").select("source_fhir_id", "patient_id"), "SELECT source_fhir_id, patient_id FROM conditions WHERE source_fhir_id = '42'", ("conditions",))
+add("hsh03_checkpoint_key", lambda c: c.select("source_fhir_id", runtime.checkpoint_key("patient_id", "condition_name", "status", "onset_date").alias("key")), "SELECT source_fhir_id, concat_ws('|', patient_id, condition_name, status, onset_date) AS key FROM conditions", ("conditions",))
+add("srt09_common_fields", lambda p: runtime.common_fields(p.select("patient_id", "birth_date", "gender"), 2), "SELECT * FROM (SELECT 'patient_id' AS field, COUNT(patient_id) AS filled FROM patients UNION ALL SELECT 'birth_date', COUNT(birth_date) FROM patients UNION ALL SELECT 'gender', COUNT(gender) FROM patients) ORDER BY 2 DESC, 1 LIMIT 2", ("patients",))
+add("dt06_expired", lambda e: e.where(runtime.expired(F.col("ts").cast("timestamp"), "2024-01-20 00:00:00", 90)).agg(F.count("*").alias("count")), "SELECT COUNT(*) AS count FROM events WHERE ts < TIMESTAMP '2024-01-19 22:30:00'", tables=("events",))
+add("stm06_bad_transitions", lambda e: runtime.bad_transitions(e.select(F.col("user_id").alias("checkpoint_id"), F.col("event_id").alias("at"), F.element_at(F.array(*map(F.lit, ("started", "in_progress", "completed", "failed"))), (F.col("event_id") % 4 + 1).cast("int")).alias("status"))).agg(F.count("*").alias("count")),
+    """SELECT COUNT(*) AS count FROM (SELECT ['started', 'in_progress', 'completed', 'failed'][event_id % 4 + 1] AS s, lag(['started', 'in_progress', 'completed', 'failed'][event_id % 4 + 1]) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events)
+    WHERE NOT coalesce((b IS NULL AND s = 'started') OR (b = 'started' AND s IN ('in_progress', 'failed')) OR (b = 'in_progress' AND s IN ('in_progress', 'completed', 'failed')) OR (b = 'failed' AND s = 'in_progress'), false)""", tables=("events",))
+add("agg30_enrichment_stats", lambda p: fhir.enrichment_stats(p, "patients", ["birth_date", "city"]), "SELECT 'patients' AS collection, 'birth_date' AS field, COUNT(birth_date) AS count, MIN(birth_date) AS sample FROM patients UNION ALL SELECT 'patients', 'city', COUNT(city), MIN(city) FROM patients", ("patients",))
+add("udf04_clinical_summary", lambda d: d.select("doc_id", F.sha2(fhir.clinical_summary(F.col("text")), 256).alias("summary")),
+    rf"SELECT doc_id, CASE WHEN length(c) < 20 THEN NULL ELSE sha256(c[1:500]) END AS summary FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^ \t\n\r\f]+', '', 'g'), '<[^>]+>', '', 'g'), '{SP}', ' ', 'g')) AS c FROM documents)", tables=("documents",))
+add("agg40_collection_counters", lambda o: observe.counters(_checkpoints(o), "pipeline_stage", "status", value="records_processed"), CHECK + "SELECT pipeline_stage, status, COUNT(*) AS events, CAST(SUM(p) AS BIGINT) AS total FROM c GROUP BY 1, 2", tables=("orders",))
+add("srt10_keep_last_fifty", lambda e: observe.last_n(e, "event_type", [F.desc("event_id")], 50).select("event_id"), "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 50", tables=("events",))
+add("agg23_metrics_summary", lambda e: e.agg(F.round(F.avg(F.when(F.col("event_type") != "error", 100.0).otherwise(0.0)), 2).alias("success_rate"), F.round(F.avg("value"), 4).alias("average_duration"), F.count("*").alias("operations")), "SELECT ROUND(AVG(CASE WHEN event_type <> 'error' THEN 100.0 ELSE 0.0 END), 2) AS success_rate, ROUND(AVG(value), 4) AS average_duration, COUNT(*) AS operations FROM events", tables=("events",))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
