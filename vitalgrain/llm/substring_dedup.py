@@ -26,6 +26,8 @@ rows; other columns stay, and of those a clash with an output column gives way t
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,7 +79,7 @@ class Chunk:
         self.sizes = np.array([len(w) for w in ordered], np.int64)
         self.ends = np.cumsum(self.sizes)
         total = int(self.sizes.sum())
-        flat = np.fromiter((words[w] for doc in ordered for w in doc), np.uint64, total)
+        flat = np.fromiter(map(words.__getitem__, chain.from_iterable(ordered)), np.uint64, total)
         prints = fingerprints(flat, window)
         doc = np.repeat(np.arange(len(ordered)), self.sizes)
         self.starts = np.flatnonzero(np.arange(len(prints)) + window <= self.ends[doc[: len(prints)]])
@@ -155,7 +157,7 @@ def repeated(leaves: np.ndarray, ids: np.ndarray, chunk: np.ndarray) -> np.ndarr
     return out
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = 20, out: str = "kept", group_size: int = 1_500_000, chunk_words: int = 2_000_000) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = 20, out: str = "kept", group_size: int = 1_500_000, chunk_words: int = 1_200_000) -> DataFrame:
     """Adds n_words, n_removed and ``out``, the kept words joined by one space."""
     import pyarrow as pa
     from pyspark.sql.types import StructType
@@ -215,8 +217,6 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int
     kept = StructType([*(docs.schema[c] for c in (key, *rest)), *new.fields])
 
     def apply(batches):
-        from itertools import chain
-
         words = WordHashes()
         first = next(batches, None)
         if first is None:
