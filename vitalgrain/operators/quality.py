@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrain.functions import scalars as S
@@ -129,9 +129,14 @@ def duplicate_groups(df: DataFrame, fields: list[str], key: str, limit: int | No
 
 
 def keep(df: DataFrame, fields: list[str], key: str, strategy: str = "first", at: str | None = None) -> DataFrame:
-    """One row per content: first or last by key, newest or oldest by time."""
-    order = {"first": [F.asc(key)], "last": [F.desc(key)], "newest": [F.desc_nulls_last(at or key), F.asc(key)], "oldest": [F.asc_nulls_last(at or key), F.asc(key)]}[strategy]
-    return hashed(df, fields).withColumn("_n", F.row_number().over(Window.partitionBy("content_hash").orderBy(*order))).where("_n = 1").drop("_n")
+    """One row per content: first or last by key, newest or oldest by time (missing times last, then by key).
+
+    An aggregate rather than a window, so that copies are reduced before they are shuffled.
+    """
+    micros = F.unix_micros(F.col(at).cast("timestamp")) if at else F.lit(0)
+    order = {"newest": F.struct(F.coalesce(-micros, F.lit(2**63 - 1)), F.col(key)), "oldest": F.struct(F.coalesce(micros, F.lit(2**63 - 1)), F.col(key))}.get(strategy, F.struct(F.col(key)))
+    pick = F.max_by if strategy == "last" else F.min_by
+    return hashed(df, fields).groupBy("content_hash").agg(pick(F.struct(*df.columns), order).alias("r")).select("r.*", "content_hash")
 
 
 def dedup_summary(df: DataFrame, fields: list[str]) -> DataFrame:

@@ -179,12 +179,24 @@ def project(df: DataFrame, spec: dict) -> DataFrame:
 # ---- stages ----
 def compile_pipeline(df: DataFrame, stages: list[dict], tables=None) -> DataFrame:
     """The plan of a pipeline over ``df``; ``tables`` finds the other side of a $lookup by name."""
-    for stage in build(stages):
-        (name, arg), = stage.items()
-        df = _STAGE[name](df, arg, tables)
+    todo = list(build(stages))
+    while todo:
+        (name, arg), = todo.pop(0).items()
+        if name == "$lookup" and todo and todo[0] in ({"$unwind": f"${arg['as']}"}, {"$unwind": {"path": f"${arg['as']}"}}):
+            todo.pop(0)
+            df = _join(df, arg, tables)
+        else:
+            df = _STAGE[name](df, arg, tables)
     return df
 
 
+def _join(df, arg, tables):
+    """A $lookup whose array is unwound at once: an inner join, without any array."""
+    other = tables(arg["from"])
+    side = other.select(F.col(arg["foreignField"]).alias("_key"), F.struct(*sorted(other.columns)).alias(arg["as"]))
+    return df.join(side, F.col(arg["localField"]) == F.col("_key")).drop("_key")
+
+
 def _group(df, arg, _):
     key = arg["_id"]
     aggs = [accumulator(v).alias(k) for k, v in arg.items() if k != "_id"]
