@@ -18,6 +18,7 @@ from vitalgrain.operators import governance, joins, limits, observe, quality, ru
 from vitalgrain.plans import pipeline, tools
 from vitalgrain.sources import fhir
 from vitalgrain.sources.entities import entity, entity_sql, read_table
+from vitalgrain.streaming import bounded, stateful
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -369,6 +370,23 @@ add("agg40_collection_counters", lambda o: observe.counters(_checkpoints(o), "pi
 add("srt10_keep_last_fifty", lambda e: observe.last_n(e, "event_type", [F.desc("event_id")], 50).select("event_id"), "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 50", tables=("events",))
 add("agg23_metrics_summary", lambda e: e.agg(F.round(F.avg(F.when(F.col("event_type") != "error", 100.0).otherwise(0.0)), 2).alias("success_rate"), F.round(F.avg("value"), 4).alias("average_duration"), F.count("*").alias("operations")), "SELECT ROUND(AVG(CASE WHEN event_type <> 'error' THEN 100.0 ELSE 0.0 END), 2) AS success_rate, ROUND(AVG(value), 4) AS average_duration, COUNT(*) AS operations FROM events", tables=("events",))
 
+# ---- streams, run over what is there ----
+
+
+def _stream(name: str, make: Callable[[DataFrame], DataFrame], sql: str | None = None, mode: str = "append") -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        schema = read_table(spark, sf_dir, "events").schema
+        return bounded.drain(make(stateful.file_stream(spark, f"{sf_dir}/events.parquet", schema)), mode)
+
+    _QUERIES[name] = run
+    if sql:
+        _SQL[name] = sql
+
+
+_stream("stm01_windowed_counts", lambda e: stateful.windowed_counts(e, "ts", "event_type", "1 day", "1 hour").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "count"), "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, COUNT(*) AS count FROM events GROUP BY 1, 2", "complete")
+_stream("stm02_rate_limit_stream", lambda e: stateful.rate_limit(e.select("user_id", "ts"), "user_id", "ts", 2, 7200.0))
+_stream("stm09_dedup_stream", lambda e: stateful.dedup(e.select("user_id", "event_type", "ts"), "ts", ["user_id", "event_type"], "60 days").select("user_id", "event_type"), "SELECT DISTINCT user_id, event_type FROM events")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
