@@ -197,9 +197,9 @@ class Chunk:
         places = Places()
         self.tokens = None
         if tokens:
-            parts = [split(t) if t else () for t in texts]
+            parts = [np.fromiter(map(places.__getitem__, split(t)), np.int32) if t else np.zeros(0, np.int32) for t in texts]
             self.sizes = np.array([len(p) for p in parts], np.int64)
-            self.tokens = np.fromiter((places[w] for p in parts for w in p), np.int32, int(self.sizes.sum()))
+            self.tokens = np.concatenate(parts)
         else:
             found: dict[str, None] = {}
             for t in texts:
@@ -227,7 +227,7 @@ def gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.nda
     return values[np.repeat(starts - ends + counts, counts) + np.arange(int(counts.sum()))]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", group_words: int = 500_000, chunk_words: int = 2_000_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", group_words: int = 500_000, chunk_words: int = 1_200_000) -> DataFrame:
     """Adds ``out``, the ids of ``text``, with ``out``_sha256, the digest of the ids as little-endian unsigned 32-bit integers."""
     import pyarrow as pa
     from pyspark.sql.types import StructType
