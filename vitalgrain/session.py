@@ -16,6 +16,7 @@ def get_session(master: str = "local[8]", partitions: int = 8, **conf: str) -> S
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "6g",
+        "spark.sql.maxMetadataStringLength": "2000",  # plans show their pushed filters in full
     } | conf
     spark = SparkSession.builder.master(master).appName("vitalgrain").config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
