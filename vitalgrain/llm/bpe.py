@@ -160,13 +160,14 @@ def group_of(words: list[bytes], groups: int) -> np.ndarray:
 def plain_pattern(pattern: str) -> str | None:
     """The pattern for Python's own engine, with letters, numbers and spaces written out; None if more than these is in it.
 
-    The ranges come from the engine that knows the classes, so both split alike, only faster.
+    The ranges come from the engine that knows the classes, so both split alike, only faster. They end
+    with the basic plane, as the engine has tables for that alone; texts beyond it take the other engine.
     """
     import re
 
     import regex
 
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
     inner = {}
     for name in (r"\p{L}", r"\p{N}", r"\s"):
         runs = (m[0] for m in regex.finditer(f"{name}+", every))
@@ -247,7 +248,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
 
         import regex
 
-        return re.compile(plain).findall if plain else regex.compile(pattern).findall
+        slow = regex.compile(pattern).findall
+        if not plain:
+            return slow
+        fast, beyond = re.compile(plain).findall, re.compile("[\U00010000-\U0010ffff]").search
+        return lambda t: fast(t) if t.isascii() or not beyond(t) else slow(t)
 
     def send(batches):
         split = splitter()
