@@ -6,12 +6,14 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from vitalgrain.plans import catalog  # noqa: E402
 from vitalgrain.session import get_session  # noqa: E402
+from vitalgrain.sources import fhir, synthetic  # noqa: E402
 
 HEADLINES = (
     "tool03_conditions_by_name", "agg02_conditions_by_demographics", "agg03_conditions_by_month", "agg06_financial_by_patient", "agg09_financial_by_month", "agg10_drug_classes_l2",
@@ -32,6 +34,17 @@ def main() -> None:
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - began)
         took[name] = round(statistics.median(runs[1:]), 4)
+    with tempfile.TemporaryDirectory() as at:  # bundles of 100 patients, scanned, transformed and written: twelve tables
+        synthetic.write_bundles(f"{at}/in")
+        runs = []
+        for i in range(3):
+            began = time.perf_counter()
+            resources = fhir.scan(spark, [f"{at}/in"])
+            resources.write.parquet(f"{at}/{i}/raw")
+            for name, df in fhir.transform(spark.read.parquet(f"{at}/{i}/raw")).items():
+                df.write.parquet(f"{at}/{i}/{name}")
+            runs.append(time.perf_counter() - began)
+        took["etl_100_patients"] = round(min(runs[1:]), 4)
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(took.values()), 4), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 

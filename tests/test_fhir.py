@@ -99,3 +99,15 @@ def test_drug_classes(spark):
     found = drug_classes.members(spark.createDataFrame([("A10BA", json.dumps(x)) for x in layouts], "atc_code string, body string"))
     assert {(r.rxcui, r.name) for r in found.collect()} == {("1", "Metformin"), ("3", "Other")}
     assert drug_classes.drugs(drug_classes.drug_rows(found, classes)).count() == 2
+
+
+def test_synthetic_bundles(spark, tmp_path):
+    from vitalgrain.sources import synthetic
+
+    n = synthetic.write_bundles(str(tmp_path), patients=3)
+    resources = fhir.scan(spark, [str(tmp_path)])
+    assert resources.count() == n
+    assert {t: df.count() for t, df in fhir.transform(resources).items()} == {
+        "patients": 3, "encounters": 24, "conditions": 15, "observations": 150, "medications": 30, "allergies": 6, "procedures": 12,
+        "immunizations": 24, "care_plans": 9, "diagnosticreports": 18, "claims": 12, "explanationofbenefits": 12,
+    }
