@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalgrain.llm.common import hash_sample, materialize, small_batches, work_dir
+from vitalgrain.llm.common import hash_sample, materialize, small_batches, tidied, work_dir
 
 
 @dataclass
@@ -138,7 +138,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", v
                 [batch["id"], batch["v"], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], ["id", "v", "codes", "norm"]
             )
 
-    indexed = materialize(rows.mapInArrow(index, "id long, v array<double>, codes binary, norm double"), f"{at}/index")
+    indexed = materialize(rows.mapInArrow(tidied(index), "id long, v array<double>, codes binary, norm double"), f"{at}/index")
     asked = materialize(
         usable(queries, key, vector, dim).select("*", F.xxhash64("id", "v").alias("h")), f"{at}/queries"
     )

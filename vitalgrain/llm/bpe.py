@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrain.llm.common import chunk_file, chunked, load_file, materialize, rereadable, save_file, small_batches, split_column, work_dir
+from vitalgrain.llm.common import chunk_file, chunked, load_file, materialize, rereadable, save_file, small_batches, split_column, tidied, work_dir
 
 SHIFT = 17  # ids are below 2**17
 MASK = 2**SHIFT - 1
@@ -261,7 +261,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
             for i in range(0, len(parts), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*parts[i : i + 64], strict=True), (pa.int32(), pa.string(), pa.binary()), strict=True)], ["g", "chunk", "words"])
 
-    sent = materialize(docs.select(split_column().alias("split"), F.col(text).alias("x")).mapInArrow(send, "g int, chunk string, words binary"), f"{at}/sent")
+    sent = materialize(docs.select(split_column().alias("split"), F.col(text).alias("x")).mapInArrow(tidied(send), "g int, chunk string, words binary"), f"{at}/sent")
 
     def unite(rows):
         words = sorted(set().union(*map(unpack_words, rows["words"].to_pylist())))
@@ -332,7 +332,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
                 ]
                 yield pa.RecordBatch.from_arrays(made, result.names)
 
-    return docs.select(split_column().alias("_split"), F.col(text).alias("_x"), *(f.name for f in rest)).mapInArrow(apply, result)
+    return docs.select(split_column().alias("_split"), F.col(text).alias("_x"), *(f.name for f in rest)).mapInArrow(tidied(apply), result)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -360,4 +360,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), made], result.names)
 
     small_batches(df.sparkSession, 500)
-    return df.mapInArrow(run, result)
+    return df.mapInArrow(tidied(run), result)

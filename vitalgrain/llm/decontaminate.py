@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrain.llm.common import small_batches
+from vitalgrain.llm.common import small_batches, tidied
 
 #: Units that count as a slot behind a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml l s sec min h hr hrs day days week weeks month months year years usd eur mph kmh w kw v a hz c f".split()
@@ -218,7 +218,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
                             out.append({"doc_id": ids[d], "hash": x, "template": template, "values": values})
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    hits = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("x")).mapInArrow(scan, "doc_id long, hash long, template string, values array<string>")
+    hits = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("x")).mapInArrow(tidied(scan), "doc_id long, hash long, template string, values array<string>")
     own = items.withColumnRenamed("values", "item_values")
     pair = F.array_distinct(F.arrays_zip(F.col("item_values").alias("a"), F.col("values").alias("b")))
     one_to_one = (F.size(pair) == F.size(F.array_distinct("item_values"))) & (F.size(pair) == F.size(F.array_distinct("values")))

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrain.llm.common import materialize, small_batches, work_dir
+from vitalgrain.llm.common import materialize, small_batches, tidied, work_dir
 from vitalgrain.llm.components import components
 
 VALUES, ROWS = 128, 4  # MinHash values; values per band
@@ -48,7 +48,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -201,7 +201,7 @@ def representatives(docs: DataFrame, text: str, key: str, at: str, size: int) ->
             )
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("x"))
-    signed = materialize(numbered.mapInArrow(make, "row long, id long, th long, digest binary, sig binary"), f"{at}/signed")
+    signed = materialize(numbered.mapInArrow(tidied(make), "row long, id long, th long, digest binary, sig binary"), f"{at}/signed")
     classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(
         F.min("row").alias("rid"), F.min("id").alias("first"), F.count("*").alias("copies"), F.min_by(F.struct("id", "th", "sig"), "row").alias("r")
     ).select("digest", "rid", "first", "copies", F.col("r.id").alias("rep_id"), F.col("r.th").alias("rep_th"), F.col("r.sig").alias("sig"))
@@ -227,7 +227,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5
                 [pa.array(np.repeat(batch["rid"].to_numpy(), VALUES // ROWS)), pa.array(np.concatenate(b) if b else np.zeros(0, np.int64))], ["rid", "band"]
             )
 
-    in_bands = classes.select("rid", "sig").mapInArrow(banded, "rid long, band long")
+    in_bands = classes.select("rid", "sig").mapInArrow(tidied(banded), "rid long, band long")
     full = in_bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     found = materialize(in_bands.join(full, "band"), f"{at}/buckets")
     spread = _blocks(found.join(classes.select("rid", "sig"), "rid"), "band", "n", block)
@@ -264,7 +264,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5
         texts.join(wanted, same_row)
         .select("rid", "label", "n", "copies", "x")
         .dropDuplicates(["rid"])
-        .mapInArrow(sets, "rid long, label long, n long, copies long, hashes binary, sig binary")
+        .mapInArrow(tidied(sets), "rid long, label long, n long, copies long, hashes binary, sig binary")
     )
 
     def verify(key_, batch_rows):

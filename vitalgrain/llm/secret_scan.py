@@ -120,7 +120,7 @@ class Field:
 class Words(dict):
     """Word -> index of its class; forgets words beyond a bound."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         self.kinds: dict[tuple, int] = {}
         self.most = most
 

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrain.llm.common import chunk_file, chunked, load_file, rereadable, save_file, small_batches, split_column, work_dir
+from vitalgrain.llm.common import chunk_file, chunked, load_file, rereadable, save_file, small_batches, split_column, tidied, work_dir
 
 LEAST_ID = -(2**63)
 
@@ -43,7 +43,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -208,7 +208,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int
         return pa.table({"chunk": pa.array([key_[0].as_py()]), "n": pa.array([len(all_flags)], pa.int64())})
 
     source = docs.select(split.alias("split"), F.col(key).cast("long").alias("id"), F.col(text).alias("x"))
-    sent = source.mapInArrow(send, "g int, chunk string, leaves binary")
+    sent = source.mapInArrow(tidied(send), "g int, chunk string, leaves binary")
     answers = sent.groupBy("g").applyInArrow(answer, "chunk string, g int, n long, total long, bits binary")
     answers.groupBy("chunk").applyInArrow(save, "chunk string, n long").write.parquet(f"{at}/saved")
 
@@ -243,4 +243,4 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int
                 yield pa.RecordBatch.from_arrays(made, kept.names)
 
     again = docs.select(split.alias("_split"), F.col(key).cast("long").alias("_id"), F.col(text).alias("_x"), *([key] + rest))
-    return again.mapInArrow(apply, kept)
+    return again.mapInArrow(tidied(apply), kept)

@@ -29,7 +29,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrain.llm.common import materialize, open_fs, remove, small_batches, work_dir
+from vitalgrain.llm.common import materialize, open_fs, remove, small_batches, tidied, work_dir
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -124,7 +124,7 @@ def write(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", ht
             close()
         yield pa.RecordBatch.from_pylist(done, schema)
 
-    attempts = materialize(ordered.mapInArrow(put, f"temp string, {MANIFEST}"), f"{out}/_attempts")
+    attempts = materialize(ordered.mapInArrow(tidied(put), f"temp string, {MANIFEST}"), f"{out}/_attempts")
 
     def commit(batches):
         fs, base = open_fs(out)
@@ -134,7 +134,7 @@ def write(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", ht
                     fs.move(f"{base}/{temp}", f"{base}/{name}")
             yield batch.select(["file", "records", "bytes"])
 
-    manifest = materialize(attempts.mapInArrow(commit, MANIFEST), f"{out}/manifest")
+    manifest = materialize(attempts.mapInArrow(tidied(commit), MANIFEST), f"{out}/manifest")
     remove(spark, f"{out}/_temporary")
     remove(spark, f"{out}/_attempts")
     return manifest
@@ -192,7 +192,7 @@ def read(spark: SparkSession, out: str, payloads: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.repartition(parts, "file").mapInArrow(get, kind)
+    return manifest.repartition(parts, "file").mapInArrow(tidied(get), kind)
 
 
 def archive(pages: DataFrame, **options) -> DataFrame:
