@@ -176,9 +176,14 @@ def chunk_file(name: str) -> str:
 
 
 def save_file(folder: str, name: str, data: bytes) -> None:
-    """Write under another name and rename, so that a file is whole or not there."""
+    """Write under another name and rename, so that a file is whole or not there.
+
+    A file that is there came from another try of the same task and holds the same bytes.
+    """
     fs, base = open_fs(folder)
     fs.create_dir(base, recursive=True)
+    if fs.get_file_info(f"{base}/{name}").type.name != "NotFound":
+        return
     temp = f"{base}/{name}.{uuid.uuid4().hex[:8]}"
     with fs.open_output_stream(temp, compression=None) as f:
         f.write(data)
