@@ -35,13 +35,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrain.llm.common import chunk_file, chunked, load_file, materialize, rereadable, save_file, small_batches, split_column, tidied, work_dir
+from vitalgrain.llm.common import chunk_file, chunked, load_file, materialize, rereadable, save_file, small_batches, split_column, tidied, tidy, work_dir
 
 SHIFT = 17  # ids are below 2**17
 MASK = 2**SHIFT - 1
 NONE = 2 ** (2 * SHIFT)  # states from here on don't merge
 LAST = 2**60  # the state of a last token, above its id
-EMPTY = 2**40  # a cell of the merge table without a pair
+EMPTY = -1  # a cell without a pair while the table is made
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -50,9 +50,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def merge_table(path: str) -> tuple[list[int], list[int]]:
-    """(offset of each left id's row, cells): cell offset[left] + right holds left << SHIFT | merged."""
+    """(offset of each left id's row, cells): cell offset[left] + right holds left << SHIFT | merged, or None."""
     ranks = load_ranks(path)
     rows: dict[int, list[tuple[int, int]]] = {}
     for token, rank in ranks.items():
@@ -72,7 +72,7 @@ def merge_table(path: str) -> tuple[list[int], list[int]]:
             at = int(rng.integers(room - size))
         cells[at + rights] = (left << SHIFT) | np.array([m for _, m in entries], np.int64)
         offsets[left] = at
-    return offsets.tolist(), cells.tolist()
+    return offsets.tolist(), [None if c == EMPTY else c for c in cells.tolist()]
 
 
 def literal(values: list, kind: str) -> Column:
@@ -115,7 +115,7 @@ class Tokenizer:
             best = F.shiftright(least, SHIFT)
 
             def at_place(at: Column) -> Column:  # from 1: tokens at and at + 1 become best
-                before = F.concat(F.slice(acc, F.lit(1), at - 2), F.array(pair(own(F.get(acc, at - 2)), best)))
+                before = F.concat(F.slice(acc, F.lit(1), at - 2), F.array(F.coalesce(pair(own(F.get(acc, at - 2)), best), own(F.get(acc, at - 2)) + LAST)))
                 now = F.array(F.coalesce(pair(best, own(F.get(acc, at + 1))), best + LAST))
                 behind = F.slice(acc, at + 2, F.size(acc))
                 return F.when(at > 1, F.concat(before, now, behind)).otherwise(F.concat(now, behind))
@@ -235,6 +235,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
 
     spark = docs.sparkSession
     small_batches(spark, 500)
+    tidy()  # the driver holds the tables and whatever earlier training left
     at = work_dir(spark, "bpe")
     docs = rereadable(docs, at)
     size = docs.select(F.sum(F.octet_length(text)).alias("n")).first().n or 0

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrain.llm.common import add_columns, hash_sample, held_out
+from vitalgrain.llm.common import add_columns, hash_sample, held_out, tidy
 
 LETTERS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 UPPER = LETTERS[26:]
@@ -161,7 +161,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     made = add_columns(rows, lambda: lambda ts: [[text_features(t) for t in ts]], "f array<double>", ["x"], ("x",)).toArrow()
     ids, x, y = np.array(made["k"].to_pylist()), np.array(made["f"].to_pylist()).reshape(-1, len(FEATURES)), np.array(made["y"].to_pylist())
     order = np.lexsort([*x.T, ids]) if len(ids) else []  # the same sums in any run
-    return fit(x[order], y[order]) if len(ids) else fit(x, y)
+    model = fit(x[order], y[order]) if len(ids) else fit(x, y)
+    tidy()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", drops: tuple[str, ...] = ()) -> DataFrame:

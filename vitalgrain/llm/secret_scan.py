@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrain.llm.common import add_columns, hash_sample
+from vitalgrain.llm.common import add_columns, hash_sample, tidy
 
 #: The base patterns; letters of the keywords match in either ASCII case.
 KINDS = ("assign", "access", "hex", "crf")
@@ -237,6 +237,8 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs:
             g = g + l2 * parts[name]
             m[:], v[:] = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             parts[name] -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    del rows, gold, e, fwd, bwd, pairs, p, d
+    tidy()
     n_words = word_x.shape[1]
     by_name = lambda w: {f: w[i].copy() for f, i in names.items() if i < len(w)}
     return Field(*(by_name(parts[p][:n_words]) for p in ("own", "left", "right")), by_name(parts["file"]), parts["moves"])
