@@ -54,6 +54,26 @@ def test_lm_is_normalised():
         assert abs(sum(p) - 1) < 1e-5
 
 
+def test_lm_learns_from_every_group(spark):
+    """A word pair of a few documents that the first group doesn't hold is learned all the same."""
+    rows = [(i, "lo mi " * 30 if i % 2 else "ka nu " * 30) for i in range(400)]
+    h = spark.createDataFrame(rows, "k long, x string").selectExpr("k", "xxhash64(k, x) AS h").collect()
+    first = {r.k for r in h if r.h % 8 == 0}
+    assert 0 < len(first) < 150
+    code = {"lo": 0, "mi": 1, "ka": 2, "nu": 3}
+    texts = lambda swap: [(r.h, np.array([code[w] for w in ("lo nu " * 30 if swap and r.k not in first else "lo mi " * 30).split()], "u2").tobytes()) for r in h]
+    counts = np.array([100.0, 100, 1, 100])
+
+    def follows(swap):
+        df = spark.createDataFrame(texts(swap), "h long, classes binary")
+        make = lambda d: lm_score.train_all(d, counts, "u2", 2, 50).log_probs(np.array([0, 3]), np.zeros(2, int))[1]
+        one, other = make(df.repartition(2)), make(df.repartition(5))
+        assert one == other  # however the rows lie
+        return one
+
+    assert follows(True) > follows(False) + 1
+
+
 def sets_of(text, size=5):
     w = (text or "").encode().split()
     n = min(size, len(w))

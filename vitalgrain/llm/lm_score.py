@@ -8,10 +8,14 @@ a linear map per place, summed, times the class vectors, plus a bias. It is trai
 noise drawn from the exact class counts; scoring normalises over all classes by batched matrix
 products, so class and word probabilities sum to one over known words and one unknown word per bucket.
 
+Training reads every training document. A first group of about ``sample_docs`` documents gives the
+starting weights; all others are dealt by a hash of id and text to groups of about that size, whose
+number grows with the input. Each group is streamed through a task of its own, from the weights so
+far, and the groups' weights are averaged by tokens after each of ``rounds`` rounds.
+
 Distribution: the most frequent words, at most ``head``, go to every task with their counts; other words of a text leave it as (word, times) and meet their counts in a shuffle join.
-No such word can be hot, as every hot word is in the head. The scored rows are written once to the
-shared folder, so that their row ids hold. Training takes texts from a bounded sample of documents
-(``sample_docs``, by a hash of the id); counts, sums and scores cover all.
+No such word can be hot, as every hot word is in the head. The rows are written once to the shared
+folder with their classes, so that their row ids hold and training and scoring split no text again.
 
 Defined results: a null text counts as empty, which is the end token alone; a null id is a training
 row; repeated rows are scored one by one; an empty table gives no rows; without training rows every
@@ -27,8 +31,9 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from vitalgrain.llm.common import hash_sample, held_out, materialize, small_batches, tidied, work_dir
+from vitalgrain.llm.common import held_out, materialize, small_batches, tidied, work_dir
 
 END = b""  # no word is empty
 LOG10 = float(np.log(10))
@@ -122,52 +127,139 @@ class Model:
         return out
 
 
-def train_model(texts: list[np.ndarray], counts: np.ndarray, context: int = 4, size: int = 24, epochs: int = 3, noise: int = 96, rate: float = 0.08, batch: int = 512) -> Model:
-    """Noise-contrastive estimation on texts of classes; ``counts`` gives the noise. Deterministic."""
+def new_state(counts: np.ndarray, context: int = 4, size: int = 24) -> list[np.ndarray]:
+    """Starting weights (context vectors, class vectors, biases, maps), then Adagrad's squares of each."""
     rng = np.random.default_rng(7)
     n = len(counts)
+    bias = np.log((counts + 0.5) / (counts.sum() + 0.5 * n))
+    params = [rng.normal(0, 0.1, (n + 1, size)), rng.normal(0, 0.1, (n, size)), bias, np.stack([np.eye(size) * 0.5] * context)]
+    return [x.astype(np.float32) for x in params] + [np.full(x.shape, 1e-4, np.float32) for x in params]
+
+
+def _summed(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by ``at``."""
+    return np.stack([np.bincount(at, column, n) for column in np.ascontiguousarray(values.T)], 1).astype(np.float32)
+
+
+def learn_texts(state: list[np.ndarray], texts: list[np.ndarray], counts: np.ndarray, rng, epochs: int = 1, noise: int = 96, rate: float = 0.08, batch: int = 512) -> None:
+    """Noise-contrastive estimation on texts of classes, changing ``state``; ``counts`` gives the noise."""
+    if not texts:
+        return
+    rows, out, bias, maps = params = state[:4]
+    squares, context, n = state[4:], len(maps), len(counts)
     q = (counts + 0.5) / (counts.sum() + 0.5 * n)
-    log_q = np.log(q)
-    rows = rng.normal(0, 0.1, (n + 1, size))
-    maps = [np.eye(size) * 0.5 for _ in range(context)]
-    out, bias = rng.normal(0, 0.1, (n, size)), log_q.copy()
-    params = [rows, out, bias, *maps]
-    squares = [np.full_like(p, 1e-4) for p in params]
-    if texts:
-        places, target = [], []
-        for t in texts:
-            padded = np.concatenate([np.full(context, n), t])
-            places.append(np.stack([padded[context - k : len(padded) - k] for k in range(1, context + 1)], 1))
-            target.append(t)
-        places_all, target_all = np.concatenate(places), np.concatenate(target)
-        k = 12  # noise draws per token that the shared ones stand for
-        for _ in range(epochs):
-            order = rng.permutation(len(target_all))
-            for a in range(0, len(order), batch):
-                pick = order[a : a + batch]
-                h, y = places_all[pick], target_all[pick]
-                drawn = rng.choice(n, noise, p=q)
-                inputs = [rows[h[:, i]] for i in range(context)]
-                v = sum(x @ m for x, m in zip(inputs, maps, strict=True))
-                own = (v * out[y]).sum(1) + bias[y]
-                other = v @ out[drawn].T + bias[drawn]
-                d_own = 1 / (1 + np.exp(-(own - log_q[y] - np.log(k)))) - 1
-                d_other = (1 / (1 + np.exp(-(other - log_q[drawn] - np.log(k))))) * (k / noise)
-                dv = d_own[:, None] * out[y] + d_other @ out[drawn]
-                g_out, g_bias, g_rows = np.zeros_like(out), np.zeros_like(bias), np.zeros_like(rows)
-                np.add.at(g_out, y, d_own[:, None] * v)
-                np.add.at(g_out, drawn, d_other.T @ v)
-                np.add.at(g_bias, y, d_own)
-                np.add.at(g_bias, drawn, d_other.sum(0))
-                g_maps = []
-                for i in range(context):
-                    np.add.at(g_rows, h[:, i], dv @ maps[i].T)
-                    g_maps.append(inputs[i].T @ dv)
-                for p, s, g in zip(params, squares, [g_rows, g_out, g_bias, *g_maps], strict=True):  # Adagrad
-                    g /= len(pick)
-                    s += g * g
-                    p -= rate * g / np.sqrt(s)
-    return Model([(rows @ m).astype(np.float32) for m in maps], out.astype(np.float32), bias.astype(np.float32))
+    steps = np.cumsum(q)
+    log_qk = (np.log(q) + np.log(12)).astype(np.float32)  # noise draws per token that the shared ones stand for
+    joined = np.concatenate([np.concatenate([np.full(context, n), t]) for t in texts])
+    own_at = np.ones(len(joined), bool)
+    begins = np.cumsum([0] + [len(t) + context for t in texts[:-1]])
+    own_at[(begins[:, None] + np.arange(context)).ravel()] = False
+    places = np.flatnonzero(own_at)
+    for _ in range(epochs):
+        order = rng.permutation(places)
+        for a in range(0, len(order), batch):
+            pick = order[a : a + batch]
+            y, h = joined[pick], [joined[pick - k] for k in range(1, context + 1)]
+            drawn = np.minimum(np.searchsorted(steps, rng.random(noise)), n - 1)
+            v = sum((rows @ m)[i] for m, i in zip(maps, h, strict=True))
+            drawn_out, own_out = out[drawn], out[y]
+            own = np.einsum("ij,ij->i", v, own_out) + bias[y] - log_qk[y]
+            other = v @ drawn_out.T
+            other += bias[drawn] - log_qk[drawn]
+            d_own = -1 / (1 + np.exp(np.minimum(own, 80)))
+            np.negative(other, out=other)
+            np.minimum(other, 80, out=other)
+            np.exp(other, out=other)
+            other += 1
+            d_other = np.divide(np.float32(12 / noise), other, out=other)
+            dv = d_own[:, None] * own_out
+            dv += d_other @ drawn_out
+            g_out, g_bias = _summed(y, d_own[:, None] * v, n), np.bincount(y, d_own, n).astype(np.float32)
+            np.add.at(g_out, drawn, d_other.T @ v)
+            np.add.at(g_bias, drawn, d_other.sum(0))
+            by_class = [_summed(i, dv, n + 1) for i in h]  # gradients of the projected vectors
+            g_rows = sum(g @ m.T for g, m in zip(by_class, maps, strict=True))
+            g_maps = np.stack([rows.T @ g for g in by_class])
+            for p, s, g in zip(params, squares, [g_rows, g_out, g_bias, g_maps], strict=True):  # Adagrad
+                g /= len(pick)
+                s += g * g
+                p -= rate * g / np.sqrt(s)
+
+
+def model_of(state: list[np.ndarray]) -> Model:
+    rows, out, bias, maps = state[:4]
+    return Model([rows @ m for m in maps], out, bias)
+
+
+def train_model(texts: list[np.ndarray], counts: np.ndarray, context: int = 4, size: int = 24, epochs: int = 3) -> Model:
+    """A model of the given texts. Deterministic."""
+    state = new_state(counts, context, size)
+    learn_texts(state, texts, counts, np.random.default_rng(7), epochs)
+    return model_of(state)
+
+
+def train_all(texts: DataFrame, counts: np.ndarray, kind: str, context: int, group_docs: int, rounds: int = 4, epochs: int = 3) -> Model:
+    """A model of all rows (h, classes): ``h`` hashes the row, ``classes`` are its classes as bytes of type ``kind``.
+
+    Groups and their order follow from the rows, not from how they lie in partitions.
+    """
+    import pyarrow as pa
+
+    state = new_state(counts, context)
+    n_rows = texts.count()
+    every = max(1, -(-n_rows // group_docs))
+    weights = "part int, tokens double, state binary"
+    schema = pa.schema([("part", pa.int32()), ("tokens", pa.float64()), ("state", pa.binary())])
+
+    def pack(xs) -> bytes:
+        return b"".join(x.tobytes() for x in xs)
+
+    def unpack(b: bytes) -> list[np.ndarray]:
+        ends = np.cumsum([x.size for x in state])
+        return [x.reshape(y.shape).copy() for x, y in zip(np.split(np.frombuffer(b, np.float32), ends[:-1]), state, strict=True)]
+
+    def rounds_of(part: DataFrame, groups: int, passes: int):
+        start = pack(state)
+
+        def one(batches):
+            from pyspark import TaskContext
+
+            at = TaskContext.get().partitionId()
+            own, rng, tokens = unpack(start), np.random.default_rng(at), 0
+            held, size = [], 0
+            for batch in batches:
+                for x in batch["classes"].to_pylist():
+                    held.append(np.frombuffer(x, kind).astype(np.int64))
+                    size += len(held[-1])
+                    if size > 500_000:
+                        learn_texts(own, held, counts, rng, passes)
+                        held, size, tokens = [], 0, tokens + size
+            learn_texts(own, held, counts, rng, passes)
+            if tokens + size:
+                yield pa.RecordBatch.from_pylist([{"part": at, "tokens": float(tokens + size), "state": pack(own)}], schema)
+
+        def mean(table):
+            rows = sorted(table.select(["part", "tokens", "state"]).to_pylist(), key=lambda r: r["part"])
+            total = sum(r["tokens"] for r in rows)
+            out = sum(np.frombuffer(r["state"], np.float32) * (r["tokens"] / total) for r in rows)
+            return pa.Table.from_pylist([{"part": rows[0]["part"], "tokens": total, "state": out.astype(np.float32).tobytes()}], schema)
+
+        made = part.repartition(groups, "h").sortWithinPartitions("h", "classes").select("classes").mapInArrow(tidied(one), weights)
+        # at most 16 sets of weights reach the driver
+        few = made.groupBy(F.pmod("part", F.lit(16))).applyInArrow(mean, weights).toArrow() if groups > 16 else made.toArrow()
+        if few.num_rows:
+            state[:] = unpack(mean(few)["state"][0].as_py())
+
+    if not n_rows:
+        return model_of(state)
+    first = F.pmod("h", F.lit(every)) == 0
+    rounds_of(texts.where(first), 1, epochs)
+    if every > 1:
+        rounds = min(rounds, every - 1)
+        turn = F.pmod(F.xxhash64("h"), F.lit(rounds))
+        for r in range(rounds):
+            rounds_of(texts.where(~first & (turn == r)), max(1, -(-(every - 1) // rounds)), 1)
+    return model_of(state)
 
 
 class Index(dict):
@@ -200,97 +292,83 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", modulus: int
     class_counts = np.concatenate([head_n[:own], sums[:, 0]]).astype(float)
     bucket_log = np.log10(sums.sum(1) + 1)
 
-    def classes_of(words: list[bytes], index: Index) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-        found = head_class[ids] if len(head_class) else np.zeros(len(ids), np.int64)
-        for i in np.flatnonzero(ids < 0).tolist():
-            found[i] = own + bucket_of(words[i], buckets)
-        return ids, found
-
-    index = Index(zip(vocabulary, range(len(vocabulary)), strict=True))
-    sample = sorted(t or "" for t in hash_sample(learn.select("k", "x"), "k", sample_docs).select("x").toArrow()["x"].to_pylist())
-    model = train_model([classes_of(words_of(t), index)[1] for t in sample], class_counts, context)
-    shared = spark.sparkContext.broadcast((vocabulary, head_n, head_class, bucket_log, model))  # bounded by head and classes
-    del index, sample
+    shared = spark.sparkContext.broadcast((vocabulary, head_n, head_class, bucket_log))  # bounded by head
+    code = "u2" if own + buckets < 1 << 16 else "i4"
 
     tail_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
-    schema = pa.schema([("row", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("model", pa.float64()), ("tail", tail_type)])
+    schema = pa.schema(
+        [("row", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("inner", pa.float64()), ("classes", pa.binary()), ("tail", tail_type)]
+    )
 
     def run(batches):
-        vocabulary, head_n, head_class, bucket_log, model = shared.value
+        vocabulary, head_n, head_class, bucket_log = shared.value
         index = Index(zip(vocabulary, range(len(vocabulary)), strict=True))
-        head_log = np.log10(head_n + 1.0)
-
-        def flush(done, ids, found):
-            """Model scores of the gathered texts, text by text."""
-            ends = np.cumsum([len(x) for x in found])
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            c, i = np.concatenate(found), np.concatenate(ids)
-            p = model.log_probs(c, np.repeat(starts, np.diff(np.concatenate([[0], ends])))) / LOG10
-            inside = c >= own
-            p[inside] -= bucket_log[c[inside] - own]
-            known = i >= 0
-            logs = np.zeros(len(i))
-            logs[known] = head_log[i[known]]
-            p[inside] += logs[inside]  # words beyond the head add their count after the join
-            sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), logs, p)]
-            for d, k, s, m in zip(done, *sums, strict=True):
-                d["known"], d["logs"], d["model"] = int(k), float(s), float(m)
-            return pa.RecordBatch.from_pylist(done, schema)
-
-        done, ids, found, gathered = [], [], [], 0
+        # the last entries stand for words beyond the head
+        head_log = np.append(np.log10(head_n + 1.0), 0.0)
+        class_of = np.append(head_class, 0)
+        class_log = np.concatenate([np.zeros(own), bucket_log])
         for batch in batches:
+            done = []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text)
-                i, c = classes_of_task(words, index, head_class)
-                tail = Counter(words[j] for j in np.flatnonzero(i < 0).tolist())
-                done.append({"row": row, "n_tokens": len(words), "tail": [{"word": w, "times": n} for w, n in tail.items()]})
-                ids.append(i)
-                found.append(c)
-                gathered += len(words)
-                if gathered > 60_000:
-                    yield flush(done, ids, found)
-                    done, ids, found, gathered = [], [], [], 0
-        if done:
-            yield flush(done, ids, found)
-
-    def classes_of_task(words, index, head_class):
-        ids = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-        found = head_class[ids] if len(head_class) else np.zeros(len(ids), np.int64)
-        for i in np.flatnonzero(ids < 0).tolist():
-            found[i] = own + bucket_of(words[i], buckets)
-        return ids, found
-
-    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "k", "held_out", "x")
-    kind = "row long, n_tokens long, known long, logs double, model double, tail array<struct<word:binary,times:int>>"
+                ids = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+                found, logs = class_of[ids], head_log[ids]
+                rare = np.flatnonzero(ids < 0).tolist()
+                for i in rare:
+                    found[i] = own + bucket_of(words[i], buckets)
+                tail = Counter(words[i] for i in rare)
+                # a word's share of its class; words beyond the head add their count after the join
+                inner = float(logs[found >= own].sum() - class_log[found].sum())
+                done.append({
+                    "row": row, "n_tokens": len(words), "known": len(words) - len(rare), "logs": float(logs.sum()), "inner": inner,
+                    "classes": found.astype(code).tobytes(), "tail": [{"word": w, "times": n} for w, n in tail.items()],
+                })
+            yield pa.RecordBatch.from_pylist(done, schema)
+
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "k", "held_out", F.xxhash64("k", "x").alias("h"), "x")
+    kind = "row long, n_tokens long, known long, logs double, inner double, classes binary, tail array<struct<word:binary,times:int>>"
     # ids and flags pass beside the text, so that one scan makes everything
-    scored = materialize(_beside(numbered, run, kind), f"{at}/scored")
+    coded = materialize(_beside(numbered, run, kind), f"{at}/coded")
+    model = train_all(coded.where(~F.col("held_out")).select("h", "classes"), class_counts, code, context, sample_docs)
+
+    def scores(batches):
+        for batch in batches:
+            values = []
+            for a in range(0, batch.num_rows, 64):
+                found = [np.frombuffer(x, code).astype(np.int64) for x in batch["classes"][a : a + 64].to_pylist()]
+                sizes = np.array([len(x) for x in found])
+                starts = np.cumsum(sizes) - sizes
+                p = model.log_probs(np.concatenate(found), np.repeat(starts, sizes))
+                values += (np.add.reduceat(p, starts) / LOG10).tolist()  # no text is without its end token
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(values, pa.float64())], [*rest, "model"])
+
+    plain = coded.drop("h", "tail")
+    rest = [c for c in plain.columns if c != "classes"]
+    scored = plain.mapInArrow(tidied(scores), StructType([*plain.select(*rest).schema.fields, StructField("model", DoubleType())]))
     tail = (
-        scored.select("row", F.explode("tail").alias("t"))
+        coded.select("row", F.explode("tail").alias("t"))
         .select("row", "t.word", "t.times")
         .join(counts, "word", "left")
         .groupBy("row")
         .agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).cast("long").alias("tail_known"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("tail_logs"))
     )
     n_all, scale = int(total.n), float(np.log10(total.n + total.v + 1))
-    return scored.drop("tail").join(tail, "row", "left").select(
+    return scored.join(tail, "row", "left").select(
         F.col("k").alias("doc_id"),
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("tail_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(scale)).alias("base_score"),
-        (F.col("model") + F.coalesce("tail_logs", F.lit(0.0))).alias("score"),
+        (F.col("model") + F.col("inner") + F.coalesce("tail_logs", F.lit(0.0))).alias("score"),
     )
 
 
 def _beside(numbered: DataFrame, run, kind: str) -> DataFrame:
-    """Run over (row, x) and give the columns k and held_out back to the results, in one pass and in order."""
+    """Run over (row, x) and give the columns k, held_out and h back to the results, in one pass and in order."""
     import pyarrow as pa
-    from pyspark.sql.types import StructType
-
     made = StructType.fromDDL(kind)
-    schema = StructType([*numbered.select("k", "held_out").schema.fields, *made.fields])
+    schema = StructType([*numbered.select("k", "held_out", "h").schema.fields, *made.fields])
 
     def both(batches):
         waiting: list[pa.RecordBatch] = []
@@ -298,7 +376,7 @@ def _beside(numbered: DataFrame, run, kind: str) -> DataFrame:
 
         def feed():
             for batch in batches:
-                waiting.append(batch.select(["k", "held_out"]))
+                waiting.append(batch.select(["k", "held_out", "h"]))
                 yield batch.select(["row", "x"])
 
         for out in run(feed()):
