@@ -200,6 +200,24 @@ def test_decontamination(spark):
     assert decontaminate.find(empty(spark), items).count() == 0 and decontaminate.find(frame(spark, rows), items.limit(0)).count() == 0
 
 
+def found_items(spark, items, texts):
+    df = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontaminate.contaminated(decontaminate.find(frame(spark, enumerate(texts)), df)).collect()}
+
+
+def test_decontamination_of_slots_and_short_items(spark):
+    items = ["Compute 12 + 7 - 3 + 4", "Paris, London, Rome, Berlin, 7, 9", "Define entropy."]
+    texts = ["so Compute 12 + 7 - 3 + 4 va", "we saw paris, london, rome, berlin, 7, 9 there", "now define entropy please", "Compute 13 + 7 - 3 + 4", "define it"]
+    assert found_items(spark, items, texts) == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_decontamination_does_not_hang_on_what_stands_before(spark):
+    item = "Alice has 5 apples and eats 2 today."
+    texts = ["Robert has 7 apples and eats 3 today.", "y coas Eaea ndorea\n" + item, "so " + item.lower(), "then Alice has 5 pears and eats 2 today"]
+    assert found_items(spark, [item], texts) == {(0, 0), (1, 0), (2, 0)}
+    assert found_items(spark, ["the slow train goes 60km before noon"], ["the slow train goes 75km before noon", "the slow train goes 75 km before noon"]) == {(0, 0), (1, 0)}
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(600, 16)).astype(np.float32)

@@ -20,6 +20,7 @@ columns are ignored; empty tables give no rows.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -32,8 +33,11 @@ from vitalgrain.llm.common import small_batches, tidied
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml l s sec min h hr hrs day days week weeks month months year years usd eur mph kmh w kw v a hz c f".split()
 PLAIN, NUMBER, NAME, UNIT = range(4)
 MARKS = ("", "<number>", "<name>", "<unit>")
+RAW = 2  # the form of a window that has its tokens as they are
 ODD = 0x9E3779B97F4A7C15  # multiplier of the word hash; odd, so it has an inverse
 
+_UNIT_SET = frozenset(UNITS)
+_GLUED = re.compile(rb"[^0-9a-z\x80-\xff]*[0-9][0-9.,]*([a-z]+)[^0-9a-z\x80-\xff]*")
 _CODES = np.arange(256)
 _SPACE = np.isin(_CODES, [9, 10, 11, 12, 13, 32])
 _DIGIT = (_CODES >= 48) & (_CODES <= 57)
@@ -83,8 +87,11 @@ class Tokens:
         first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         self.buffer, self.low = buf, low
         if not len(first):
-            self.hashes, self.kinds, self.docs, self.spans = np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+            self.raw, self.docs, self.spans = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+            self.kinds = self.open_kinds = np.zeros(0, np.int8)
+            self.hashes = self.open_hashes = self.raw
             return
+        first, last = self._split_units(first, last, kept)
         count = np.concatenate([[0], np.cumsum(kept)])
         before, size = count[first], count[last] - count[first]
         room = 1 << int(len(buf) + 1).bit_length()
@@ -100,29 +107,50 @@ class Tokens:
         start = np.ones(len(first), bool)
         start[1:] = _ENDS[buf[last[:-1] - 1]] | (docs[1:] != docs[:-1])
         number = (size > 0) & (digits == size)
-        name = upper[letters[before]] & ~start & (size > 1) & (smalls > 0) & ~number
+        capital = upper[letters[before]] & (size > 1) & (smalls > 0) & ~number
         there = size > 0
-        kinds = np.where(number, NUMBER, np.where(name, NAME, PLAIN)).astype(np.int8)[there]
         self.docs, self.spans = docs[there], np.stack([first[there], last[there]], 1)
-        hashes = hashes[there]
-        after = np.flatnonzero((kinds[:-1] == NUMBER) & (self.docs[1:] == self.docs[:-1])) + 1
-        if len(after):
-            kinds[after[np.isin(hashes[after], _unit_hashes()) & (kinds[after] == PLAIN)]] = UNIT
-        self.kinds = kinds
-        self.hashes = np.where(kinds == PLAIN, hashes, _mark_hashes()[kinds])
-
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(place, hash) of each run of ``size`` tokens of one text that isn't made of slots for the most part."""
-        n = len(self.hashes) - size + 1
+        self.raw = hashes[there]
+        made = []
+        for name in (capital & ~start, capital):
+            kinds = np.where(number, NUMBER, np.where(name, NAME, PLAIN)).astype(np.int8)[there]
+            after = np.flatnonzero((kinds[:-1] == NUMBER) & (self.docs[1:] == self.docs[:-1])) + 1
+            if len(after):
+                kinds[after[np.isin(self.raw[after], _unit_hashes()) & (kinds[after] == PLAIN)]] = UNIT
+            made += [kinds, np.where(kinds == PLAIN, self.raw, _mark_hashes()[kinds])]
+        self.kinds, self.hashes, self.open_kinds, self.open_hashes = made
+
+    def _split_units(self, first: np.ndarray, last: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' edges, with a number and the unit glued to it as two words."""
+        digit = _DIGIT[self.buffer]
+        turns = np.flatnonzero(digit[:-1] & kept[1:] & ~digit[1:]) + 1
+        word = np.searchsorted(first, turns, "right") - 1
+        ends, cuts = last[word], []
+        for t, a, b in zip(turns.tolist(), first[word].tolist(), ends.tolist(), strict=True):
+            if b - t < 12 and t - a < 40 and (m := _GLUED.fullmatch(self.low[a:b].tobytes())) and m.start(1) + a == t and m[1].decode() in _UNIT_SET:
+                cuts.append(t)
+        if not cuts:
+            return first, last
+        return np.sort(np.concatenate([first, cuts])), np.sort(np.concatenate([last, cuts]))
+
+    def windows(self, size: int, form: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(place, hash) of each run of ``size`` tokens of one text.
+
+        Forms: 0 template, 1 template in which capitalised words are names wherever they stand, both
+        without runs made of slots for the most part; 2 the tokens themselves.
+        """
+        tokens = (self.hashes, self.open_hashes, self.raw)[form]
+        kinds = (self.kinds, self.open_kinds, np.zeros(len(self.kinds), np.int8))[form]
+        n = len(tokens) - size + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        out = np.full(n, size, np.uint64)
+        out = np.full(n, size + (form == RAW) * 1000, np.uint64)
         up = _powers(64)[0]
         with np.errstate(over="ignore"):
             for k in range(size):
-                out += self.hashes[k : k + n] * up[k + 1]
+                out += tokens[k : k + n] * up[k + 1]
             out = _mix(out)
-        slots = np.concatenate([[0], np.cumsum(self.kinds != PLAIN)])
+        slots = np.concatenate([[0], np.cumsum(kinds != PLAIN)])
         at = np.flatnonzero((self.docs[:n] == self.docs[size - 1 :]) & ((slots[size:] - slots[:-size]) * 2 < size))
         return at, out[at].astype(np.int64)
 
@@ -130,9 +158,12 @@ class Tokens:
         a, b = self.spans[i].tolist()
         return self.low[a:b][_KEPT[self.buffer[a:b]]].tobytes().decode("utf-8", "replace")
 
-    def template(self, at: int, size: int) -> tuple[str, list[str]]:
+    def template(self, at: int, size: int, form: int = 0) -> tuple[str, list[str]]:
         """The window's template and the values of its slots."""
-        words, kinds = [self.word(i) for i in range(at, at + size)], self.kinds[at : at + size].tolist()
+        words = [self.word(i) for i in range(at, at + size)]
+        if form == RAW:
+            return "= " + " ".join(words), []
+        kinds = (self.kinds, self.open_kinds)[form][at : at + size].tolist()
         return " ".join(MARKS[k] or w for w, k in zip(words, kinds, strict=True)), [w for w, k in zip(words, kinds, strict=True) if k]
 
 
@@ -164,26 +195,34 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
 
     spark = docs.sparkSession
     small_batches(spark)
-    kind = "hash long, size int, template string, values array<string>"
+    kind = "hash long, size int, template string, values array<string>, part long"
+
+    def forms(size):
+        return (0, 1, RAW) if size >= least else (RAW,)
 
     def explode_items(batches):
-        schema = pa.schema([("item_id", pa.int64()), ("hash", pa.int64()), ("size", pa.int32()), ("template", pa.string()), ("values", pa.list_(pa.string()))])
+        schema = pa.schema([("item_id", pa.int64()), ("hash", pa.int64()), ("size", pa.int32()), ("template", pa.string()), ("values", pa.list_(pa.string())), ("part", pa.int64())])
         for batch in batches:
             rows = []
             for k, t in zip(batch["k"].to_pylist(), batch["x"].to_pylist(), strict=True):
                 toks = Tokens([t])
-                if len(toks.hashes) < least:
-                    continue
                 size = min(window, len(toks.hashes))
-                for i, h in zip(*(x.tolist() for x in toks.windows(size)), strict=True):
-                    template, values = toks.template(i, size)
-                    rows.append({"item_id": k, "hash": h, "size": size, "template": template, "values": values})
+                if not size:
+                    continue
+                # a window's part in the item: its template, or its tokens where the template says too little
+                parts = dict(zip(*(x.tolist() for x in toks.windows(size, RAW)), strict=True))
+                if size >= least:
+                    parts |= dict(zip(*(x.tolist() for x in toks.windows(size)), strict=True))
+                for form in forms(size):
+                    for i, h in zip(*(x.tolist() for x in toks.windows(size, form)), strict=True):
+                        template, values = toks.template(i, size, form)
+                        rows.append({"item_id": k, "hash": h, "size": size, "template": template, "values": values, "part": parts[i]})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     items = (
         benchmark.select(F.col(item_key).cast("long").alias("k"), F.col(item_text).alias("x"))
         .mapInArrow(explode_items, f"item_id long, {kind}")
-        .dropDuplicates(["item_id", "hash", "template", "values"])
+        .dropDuplicates(["item_id", "hash", "template", "values", "part"])
         .cache()
     )
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most window values
@@ -203,31 +242,32 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
             for ids, texts in batches_of(batch["k"].to_pylist(), batch["x"].to_pylist()):
                 toks, out = Tokens(texts), []
                 for size in sizes:
-                    at, h = toks.windows(size)
-                    if bits is not None:
-                        some = np.flatnonzero(bits[h & low_bits])
-                        some = some[np.isin(h[some], known)]
-                        at, h = at[some], h[some]
                     seen = set()
-                    for i, x, d in zip(at.tolist(), h.tolist(), toks.docs[at].tolist(), strict=True):
-                        if ids[d] is None:
-                            continue
-                        template, values = toks.template(i, size)
-                        if (d, template, tuple(values)) not in seen:
-                            seen.add((d, template, tuple(values)))
-                            out.append({"doc_id": ids[d], "hash": x, "template": template, "values": values})
+                    for form in forms(size):
+                        at, h = toks.windows(size, form)
+                        if bits is not None:
+                            some = np.flatnonzero(bits[h & low_bits])
+                            some = some[np.isin(h[some], known)]
+                            at, h = at[some], h[some]
+                        for i, x, d in zip(at.tolist(), h.tolist(), toks.docs[at].tolist(), strict=True):
+                            if ids[d] is None:
+                                continue
+                            template, values = toks.template(i, size, form)
+                            if (d, template, tuple(values)) not in seen:
+                                seen.add((d, template, tuple(values)))
+                                out.append({"doc_id": ids[d], "hash": x, "template": template, "values": values})
                 yield pa.RecordBatch.from_pylist(out, schema)
 
     hits = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("x")).mapInArrow(tidied(scan), "doc_id long, hash long, template string, values array<string>")
     own = items.withColumnRenamed("values", "item_values")
     pair = F.array_distinct(F.arrays_zip(F.col("item_values").alias("a"), F.col("values").alias("b")))
     one_to_one = (F.size(pair) == F.size(F.array_distinct("item_values"))) & (F.size(pair) == F.size(F.array_distinct("values")))
-    totals = items.groupBy("item_id").agg(F.count_distinct("hash").alias("item_windows"))
+    totals = items.groupBy("item_id").agg(F.count_distinct("part").alias("item_windows"))
     return (
         hits.join(own, ["hash", "template"])
         .where((F.size("values") == 0) | one_to_one)
         .groupBy("doc_id", "item_id")
-        .agg(F.count_distinct("hash").alias("n_windows"))
+        .agg(F.count_distinct("part").alias("n_windows"))
         .join(totals, "item_id")
         .select("doc_id", "item_id", "n_windows", "item_windows")
     )
