@@ -9,8 +9,11 @@ Viterbi runs only where it can matter: where the margin of "outside" exceeds wha
 transitions could gain, the best path is outside there whatever its neighbours are, so the chain
 falls into short segments that are decoded exactly.
 
-The field is trained in numpy on windows of words labelled by the patterns. The windows come from a
-bounded sample of documents (``sample_docs``), chosen by a hash of the id; scanning covers all rows.
+The field is trained in numpy on windows of words. The patterns label some; in copies of those the
+keyword is masked and the value changed, and in others secrets are planted that no pattern knows: keys
+without a keyword, passwords with symbols, key blocks over several words or lines. A word that looks
+like a secret but matches no pattern is neither label, so windows end before it. The windows come from
+a bounded sample of documents (``sample_docs``), chosen by a hash of the id; scanning covers all rows.
 
 Defined results: a null text counts as empty and has no spans; spans count code points, end
 exclusive; spans of the field that touch a pattern's span are dropped, the pattern's stays; repeated
@@ -19,7 +22,9 @@ rows are scanned alike; an empty table gives no rows, and a field without traini
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 from math import log2
@@ -45,6 +50,7 @@ HEX = re.compile("[0-9a-f]{24,}")
 HINTS = ("passw", "secret", "token", "api")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VALUE = re.compile(r"[A-Za-z0-9+/_=.-]{8,}")
+QUOTES = "\"'`()[]{}<>"
 WINDOW = 10  # words to either side of a training centre
 
 
@@ -145,36 +151,98 @@ def _labels(text: str, words: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
-def _windows(make_texts):
-    """Training windows of one batch of texts: bytes of the words, labels, file class."""
+def _doubtful(word: str) -> bool:
+    """Whether an unmatched word looks like a secret, so that it can't stand for plain text."""
+    return any(
+        any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and -sum(n / len(v) * log2(n / len(v)) for n in Counter(v).values()) >= 3
+        for v in VALUE.findall(word)
+        if "@" not in word and "://" not in word
+    )
 
-    def run(texts):
-        out = []
-        for text in texts:
-            spots = [m.span() for m in WORD.finditer(text or "")]
-            if not spots:
-                out.append([])
-                continue
-            labels = _labels(text, spots)
-            words = [text[s:e].encode() for s, e in spots]
-            odd = sum(not w.rstrip(b".,").isalpha() for w in words) / len(words)
-            centres = [int(i) for i in np.flatnonzero(labels == 1)[:4]] + [len(words) // 2, len(words) * 7 // 8]
-            odd_ones = [i for i, w in enumerate(words) if labels[i] == 0 and VALUE.search(text[spots[i][0] : spots[i][1]]) and any(c in b"0123456789" for c in w)]
-            got = []
-            for c in centres + odd_ones[:2]:
-                a, b = max(0, c - WINDOW), min(len(words), c + WINDOW + 1)
-                got.append({"words": words[a:b], "labels": labels[a:b].tolist(), "n": len(words), "odd": odd})
-            out.append(got)
-        return [out]
 
-    return run
+ALNUM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+
+def _planted(rng: random.Random) -> list[str]:
+    """The words of a secret that the patterns don't know."""
+    draw = lambda some, n: "".join(rng.choice(some) for _ in range(n))
+    form = rng.randrange(4)
+    if form == 0:  # a key without a keyword
+        return [draw(ALNUM, rng.randrange(20, 48))]
+    if form == 1:  # a password with symbols in it
+        value = list(draw("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", rng.randrange(3, 7)) + draw("0123456789", 2) + draw("!@#$%^&*-_+?", 3))
+        rng.shuffle(value)
+        return ["".join(value) + draw(ALNUM, 1)]
+    if form == 2:  # a key in groups
+        return [draw(ALNUM, rng.randrange(16, 40)) for _ in range(rng.randrange(2, 5))]
+    kind = rng.choice(["RSA PRIVATE", "PRIVATE", "OPENSSH PRIVATE", "EC PRIVATE"])
+    lines = [draw(ALNUM + "+/", 64) for _ in range(rng.randrange(1, 8))] + [draw(ALNUM + "+/", rng.randrange(16, 60)) + "=="]
+    return [*f"-----BEGIN {kind} KEY-----".split(), *lines, *f"-----END {kind} KEY-----".split()]
+
+
+def _masked(words: list[str], labels: list[int], rng: random.Random) -> tuple[list[str], list[int]]:
+    """A window whose secrets have lost their keyword; their values are drawn again within their alphabets."""
+    out, marks = [], []
+    for w, l in zip(words, labels, strict=True):
+        if l:
+            m = ASSIGN.search(w)
+            value = m[2] if m else w
+            for some in ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+                value = "".join(rng.choice(some) if c in some else c for c in value)
+            w = value
+        elif set(w) <= set(":=\"'") or (any(h in w.lower() for h in HINTS) and w.rstrip("\"' ").endswith(("=", ":"))):
+            continue
+        out.append(w)
+        marks.append(l)
+    return out, marks
+
+
+def _windows(texts):
+    """Training windows of one batch of texts: bytes of the words, labels, file class."""
+    out = []
+    for text in texts:
+        spots = [m.span() for m in WORD.finditer(text or "")]
+        if not spots:
+            out.append([])
+            continue
+        labels = _labels(text, spots).tolist()
+        words = [text[s:e] for s, e in spots]
+        odd = sum(not w.encode("utf-8", "surrogatepass").rstrip(b".,").isalpha() for w in words) / len(words)
+        rng = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+        got = []
+
+        def add(some, marks, n=len(words), odd=odd, got=got):
+            got.append({"words": [w.encode("utf-8", "surrogatepass") for w in some], "labels": marks, "n": n, "odd": odd})
+
+        found = [i for i, l in enumerate(labels) if l == 1][:4]
+        plain = [len(words) // 2, len(words) * 7 // 8]
+        mixed = [i for i, w in enumerate(words) if labels[i] == 0 and not w.rstrip(".,!?;:").isalpha()]
+        plain += rng.sample(mixed, min(2, len(mixed)))
+        for c in found + plain:
+            a, b = max(0, c - WINDOW), min(len(words), c + WINDOW + 1)
+            doubts = [i for i in range(a, b) if labels[i] == 0 and _doubtful(words[i])]
+            if c in doubts:
+                continue
+            a, b = max([a, *(i + 1 for i in doubts if i < c)]), min([b, *(i for i in doubts if i > c)])
+            add(words[a:b], labels[a:b])
+            if labels[c]:
+                add(*_masked(words[a:b], labels[a:b], rng))
+        if got and rng.random() < 0.25:
+            base, secret = got[-1], _planted(rng)
+            at = rng.randrange(len(base["words"]) + 1)
+            left, right = slice(max(0, at - 4), at), slice(at, at + 4)
+            secret = secret[: 2 * WINDOW + 1 - 8]
+            some = [w.decode("utf-8", "surrogatepass") for w in base["words"]]
+            add(some[left] + secret + some[right], base["labels"][left] + [1] + [2] * (len(secret) - 1) + base["labels"][right])
+        out.append(got)
+    return [out]
 
 
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs: int = 4_000, steps: int = 100, l2: float = 1e-4) -> Field | None:
     """Fit the field on windows of a bounded sample."""
     sample = hash_sample(docs.select(F.col(key).alias("k"), F.col(text).alias("x")), "k", sample_docs).select("x")
     rows = add_columns(
-        sample, lambda: _windows(None), "w array<struct<words:array<binary>,labels:array<tinyint>,n:int,odd:double>>", ["x"], ("x",)
+        sample, lambda: _windows, "w array<struct<words:array<binary>,labels:array<tinyint>,n:int,odd:double>>", ["x"], ("x",)
     ).select(F.explode("w").alias("w")).select("w.*").toArrow().to_pylist()
     rows = sorted(rows, key=lambda r: (r["words"], r["labels"], r["n"]))
     if not any(1 in r["labels"] for r in rows):
@@ -302,9 +370,11 @@ class Scanner:
         if self.field and (tagged := self.tagged(text)):
             spots = [m.span() for m in WORD.finditer(text)]
             for a, b in tagged:
-                values = [m.span() for m in VALUE.finditer(text, spots[a][0], spots[b - 1][1])]
-                if values and not any(s < values[-1][1] and values[0][0] < e for s, _, e in found):
-                    found.append((values[0][0], 3, values[-1][1]))
+                start, end = spots[a][0], spots[b - 1][1]
+                start += len(text[start:end]) - len(text[start:end].lstrip(QUOTES))
+                end -= len(text[start:end]) - len(text[start:end].rstrip(QUOTES + ".,;:"))
+                if start < end and not any(s < end and start < e for s, _, e in found):
+                    found.append((start, 3, end))
         return sorted(found)
 
 
