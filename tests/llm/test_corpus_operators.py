@@ -117,6 +117,16 @@ def test_jaccard_join(spark, block):
     assert jaccard_join.join(empty(spark)).count() == 0
 
 
+def test_removal_goes_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(None, a), (None, a), (1, b), (1, b), (2, c), (2, b), (None, None), (None, None)]
+    kept = [(r.doc_id, r.text) for r in jaccard_join.keep_one(frame(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (1, b), (2, c), (None, None), (None, None)], key=str)
+    item = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    left = decontaminate.remove(frame(spark, [(None, ITEM), (None, a), (3, ITEM), (3, b)]), item).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == [("3", b), ("None", a)]
+
+
 def test_substring_dedup(spark, tmp_path):
     rows = corpus() + [(None, " ".join(f"q{i}" for i in range(30))), (200, " ".join(f"q{i}" for i in range(5, 40))), (201, "ab " * 50)]
     seen, want = set(), {}

@@ -42,6 +42,15 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+#: Column of row numbers; an id may be null or stand in several rows.
+ROW = "_row"
+
+
+def with_row(df: DataFrame) -> DataFrame:
+    """With a row number, written once so that it holds."""
+    return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), f"{work_dir(df.sparkSession, 'rows')}/numbered")
+
+
 def open_fs(path: str):
     """(pyarrow file system, path in it) for any shared folder; works on executors."""
     from pyarrow import fs

@@ -14,7 +14,7 @@ join, which Spark shuffles if the item side is large. Tokens of a hit travel wit
 compared in full; windows of which half or more are placeholders are left out on both sides.
 
 Defined results: null and empty texts have no windows; items of fewer than ``least`` tokens are left
-out; null ids of documents never match; repeated items or documents give the result of one; other
+out; ``find`` names no document of a null id, ``remove`` goes by row; repeated items or documents give the result of one; other
 columns are ignored; empty tables give no rows.
 """
 
@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrain.llm.common import small_batches, tidied
+from vitalgrain.llm.common import ROW, small_batches, tidied, with_row
 
 #: Units that count as a slot behind a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml l s sec min h hr hrs day days week weeks month months year years usd eur mph kmh w kw v a hz c f".split()
@@ -279,6 +279,7 @@ def contaminated(pairs: DataFrame, share: float = 0.5, windows: int = 3) -> Data
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents without those that hold benchmark items."""
-    bad = contaminated(find(docs, benchmark, key=key, **options)).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(bad, key, "left_anti").select(*docs.columns)
+    """The rows without those that hold benchmark items, whatever their id."""
+    rows = with_row(docs)
+    bad = contaminated(find(rows, benchmark, key=ROW, **options)).select(F.col("doc_id").alias(ROW)).distinct()
+    return rows.join(bad, ROW, "left_anti").select(*docs.columns)
