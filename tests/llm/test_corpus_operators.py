@@ -183,6 +183,13 @@ def test_quality(spark):
     assert quality.score(empty(spark), nothing).count() == 0 and quality.score(frame(spark, rows[:3]), nothing).first().score == pytest.approx(0.5)
 
 
+def test_top_word_counts_all_words():
+    at = quality.FEATURES.index("top_word")
+    opening = "a b c d e f g h "
+    assert quality.text_features(opening + "junk " * 12)[at] == quality.text_features("junk " * 12 + opening)[at] == pytest.approx(12 / 20)
+    assert quality.text_features(None)[at] == 0
+
+
 def test_pairs_matter():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 3))

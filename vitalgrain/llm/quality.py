@@ -16,6 +16,7 @@ out; without labels of both kinds every score is the share of label 1 (0.5 witho
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,7 +50,7 @@ def text_features(text: str | None) -> list[float]:
     return [
         float(np.log1p(len(words))), float(lengths.mean()), letters, share(UPPER) / max(letters, 1e-9), share(b"0123456789"), share(SYMBOLS),
         b.count(b"!") / n, b.count(b"|") / n, b.count(b".") / n, len(seen) / n,
-        max((b" " + ends + b" ").count(b" " + w + b" ") for w in words[:8]) / n if words else 0.0,
+        max(Counter(words).values(), default=0) / n,
         1 - len(set(lines)) / max(1, len(lines)), float(np.log1p(size / max(1, len(lines)))), float(np.log1p(lengths.max())),
         len(set(zip(words, words[1:]))) / n, beyond / size, float((lengths <= 3).mean()), symbol_ends,
     ]
