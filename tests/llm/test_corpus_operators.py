@@ -127,26 +127,57 @@ def test_removal_goes_by_row(spark):
     assert sorted((str(r.doc_id), r.text) for r in left) == [("3", b), ("None", a)]
 
 
-def test_substring_dedup(spark, tmp_path):
-    rows = corpus() + [(None, " ".join(f"q{i}" for i in range(30))), (200, " ".join(f"q{i}" for i in range(5, 40))), (201, "ab " * 50)]
-    seen, want = set(), {}
-    for i, t in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
+def removed_words(rows, window=20):
+    """Words, removed words and kept words per row, by brute force; rows come in document order."""
+    seen, want = set(), []
+    for _, t in rows:
         w = (t or "").encode().split()
         gone = [False] * len(w)
-        for a in range(len(w) - 19):
-            if tuple(w[a : a + 20]) in seen:
-                gone[a : a + 20] = [True] * 20
-            seen.add(tuple(w[a : a + 20]))
-        want[i] = (len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode())
+        for a in range(len(w) - window + 1):
+            if tuple(w[a : a + window]) in seen:
+                gone[a : a + window] = [True] * window
+            seen.add(tuple(w[a : a + window]))
+        want.append((len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()))
+    return want
+
+
+def passages(seed=5, n=40):
+    """Texts that share passages at different places, also within one text, and many copies of one."""
+    rng = random.Random(seed)
+    some = [[rng.choice(WORDS).split()[0] for _ in range(rng.randrange(20, 60))] for _ in range(8)]
+    texts = []
+    for _ in range(n):
+        w = []
+        for _ in range(rng.randrange(1, 5)):
+            w += [rng.choice(WORDS) for _ in range(rng.randrange(0, 15))] + rng.choice(some)[rng.randrange(0, 10) :]
+        texts.append(" ".join(w))
+    return texts + [" ".join(some[0] * 3)] * 10
+
+
+@pytest.mark.parametrize("options", [{}, {"chunk_words": 300, "filter_leaves": 50, "group_size": 3}, {"chunk_words": 200, "spare_bits": -60}])
+def test_substring_dedup(spark, tmp_path, options):
+    """With spare_bits far below 0 every fingerprint is one of two, so that only words can tell windows apart."""
+    rows = corpus() + [(None, " ".join(f"q{i}" for i in range(30))), (200, " ".join(f"q{i}" for i in range(5, 40))), (201, "ab " * 50)]
+    rows += [(300 + i, t) for i, t in enumerate(passages())]
+    ordered = sorted(rows, key=lambda r: -1 if r[0] is None else r[0])
+    want = {r[0]: x for r, x in zip(ordered, removed_words(ordered), strict=True)}
     df = frame(spark, rows)
     df.repartition(3).write.parquet(f"{tmp_path}/d")
     for docs in (df, spark.read.parquet(f"{tmp_path}/d")):
-        out = substring_dedup.dedup(docs, group_size=50, chunk_words=300)
+        out = substring_dedup.dedup(docs, **options)
         assert {"spans", "score", "split"} <= set(out.columns)
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in out.collect()} == want
     assert substring_dedup.dedup(empty(spark)).count() == 0
 
 
+def test_substring_dedup_of_a_path_read_twice(spark, tmp_path):
+    rows = corpus(n=10)
+    frame(spark, rows).write.parquet(f"{tmp_path}/d")
+    out = substring_dedup.dedup(spark.read.parquet(f"{tmp_path}/d", f"{tmp_path}/d")).collect()
+    ordered = sorted(rows + rows, key=lambda r: r[0])
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out) == Counter((i, *x) for (i, _), x in zip(ordered, removed_words(ordered), strict=True))
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/ü?x=\r\n", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u", None), (4, "u", ""), (None, "n", "<p>é</p>"), (5, "u", "big" * 3000), (6, "v", "big" * 3000), (6, "v", "big" * 3000)]
     df = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, digest string")

@@ -140,12 +140,18 @@ def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
 
 
 def plain_scan(docs: DataFrame) -> bool:
-    """Whether the plan is one file scan with filters and projections, so that its splits can be read again."""
+    """Whether the plan is one file scan with filters and projections, so that its splits can be read again.
+
+    A file that is read twice gives two splits of one name, so such a scan isn't plain.
+    """
     import re
 
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    names = [re.sub(r"^[\s:+-]*", "", line).split(" ")[0] for line in plan.strip().split("\n")]
-    return bool(docs.inputFiles()) and all(n in ("Project", "Filter") or n.startswith("Relation") for n in names)
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    names = [re.sub(r"^[\s:+-]*", "", line).split(" ")[0] for line in plan.toString().strip().split("\n")]
+    if not docs.inputFiles() or not all(n in ("Project", "Filter") or n.startswith("Relation") for n in names):
+        return False
+    files = list(plan.collectLeaves().head().relation().location().inputFiles())
+    return len(files) == len(set(files))
 
 
 def rereadable(docs: DataFrame, at: str) -> DataFrame:
