@@ -266,30 +266,57 @@ def test_decontamination_does_not_hang_on_what_stands_before(spark):
     assert found_items(spark, ["the slow train goes 60km before noon"], ["the slow train goes 75km before noon", "the slow train goes 75 km before noon"]) == {(0, 0), (1, 0)}
 
 
-def test_nearest_neighbours(spark):
+@pytest.mark.parametrize("options", [{}, {"list_rows": 90, "query_rows": 3}])
+def test_nearest_neighbours(spark, options):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(600, 16)).astype(np.float32)
     x[100:160] = x[100]  # a hot vector
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700, None), (750, [0.0] * 16), (800, [float("nan")] * 16), (850, [1.0] * 3), (None, x[0].tolist())]
     df = spark.createDataFrame([(i, v, 0, 0.0) for i, v in rows], "vec_id long, embedding array<float>, rank int, score double")
-    out = ann.search(df, df.where("vec_id % 50 = 0"), k=5, query_block=5).collect()
+    out = ann.search(df, df.where("vec_id % 50 = 0"), k=5, **options).collect()
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     hit = 0
     for q in range(0, 600, 50):
         s = np.round(unit @ unit[q], 12)
         s[q] = -9
         want = np.lexsort((np.arange(600), -s))[:5].tolist()
-        got = [r.vec_id for r in sorted((r for r in out if r.query_id == q), key=lambda r: r.rank)]
-        assert len(got) == 5
+        found = sorted((r for r in out if r.query_id == q), key=lambda r: r.rank)
+        got = [r.vec_id for r in found]
+        assert len(got) == 5 and all(abs(r.score - unit[q] @ unit[r.vec_id]) < 1e-12 for r in found)
         hit += len(set(want) & set(got))
         if q in (100, 150):
             assert got == [i for i in range(100, 106) if i != q][:5]
     assert hit / 60 >= 0.9 and {r.query_id for r in out} == set(range(0, 600, 50))
     few = df.where("vec_id in (0, 50, 51)")
-    assert ann.search(few, few.where("vec_id % 50 = 0")).count() == 4
+    assert ann.search(few, few.where("vec_id % 50 = 0"), **options).count() == 4
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_neighbours_of_repeated_rows(spark):
+    """A row that occurs twice is one candidate, but as a query it has a list for each of its rows."""
+    x = np.random.default_rng(5).normal(size=(40, 8)).tolist()
+    rows = [(i, v) for i, v in enumerate(x)] + [(0, x[0]), (7, x[7]), (0, x[30])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = ann.search(df, df.where("vec_id = 0"), k=4).collect()
+    unit = np.array(x) / np.linalg.norm(x, axis=1, keepdims=True)
+    want = []
+    for v in (0, 0, 30):
+        near = sorted((-round(float(unit[v] @ unit[i]), 12), i) for i in range(1, 40))[:4]
+        want += [(0, n + 1, i) for n, (_, i) in enumerate(near)]
+    assert Counter((r.query_id, r.rank, r.vec_id) for r in out) == Counter(want)
+
+
+def test_lists_are_few_where_vectors_form_clusters():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(20, 16)) * 10
+    x = np.repeat(centres, 50, 0) + rng.normal(size=(1000, 16)) * 0.1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert ann.coarse(x, 20, 5, 0.98).visits <= 3
+    y = rng.normal(size=(1000, 64))
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    assert ann.coarse(y, 20, 5, 0.98).visits > 10
+
+
 def test_secret_scan(spark):
     rng = random.Random(2)
     key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))

@@ -2,20 +2,24 @@
 
 Unit vectors are approximated by a sum of one codeword from each of ``books`` full-dimensional
 codebooks. Codebooks are fitted on the residuals of the books before, from a bounded sample of
-vectors (``sample_rows``, by a hash of the id), and then refitted jointly by least squares. Every
+vectors (``sample_rows``, by a hash of the row), and then refitted jointly by least squares. Every
 vector is encoded by beam search over the books and stored as one byte per book plus the norm of its
 approximation. A query looks up its inner products with all codewords once; a candidate's score is
-the sum of its codewords' entries over the stored norm. The best ``keep`` candidates of a task's block
-are scored exactly in double precision from the original vectors, and the best k of all blocks stay.
+the sum of its codewords' entries over the stored norm. The best ``keep`` candidates of a query over
+the whole table, its shortlist, are scored exactly in double precision from the original vectors.
 
-Queries are searched in blocks of ``query_block`` against all rows; only such a block is ever sent to
-all tasks. The index (codes, norms and vectors) is written to the shared folder once.
+Distribution: the index is cut into lists by the nearest of up to ``most_lists`` coarse centres, about
+one per ``list_rows`` rows. How many lists a query visits is fitted on the sample, so that ``target``
+of the sample's true neighbours lie in them: few lists where vectors form clusters, nearly all where
+they don't. A list of more than ``list_rows`` rows is dealt in blocks by a hash, and so are the queries
+that visit it beyond ``query_rows``; a task scores one block of codes for one block of queries, whatever
+the size of the table, and returns one packed row per query. Shortlists meet the vectors in a join.
 
 Ties in exact scores go to the smaller id; ties in approximate scores as well, so equal vectors never
-push a smaller id out. Defined results: vectors that are null, of a length other than ``dim``, zero,
-or hold null or non-finite components take no part, nor do null ids; a repeated id is searched row by
-row, and a query never returns its own id; fewer than k candidates are all returned; an empty table
-gives no rows.
+push a smaller id out. Defined results: vectors that are null, of a length other than the commonest
+one, zero, or hold null or non-finite components take no part, nor do null ids; rows that repeat id and
+vector are one candidate, and each query row has a list of its own; a query never returns its own id;
+fewer than k candidates are all returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from pyspark.sql import functions as F
 
 from vitalgrain.llm.common import hash_sample, materialize, small_batches, tidied, work_dir
 
+EMPTY = "query_id long, rank int, vec_id long, score double"
+
 
 @dataclass
 class Codebooks:
@@ -107,94 +113,158 @@ def _exact(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt(np.einsum("ij,ij->i", queries, queries)) * np.sqrt(np.einsum("ij,ij->i", rows, rows)))
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", keep: int = 200, sample_rows: int = 8_000, query_block: int = 2_000, beam: int = 4, books: int = 12) -> DataFrame:
+@dataclass
+class Lists:
+    """Coarse centres, and how many of the nearest a query visits."""
+
+    centres: np.ndarray
+    visits: int
+
+    def order(self, x: np.ndarray) -> np.ndarray:
+        """The lists from near to far of each row."""
+        return ((self.centres**2).sum(1) - 2 * x @ self.centres.T).argsort(1, kind="stable")
+
+
+def coarse(x: np.ndarray, lists: int, k: int, target: float, tries: int = 400) -> Lists:
+    """Centres of the sample ``x``, and the visits that reach ``target`` of its own nearest neighbours."""
+    found = Lists(_means(x, lists, np.random.default_rng(12)) if lists > 1 else x[:1], 1)
+    if lists > 1:
+        asked = x[:: max(1, len(x) // tries)]
+        near = asked @ x.T
+        near[near > 1 - 1e-12] = -2  # itself, and copies, which share its list
+        best = np.argsort(-near, 1, kind="stable")[:, :k]
+        home = found.order(x)[:, 0]
+        place = (found.order(asked)[:, None, :] == home[best][..., None]).argmax(2)  # place of the neighbour's list
+        found.visits = int(np.quantile(place, target, method="higher")) + 1
+    return found
+
+
+def shortlist(ids: np.ndarray, scores: np.ndarray, keep: int) -> np.ndarray:
+    """Places of the ``keep`` best scores; ``ids`` are sorted, and of equal scores the first ones stay."""
+    if len(scores) <= keep:
+        return np.arange(len(scores))
+    edge = np.partition(scores, len(scores) - keep)[len(scores) - keep]
+    pick = np.flatnonzero(scores > edge)
+    return np.concatenate([pick, np.flatnonzero(scores == edge)[: keep - len(pick)]])
+
+
+def search(
+    df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", keep: int = 256, sample_rows: int = 8_000,
+    list_rows: int = 16_384, most_lists: int = 1_024, query_rows: int = 4_096, target: float = 0.98, beam: int = 4, books: int = 24,
+) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of ``df`` found for each row of ``queries``."""
     import pyarrow as pa
 
     spark = df.sparkSession
     small_batches(spark, 4000)
-    empty = "query_id long, rank int, vec_id long, score double"
     first = df.select(F.size(vector).alias("n")).where("n > 0").groupBy("n").count().orderBy(F.desc("count"), "n").first()
     if first is None:
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], EMPTY)
     dim = first.n
-    rows = usable(df, key, vector, dim)
-    sample = hash_sample(rows, "id", sample_rows).toArrow()
+    rows = usable(df, key, vector, dim).dropDuplicates(["id", "v"])
+    at = work_dir(spark, "ann")
+    sample = hash_sample(rows, ["id", "v"], sample_rows).toArrow()
     if not sample.num_rows:
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], EMPTY)
     x = np.array(sample["v"].to_pylist())
     x = x[np.lexsort(x.T)]
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     model = fit(x, books=books, words=int(min(128, max(2, len(x) // 4))))
-    at = work_dir(spark, "ann")
+    n_rows = rows.count()
+    lists = coarse(x, int(max(1, min(n_rows // list_rows, most_lists, len(x) // 8))), k, target)
 
     def index(batches):
         for batch in batches:
             v = np.array(batch["v"].to_pylist()).reshape(batch.num_rows, -1)
             if not len(v):
                 continue
-            codes, norms = model.encode(v / np.linalg.norm(v, axis=1, keepdims=True), beam)
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"], batch["v"], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], ["id", "v", "codes", "norm"]
-            )
-
-    indexed = materialize(rows.mapInArrow(tidied(index), "id long, v array<double>, codes binary, norm double"), f"{at}/index")
-    asked = materialize(
-        usable(queries, key, vector, dim).select("*", F.xxhash64("id", "v").alias("h")), f"{at}/queries"
-    )
-    n_blocks = max(1, -(-asked.count() // query_block))
-    asked = asked.withColumn("block", F.pmod("h", F.lit(n_blocks)).cast("int"))
-
-    def searcher(block):
-        qid, qv = block
-
-        def run(batches):
-            books_, q = model.words, qv / np.linalg.norm(qv, axis=1, keepdims=True)
-            table = np.einsum("mwd,qd->mwq", books_, q).astype(np.float32)
-            best: list[list] = [[] for _ in qid]
-            for batch in batches:
-                n = batch.num_rows
-                if not n:
+            unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+            codes, norms = model.encode(unit, beam)
+            made = [pa.array(lists.order(unit)[:, 0].astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)]
+            yield pa.RecordBatch.from_arrays([batch["r"], batch["id"], batch["v"], *made], ["r", "id", "v", "list", "codes", "norm"])
+
+    numbered = rows.withColumn("r", F.monotonically_increasing_id()).select("r", "id", "v")
+    indexed = materialize(numbered.mapInArrow(tidied(index), "r long, id long, v array<double>, list int, codes binary, norm double"), f"{at}/index")
+
+    def visit(batches):
+        for batch in batches:
+            v = np.array(batch["v"].to_pylist()).reshape(batch.num_rows, -1)
+            if not len(v):
+                continue
+            near = lists.order(v / np.linalg.norm(v, axis=1, keepdims=True))[:, : lists.visits]
+            yield pa.RecordBatch.from_arrays([batch["q"], batch["id"], batch["v"], pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["q", "id", "v", "lists"])
+
+    asked = usable(queries, key, vector, dim).withColumn("q", F.monotonically_increasing_id()).select("q", "id", "v")
+    asked = materialize(asked.mapInArrow(tidied(visit), "q long, id long, v array<double>, lists array<int>"), f"{at}/queries")
+    visits = asked.select("q", "id", "v", F.explode("lists").alias("list"))
+
+    # sizes of the lists and of what is asked of them, at most ``most_lists`` rows
+    blocks = lambda c, most: F.ceil(F.col(c) / most).cast("int")
+    sizes = indexed.groupBy("list").agg(F.count("*").alias("n")).join(visits.groupBy("list").agg(F.count("*").alias("m")), "list").select("list", blocks("n", list_rows).alias("parts"), blocks("m", query_rows).alias("turns"))
+    sizes = F.broadcast(materialize(sizes, f"{at}/sizes"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    codes_of = indexed.select("r", "id", "list", "codes", "norm").join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("r"), F.col("parts")).cast("int")).withColumn("turn", each("turns")).drop("parts", "turns")
+    asked_of = visits.join(sizes, "list").withColumn("turn", F.pmod(F.xxhash64("q"), F.col("turns")).cast("int")).withColumn("part", each("parts")).drop("parts", "turns")
+
+    def score(known, wanted):
+        """A block of codes looked up by a block of queries: each one's shortlist, packed."""
+        out = []
+        if known.num_rows and wanted.num_rows:
+            order = np.argsort(known["id"].to_numpy(), kind="stable")  # equal scores keep the smaller ids
+            r, ids = known["r"].to_numpy()[order], known["id"].to_numpy()[order]
+            codes = np.frombuffer(b"".join(known["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)[order]
+            norms = np.maximum(known["norm"].to_numpy()[order], 1e-9).astype(np.float32)
+            q, own = wanted["q"].to_numpy(), wanted["id"].to_numpy()
+            v = np.array(wanted["v"].to_pylist())
+            v /= np.linalg.norm(v, axis=1, keepdims=True)
+            for a in range(0, len(q), 128):
+                tables = np.einsum("mwd,qd->mwq", model.words, v[a : a + 128]).astype(np.float32)
+                scores = tables[0][codes[:, 0]]
+                for m in range(1, codes.shape[1]):
+                    scores += tables[m][codes[:, m]]
+                scores = np.ascontiguousarray((scores / norms[:, None]).T)
+                for i, s in enumerate(scores):
+                    s[ids == own[a + i]] = -np.inf
+                    pick = shortlist(ids, s, keep)
+                    out.append((int(q[a + i]), r[pick].tolist(), ids[pick].tolist(), s[pick].tolist()))
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float32()))
+        return pa.table({c: pa.array([o[j] for o in out], t) for j, (c, t) in enumerate(zip(("q", "rs", "ids", "scores"), kinds, strict=True))})
+
+    found = codes_of.groupBy("list", "part", "turn").cogroup(asked_of.groupBy("list", "part", "turn")).applyInArrow(score, "q long, rs array<long>, ids array<long>, scores array<float>")
+
+    def merge(batches):
+        """The shortlist of each query over all blocks, whose rows come one after another."""
+        def best(q, r, ids, s):
+            order = np.lexsort((ids, -s))[:keep]
+            fine = order[s[order] > -np.inf]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(fine), q)), pa.array(r[fine])], ["q", "r"])
+
+        last, held = None, None
+        for batch in batches:
+            for q, *lists_ in zip(*(batch[c].to_pylist() for c in ("q", "rs", "ids", "scores")), strict=True):
+                new = [np.array(lists_[0], np.int64), np.array(lists_[1], np.int64), np.array(lists_[2], np.float32)]
+                if q != last:
+                    if held:
+                        yield best(last, *held)
+                    last, held = q, new
                     continue
-                ids = batch["id"].to_numpy()
-                v = np.array(batch["v"].to_pylist())
-                codes = np.frombuffer(b"".join(batch["codes"].to_pylist()), np.uint8).reshape(n, -1)
-                norms = np.maximum(batch["norm"].to_numpy(), 1e-9).astype(np.float32)
-                order = np.argsort(ids, kind="stable")  # equal scores keep the smaller ids
-                ids, v, codes, norms = ids[order], v[order], codes[order], norms[order]
-                for a in range(0, len(qid), 256):
-                    b = min(a + 256, len(qid))
-                    score = table[0][codes[:, 0], a:b]
-                    for m in range(1, codes.shape[1]):
-                        score = score + table[m][codes[:, m], a:b]
-                    score = (score / norms[:, None]).T
-                    for i in range(a, b):
-                        s = score[i - a]
-                        if n > keep + 1:
-                            edge = np.partition(s, n - keep - 1)[n - keep - 1]
-                            pick = np.flatnonzero(s > edge)
-                            pick = np.concatenate([pick, np.flatnonzero(s == edge)[: keep + 1 - len(pick)]])
-                        else:
-                            pick = np.arange(n)
-                        pick = pick[ids[pick] != qid[i]]
-                        exact = _exact(np.broadcast_to(qv[i], (len(pick), len(qv[i]))), v[pick])
-                        best[i] += zip((-exact).tolist(), ids[pick].tolist(), strict=True)
-                        if len(best[i]) > 20 * k:
-                            best[i] = sorted(best[i])[:k]
-            out = [(int(q), -s, i) for q, found in zip(qid, best, strict=True) for s, i in sorted(found)[:k]]
-            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in ((0, pa.int64()), (2, pa.int64()), (1, pa.float64()))], ["query_id", "vec_id", "score"])
-
-        return run
-
-    parts = []
-    for b in range(n_blocks):  # a block of queries against all rows; each pass is a job of its own
-        got = asked.where(F.col("block") == b).select("id", "v").toArrow()
-        if not got.num_rows:
-            continue
-        block = (np.array(got["id"].to_pylist()), np.array(got["v"].to_pylist()))
-        found = indexed.mapInArrow(searcher(block), "query_id long, vec_id long, score double")
-        by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        ranked = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-        parts.append(f"{at}/found-{b}")
-        ranked.write.parquet(parts[-1])
-    return spark.read.schema(empty).parquet(*parts) if parts else spark.createDataFrame([], empty)
+                held = [np.concatenate([a, b]) for a, b in zip(held, new, strict=True)]
+                if len(held[0]) > 8 * keep:
+                    order = np.lexsort((held[1], -held[2]))[:keep]
+                    held = [a[order] for a in held]
+        if held:
+            yield best(last, *held)
+
+    short = found.repartition("q").sortWithinPartitions("q").mapInArrow(tidied(merge), "q long, r long")
+    pairs = short.join(indexed.select("r", F.col("id").alias("vec_id"), F.col("v").alias("row")), "r").join(asked.select("q", F.col("id").alias("query_id"), "v"), "q")
+
+    def exact(batches):
+        for batch in batches:
+            values = np.zeros(0)
+            if batch.num_rows:
+                values = _exact(*(np.array(batch[c].to_pylist()) for c in ("v", "row")))
+            yield pa.RecordBatch.from_arrays([batch["q"], batch["query_id"], batch["vec_id"], pa.array(values, pa.float64())], ["q", "query_id", "vec_id", "score"])
+
+    scored = pairs.select("q", "query_id", "vec_id", "v", "row").mapInArrow(tidied(exact), "q long, query_id long, vec_id long, score double")
+    by = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

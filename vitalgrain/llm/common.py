@@ -133,10 +133,14 @@ def add_columns(df: DataFrame, make, schema: str, reads: list[str], drops: tuple
     return df.select(*(F.col(f"`{c}`") for c in needed)).mapInArrow(tidied(run), StructType(kept + new.fields))
 
 
-def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About ``rows`` rows, chosen by a hash of ``key``; all of a smaller table."""
+def hash_sample(df: DataFrame, keys: str | list[str], rows: int) -> DataFrame:
+    """About ``rows`` rows, chosen by a hash of the columns ``keys``; all of a smaller table.
+
+    Rows that repeat all columns count once, so that copies of one row can't enlarge the sample.
+    """
     every = max(1, -(-df.count() // rows))
-    return df if every == 1 else df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(every)) == 0)
+    own = [keys] if isinstance(keys, str) else keys
+    return df if every == 1 else df.where(F.pmod(F.xxhash64(*own), F.lit(every)) == 0).dropDuplicates()
 
 
 def plain_scan(docs: DataFrame) -> bool:

@@ -156,7 +156,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.1, bins
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", modulus: int = 4, sample_rows: int = 20_000) -> Model:
     """Fit on labelled rows outside the fold crc32(key) mod ``modulus`` = 2."""
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(~held_out("k", modulus)).dropna()
-    sample = hash_sample(known, "k", sample_rows).groupBy("k").agg(F.max("y").alias("y"))
+    sample = hash_sample(known, ["k", "y"], sample_rows).groupBy("k").agg(F.max("y").alias("y"))
     # the sample is bounded by sample_rows (up to the spread of the hash), so it may be broadcast
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("x")).join(F.broadcast(sample), "k")
     made = add_columns(rows, lambda: lambda ts: [[text_features(t) for t in ts]], "f array<double>", ["x"], ("x",)).toArrow()

@@ -240,7 +240,7 @@ def _windows(texts):
 
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs: int = 4_000, steps: int = 100, l2: float = 1e-4) -> Field | None:
     """Fit the field on windows of a bounded sample."""
-    sample = hash_sample(docs.select(F.col(key).alias("k"), F.col(text).alias("x")), "k", sample_docs).select("x")
+    sample = hash_sample(docs.select(F.col(key).alias("k"), F.col(text).alias("x")), ["k", "x"], sample_docs).select("x")
     rows = add_columns(
         sample, lambda: _windows, "w array<struct<words:array<binary>,labels:array<tinyint>,n:int,odd:double>>", ["x"], ("x",)
     ).select(F.explode("w").alias("w")).select("w.*").toArrow().to_pylist()
