@@ -260,7 +260,7 @@ def with_prefix(rows: DataFrame, group_size: int, at: str, most: int = 10_000) -
     return rows.withColumn("prefix", F.expr("substring_index(cast(right as string), ' ', depth)")).drop("depth")
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = 20, out: str = "kept", group_size: int = 200_000, chunk_words: int = 1_000_000, filter_leaves: int = 2_000_000, spare_bits: int = 8) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = 20, out: str = "kept", group_size: int = 4_000, chunk_words: int = 1_000_000, filter_leaves: int = 2_000_000, spare_bits: int = 8) -> DataFrame:
     """Adds n_words, n_removed and ``out``, the kept words joined by one space.
 
     ``spare_bits``: bits of the filter's fingerprints beyond those that number the windows.
