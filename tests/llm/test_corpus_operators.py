@@ -201,6 +201,25 @@ def test_warc(spark, tmp_path):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_warc_is_the_same_however_rows_lie(spark, tmp_path):
+    rng = random.Random(7)
+    text = lambda: " ".join(rng.choice(WORDS) for _ in range(rng.randrange(1, 400)))
+    rows = [(i if i % 3 else None, f"http://x.org/a/{i}?q=%20b&c=[1]", text()) for i in range(2600)] + [(9_000 + i, "http://y.org/ü z", "same page") for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    made = []
+    for n in (3, 7):
+        warc.write(df.repartition(n), f"file://{tmp_path}/{n}", shard_bytes=200_000, roll_bytes=20_000)
+        made.append({p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in (tmp_path / str(n)).glob("*.warc.gz")})
+    assert made[0] == made[1] and len({name[:11] for name in made[0]}) >= 5 and len(made[0]) > 20
+    sizes = Counter(r.shard for r in spark.read.parquet(f"file://{tmp_path}/3/manifest").selectExpr("substr(file, 6, 6) AS shard", "explode(sequence(1, int(records)))").collect())
+    assert max(sizes.values()) < 3000 / 2
+    back = warc.read(spark, f"file://{tmp_path}/3").collect()
+    assert Counter((r.page_id, r.url) for r in back) == Counter((i, u) for i, u, _ in rows)
+    record = warc.page_record(1, rows[0][1], b"x", None, False)
+    assert f"WARC-Target-URI: {rows[0][1]}\r\n".encode() in record and b"X-Original" not in record
+    assert b"WARC-Target-URI: http://y.org/%C3%BC%20z\r\n" in warc.page_record(1, rows[-1][1], b"x", None, False)
+
+
 def test_quality(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(WORDS) for _ in range(60)) if i % 2 else " ".join(rng.choice(WORDS).upper() + "!!" for _ in range(60))) for i in range(300)]

@@ -1,20 +1,23 @@
 """Deterministic sharded WARC writer and reader.
 
 Rows are range-sorted by (page id, payload digest), so shards follow the order of ids and one frequent
-id or null ids still spread over partitions. Payloads cross the network once: which payloads repeat,
-and under which largest id, is found from digests alone, and that small table meets the payloads in
-the same sort. Each partition writes gzip members, one per record, and starts a new file when the
-compressed size reaches ``roll_bytes``. Files are written under names of their own attempt; the
-manifest of the attempts that succeeded says which are renamed, the rest is deleted. Headers, record
-ids and digests depend on the rows alone, so a repeated run over the same partitioning gives the same bytes.
+id or null ids still spread over shards. The number of shards follows from the bytes of all payloads, and
+the keys that part them from rows chosen by a hash: both depend on the rows alone, not on how they lie in
+partitions or on a sample that differs from run to run. Payloads cross the network once: which payloads
+repeat, and under which largest id, is found from digests alone, and that small table meets the payloads
+in the same sort. A shard writes gzip members, one per record, and starts a new file when the compressed
+size reaches ``roll_bytes``. Files are written under names of their own attempt; the manifest of the
+attempts that succeeded says which are renamed, the rest is deleted. Names, headers, record ids and
+digests depend on the rows alone, so a repeated run gives the same files, byte for byte.
 
 Of records with equal payloads of at least ``least_bytes`` bytes, those of the largest page id are
 responses and the others revisits that refer to it; smaller payloads are always responses.
 
 Defined results: a null html counts as an empty payload; a null id is smaller than any other and
-stays null on reading, as does a null url; rows that share id and payload are alike, so if their id is
-the largest all of them are responses; an empty table writes no archive and reads back no rows.
-Further columns are ignored.
+stays null on reading, as does a null url; a url with characters that a URI can't hold is escaped in the
+target header and kept whole beside it; rows that share id and payload stay in one shard and are alike,
+so if their id is the largest all of them are responses; an empty table writes no archive and reads
+back no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import json
 import uuid
 import zlib
 from urllib.parse import quote
@@ -35,6 +39,7 @@ from vitalgrain.llm.common import materialize, open_fs, remove, small_batches, t
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
+URI = "%:/?#[]@!$&'()*+,;=~"
 MANIFEST = "file string, records long, bytes long"
 
 
@@ -60,7 +65,10 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, leader: in
     if page_id is not None:
         headers.append(("X-Page-Id", str(page_id)))
     if url is not None:
-        headers.append(("WARC-Target-URI", quote(url, safe="")))
+        target = quote(url, safe=URI)
+        headers.append(("WARC-Target-URI", target))
+        if target != url:
+            headers.append(("X-Original-URL", quote(url, safe="")))
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     headers.append(("Content-Type", "application/http; msgtype=response"))
     if not revisit:
@@ -69,8 +77,43 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, leader: in
     return _record("revisit", record_id(page_id, digest), headers, http)
 
 
-def write(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, roll_bytes: int = 64 << 20, level: int = 5) -> DataFrame:
-    """Write the archives below ``out``; the committed manifest: file, records, bytes."""
+def shard_bounds(light: DataFrame, shards: int, per_shard: int = 16) -> list[dict]:
+    """Up to ``shards`` - 1 keys that part the rows (id, digest, bytes) into ranges of about equal bytes.
+
+    Rows are chosen by a hash of their key, some ``per_shard`` for each shard; equal keys count as one with their bytes.
+    """
+    if shards < 2:
+        return []
+    every = max(1, light.count() // (shards * per_shard))
+    some = light.where(F.pmod(F.xxhash64("id", "digest"), F.lit(every)) == 0).groupBy("id", "digest").agg(F.sum("bytes").alias("bytes")).collect()
+    rows = sorted((r.id is not None, r.id or 0, bytes(r.digest).hex(), r.bytes) for r in some)
+    total, upto, out = sum(r[3] for r in rows), 0, []
+    for known, page_id, digest, n in rows:
+        if upto * shards >= total * (len(out) + 1) and len(out) < shards - 1:
+            out.append({"known": known, "id": page_id, "digest": digest})
+        upto += n
+    return out
+
+
+def shard_of(bounds: list[dict]):
+    """The number of bounds that lie at or before the row's key, by halving steps."""
+    if not bounds:
+        return F.lit(0)
+    # a literal array, folded once
+    table = F.from_json(F.lit(json.dumps(bounds)), "array<struct<known:boolean,id:bigint,digest:string>>")
+    key = F.struct(F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit(0).cast("long")).alias("id"), F.lower(F.hex("digest")).alias("digest"))
+    steps = F.array(*(F.lit(2**i) for i in reversed(range(len(bounds).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= key, at + step).otherwise(at))
+
+
+def write(
+    pages: DataFrame, out: str, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, roll_bytes: int = 64 << 20, level: int = 5,
+    shard_bytes: int = 32 << 20, most_shards: int = 16_384,
+) -> DataFrame:
+    """Write the archives below ``out``; the committed manifest: file, records, bytes.
+
+    There is a shard for each ``shard_bytes`` of payload, but at most ``most_shards``, which then grow instead.
+    """
     import pyarrow as pa
 
     spark = pages.sparkSession
@@ -78,40 +121,39 @@ def write(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", ht
     rows = pages.select(
         F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("x")
     ).withColumn("digest", F.unhex(F.sha1(F.col("x").cast("binary"))))
-    light = rows.where(F.octet_length("x") >= least_bytes).select("id", "digest")
-    repeated = light.groupBy("digest").agg(F.max("id").alias("leader"), F.count("*").alias("n")).where("n > 1 AND leader IS NOT NULL")
-    marks = light.join(repeated.drop("n"), "digest").where("id IS NULL OR id < leader").select("id", "digest", F.lit(0).alias("kind"), "leader", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("x"))
-    bodies = rows.select("id", "digest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("leader"), "url", "x")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = marks.unionByName(bodies).repartitionByRange(parts, "id", "digest").sortWithinPartitions("id", "digest", "kind", "url")
+    light = materialize(rows.select("id", "digest", F.octet_length("x").cast("long").alias("bytes")), f"{out}/_light")
+    total = light.agg(F.sum("bytes").alias("n")).first().n or 0
+    shards = max(1, min(most_shards, -(-total // shard_bytes)))
+    shard = shard_of(shard_bounds(light, shards)).alias("shard")
+    large = light.where(F.col("bytes") >= least_bytes).select("id", "digest")
+    repeated = large.groupBy("digest").agg(F.max("id").alias("leader"), F.count("*").alias("n")).where("n > 1 AND leader IS NOT NULL")
+    marks = large.join(repeated.drop("n"), "digest").where("id IS NULL OR id < leader").select(shard, "id", "digest", F.lit(0).alias("kind"), "leader", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("x"))
+    bodies = rows.select(shard, "id", "digest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("leader"), "url", "x")
+    ordered = marks.unionByName(bodies).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "id", "digest", "kind", "url")
 
     schema = pa.schema([("temp", pa.string()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 
     def put(batches):
-        from pyspark import TaskContext
-
         fs, base = open_fs(out)
-        part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:8]
+        attempt = uuid.uuid4().hex[:8]
         done: list[dict] = []
-        stream, mark = None, (None, None, None)
+        stream, at, mark = None, None, (None, None, None)
 
         def member(data: bytes) -> int:
             packer = zlib.compressobj(level, zlib.DEFLATED, 31)
             return stream.write(packer.compress(data) + packer.flush())
 
-        def close():
-            stream.close()
-
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("id", "digest", "kind", "leader", "url", "x")]
-            for page_id, digest, kind, leader, link, text in zip(*cols, strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("shard", "id", "digest", "kind", "leader", "url", "x")]
+            for shard, page_id, digest, kind, leader, link, text in zip(*cols, strict=True):
                 if not kind:
                     mark = (page_id, digest, leader)
                     continue
-                if stream is None or done[-1]["bytes"] >= roll_bytes:
+                if stream is None or at[0] != shard or done[-1]["bytes"] >= roll_bytes:
                     if stream is not None:
-                        close()
-                    name = f"part-{part:06d}-{len(done):05d}"
+                        stream.close()
+                    at = (shard, at[1] + 1 if at and at[0] == shard else 0)
+                    name = f"part-{at[0]:06d}-{at[1]:05d}"
                     fs.create_dir(f"{base}/_temporary", recursive=True)
                     done.append({"temp": f"_temporary/{name}.{attempt}", "file": f"{name}.warc.gz", "records": 0, "bytes": 0})
                     stream = fs.open_output_stream(f"{base}/{done[-1]['temp']}", compression=None)
@@ -121,7 +163,7 @@ def write(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", ht
                 done[-1]["bytes"] += member(page_record(page_id, link, text.encode("utf-8", "surrogatepass"), mark[2], revisit))
                 done[-1]["records"] += 1
         if stream is not None:
-            close()
+            stream.close()
         yield pa.RecordBatch.from_pylist(done, schema)
 
     attempts = materialize(ordered.mapInArrow(tidied(put), f"temp string, {MANIFEST}"), f"{out}/_attempts")
@@ -137,6 +179,7 @@ def write(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", ht
     manifest = materialize(attempts.mapInArrow(tidied(commit), MANIFEST), f"{out}/manifest")
     remove(spark, f"{out}/_temporary")
     remove(spark, f"{out}/_attempts")
+    remove(spark, f"{out}/_light")
     return manifest
 
 
@@ -180,7 +223,7 @@ def read(spark: SparkSession, out: str, payloads: bool = False) -> DataFrame:
                             raise ValueError(f"damaged payload in {name}")
                         number = lambda k: int(headers[k]) if k in headers else None
                         row = {
-                            "page_id": number("X-Page-Id"), "url": unquote(headers["WARC-Target-URI"]) if "WARC-Target-URI" in headers else None,
+                            "page_id": number("X-Page-Id"), "url": unquote(headers["X-Original-URL"]) if "X-Original-URL" in headers else headers.get("WARC-Target-URI"),
                             "payload_bytes": len(payload) if response else number("X-Payload-Length"), "payload_digest": digest,
                             "record_type": headers["WARC-Type"], "refers_to": number("X-Refers-To-Page-Id"),
                         }
