@@ -358,7 +358,7 @@ def test_field_tags_what_patterns_miss(spark):
     key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     rows = [(i, f"ka lo mi key {key(40)} nu re so ti va") for i in range(200)]
     field = secret_scan.train(frame(spark, rows))
-    assert secret_scan.Scanner(field).tagged(f"ka lo mi key {key(40).upper()[:39]}g nu re so") in ([], [(4, 5)])
+    assert secret_scan.Scanner(field).tagged(f"ka lo mi key {key(40).upper()[:39]}g nu re so") == [(4, 5)]
     assert secret_scan.Scanner(field).tagged(f"ka lo mi key {key(40)} nu re so") == [(4, 5)]
 
 

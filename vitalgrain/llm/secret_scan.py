@@ -52,6 +52,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VALUE = re.compile(r"[A-Za-z0-9+/_=.-]{8,}")
 QUOTES = "\"'`()[]{}<>"
 WINDOW = 10  # words to either side of a training centre
+PLAIN_EVERY, MIXED_EVERY = 400, 20  # a training window for so many words, and for so many words beyond letters
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -214,10 +215,11 @@ def _windows(texts):
         def add(some, marks, n=len(words), odd=odd, got=got):
             got.append({"words": [w.encode("utf-8", "surrogatepass") for w in some], "labels": marks, "n": n, "odd": odd})
 
-        found = [i for i, l in enumerate(labels) if l == 1][:4]
-        plain = [len(words) // 2, len(words) * 7 // 8]
+        # every secret, and of other places and words more the longer the text is
+        found = [i for i, l in enumerate(labels) if l == 1]
+        plain = rng.sample(range(len(words)), 1 + len(words) // PLAIN_EVERY)
         mixed = [i for i, w in enumerate(words) if labels[i] == 0 and not w.rstrip(".,!?;:").isalpha()]
-        plain += rng.sample(mixed, min(2, len(mixed)))
+        plain += rng.sample(mixed, -(-len(mixed) // MIXED_EVERY))
         for c in found + plain:
             a, b = max(0, c - WINDOW), min(len(words), c + WINDOW + 1)
             doubts = [i for i in range(a, b) if labels[i] == 0 and _doubtful(words[i])]
