@@ -11,10 +11,10 @@ caught, while a chance meeting of placeholders is not.
 Item windows (two longs each) reach the scan as a filter if there are at most ``filter_windows`` of
 them; beyond that the scan passes all windows on. Either way the hits are settled by the same hash
 join, which Spark shuffles if the item side is large. Tokens of a hit travel with it, so that it is
-compared in full; windows of which half or more are placeholders are left out on both sides.
+compared in full. Windows of which half or more are placeholders, and items of fewer than ``least``
+tokens, say too little as templates and have to agree word for word.
 
-Defined results: null and empty texts have no windows; items of fewer than ``least`` tokens are left
-out; ``find`` names no document of a null id, ``remove`` goes by row; repeated items or documents give the result of one; other
+Defined results: null and empty texts have no windows, nor do texts without letters and digits; ``find`` names no document of a null id, ``remove`` goes by row; repeated items or documents give the result of one; other
 columns are ignored; empty tables give no rows.
 """
 
@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrain.llm.common import ROW, small_batches, tidied, with_row
+from vitalgrain.llm.common import ROW, materialize, small_batches, tidied, with_row, work_dir
 
 #: Units that count as a slot behind a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml l s sec min h hr hrs day days week weeks month months year years usd eur mph kmh w kw v a hz c f".split()
@@ -219,11 +219,11 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
                         rows.append({"item_id": k, "hash": h, "size": size, "template": template, "values": values, "part": parts[i]})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    items = (
+    items = materialize(
         benchmark.select(F.col(item_key).cast("long").alias("k"), F.col(item_text).alias("x"))
         .mapInArrow(explode_items, f"item_id long, {kind}")
-        .dropDuplicates(["item_id", "hash", "template", "values", "part"])
-        .cache()
+        .dropDuplicates(["item_id", "hash", "template", "values", "part"]),
+        f"{work_dir(spark, 'items')}/windows",
     )
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most window values
     n_windows = items.count()
