@@ -329,6 +329,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", modulus: int
     kind = "row long, n_tokens long, known long, logs double, inner double, classes binary, tail array<struct<word:binary,times:int>>"
     # ids and flags pass beside the text, so that one scan makes everything
     coded = materialize(_beside(numbered, run, kind), f"{at}/coded")
+    shared.destroy()
     model = train_all(coded.where(~F.col("held_out")).select("h", "classes"), class_counts, code, context, sample_docs)
 
     def scores(batches):
