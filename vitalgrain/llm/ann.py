@@ -107,6 +107,11 @@ def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     )
 
 
+def matrix(lists) -> np.ndarray:
+    """The rows of an Arrow array of lists of one length, as a matrix of its own."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).copy()
+
+
 def _exact(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Cosines of pairs of rows, one pair at a time in the same order of operations."""
     dot = np.einsum("ij,ij->i", queries, rows)
@@ -166,7 +171,7 @@ def search(
     sample = hash_sample(rows, ["id", "v"], sample_rows).toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], EMPTY)
-    x = np.array(sample["v"].to_pylist())
+    x = matrix(sample["v"].combine_chunks())
     x = x[np.lexsort(x.T)]
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     model = fit(x, books=books, words=int(min(128, max(2, len(x) // 4))))
@@ -175,7 +180,7 @@ def search(
 
     def index(batches):
         for batch in batches:
-            v = np.array(batch["v"].to_pylist()).reshape(batch.num_rows, -1)
+            v = matrix(batch["v"])
             if not len(v):
                 continue
             unit = v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -188,7 +193,7 @@ def search(
 
     def visit(batches):
         for batch in batches:
-            v = np.array(batch["v"].to_pylist()).reshape(batch.num_rows, -1)
+            v = matrix(batch["v"])
             if not len(v):
                 continue
             near = lists.order(v / np.linalg.norm(v, axis=1, keepdims=True))[:, : lists.visits]
@@ -215,7 +220,7 @@ def search(
             codes = np.frombuffer(b"".join(known["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             norms = np.maximum(known["norm"].to_numpy()[order], 1e-9).astype(np.float32)
             q, own = wanted["q"].to_numpy(), wanted["id"].to_numpy()
-            v = np.array(wanted["v"].to_pylist())
+            v = matrix(wanted["v"].combine_chunks())
             v /= np.linalg.norm(v, axis=1, keepdims=True)
             for a in range(0, len(q), 128):
                 tables = np.einsum("mwd,qd->mwq", model.words, v[a : a + 128]).astype(np.float32)
@@ -262,7 +267,7 @@ def search(
         for batch in batches:
             values = np.zeros(0)
             if batch.num_rows:
-                values = _exact(*(np.array(batch[c].to_pylist()) for c in ("v", "row")))
+                values = _exact(matrix(batch["v"]), matrix(batch["row"]))
             yield pa.RecordBatch.from_arrays([batch["q"], batch["query_id"], batch["vec_id"], pa.array(values, pa.float64())], ["q", "query_id", "vec_id", "score"])
 
     scored = pairs.select("q", "query_id", "vec_id", "v", "row").mapInArrow(tidied(exact), "q long, query_id long, vec_id long, score double")
