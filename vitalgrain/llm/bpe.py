@@ -301,6 +301,12 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     new = StructType.fromDDL(f"{out} array<int>, {out}_sha256 string")
     rest = [f for f in docs.schema.fields if f.name not in new.names]
     result = StructType([*rest, *new.fields])
+    names = ["_split", *(f.name for f in rest)]
+    columns = [split_column().alias("_split"), *(F.col(f"`{f.name}`") for f in rest)]
+    if text in new.names:  # the text gives way to an output column
+        names.append("_x")
+        columns.append(F.col(text).alias("_x"))
+    x = names.index(text if text not in new.names else "_x")
 
     def apply(batches):
         from itertools import chain
@@ -310,8 +316,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
         if first is None:
             return
         types = [first.schema.field(f.name).type for f in rest]
-        for name, rows in chunked(chain([first], batches), ["_split", "_x", *(f.name for f in rest)], 1, chunk_words):
-            c = Chunk([r[1] for r in rows], split, groups, tokens=True)
+        for name, rows in chunked(chain([first], batches), names, x, chunk_words):
+            c = Chunk([r[x] for r in rows], split, groups, tokens=True)
             counts, values = np.zeros(0, np.int64), np.zeros(0, np.uint32)
             if c.words:
                 data = np.frombuffer(zlib.decompress(load_file(f"{at}/answers", chunk_file(name))), np.uint32)
@@ -327,13 +333,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
                 ids = gather(values, starts[place], n)
                 ends = np.concatenate([[0], np.cumsum(n)])[bounds[i : i + len(part) + 1] - bounds[i]]
                 made = [
-                    *(pa.array([r[2 + k] for r in part], t) for k, t in enumerate(types)),
+                    *(pa.array([r[1 + k] for r in part], t) for k, t in enumerate(types)),
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))),
                     pa.array([hashlib.sha256(ids[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]),
                 ]
                 yield pa.RecordBatch.from_arrays(made, result.names)
 
-    return docs.select(split_column().alias("_split"), F.col(text).alias("_x"), *(f.name for f in rest)).mapInArrow(tidied(apply), result)
+    return docs.select(*columns).mapInArrow(tidied(apply), result)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

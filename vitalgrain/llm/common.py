@@ -10,23 +10,42 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the cluster names no shared folder, as in tests on one machine.
+#: Used only where the cluster names no shared folder and everything runs on one machine, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local master may do without that setting."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{LOCAL_CHECKPOINTS}/{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(shutil.rmtree, found[7:], ignore_errors=True)
     return found.rstrip("/")
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder of its own below the shared one."""
-    return f"{shared_dir(spark)}/vitalgrain/{name}-{uuid.uuid4().hex[:12]}"
+    made = f"{shared_dir(spark)}/vitalgrain/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(made)
+    return made
+
+
+def made_folders() -> list[str]:
+    """The work folders made so far."""
+    return list(_MADE)
+
+
+def remove_unread(spark: SparkSession, folders: list[str], df: DataFrame) -> list[str]:
+    """Delete the folders of which ``df`` reads nothing; the others."""
+    read = df.inputFiles() if folders else []
+    kept = [x for x in folders if any(x.split(":", 1)[-1].lstrip("/") in f for f in read)]
+    for path in folders:
+        if path not in kept:
+            remove(spark, path)
+    return kept
 
 
 def remove(spark: SparkSession, path: str) -> None:
