@@ -170,6 +170,15 @@ def test_substring_dedup(spark, tmp_path, options):
     assert substring_dedup.dedup(empty(spark)).count() == 0
 
 
+def test_prefixes_are_as_long_as_it_takes(spark):
+    texts = ["a b c d e f"] * 5 + ["a b x d e"] * 3 + ["a y z d e"] * 2 + ["q r s t u"]
+    rows = spark.createDataFrame([(t.encode(),) for t in texts], "right binary")
+    want = Counter({"a b c d e": 5, "a b x": 3, "a y": 2, "q": 1})
+    for most in (100, 0):  # as a set, and joined
+        at = substring_dedup.work_dir(spark, "test")
+        assert Counter(r.prefix for r in substring_dedup.with_prefix(rows, 3, at, most).collect()) == want
+
+
 def test_substring_dedup_of_a_path_read_twice(spark, tmp_path):
     rows = corpus(n=10)
     frame(spark, rows).write.parquet(f"{tmp_path}/d")

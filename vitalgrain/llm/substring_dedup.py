@@ -245,7 +245,7 @@ def tree_rows(batches, window: int, most: int = 8_000):
 def with_prefix(rows: DataFrame, group_size: int, at: str, most: int = 10_000) -> DataFrame:
     """Adds ``prefix``: as many of the suffix's first words as it takes until at most ``group_size`` rows share them, or SEED.
 
-    Large prefixes are broadcast up to ``most`` of them, and joined by a shuffle beyond.
+    Up to ``most`` large prefixes of a length stand in the plan as a set; beyond that they are joined.
     """
     words = lambda k: F.substring_index(F.col("right").cast("string"), " ", k)
     rows = rows.withColumn("depth", F.lit(1))
@@ -255,8 +255,10 @@ def with_prefix(rows: DataFrame, group_size: int, at: str, most: int = 10_000) -
         n = large.count()
         if not n:
             break
-        large = F.broadcast(large) if n <= most else large
-        rows = rows.join(large, (F.col("depth") == k) & (words(k) == F.col("large")), "left").withColumn("depth", F.when(F.col("large").isNotNull(), k + 1).otherwise(F.col("depth"))).drop("large")
+        is_large = words(k).isin([r.large for r in large.collect()]) if n <= most else F.col("large").isNotNull()
+        if n > most:
+            rows = rows.join(large, (F.col("depth") == k) & (words(k) == F.col("large")), "left")
+        rows = rows.withColumn("depth", F.when((F.col("depth") == k) & is_large, k + 1).otherwise(F.col("depth"))).drop("large")
     return rows.withColumn("prefix", F.expr("substring_index(cast(right as string), ' ', depth)")).drop("depth")
 
 
