@@ -68,7 +68,7 @@ def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     # smaller chunks than the operator's own, as the workers' memory also holds what earlier stages left
-    coded = bpe.decode(bpe.encode(docs, path, pattern, chunk_words=500_000), path)
+    coded = bpe.encode(docs, path, pattern, decoded="decoded", chunk_words=500_000)
     return coded.select("doc_id", F.col("decoded").cast("string").alias("text"), "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

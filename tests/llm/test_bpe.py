@@ -16,9 +16,12 @@ def test_matches_the_library_and_round_trips(spark, tmp_path):
     own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
     df = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(TEXTS)], "doc_id long, text string, words string")
     df.write.parquet(f"{tmp_path}/docs")
-    for docs in (df, spark.read.parquet(f"{tmp_path}/docs")):
-        rows = bpe.decode(bpe.encode(docs, PATH, PATTERN, chunk_words=2), PATH).collect()
-        assert len(rows) == len(TEXTS)
+    read = spark.read.parquet(f"{tmp_path}/docs")
+    twice = spark.read.parquet(f"{tmp_path}/docs", f"{tmp_path}/docs")
+    for docs, coded in ((df, None), (read, None), (read, "decoded"), (twice, "decoded")):
+        rows = bpe.encode(docs, PATH, PATTERN, decoded=coded, chunk_words=2)
+        rows = (rows if coded else bpe.decode(rows, PATH)).collect()
+        assert len(rows) == len(TEXTS) * (2 if docs is twice else 1)
         for r in rows:
             text = TEXTS[r.doc_id] or ""
             want = own.encode_ordinary(text)

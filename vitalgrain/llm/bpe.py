@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrain.llm.common import chunk_file, chunked, load_file, materialize, rereadable, save_file, small_batches, split_column, tidied, tidy, work_dir
+from vitalgrain.llm.common import chunk_file, chunked, load_file, materialize, rereadable, save_file, small_batches, split_column, tidied, tidied_result, tidy, work_dir
 
 SHIFT = 17  # ids are below 2**17
 MASK = 2**SHIFT - 1
@@ -228,8 +228,11 @@ def gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.nda
     return values[np.repeat(starts - ends + counts, counts) + np.arange(int(counts.sum()))]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", group_words: int = 500_000, chunk_words: int = 1_200_000) -> DataFrame:
-    """Adds ``out``, the ids of ``text``, with ``out``_sha256, the digest of the ids as little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", decoded: str | None = None, group_words: int = 500_000, chunk_words: int = 1_200_000) -> DataFrame:
+    """Adds ``out``, the ids of ``text``, with ``out``_sha256, the digest of the ids as little-endian unsigned 32-bit integers.
+
+    With ``decoded`` the ids are decoded again in the same pass, as ``decode`` would, into a column of that name.
+    """
     import pyarrow as pa
     from pyspark.sql.types import StructType
 
@@ -266,7 +269,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
 
     def unite(rows):
         words = sorted(set().union(*map(unpack_words, rows["words"].to_pylist())))
-        return pa.table({"g": pa.array([rows["g"][0].as_py()], pa.int32()), "w": pa.array([[w.decode("utf-8", "surrogatepass") for w in words]], pa.list_(pa.string()))})
+        return tidied_result(pa.table({"g": pa.array([rows["g"][0].as_py()], pa.int32()), "w": pa.array([[w.decode("utf-8", "surrogatepass") for w in words]], pa.list_(pa.string()))}))
 
     united = sent.groupBy("g").applyInArrow(unite, "g int, w array<string>")
     folded = united.select("g", "w", tokenizer.folded(F.col("w")).alias("ids"))
@@ -281,7 +284,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
             i = np.fromiter(map(place.__getitem__, unpack_words(data)), np.int64)
             n = (offsets[i + 1] - offsets[i]).astype(np.int64)
             packed.append(zlib.compress(np.uint32(len(n)).tobytes() + n.astype(np.uint32).tobytes() + gather(values, offsets[i], n).tobytes(), 1))
-        return pa.table({"chunk": asked["chunk"], "g": asked["g"], "ids": pa.array(packed, pa.binary())})
+        del place, ids, values
+        return tidied_result(pa.table({"chunk": asked["chunk"], "g": asked["g"], "ids": pa.array(packed, pa.binary())}))
 
     answers = sent.groupBy("g").cogroup(folded.groupBy("g")).applyInArrow(answer, "chunk string, g int, ids binary")
 
@@ -298,7 +302,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
 
     answers.groupBy("chunk").applyInArrow(save, "chunk string").write.parquet(f"{at}/saved")
 
-    new = StructType.fromDDL(f"{out} array<int>, {out}_sha256 string")
+    new = StructType.fromDDL(f"{out} array<int>, {out}_sha256 string" + (f", {decoded} binary" if decoded else ""))
+    back = Decoder(tokenizer.ranks) if decoded else None
     rest = [f for f in docs.schema.fields if f.name not in new.names]
     result = StructType([*rest, *new.fields])
     names = ["_split", *(f.name for f in rest)]
@@ -334,37 +339,50 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
                 ends = np.concatenate([[0], np.cumsum(n)])[bounds[i : i + len(part) + 1] - bounds[i]]
                 made = [
                     *(pa.array([r[1 + k] for r in part], t) for k, t in enumerate(types)),
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))),
+                    lists := pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))),
                     pa.array([hashlib.sha256(ids[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]),
                 ]
+                if back:
+                    made.append(back(lists))
                 yield pa.RecordBatch.from_arrays(made, result.names)
 
     return docs.select(*columns).mapInArrow(tidied(apply), result)
 
 
+class Decoder:
+    """Lists of ids -> the bytes that they stand for, piece by piece."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.pieces = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.pieces[rank] = token
+        self.table = None  # made where it is used
+
+    def __call__(self, lists):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if self.table is None:
+            self.table = pa.array(self.pieces, pa.binary())
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+        taken = self.table.take(lists.flatten())
+        edges = np.frombuffer(taken.buffers()[1], np.int32)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int32)
+        data = taken.buffers()[2] if len(taken) else pa.py_buffer(b"")
+        return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(edges[ends])), data])
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds ``out``: the bytes that the ids stand for, piece by piece. A null list decodes to nothing."""
     import pyarrow as pa
-    import pyarrow.compute as pc
     from pyspark.sql.types import BinaryType, StructField, StructType
 
-    ranks = load_ranks(path)
-    pieces = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        pieces[rank] = token
+    back = Decoder(load_ranks(path))
     rest = [f for f in df.schema.fields if f.name != out]
     result = StructType([*rest, StructField(out, BinaryType())])
 
     def run(batches):
-        table = pa.array(pieces, pa.binary())
         for batch in batches:
-            lists = batch.column(ids)
-            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
-            taken = table.take(lists.flatten())
-            edges = np.frombuffer(taken.buffers()[1], np.int32)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int32)
-            data = taken.buffers()[2] if len(taken) else pa.py_buffer(b"")
-            made = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(edges[ends])), data])
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), made], result.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), back(batch.column(ids))], result.names)
 
     small_batches(df.sparkSession, 500)
     return df.mapInArrow(tidied(run), result)

@@ -108,6 +108,12 @@ def tidied(f):
     return run
 
 
+def tidied_result(result):
+    """``result``, after giving back what a group of some size has held."""
+    tidy()
+    return result
+
+
 def tidy() -> None:
     import ctypes
     import gc

@@ -30,7 +30,10 @@ from pyspark.sql import functions as F
 from vitalgrain.llm.common import ROW, materialize, small_batches, tidied, with_row, work_dir
 
 #: Units that count as a slot behind a number.
-UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml l s sec min h hr hrs day days week weeks month months year years usd eur mph kmh w kw v a hz c f".split()
+UNITS = (
+    "mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "oz", "lb", "ml", "l", "s", "sec", "min", "h", "hr", "hrs", "day", "days",
+    "week", "weeks", "month", "months", "year", "years", "usd", "eur", "mph", "kmh", "w", "kw", "v", "a", "hz", "c", "f",
+)
 PLAIN, NUMBER, NAME, UNIT = range(4)
 MARKS = ("", "<number>", "<name>", "<unit>")
 RAW = 2  # the form of a window that has its tokens as they are

@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrain.llm.common import chunk_file, chunked, load_file, materialize, rereadable, save_file, small_batches, split_column, tidied, work_dir
+from vitalgrain.llm.common import chunk_file, chunked, load_file, materialize, rereadable, save_file, small_batches, split_column, tidied, tidied_result, work_dir
 
 LEAST_ID = -(2**63)
 SEED = 5  # words of an anchor's hash, and of the longest prefix that splits groups
@@ -296,10 +296,10 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int
         parts = [unpack(x.as_py()) for x in rows["leaves"]]
         flags = several(parts)
         g = rows["g"][0].as_py()
-        return pa.table({
+        return tidied_result(pa.table({
             "chunk": names, "g": pa.array([g] * len(names), pa.int32()), "n": pa.array([len(p) for p in parts], pa.int64()),
             "total": pa.array([int(p.sum(dtype=np.uint64).astype(np.int64)) for p in parts], pa.int64()), "bits": pa.array([np.packbits(f).tobytes() for f in flags], pa.binary()),
-        })
+        }))
 
     def save(key_, rows):
         """One file per chunk with its answers in order of groups."""
