@@ -101,6 +101,78 @@ def test_drug_classes(spark):
     assert drug_classes.drugs(drug_classes.drug_rows(found, classes)).count() == 2
 
 
+def test_member_layouts(spark):
+    inner = {"rxcui": "7", "name": "Inner", "tty": "IN"}
+    bodies = [
+        {"rxclassDrugInfoList": {"rxclassDrugInfo": [{"minConceptItem": inner}, {"drugMember": {"rxcui": "8", "name": "Own", "tty": "IN"}}, {"rxclassMinConcept": {"rxcui": "9", "name": ""}}]}},
+        {"drugMemberGroup": {"drugMember": [{"rxcui": "10", "name": "Direct"}]}}, {"drugMemberGroup": {"drugMember": []}, "rxclassMinConceptList": {"rxclassMinConcept": [inner]}}, {}, "no object",
+    ]
+    found = drug_classes.members(spark.createDataFrame([(f"A{i}", json.dumps(b)) for i, b in enumerate(bodies)] + [("none", None)], "atc_code string, body string"))
+    assert {(r.atc_code, r.rxcui, r.name) for r in found.collect()} == {("A0", "7", "Inner"), ("A0", "8", "Own"), ("A1", "10", "Direct"), ("A2", "7", "Inner")}
+
+
+def test_rest_source_and_extract(spark):
+    """A local server that fails the first time it is asked for an address, and knows one class by ingredients and one only whole."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlsplit
+
+    node = lambda code, name, kids=(): {"rxclassMinConceptItem": {"classId": code, "className": name}, "rxclassTree": list(kids)}
+    deep = node("A10BB", "Deep")
+    for i in range(12):  # a tree of more levels than the classification has
+        deep = node(f"x{i}", "filler", [deep])
+    tree = {"rxclassTree": [node("A", "Alimentary", [node("A10", "Diabetes", [node("A10B", "Oral", [node("A10BA", "Biguanides")])]), deep])]}
+    seen, asked = set(), []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            url = urlsplit(self.path)
+            q = parse_qs(url.query)
+            asked.append(self.path)
+            if self.path not in seen:
+                seen.add(self.path)
+                return self.send_error(503)
+            member = lambda i, t: {"minConcept": {"rxcui": i, "name": f"drug {i}", "tty": t}}
+            body = tree if url.path.endswith("classTree.json") else {"A10BA": {"drugMemberGroup": {"drugMember": [member("1", "IN")]}}, "A10BB": {} if "ttys" in q else {"drugMemberGroup": {"drugMember": [member("2", "BN")]}}}[q["classId"][0]]
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        base = f"http://127.0.0.1:{server.server_port}"
+        got = drug_classes.extract(spark, base, ("A",), delay=0.0)
+        assert {(r.ingredient_rxcui, r.atc_code, r.therapeutic_class_l2, r.drug_class_l3) for r in got.collect()} == {("1", "A10BA", "Diabetes", "Oral"), ("2", "A10BB", "Diabetes", "Oral")}
+        gone = drug_classes.rest(spark, ["http://127.0.0.1:9/none"], delay=0.0, retries=0).collect()
+        assert [(r.url, r.body) for r in gone] == [("http://127.0.0.1:9/none", None)]
+    finally:
+        server.shutdown()
+    assert any("ttys=IN" in a for a in asked) and any("classType=ATC1-4" in a for a in asked)
+
+
+def test_ingested_types_are_read_alone(resources, tmp_path):
+    """A transform over ingested resources scans the folder of its type only, and gives the same rows."""
+    stored = fhir.ingest(resources, f"{tmp_path}/raw")
+    plan = fhir.transform(stored)["conditions"]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(resource_type" in plan and "resource_type#" in plan
+    for table, rows in fhir.transform(stored).items():
+        assert sorted(map(str, rows.collect())) == sorted(map(str, fhir.transform(resources)[table].collect()))
+    assert fhir.ingestion_name("allergies") == "allergyintolerances" and fhir.final_name("claims") == "claims"
+
+
+def test_long_reports_stay_whole(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("short",), ("w" * 30,), ("long " * 400,)], "t string")
+    got = [r.s for r in df.select(fhir.clinical_summary(F.col("t")).alias("s")).collect()]
+    assert got == [None, "w" * 30, ("long " * 400).strip()]
+    assert df.select(fhir.clinical_summary(F.col("t"), lambda c: F.upper(F.substring(c, 1, 4))).alias("s")).collect()[2].s == "LONG"
+
+
 def test_synthetic_bundles(spark, tmp_path):
     from vitalgrain.sources import synthetic
 

@@ -71,6 +71,65 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/log").count() == 2
 
 
+def test_a_swap_that_fails_loses_nothing(spark, tmp_path, monkeypatch):
+    at = f"{tmp_path}/t"
+    spark.range(3).write.parquet(at)
+    with pytest.raises(FileNotFoundError):
+        sinks.swap(spark, f"{tmp_path}/absent", at)
+    assert spark.read.parquet(at).count() == 3
+    spark.range(5).write.parquet(f"{tmp_path}/new")
+    real = sinks._hadoop
+
+    class Stubborn:
+        """A file system whose n-th rename reports failure without an exception."""
+
+        def __init__(self, fs, n):
+            self.fs, self.n = fs, n
+
+        def rename(self, a, b):
+            self.n -= 1
+            return False if self.n == 0 else self.fs.rename(a, b)
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    for n in (1, 2):
+        monkeypatch.setattr(sinks, "_hadoop", lambda s, p, box=Stubborn(real(spark, at)[1], n): (real(s, p)[0], box))
+        with pytest.raises(OSError):
+            sinks.swap(spark, f"{tmp_path}/new", at)
+        assert spark.read.parquet(at).count() == 3 and spark.read.parquet(f"{tmp_path}/new").count() == 5
+    monkeypatch.setattr(sinks, "_hadoop", real)
+    sinks.swap(spark, f"{tmp_path}/new", at)
+    assert spark.read.parquet(at).count() == 5 and [p.name for p in tmp_path.iterdir() if "old" in p.name or "new" in p.name] == []
+
+
+def test_rate_limit_stream_over_files_and_frames(spark, tmp_path):
+    """Requests that come unordered within a micro-batch, in frames of one row, with the state carried on over batches."""
+    times = [0, 1, 2, 30, 59.5, 60, 61, 62, 90, 119, 120.5, 121]
+    for some in (times[:6], times[6:]):
+        rows = [(k, T0 + timedelta(seconds=t)) for k in ("a", "b") for t in reversed(some)]
+        spark.createDataFrame(rows, "who string, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    got = []
+    try:
+        stream = stateful.file_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
+        stateful.run_available(stateful.rate_limit(stream, "who", "ts", 3, 60.0), f"{tmp_path}/c", lambda d, _: got.extend(d.collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = brute_limit([T0 + timedelta(seconds=t) for t in times], 3, 60.0)
+    for k in "ab":
+        assert [r.allowed for r in sorted((r for r in got if r.key == k), key=lambda r: r.ts)] == want
+
+
+def test_examples_come_in_order(spark):
+    from vitalgrain.operators import analytics
+
+    df = spark.createDataFrame([(k, n) for k, c in (("x", 3), ("y", 9), ("z", 5), ("w", 5), ("one", 1)) for n in [f"n{i % 7}" for i in range(c)]] + [(None, "n")], "k string, n string")
+    got = [(r.group_key, r["count"], r.examples) for r in analytics.with_examples(df, "k", "n", 2, 3, 2).collect()]
+    assert got == [("y", 9, ["n0", "n1"]), ("w", 5, ["n0", "n1"]), ("z", 5, ["n0", "n1"])]
+
+
 def test_masks_nest_and_repeat(spark):
     df = spark.createDataFrame([("1", "Ann", ("Ames", "secret"))], "patient_id string, first_name string, details struct<city:string,ssn:string>")
     once = governance.mask(df, "read_only")
@@ -117,7 +176,12 @@ def test_p95_by_index(spark):
     for n in (1, 2, 19, 20, 21, 400):
         values = [float((i * 37) % n) for i in range(n)]
         df = spark.createDataFrame([(v,) for v in values], "ms double").withColumn("success", F.lit(True))
-        assert observe.performance_report(df, "ms").first().p95 == sorted(values)[min(int(n * 0.95), n - 1)]
+        for cells, most in ((1_000, 10_000), (3, 2)):  # also found by cutting ranges again
+            assert observe._p95(df, "ms", cells, most).first().p95 == sorted(values)[min(int(n * 0.95), n - 1)]
+    odd = [1.0, 2.0, 1e300, -1e300, float("inf"), 3.0, float("nan")] + [float(i) / 7 for i in range(40)]
+    df = spark.createDataFrame([(v,) for v in odd + [None]], "ms double")
+    want = sorted(odd, key=lambda v: (v != v, v))[int(len(odd) * 0.95)]
+    assert observe._p95(df, "ms", 3, 2).first().p95 == want
 
 
 def test_lookup_keeps_rows_without_match(spark):

@@ -13,29 +13,29 @@ from pyspark.sql import functions as F
 from vitalgrain.functions.errors import ValidationError
 
 #: Operators and patterns that never come from user input.
-DANGEROUS_OPERATORS = frozenset(
-    "$where $regex $expr $function $accumulator $let $reduce $map $filter $lookup $unionWith $out $merge "
-    "$replaceRoot $addFields $project $match $group $sort $limit $skip $count $facet $bucket $bucketAuto $sortByCount".split()
-)
+DANGEROUS_OPERATORS = frozenset((
+    "$where", "$regex", "$expr", "$function", "$accumulator", "$let", "$reduce", "$map", "$filter", "$lookup", "$unionWith", "$out", "$merge",
+    "$replaceRoot", "$addFields", "$project", "$match", "$group", "$sort", "$limit", "$skip", "$count", "$facet", "$bucket", "$bucketAuto",
+    "$sortByCount",
+))
 DANGEROUS_PATTERNS = (r"\.\.", r"[\x00-\x1F\x7F-\x9F]", r"(?i)<script", r"(?i)javascript:")
 #: Fields that a query may name.
-ALLOWED_FIELDS = frozenset(
-    "patient_id first_name last_name city state address.city address.state birth_date gender medication_name condition_name "
-    "insurance_provider claim_amount procedure_name observation_type test_name value unit prescribed_date performed_date "
-    "administration_date onset_date status verification_status severity encounter_type visit_reason location provider drug_name "
-    "therapeutic_class drug_class drug_subclass rxcui ingredient_rxcui group_by min_count limit".split()
-)
+ALLOWED_FIELDS = frozenset((
+    "patient_id", "first_name", "last_name", "city", "state", "address.city", "address.state", "birth_date", "gender", "medication_name",
+    "condition_name", "insurance_provider", "claim_amount", "procedure_name", "observation_type", "test_name", "value", "unit", "prescribed_date",
+    "performed_date", "administration_date", "onset_date", "status", "verification_status", "severity", "encounter_type", "visit_reason", "location",
+    "provider", "drug_name", "therapeutic_class", "drug_class", "drug_subclass", "rxcui", "ingredient_rxcui", "group_by", "min_count", "limit",
+))
 #: State names and their codes.
-STATE_CODES = dict(
-    pair.split("=")
-    for pair in (
-        "alabama=AL,alaska=AK,arizona=AZ,arkansas=AR,california=CA,colorado=CO,connecticut=CT,delaware=DE,florida=FL,georgia=GA,hawaii=HI,"
-        "idaho=ID,illinois=IL,indiana=IN,iowa=IA,kansas=KS,kentucky=KY,louisiana=LA,maine=ME,maryland=MD,massachusetts=MA,michigan=MI,"
-        "minnesota=MN,mississippi=MS,missouri=MO,montana=MT,nebraska=NE,nevada=NV,new hampshire=NH,new jersey=NJ,new mexico=NM,new york=NY,"
-        "north carolina=NC,north dakota=ND,ohio=OH,oklahoma=OK,oregon=OR,pennsylvania=PA,rhode island=RI,south carolina=SC,south dakota=SD,"
-        "tennessee=TN,texas=TX,utah=UT,vermont=VT,virginia=VA,washington=WA,west virginia=WV,wisconsin=WI,wyoming=WY,district of columbia=DC"
-    ).split(",")
-)
+STATE_CODES = {
+    "alabama": "AL", "alaska": "AK", "arizona": "AZ", "arkansas": "AR", "california": "CA", "colorado": "CO", "connecticut": "CT", "delaware": "DE",
+    "florida": "FL", "georgia": "GA", "hawaii": "HI", "idaho": "ID", "illinois": "IL", "indiana": "IN", "iowa": "IA", "kansas": "KS",
+    "kentucky": "KY", "louisiana": "LA", "maine": "ME", "maryland": "MD", "massachusetts": "MA", "michigan": "MI", "minnesota": "MN",
+    "mississippi": "MS", "missouri": "MO", "montana": "MT", "nebraska": "NE", "nevada": "NV", "new hampshire": "NH", "new jersey": "NJ",
+    "new mexico": "NM", "new york": "NY", "north carolina": "NC", "north dakota": "ND", "ohio": "OH", "oklahoma": "OK", "oregon": "OR",
+    "pennsylvania": "PA", "rhode island": "RI", "south carolina": "SC", "south dakota": "SD", "tennessee": "TN", "texas": "TX", "utah": "UT",
+    "vermont": "VT", "virginia": "VA", "washington": "WA", "west virginia": "WV", "wisconsin": "WI", "wyoming": "WY", "district of columbia": "DC",
+}
 
 
 def equals(field: str, value) -> Column | None:

@@ -14,6 +14,17 @@ VITAL_WORDS = ("blood pressure", "heart rate", "temperature", "weight", "height"
 #: Hosts and prefixes of terminologies, which are no medical text.
 CODE_PREFIXES = ("http://", "https://", "urn:")
 CODE_HOSTS = ("snomed.info", "loinc.org", "hl7.org", "terminology.")
+#: The shapes of e-mail addresses, ids and names, the longest id or name, and what a short session id shows as.
+EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
+ID = r"^[a-zA-Z0-9\-_]+$"
+NAME = r"^[a-zA-Z0-9 \t\n\r\f\-']+$"
+LONGEST_NAME = 100
+INVALID_SESSION = "[INVALID]"
+#: Words in a function's name that tell its resource, in this order.
+RESOURCE_WORDS = (("patient", "patient"), ("condition", "condition|diagnos"), ("medication", "medication|drug"), ("financial", "financial|billing|claim"), ("audit", "audit|log"))
+#: Points of the complexity score, its least and most.
+PHI_POINTS, AGGREGATE_POINTS, PROJECTION_POINTS, SMALL_LIMIT_POINTS = 2, 3, 1, -1
+MOST_DEPTH_POINTS, MOST_STAGE_POINTS, SMALL_LIMIT, LEAST_SCORE, MOST_SCORE = 3, 3, 100, 0, 10
 #: Code -> label of the clean layer; the empty key is the default.
 LABELS = {
     "allergy_category": {"food": "food", "medication": "medication", "environment": "environment", "biologic": "biologic", "": "environment"},
@@ -92,7 +103,27 @@ def mask_value(text: Column) -> Column:
 
 
 def mask_session(text: Column) -> Column:
-    return F.when(F.length(text) >= 8, F.concat(F.substring(text, 1, 4), F.lit("..."), F.substring(text, -4, 4))).otherwise("[INVALID]")
+    return F.when(F.length(text) >= 8, F.concat(F.substring(text, 1, 4), F.lit("..."), F.substring(text, -4, 4))).otherwise(INVALID_SESSION)
+
+
+def fallback_id(patient_id: Column, row_id: Column) -> Column:
+    return F.coalesce(blank_to_null(patient_id), row_id)
+
+
+def filled(template: str, **values: Column) -> Column:
+    """The template with each {name} replaced by a value; null values are empty."""
+    import re
+
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(F.coalesce(values[p].cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)))
+
+
+def state_code(state: Column) -> Column:
+    """As ``filters.normalize_state``, for a column."""
+    from vitalgrain.functions.filters import STATE_CODES
+
+    table, name = F.create_map(*(F.lit(x) for pair in STATE_CODES.items() for x in pair)), F.trim(state)
+    return F.coalesce(F.element_at(table, F.lower(name)), F.when(F.length(name) == 2, F.upper(name)).otherwise(state))
 
 
 def shorten(text: Column, most: int = 50) -> Column:
@@ -106,21 +137,21 @@ def dangerous(text: Column) -> Column:
 
 
 def is_email(text: Column) -> Column:
-    return text.rlike(r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$")
+    return text.rlike(EMAIL)
 
 
 def is_id(text: Column) -> Column:
-    return text.rlike(r"^[a-zA-Z0-9\-_]+$") & (F.length(text) <= 100)
+    return text.rlike(ID) & (F.length(text) <= LONGEST_NAME)
 
 
 def is_name(text: Column) -> Column:
-    return text.rlike(r"^[a-zA-Z0-9 \t\n\r\f\-']+$") & (F.length(text) <= 100)
+    return text.rlike(NAME) & (F.length(text) <= LONGEST_NAME)
 
 
 def resource_type_of(name: Column) -> Column:
     """The kind of resource that a function's name speaks of; the first that fits."""
     low, out = F.lower(name), F
-    for kind, words in (("patient", "patient"), ("condition", "condition|diagnos"), ("medication", "medication|drug"), ("financial", "financial|billing|claim"), ("audit", "audit|log")):
+    for kind, words in RESOURCE_WORDS:
         out = out.when(low.rlike(words), kind)
     return out.otherwise("unknown")
 
@@ -220,10 +251,10 @@ def complexity_score(contains_phi: Column, depth: Column, query_type: Column, st
     """0 to 10: personal data, nesting, stages and projection add to it, a small limit takes from it."""
     aggregate = query_type == "aggregate"
     score = (
-        F.when(contains_phi, 2).otherwise(0)
-        + F.least(depth, F.lit(3))
-        + F.when(aggregate, 3 + F.least(F.coalesce(stages, F.lit(0)), F.lit(3))).otherwise(0)
-        + F.when(has_projection, 1).otherwise(0)
-        - F.when((limit > 0) & (limit < 100), 1).otherwise(0)
+        F.when(contains_phi, PHI_POINTS).otherwise(0)
+        + F.least(depth, F.lit(MOST_DEPTH_POINTS))
+        + F.when(aggregate, AGGREGATE_POINTS + F.least(F.coalesce(stages, F.lit(0)), F.lit(MOST_STAGE_POINTS))).otherwise(0)
+        + F.when(has_projection, PROJECTION_POINTS).otherwise(0)
+        + F.when((limit > 0) & (limit < SMALL_LIMIT), SMALL_LIMIT_POINTS).otherwise(0)
     )
-    return F.greatest(F.lit(0), F.least(F.lit(10), score)).cast("int")
+    return F.greatest(F.lit(LEAST_SCORE), F.least(F.lit(MOST_SCORE), score)).cast("int")

@@ -1,7 +1,7 @@
 """Grouped analytics over clinical entities.
 
-Every limit has a total order. Example arrays are made only for the groups that survive the limit:
-the top groups are found first and the rows of just these are collected (see ``with_examples``).
+Every limit has a total order. Example arrays hold a few names per group, cut before anything is
+collected (see ``with_examples``).
 """
 
 from __future__ import annotations
@@ -37,15 +37,16 @@ def conditions_by_name(conditions: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def conditions_by_demographics(conditions: DataFrame, patients: DataFrame, as_of: str, limit: int = 50) -> DataFrame:
-    """Inner join with patients; the join strategy is left to sizes at run time."""
+    """Inner join with patients, of conditions that are counted per patient and name before; the join strategy is left to sizes at run time."""
     people = patients.select("patient_id", "gender", "race", "ethnicity", S.age_group(S.age(F.col("birth_date"), as_of)).alias("age_group"))
+    counted = conditions.groupBy("patient_id", "condition_name").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "active").alias("active"))
     keys = ["gender", "race", "ethnicity", "age_group"]
     return top(
-        conditions.join(people, "patient_id").groupBy(*keys).agg(
-            F.count("*").alias("condition_count"),
+        counted.join(people, "patient_id").groupBy(*keys).agg(
+            F.sum("n").alias("condition_count"),
             F.count_distinct("condition_name").alias("unique_conditions"),
             F.count_distinct("patient_id").alias("patient_count"),
-            F.count_if(F.col("status") == "active").alias("active_count"),
+            F.sum("active").alias("active_count"),
         ),
         [F.desc("condition_count"), *map(F.asc, keys)],
         limit,
@@ -110,20 +111,20 @@ def financial_by_month(claims: DataFrame, limit: int = 50) -> DataFrame:
 
 
 # ---- groups with examples ----
-def with_examples(df: DataFrame, key: str, name: str, min_count: int = 1, limit: int = 50, examples: int = 5) -> DataFrame:
-    """Groups by count with the first names of each: the top groups first, then rows of these alone.
+def with_examples(df: DataFrame, key: str, name: str, min_count: int = 1, limit: int | None = 50, examples: int = 5) -> DataFrame:
+    """Groups by count, largest first, with the first names of each.
 
-    Names are reduced to distinct ones, ranked and cut before anything is collected, so that a large
-    group never becomes a large array.
+    Rows are counted per group and name once; counts and names both come from that. Names are ranked and
+    cut before they are shuffled and collected, so a large group becomes neither a large task nor a large array.
     """
     from pyspark.sql import Window
 
-    rows = df.where(F.col(key).isNotNull())
-    groups = top(rows.groupBy(key).agg(F.count("*").alias("count")).where(F.col("count") >= min_count), [F.desc("count"), F.asc(key)], limit)
-    names = rows.join(F.broadcast(groups.select(key)), key, "left_semi").select(key, name).distinct()  # at most ``limit`` keys
-    ranked = names.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(name))).where(F.col("n") <= examples)
-    lists = ranked.groupBy(key).agg(F.sort_array(F.collect_list(name)).alias("examples"))
-    return groups.join(lists, key).select(F.col(key).alias("group_key"), "count", "examples")
+    names = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("group_key"), F.col(name).alias("_name")).agg(F.count("*").alias("_n"))
+    order = [F.desc("count"), F.asc("group_key")]
+    groups = top(names.groupBy("group_key").agg(F.sum("_n").alias("count")).where(F.col("count") >= min_count), order, limit)
+    first = names.withColumn("_at", F.row_number().over(Window.partitionBy("group_key").orderBy(F.asc_nulls_last("_name")))).where(F.col("_at") <= examples)
+    lists = first.groupBy("group_key").agg(F.sort_array(F.collect_list("_name")).alias("examples"))
+    return groups.join(lists, "group_key").select("group_key", "count", "examples").orderBy(*order)
 
 
 # ---- generic record queries and patterns ----
@@ -142,10 +143,11 @@ def prevalence(conditions: DataFrame, patients: DataFrame, name: str | None = No
     """Distinct patients per condition over all patients."""
     from vitalgrain.functions import filters as L
 
-    total = patients.agg(F.count_distinct("patient_id").alias("population"))
+    total = patients.agg(F.count_distinct("patient_id").alias("population"))  # one row, which every group meets
     found = L.apply(conditions, L.contains("condition_name", name), L.equals("status", status)).groupBy("condition_name").agg(F.count_distinct("patient_id").alias("patients"))
-    population = F.lit(total.first()[0])  # one number
-    return top(found.withColumn("prevalence", F.round(F.col("patients") * 100.0 / population, 4)), [F.desc("patients"), F.asc("condition_name")], limit)
+    both = found.withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
+    rated = both.select("condition_name", "patients", F.round(F.col("patients") * 100.0 / F.col("population"), 4).alias("prevalence"))
+    return top(rated, [F.desc("patients"), F.asc("condition_name")], limit)
 
 
 def trends(observations: DataFrame, unit: str = "month", limit: int = 20) -> DataFrame:
@@ -173,13 +175,23 @@ def claim_items(lineitem: DataFrame) -> DataFrame:
 
 
 def adjudications(eobs: DataFrame, unit: str = "month", limit: int = 25) -> DataFrame:
-    """Paid and denied amounts per insurer and period, by unnesting two amounts per row."""
-    pairs = F.array(
-        F.struct(F.lit("paid").alias("category"), F.col("adjudicated_value").alias("amount")), F.struct(F.lit("denied").alias("category"), F.col("denied_value").alias("amount"))
-    )
-    flat = eobs.select("insurer_display", S.period(F.col("billable_ts"), unit).alias("period"), F.explode(pairs).alias("a"))
-    grouped = flat.groupBy("insurer_display", "period").agg(
-        F.round(F.sum(F.when(F.col("a.category") == "paid", F.col("a.amount"))), 2).alias("paid"),
-        F.round(F.sum(F.when(F.col("a.category") == "denied", F.col("a.amount"))), 2).alias("denied"),
+    """Paid and denied amounts per insurer and period."""
+    grouped = eobs.groupBy("insurer_display", S.period(F.col("billable_ts"), unit).alias("period")).agg(
+        F.round(F.sum("adjudicated_value"), 2).alias("paid"), F.round(F.sum("denied_value"), 2).alias("denied")
     )
     return top(grouped, [F.desc("period"), F.asc("insurer_display")], limit)
+
+
+def eob_details(eobs: DataFrame, claim_reference: str | None = None, eob_id: str | None = None, patient_id: str | None = None, category: str | None = None) -> DataFrame:
+    """One row per explanation of benefit and category of its amounts."""
+    from vitalgrain.functions import filters as L
+
+    rows = L.apply(eobs, L.equals("claim_reference", claim_reference), L.equals("eob_id", eob_id), L.equals("patient_id", patient_id))
+    amounts = F.create_map(F.lit("paid"), F.col("adjudicated_value"), F.lit("denied"), F.col("denied_value"))
+    return L.apply(rows.select("eob_id", "claim_reference", F.explode(amounts).alias("category", "amount")), L.equals("category", category))
+
+
+def conditions_by_place(conditions: DataFrame, patients: DataFrame, field: str = "city") -> DataFrame:
+    """Conditions counted by a field of their patients, counted per patient before the join."""
+    counted = conditions.groupBy("patient_id").agg(F.count("*").alias("n"))
+    return counted.join(patients.select("patient_id", field), "patient_id").groupBy(field).agg(F.sum("n").alias("count"))

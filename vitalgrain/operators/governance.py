@@ -9,40 +9,46 @@ from pyspark.sql.types import ArrayType, StructType
 from vitalgrain.functions import scalars as S
 
 #: Fields that any role may see, and those of each role; admin sees all.
-METADATA = frozenset("id _id resource_id source_id resource_type created_at updated_at timestamp version event_type event_date count total index".split())
+METADATA = frozenset((
+    "id", "_id", "resource_id", "source_id", "resource_type", "created_at", "updated_at", "timestamp", "version", "event_type", "event_date",
+    "count", "total", "index",
+))
 ROLES = {
     "admin": None,
-    "clinician": frozenset(
-        "patient_id first_name last_name birth_date gender phone email address city state conditions medications allergies observations encounters "
-        "procedures immunizations condition_name status onset_date severity medication_name prescriber dosage_instruction prescribed_date test_name "
-        "value unit effective_date_time visit_reason location provider performed_date resource_type source_id event_date event_type event_name details".split()
-    ),
-    "researcher": frozenset(
-        "gender birth_year city state condition_name medication_name test_name observation_type procedure_name year month age_group count average "
-        "total percentage prevalence resource_type event_type".split()
-    ),
-    "billing": frozenset(
-        "patient_id first_name last_name insurance_provider claim_amount charges total_amount billing_code diagnosis_codes procedure_codes "
-        "condition_name procedure_name service_date billing_date resource_type claim_status".split()
-    ),
-    "read_only": frozenset(
-        "patient_id first_name last_name birth_date gender city state condition_name status onset_date verification_status event_type event_date "
-        "event_name source_id details resource_type".split()
-    ),
+    "clinician": frozenset((
+        "patient_id", "first_name", "last_name", "birth_date", "gender", "phone", "email", "address", "city", "state", "conditions", "medications",
+        "allergies", "observations", "encounters", "procedures", "immunizations", "condition_name", "status", "onset_date", "severity",
+        "medication_name", "prescriber", "dosage_instruction", "prescribed_date", "test_name", "value", "unit", "effective_date_time",
+        "visit_reason", "location", "provider", "performed_date", "resource_type", "source_id", "event_date", "event_type", "event_name", "details",
+    )),
+    "researcher": frozenset((
+        "gender", "birth_year", "city", "state", "condition_name", "medication_name", "test_name", "observation_type", "procedure_name", "year",
+        "month", "age_group", "count", "average", "total", "percentage", "prevalence", "resource_type", "event_type",
+    )),
+    "billing": frozenset((
+        "patient_id", "first_name", "last_name", "insurance_provider", "claim_amount", "charges", "total_amount", "billing_code", "diagnosis_codes",
+        "procedure_codes", "condition_name", "procedure_name", "service_date", "billing_date", "resource_type", "claim_status",
+    )),
+    "read_only": frozenset((
+        "patient_id", "first_name", "last_name", "birth_date", "gender", "city", "state", "condition_name", "status", "onset_date",
+        "verification_status", "event_type", "event_date", "event_name", "source_id", "details", "resource_type",
+    )),
 }
 #: Direct identifiers.
-IDENTIFIERS = frozenset(
-    "name first_name last_name full_name middle_name address street_address city state zip_code postal_code phone phone_number email email_address "
-    "patient_id medical_record_number mrn account_number certificate_number vehicle_identifier device_identifier url ip_address biometric_identifier "
-    "photo photograph fingerprint voiceprint iris_scan retina_scan ssn social_security social_security_number".split()
-)
+IDENTIFIERS = frozenset((
+    "name", "first_name", "last_name", "full_name", "middle_name", "address", "street_address", "city", "state", "zip_code", "postal_code", "phone",
+    "phone_number", "email", "email_address", "patient_id", "medical_record_number", "mrn", "account_number", "certificate_number",
+    "vehicle_identifier", "device_identifier", "url", "ip_address", "biometric_identifier", "photo", "photograph", "fingerprint", "voiceprint",
+    "iris_scan", "retina_scan", "ssn", "social_security", "social_security_number",
+))
 #: What a patient search hides from a role.
 SEARCH_HIDDEN = {"billing": ["first_name", "last_name"], "researcher": ["patient_id", "city", "state"], "public": ["patient_id", "first_name", "last_name", "city", "state"]}
 #: Tables with personal data (singular and plural).
-PHI_TABLES = frozenset(
-    x + s for x in ("patient", "condition", "medication", "observation", "encounter", "care_plan", "diagnostic_report", "appointment", "claim") for s in ("", "s")
-) | {"allergy", "allergies"}
-#: Permissions by role; admin has all.
+PHI_TABLES = frozenset((
+    "patient", "patients", "condition", "conditions", "medication", "medications", "observation", "observations", "encounter", "encounters",
+    "care_plan", "care_plans", "diagnostic_report", "diagnostic_reports", "appointment", "appointments", "claim", "claims", "allergy", "allergies",
+))
+#: Permissions by role; admin has all.
 PERMISSIONS = {
     "clinician": {"read_phi", "read_clinical"},
     "researcher": {"read_deidentified", "read_aggregates"},
@@ -95,6 +101,21 @@ def mask_search(df: DataFrame, role: str) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(df.schema[c].dataType) for c in SEARCH_HIDDEN.get(role, []) if c in df.columns})
 
 
+class ProjectionCache:
+    """Columns per (role, table), worked out once; ``load`` puts in lists from a configuration."""
+
+    def __init__(self):
+        self.known: dict[tuple[str, str], list[str]] = {}
+
+    def load(self, config: dict[str, dict[str, list[str]]]) -> None:
+        """{role: {table: columns}}"""
+        self.known |= {(role, table): list(columns) for role, tables in config.items() for table, columns in tables.items()}
+
+    def apply(self, df: DataFrame, role: str, table: str) -> DataFrame:
+        columns = self.known.setdefault((role, table), mask(df, role).columns)
+        return df.select(*(c for c in columns if c in df.columns))
+
+
 def has_permission(role: str, permission: str) -> bool:
     return role == "admin" or permission in PERMISSIONS.get(role, ())
 

@@ -64,6 +64,12 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer").select(*map(pick, columns))
 
 
+def upsert_by_first_key(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("source_fhir_id", "patient_id", "_id")) -> DataFrame:
+    """``upsert`` by the first of the keys that a row has."""
+    own = lambda df: df.withColumn("_key", F.coalesce(*(F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(k).cast("string"))) for k in keys if k in df.columns)))
+    return upsert(own(old), own(new), "_key").drop("_key")
+
+
 def latest_per_key(log: DataFrame, key: str, at: str) -> DataFrame:
     """The state of each key from an append-only log; ties go to the larger row."""
     rest = [c for c in log.columns if c not in (key, at)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,27 +21,37 @@ def histogram(df: DataFrame, value: str, bounds: tuple[float, ...] = BUCKETS) ->
     return one.select(F.explode(F.array(*rows, F.struct(F.lit("+Inf").alias("le"), F.col("all").alias("count")))).alias("b")).select("b.*")
 
 
-def _p95(df: DataFrame, value: str) -> DataFrame:
-    """The value at index int(0.95 n) of the sorted values, found without gathering them.
+def _p95(df: DataFrame, value: str, cells: int = 1_000, most: int = 10_000) -> DataFrame:
+    """The value at index int(0.95 n) of the sorted values, found without gathering or sorting them.
 
-    Values are counted per distinct value; running totals over ranges of values tell where the index
-    lies. The range sums are few, and only one range is looked at closely.
+    Running totals over ``cells`` ranges of values tell in which one the index lies; that range is cut again
+    until it has at most ``most`` different values, which are few enough to be looked at. However the
+    values are spread, no task ever holds more than these. Not a number counts as the largest value.
     """
-    known = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    low, high, total = known.agg(F.min("v"), F.max("v"), F.sum("n")).first()
+    known = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    total = known.agg(F.sum("n")).first()[0]
     if total is None:
         return df.sparkSession.createDataFrame([(None,)], "p95 double")
-    want, cells = min(int(total * 0.95), total - 1), 10_000
-    width = (high - low) / cells or 1.0
-    cell = F.least(F.floor((F.col("v") - low) / width), F.lit(cells - 1))
-    sums = sorted(known.groupBy(cell.alias("c")).agg(F.sum("n").alias("n")).collect())  # at most ``cells`` rows
-    before = 0
-    for c, n in sums:
-        if before + n > want:
+    want, before, inside = min(int(total * 0.95), total - 1), 0, known
+    v = F.col("v")
+    finite = F.abs(v) < float("inf")  # not a number is no less
+    for _ in range(100):  # each cut leaves a fraction of the range; doubles have 64 bits
+        low, high, kinds = inside.agg(F.min(F.when(finite, v)), F.max(F.when(finite, v)), F.count("*")).first()
+        width = 0.0 if low is None else high / 2 - low / 2  # halves, so that no difference overflows
+        if kinds <= most or not width:
             break
+        cell = F.when(F.isnan(v), cells + 1).when(v == float("inf"), cells).when(v == float("-inf"), -1).otherwise(F.least(F.floor((v / 2 - low / 2) / width * cells), F.lit(cells - 1))).cast("int")
+        sums = sorted(inside.groupBy(cell.alias("c")).agg(F.sum("n").alias("n")).collect())  # at most one row per cell
+        for c, n in sums:
+            if before + n > want:
+                break
+            before += n
+        inside = inside.where(cell == c)
+    for x, n in sorted(inside.collect(), key=lambda r: (r.v != r.v, r.v)):  # at most ``most`` rows
         before += n
-    inside = known.where(cell == c).withColumn("upto", F.sum("n").over(Window.orderBy("v")) + before)
-    return inside.where(F.col("upto") > want).agg(F.min("v").alias("p95"))
+        if before > want:
+            break
+    return df.sparkSession.createDataFrame([(float(x),)], "p95 double")
 
 
 def performance_report(queries: DataFrame, ms: str = "execution_time_ms", ok: str = "success") -> DataFrame:
@@ -153,6 +165,64 @@ def schema_paths(df: DataFrame, depth: int = 3) -> DataFrame:
     return df.sparkSession.createDataFrame(out, "path string, type string")
 
 
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, n) of each table."""
+    return reduce(DataFrame.unionAll, (df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in tables.items()))
+
+
+def metrics_summary(df: DataFrame, ok: str, ms: str) -> DataFrame:
+    return df.agg(F.round(F.avg(F.when(F.col(ok), 100.0).otherwise(0.0)), 2).alias("success_rate"), F.round(F.avg(ms), 4).alias("average_duration"), F.count("*").alias("operations"))
+
+
+def running_mean(df: DataFrame, kind: str, order: list[str], value: str) -> DataFrame:
+    """Adds ``running_mean``: the mean of the kind's values up to and with each row."""
+    by = Window.partitionBy(kind).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("running_mean", F.avg(value).over(by))
+
+
+def flushes(df: DataFrame, key: str, order: list[str], size: int = 10) -> DataFrame:
+    """Adds ``flush``: the number of the flush that takes a key's operation, when every ``size`` of them are flushed."""
+    at = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return df.withColumn("flush", F.floor((at - 1) / size).cast("long"))
+
+
+def matrix_summary(runs: DataFrame, passed: Column, tool: str) -> DataFrame:
+    """One row over a matrix of test runs: how many there are, passed, their share, and distinct tools."""
+    return runs.agg(F.count("*").alias("total"), F.count_if(passed).alias("passed"), F.round(F.avg(F.when(passed, 100.0).otherwise(0.0)), 2).alias("success_rate"), F.count_distinct(tool).alias("tools"))
+
+
+def sampled_schema(df: DataFrame, sample: int = 100, depth: int = 3) -> DataFrame:
+    """(path, types, sample_value, filled, sampled, documents) of columns and nested fields, from the first rows by all columns.
+
+    Fields that hold JSON text show the types that their values have.
+    """
+    from pyspark.sql.types import ArrayType, StructType
+
+    paths: list[tuple[str, Column]] = []
+
+    def walk(kind, column, path, left):
+        if isinstance(kind, StructType) and left:
+            for f in kind.fields:
+                name, inner = (f"{path}.{f.name}", column[f.name]) if path else (f.name, F.col(f"`{f.name}`"))
+                paths.append((name, inner))
+                walk(f.dataType.elementType if isinstance(f.dataType, ArrayType) else f.dataType, F.get(inner, F.lit(0)) if isinstance(f.dataType, ArrayType) else inner, name, left - 1)
+
+    walk(df.schema, None, "", depth)
+    kinds = dict(zip((p for p, _ in paths), (df.select(c.alias("c")).schema["c"].dataType.simpleString() for _, c in paths), strict=True))
+    rows = df.orderBy(*df.columns).limit(sample)  # a top-k of few rows
+
+    def kind_of(path, c):
+        if kinds[path] != "string":
+            return F.lit(kinds[path])
+        return F.when(c.rlike(r"^\s*[\[{]"), F.coalesce(F.schema_of_variant(F.try_parse_json(c)), F.lit("string"))).otherwise("string")
+
+    found = F.array(*(F.struct(F.lit(p).alias("path"), F.when(c.isNotNull(), kind_of(p, c)).alias("type"), c.cast("string").alias("value")) for p, c in paths))
+    seen = rows.select(F.explode(found).alias("f")).groupBy("f.path").agg(
+        F.sort_array(F.collect_set("f.type")).alias("types"), F.min("f.value").alias("sample_value"), F.count("f.value").alias("filled"), F.count("*").alias("sampled")
+    )
+    return seen.withColumn("_one", F.lit(1)).join(F.broadcast(df.agg(F.count("*").alias("documents")).withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
 # ---- state machines ----
 DUE = "status IN ('pending', 'retry_scheduled') AND retry_count < max_retries"
 

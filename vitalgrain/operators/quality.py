@@ -87,14 +87,22 @@ def summary(validated: DataFrame, by: str = "rule_name") -> DataFrame:
 
 
 def profile(df: DataFrame, columns: list[str], most: int = 100) -> DataFrame:
-    """Per column: rows, completeness, nulls, blanks and distinct values up to a bound; one scan."""
+    """Per column: rows, completeness, nulls, blanks and distinct values up to a bound.
+
+    One scan counts, and one more finds values: (column, value) pairs are made distinct before their shuffle,
+    and of each column no more than ``most`` reach its count.
+    """
+    from pyspark.sql import Window
+
     aggs = [F.count("*").alias("n")]
     for c in columns:
-        text = F.col(c).cast("string")
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}__null"), F.count_if(F.trim(text) == "").alias(f"{c}__blank"), F.least(F.count_distinct(c), F.lit(most)).alias(f"{c}__distinct")]
+        aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}__null"), F.count_if(F.trim(F.col(c).cast("string")) == "").alias(f"{c}__blank")]
     one = df.agg(*aggs)
-    rows = F.array(*(F.struct(F.lit(c).alias("field"), F.col("n").alias("rows"), F.col(f"{c}__null").alias("nulls"), F.col(f"{c}__blank").alias("blanks"), F.col(f"{c}__distinct").alias("distinct_values")) for c in columns))
-    return one.select(F.explode(rows).alias("p")).select("p.*", S.percentage(F.col("p.rows") - F.col("p.nulls") - F.col("p.blanks"), F.col("p.rows")).alias("completeness"))
+    rows = F.array(*(F.struct(F.lit(c).alias("field"), F.col("n").alias("rows"), F.col(f"{c}__null").alias("nulls"), F.col(f"{c}__blank").alias("blanks")) for c in columns))
+    values = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns))).alias("v")).select("v.*").dropna().distinct()
+    few = values.withColumn("_n", F.row_number().over(Window.partitionBy("field").orderBy("value"))).where(F.col("_n") <= most)
+    found = one.select(F.explode(rows).alias("p")).select("p.*", S.percentage(F.col("p.rows") - F.col("p.nulls") - F.col("p.blanks"), F.col("p.rows")).alias("completeness"))
+    return found.join(few.groupBy("field").agg(F.count("*").alias("distinct_values")), "field", "left").withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0)))
 
 
 def exact_duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -139,6 +147,13 @@ def keep(df: DataFrame, fields: list[str], key: str, strategy: str = "first", at
     return hashed(df, fields).groupBy("content_hash").agg(pick(F.struct(*df.columns), order).alias("r")).select("r.*", "content_hash")
 
 
+def split(df: DataFrame, fields: list[str], key: str) -> tuple[DataFrame, DataFrame]:
+    """(originals, duplicates): of each content the row of the smallest key, and the others."""
+    named = hashed(df, fields)
+    first = named.groupBy("content_hash").agg(F.min(key).alias(key))
+    return named.join(first, ["content_hash", key], "left_semi"), named.join(first, ["content_hash", key], "left_anti")
+
+
 def dedup_summary(df: DataFrame, fields: list[str]) -> DataFrame:
     """Rows, contents, groups of several and rows beyond the first; sums before any shuffle of rows."""
     groups = hashed(df, fields).groupBy("content_hash").agg(F.count("*").alias("n"))

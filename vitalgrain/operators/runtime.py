@@ -90,6 +90,11 @@ def table_layout(spark: SparkSession, name: str) -> dict:
     return {"provider": rows.get("Provider"), "buckets": rows.get("Num Buckets"), "bucket_columns": rows.get("Bucket Columns"), "sort_columns": rows.get("Sort Columns"), "files": len(spark.table(name).inputFiles())}
 
 
+def column_use(log: DataFrame, columns: str = "columns", at: str = "ts") -> DataFrame:
+    """(field, uses, last_used) from a log of the columns that queries filtered by: what an index on each would have served."""
+    return log.select(F.explode(columns).alias("field"), F.col(at).alias("_at")).where(F.col("field").isNotNull()).groupBy("field").agg(F.count("*").alias("uses"), F.max("_at").alias("last_used"))
+
+
 def include(df: DataFrame, fields: list[str], keep_id: bool = True) -> DataFrame:
     """The fields that exist, with _id unless it isn't wanted."""
     wanted = (["_id"] if keep_id and "_id" in df.columns else []) + [f for f in fields if f.split(".")[0] in df.columns and f != "_id"]

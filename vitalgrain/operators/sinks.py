@@ -22,14 +22,25 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def swap(spark: SparkSession, staged: str, path: str) -> None:
-    """Put a written folder in a table's place; the old one goes last."""
+    """Put a written folder in a table's place; the old one goes last, and comes back if the new one can't take its place."""
     new, fs = _hadoop(spark, staged)
     target, _ = _hadoop(spark, path)
     old, _ = _hadoop(spark, f"{path}.old-{uuid.uuid4().hex[:8]}")
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(new, target)
-    fs.delete(old, True)
+    if not fs.exists(new):
+        raise FileNotFoundError(f"{staged} isn't there")
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):  # a rename reports failure by its result
+        raise OSError(f"{path} can't be moved aside; it is unchanged, the new rows are in {staged}")
+    done = False
+    try:
+        done = fs.rename(new, target)
+    finally:
+        if not done and had and not fs.rename(old, target):
+            raise OSError(f"{path} can't be put back; its rows are in {old}, the new ones in {staged}")
+    if not done:
+        raise OSError(f"{staged} can't be moved to {path}, which is unchanged")
+    if had:
+        fs.delete(old, True)
 
 
 def overwrite(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -77,6 +88,18 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def log_lines(df: DataFrame, message: str, level: str = "INFO") -> DataFrame:
+    """One JSON log line per row: level, message, and the row's fields, nested ones flattened as parent_child; nulls are left out."""
+    from pyspark.sql.types import StructType
+
+    def flat(kind, column, name):
+        if isinstance(kind, StructType):
+            return [x for f in kind.fields for x in flat(f.dataType, column[f.name] if column is not None else F.col(f"`{f.name}`"), f"{name}_{f.name}" if name else f.name)]
+        return [column.alias(name)]
+
+    return df.select(F.to_json(F.struct(F.lit(level).alias("level"), F.lit(message).alias("message"), *flat(df.schema, None, ""))).alias("line"))
+
+
 def to_json_rows(df: DataFrame) -> DataFrame:
     """One JSON text per row; times in ISO form."""
     return df.select(F.to_json(F.struct(*df.columns), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}).alias("json"))

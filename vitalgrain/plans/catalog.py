@@ -15,7 +15,7 @@ from vitalgrain.functions import filters as L
 from vitalgrain.functions import scalars as S
 from vitalgrain.operators import analytics as A
 from vitalgrain.operators import governance, joins, limits, observe, quality, runtime, sinks, timeline
-from vitalgrain.plans import pipeline, tools
+from vitalgrain.plans import catalog_etl, pipeline, tools
 from vitalgrain.sources import fhir
 from vitalgrain.sources.entities import entity, entity_sql, read_table
 from vitalgrain.streaming import bounded, stateful
@@ -186,14 +186,14 @@ add("stub15_measurement_trends", lambda o: A.trends(o, "week"), """, b AS (SELEC
     SELECT *, ROUND(average - lag(average) OVER (PARTITION BY test_name ORDER BY period), 4) AS change FROM b ORDER BY test_name, period LIMIT 20""", ("observations",))
 add("stub19_procedure_outcomes", tools.procedure_outcomes, """SELECT procedure_name, CAST(CAST(date_trunc('year', performed_ts) AS DATE) AS VARCHAR) AS period, COUNT(*) AS count, ROUND(AVG(CASE WHEN outcome = 'success' THEN 100.0 ELSE 0.0 END), 2) AS success_rate,
     ROUND(AVG(CASE WHEN outcome = 'complication' THEN 100.0 ELSE 0.0 END), 2) AS complication_rate FROM procedures GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 20""", ("procedures",))
-add("stub28_claim_details", lambda t: A.claim_items(t.where("l_orderkey < 40")).select("claim_id", F.size("items").cast("long").alias("n_items"), F.round(F.aggregate("items", F.lit(0.0), lambda a, x: a + x["net_value"]), 2).alias("net")),
-    "SELECT CAST(l_orderkey AS VARCHAR) AS claim_id, COUNT(*) AS n_items, ROUND(SUM(l_extendedprice), 2) AS net FROM lineitem WHERE l_orderkey < 40 GROUP BY 1", tables=("lineitem",))
-add("stub33_eob_details", lambda e: e.where("claim_reference = '7'").select("eob_id", "claim_reference", F.explode(F.array(F.struct(F.lit("paid").alias("category"), F.round("adjudicated_value", 2).alias("amount")), F.struct(F.lit("denied").alias("category"), F.round("denied_value", 2).alias("amount")))).alias("a")).select("eob_id", "claim_reference", "a.*"),
-    "SELECT eob_id, claim_reference, 'paid' AS category, ROUND(adjudicated_value, 2) AS amount FROM eobs WHERE claim_reference = '7' UNION ALL SELECT eob_id, claim_reference, 'denied', ROUND(denied_value, 2) FROM eobs WHERE claim_reference = '7'", ("eobs",))
+add("stub28_claim_details", lambda t: A.claim_items(t).select("claim_id", F.size("items").cast("long").alias("n_items"), F.round(F.aggregate("items", F.lit(0.0), lambda a, x: a + x["net_value"]), 2).alias("net")),
+    "SELECT CAST(l_orderkey AS VARCHAR) AS claim_id, COUNT(*) AS n_items, ROUND(SUM(l_extendedprice), 2) AS net FROM lineitem GROUP BY 1", tables=("lineitem",))
+add("stub33_eob_details", A.eob_details, "SELECT eob_id, claim_reference, 'paid' AS category, adjudicated_value AS amount FROM eobs UNION ALL SELECT eob_id, claim_reference, 'denied', denied_value FROM eobs", ("eobs",))
+add("stub33_eob_details_of_claim", lambda e: A.eob_details(e, claim_reference="7", category="paid"), "SELECT eob_id, claim_reference, 'paid' AS category, adjudicated_value AS amount FROM eobs WHERE claim_reference = '7'", ("eobs",))
 add("stub34_payment_patterns", A.adjudications, """SELECT insurer_display, CAST(CAST(date_trunc('month', billable_ts) AS DATE) AS VARCHAR) AS period, ROUND(SUM(adjudicated_value), 2) AS paid, ROUND(SUM(denied_value), 2) AS denied FROM eobs GROUP BY 1, 2 ORDER BY 2 DESC, 1 LIMIT 25""", ("eobs",))
 
 # ---- joins ----
-add("join01_conditions_patients", lambda c, p: c.join(p, "patient_id").groupBy("city").agg(F.count("*").alias("count")), "SELECT city, COUNT(*) AS count FROM conditions JOIN patients USING (patient_id) GROUP BY 1", ("conditions", "patients"))
+add("join01_conditions_patients", A.conditions_by_place, "SELECT city, COUNT(*) AS count FROM conditions JOIN patients USING (patient_id) GROUP BY 1", ("conditions", "patients"))
 add("join02_orphans", lambda o, p: joins.orphans(o, p.where("patient_id <> '7'"), "patient_id", "patient_id").groupBy("patient_id").agg(F.count("*").alias("count")), "SELECT patient_id, COUNT(*) AS count FROM observations WHERE patient_id NOT IN (SELECT patient_id FROM patients WHERE patient_id <> '7') GROUP BY 1", ("observations", "patients"))
 add("join03_twins", lambda c: joins.having_twins(c, ["patient_id", "condition_name", "onset_date"]).select("source_fhir_id"), "SELECT source_fhir_id FROM conditions QUALIFY COUNT(*) OVER (PARTITION BY patient_id, condition_name, onset_date) > 1", ("conditions",))
 add("join05_nest", lambda p, c: joins.nested_record(p.select("patient_id"), conditions=c.select("patient_id", "source_fhir_id", "status")).select("patient_id", F.size("conditions").cast("long").alias("n"), F.array_join(F.transform("conditions", lambda x: x["source_fhir_id"]), ",").alias("ids")),
@@ -201,8 +201,8 @@ add("join05_nest", lambda p, c: joins.nested_record(p.select("patient_id"), cond
 add("join06_patient_summary", joins.patient_summary, "SELECT patient_id, last_name, coalesce(c, 0) AS condition_count, coalesce(m, 0) AS medication_count FROM patients LEFT JOIN (SELECT patient_id, COUNT(*) AS c FROM conditions GROUP BY 1) USING (patient_id) LEFT JOIN (SELECT patient_id, COUNT(*) AS m FROM medications GROUP BY 1) USING (patient_id)", ("patients", "conditions", "medications"))
 add("join07_unknown_only", lambda c: quality.unknown_only(c, quality.hashed(c.where("status = 'active'"), ["patient_id", "condition_name"]), ["patient_id", "condition_name"]).select("source_fhir_id"), "SELECT source_fhir_id FROM conditions WHERE (patient_id, condition_name) NOT IN (SELECT patient_id, condition_name FROM conditions WHERE status = 'active')", ("conditions",))
 add("join08_lookup_unwind", lambda p, c: joins.unwind(joins.lookup(p.select("patient_id"), c.select(F.col("patient_id").alias("owner"), "status"), "patient_id", "owner", "found"), "found").groupBy("found.status").agg(F.count("*").alias("count")), "SELECT status, COUNT(*) AS count FROM patients JOIN conditions USING (patient_id) GROUP BY 1", ("patients", "conditions"))
-add("snk01_upsert", lambda p: joins.upsert(p.where("cast(patient_id as int) % 2 = 0").select("patient_id", "city", "state"), p.where("cast(patient_id as int) % 3 = 0").select("patient_id", F.lit(None).cast("string").alias("city"), F.lit("new").alias("state"), "gender"), "patient_id"),
-    "SELECT patient_id, CASE WHEN CAST(patient_id AS INT) % 2 = 0 THEN city END AS city, CASE WHEN CAST(patient_id AS INT) % 3 = 0 THEN 'new' ELSE state END AS state, CASE WHEN CAST(patient_id AS INT) % 3 = 0 THEN gender END AS gender FROM patients WHERE CAST(patient_id AS INT) % 2 = 0 OR CAST(patient_id AS INT) % 3 = 0", ("patients",))
+add("snk01_upsert", lambda p: joins.upsert(p.select("patient_id", "city", "state"), p.select("patient_id", F.when(F.col("gender") == "male", "moved").alias("city"), F.when(F.col("gender") != "female", F.lit("new")).alias("state"), "gender"), "patient_id"),
+    "SELECT patient_id, CASE WHEN gender = 'male' THEN 'moved' ELSE city END AS city, CASE WHEN gender <> 'female' THEN 'new' ELSE state END AS state, gender FROM patients", ("patients",))
 add("snk08_latest_per_key", lambda c: joins.latest_per_key(c.select("patient_id", "onset_ts", "source_fhir_id"), "patient_id", "onset_ts").select("patient_id", "source_fhir_id"), "SELECT patient_id, arg_max(source_fhir_id, (onset_ts, source_fhir_id)) AS source_fhir_id FROM conditions GROUP BY 1", ("conditions",))
 add("snk11_export_markdown", lambda p: sinks.to_markdown_rows(p.select("patient_id", "city", "birth_date")), "SELECT '| ' || patient_id || ' | ' || city || ' | ' || coalesce(birth_date, '') || ' |' AS markdown FROM patients", ("patients",))
 add("snk15_json_round_trip", lambda p: sinks.from_json_rows(sinks.to_json_rows(p.select("patient_id", "city", "birth_date", "balance")), "patient_id string, city string, birth_date string, balance double"), "SELECT patient_id, city, birth_date, balance FROM patients", ("patients",))
@@ -247,8 +247,8 @@ add("mth06_complexity", lambda p: p.select("p_partkey", S.complexity_score(F.col
     "SELECT p_partkey, CAST(greatest(0, least(10, (CASE WHEN p_size > 25 THEN 2 ELSE 0 END) + least(p_size % 6, 3) + (CASE WHEN p_partkey % 2 = 0 THEN 3 + least(p_size % 5, 3) ELSE 0 END) + (CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END) - (CASE WHEN p_size * 10 > 0 AND p_size * 10 < 100 THEN 1 ELSE 0 END))) AS BIGINT) AS score FROM part", tables=("part",))
 add("jsn01_json_path", lambda e: e.groupBy(S.json_text(F.col("props"), "$.k", "0").cast("long").alias("k")).agg(F.count("*").alias("count")), "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, COUNT(*) AS count FROM events GROUP BY 1", tables=("events",))
 add("hsh01_content_hash", lambda c: c.select("c_custkey", S.content_hash(["c_name", "c_mktsegment"]).alias("hash")), "SELECT c_custkey, sha256('c_mktsegment:' || lower(c_mktsegment) || '|' || 'c_name:' || lower(c_name)) AS hash FROM customer", tables=("customer",))
-add("arr03_map_or_null", lambda l: A.claim_items(l.where("l_orderkey < 200")).select("claim_id", F.size(F.coalesce(S.map_or_null(F.col("items"), lambda i: i["net_value"] > 50000, lambda i: i["product"]), F.array().cast("array<bigint>"))).cast("long").alias("n"), S.first_where(F.col("items"), lambda i: i["net_value"] > 50000)["line"].cast("long").alias("line")),
-    "SELECT CAST(l_orderkey AS VARCHAR) AS claim_id, COUNT(*) FILTER (l_extendedprice > 50000) AS n, CAST(arg_min(l_linenumber, (l_linenumber, l_partkey)) FILTER (l_extendedprice > 50000) AS BIGINT) AS line FROM lineitem WHERE l_orderkey < 200 GROUP BY 1", tables=("lineitem",))
+add("arr03_map_or_null", lambda l: A.claim_items(l).select("claim_id", F.size(F.coalesce(S.map_or_null(F.col("items"), lambda i: i["net_value"] > 50000, lambda i: i["product"]), F.array().cast("array<bigint>"))).cast("long").alias("n"), S.first_where(F.col("items"), lambda i: i["net_value"] > 50000)["line"].cast("long").alias("line")),
+    "SELECT CAST(l_orderkey AS VARCHAR) AS claim_id, COUNT(*) FILTER (l_extendedprice > 50000) AS n, CAST(arg_min(l_linenumber, (l_linenumber, l_partkey)) FILTER (l_extendedprice > 50000) AS BIGINT) AS line FROM lineitem GROUP BY 1", tables=("lineitem",))
 
 # ---- quality and dedup ----
 add("dq01_completeness", lambda p: quality.summary(quality.validate(p, quality.default_rules(AS_OF)["patients"])), "SELECT 'patient_required_fields' AS rule_name, COUNT(*) AS count FROM patients WHERE birth_date IS NULL HAVING COUNT(*) > 0", ("patients",))
@@ -298,7 +298,7 @@ add("pipe21_bulk", lambda c: pipeline.bulk(lambda _: c, [{"collection": "c", "pi
 add("pipe22_pagination", lambda c: pipeline.paginate(c.select("source_fhir_id", "status"), [F.asc("source_fhir_id")], 40, 30), "SELECT source_fhir_id, status FROM conditions ORDER BY source_fhir_id LIMIT 30 OFFSET 40", ("conditions",))
 add("src14_batch_read", lambda c: pipeline.batches(c.select("source_fhir_id"), "source_fhir_id", 300, 5000).groupBy("batch_number").agg(F.count("*").alias("n"), F.min("source_fhir_id").alias("least")), "SELECT (r - 1) // 300 AS batch_number, COUNT(*) AS n, MIN(source_fhir_id) AS least FROM (SELECT source_fhir_id, row_number() OVER (ORDER BY source_fhir_id) AS r FROM conditions) WHERE r <= 5000 GROUP BY 1", ("conditions",))
 add("src17_schema_paths", lambda c: observe.schema_paths(c.select("patient_id", F.struct("status", F.struct("onset_date").alias("inner")).alias("s"))), "SELECT * FROM (VALUES ('patient_id', 'string'), ('s', 'struct<status:string,inner:struct<onset_date:string>>'), ('s.status', 'string'), ('s.inner', 'struct<onset_date:string>'), ('s.inner.onset_date', 'string')) v(path, type)", ("conditions",))
-add("src21_counts", lambda o, c: o.agg(F.count("*").alias("n")).select(F.lit("orders").alias("table_name"), "n").unionByName(c.agg(F.count("*").alias("n")).select(F.lit("customer").alias("table_name"), "n")), "SELECT 'orders' AS table_name, COUNT(*) AS n FROM orders UNION ALL SELECT 'customer', COUNT(*) FROM customer", tables=("orders", "customer"))
+add("src21_counts", lambda o, c: observe.table_counts({"orders": o, "customer": c}), "SELECT 'orders' AS table_name, COUNT(*) AS n FROM orders UNION ALL SELECT 'customer', COUNT(*) FROM customer", tables=("orders", "customer"))
 
 # ---- observability, state and windows ----
 TRACES = F.struct  # traces are read from events: type = kind of query, value = milliseconds
@@ -318,7 +318,7 @@ add("agg27_tool_stats", lambda e: observe.tool_stats(_traces(e), "query_type", "
 add("agg28_session_report", lambda e: observe.session_report(_traces(e), "session_id", "query_type", "execution_time_ms"), "SELECT CAST(user_id AS VARCHAR) AS session_id, COUNT(*) AS steps, list(DISTINCT event_type ORDER BY event_type) AS tools, ROUND(SUM(value), 2) AS total_ms, ROUND(AVG(value), 4) AS average_ms, MIN(value) AS min_ms, MAX(value) AS max_ms FROM events GROUP BY 1", tables=("events",))
 add("srt06_last_five", lambda e: observe.last_n(e, "user_id", [F.desc("ts"), F.desc("event_id")], 5).select("event_id", "user_id"), "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5", tables=("events",))
 add("win06_tool_sequence", lambda c: observe.tool_sequence(c, "conv_id", "turn", "role"), "SELECT conv_id, string_agg(role, '>' ORDER BY turn, role) AS sequence FROM conversations GROUP BY 1", tables=("conversations",))
-add("agg31_error_samples", lambda e: observe.error_samples(e.select("event_type", F.substring("props", 1, 8).alias("m")), "event_type", "m"), "SELECT event_type, COUNT(*) AS count, list(DISTINCT substring(props, 1, 8) ORDER BY substring(props, 1, 8))[1:3] AS samples FROM events GROUP BY 1", tables=("events",))
+add("agg31_error_samples", lambda e: observe.error_samples(e, "event_type", "props"), "SELECT event_type, COUNT(*) AS count, list(DISTINCT props ORDER BY props)[1:3] AS samples FROM events GROUP BY 1", tables=("events",))
 
 
 def _checkpoints(o: DataFrame) -> DataFrame:
@@ -340,15 +340,31 @@ def _letters(o: DataFrame) -> DataFrame:
 add("flt19_retry_candidates", lambda o: observe.retry_candidates(_letters(o), "1998-01-01").select("entry_id", "status"), "SELECT o_orderkey AS entry_id, CASE o_orderstatus WHEN 'F' THEN 'pending' ELSE 'retry_scheduled' END AS status FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderkey % 5 < 3 AND (o_orderkey % 2 <> 0 OR o_orderdate <= DATE '1998-01-01')", tables=("orders",))
 add("stm05_after_failure", lambda o: observe.after_failure(_letters(o), "2024-01-01 00:00:00").select("entry_id", "status", "retry_count", "next_retry_at"), "SELECT o_orderkey AS entry_id, CASE WHEN o_orderkey % 5 + 1 < 3 THEN 'retry_scheduled' ELSE 'archived' END AS status, o_orderkey % 5 + 1 AS retry_count, CASE WHEN o_orderkey % 5 + 1 < 3 THEN strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * CAST(300 * pow(2, o_orderkey % 5) AS BIGINT), '%Y-%m-%d %H:%M:%S') END AS next_retry_at FROM orders", tables=("orders",))
 add("win03_requests_in_window", lambda e: limits.requests_in_window(e, "user_id", "ts", 3600).select("event_id", "in_window"), "SELECT event_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS in_window FROM events", tables=("events",))
-add("stm02_rate_limit_batch", lambda e: limits.rate_limit(e.select("event_id", "user_id", "ts"), "user_id", "ts", 2, 7200.0, "event_id").groupBy("allowed").agg(F.count("*").alias("count")), tables=("events",))
-add("stm03_circuit_breaker_batch", lambda e: limits.circuit_breaker(e.select("event_id", "user_id", "ts", (F.col("event_type") != "error").alias("ok")), "user_id", "ts", "ok", 2, 36000.0, 2, "event_id").groupBy("state").agg(F.count("*").alias("count")), tables=("events",))
+# the folds, event by event and all keys at once; with a limit of two the state is the last two allowed times
+LIMIT_SQL = """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, epoch_us(ts) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), f AS (
+      SELECT event_id, user_id, ts, n, true AS allowed, s AS last, CAST(NULL AS BIGINT) AS before FROM e WHERE n = 1
+      UNION ALL SELECT e.event_id, e.user_id, e.ts, e.n, v.ok, CASE WHEN v.ok THEN e.s ELSE f.last END, CASE WHEN v.ok THEN f.last ELSE f.before END
+      FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1, LATERAL (SELECT f.before IS NULL OR e.s - f.before >= 7200000000 AS ok) v
+    ) """
+add("stm02_rate_limit_batch", lambda e: limits.rate_limit(e.select("event_id", "user_id", "ts"), "user_id", "ts", 2, 7200.0, "event_id").select("event_id", "allowed"), LIMIT_SQL + "SELECT event_id, allowed FROM f", tables=("events",))
+add("stm03_circuit_breaker_batch", lambda e: limits.circuit_breaker(e.select("event_id", "user_id", "ts", (F.col("event_type") != "error").alias("ok")), "user_id", "ts", "ok", 2, 36000.0, 2, "event_id").select("event_id", "state"),
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS s, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), f AS (
+      SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, user_id, '' AS met, 'closed' AS state, 0 AS failed, 0 AS won, CAST(0 AS BIGINT) AS since FROM e WHERE n = 1
+      UNION ALL SELECT e.n, e.event_id, e.user_id, m.met,
+        CASE WHEN m.met = 'closed' AND NOT e.ok AND f.failed + 1 >= 2 THEN 'open' WHEN m.met = 'half_open' AND NOT e.ok THEN 'open' WHEN m.met = 'half_open' AND m.won + 1 >= 2 THEN 'closed' ELSE m.met END,
+        CASE WHEN m.met = 'closed' THEN CASE WHEN e.ok THEN 0 ELSE f.failed + 1 END WHEN m.met = 'half_open' AND e.ok AND m.won + 1 >= 2 THEN 0 ELSE f.failed END,
+        CASE WHEN m.met = 'half_open' AND e.ok THEN m.won + 1 ELSE m.won END,
+        CASE WHEN NOT e.ok AND (m.met = 'half_open' OR m.met = 'closed' AND f.failed + 1 >= 2) THEN e.s ELSE f.since END
+      FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1,
+        LATERAL (SELECT CASE WHEN f.state = 'open' AND e.s - f.since >= 36000000000 THEN 'half_open' ELSE f.state END AS met, CASE WHEN f.state = 'open' AND e.s - f.since >= 36000000000 THEN 0 ELSE f.won END AS won) m
+    ) SELECT event_id, met AS state FROM f WHERE n > 0""", tables=("events",))
 add("stm07_sessions", lambda e: limits.sessions_expired(e.withColumn("ip", F.col("event_id") % 2), "user_id", "ts", "ip").agg(F.count_if("expired").alias("expired"), F.count_if("moved").alias("moved")), "SELECT COUNT(*) FILTER (gap > 1800000000) AS expired, COUNT(*) FILTER (moved) AS moved FROM (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap, event_id % 2 <> first_value(event_id % 2) OVER w AS moved FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))", tables=("events",))
 add("agg33_health", lambda e: observe.health(_traces(e), "success"), "SELECT COUNT(*) AS checks, ROUND(AVG(CASE WHEN event_type <> 'error' THEN 100.0 ELSE 0.0 END), 2) AS success_rate, AVG(CASE WHEN event_type <> 'error' THEN 100.0 ELSE 0.0 END) >= 80 AS healthy FROM events", tables=("events",))
 add("agg38_audit_summary", lambda e: observe.audit_summary(_traces(e).select("ts", "success", F.col("execution_time_ms").alias("result_count"), F.col("session_id").alias("user_id")), "2024-01-30 00:00:00"), "SELECT COUNT(*) AS access_events, COUNT(*) FILTER (event_type = 'error') AS failures, COUNT(*) FILTER (value > 50) AS high_volume, COUNT(DISTINCT user_id) AS unique_users FROM events WHERE ts >= TIMESTAMP '2024-01-23'", tables=("events",))
 add("agg39_counters", lambda e: observe.counters(e, "event_type", "user_id"), "SELECT event_type, user_id, COUNT(*) AS events, ROUND(SUM(value), 2) AS total FROM events GROUP BY 1, 2", tables=("events",))
 add("snk12_prometheus", lambda e: observe.prometheus(e.groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("value")).select("name", F.lit("counter").alias("kind"), F.lit("events").alias("help"), "value")), "SELECT unnest(['# HELP ' || n || ' events', '# TYPE ' || n || ' counter', n || ' ' || c]) AS line FROM (SELECT event_type AS n, COUNT(*) AS c FROM events GROUP BY 1)", tables=("events",))
 add("srt02_page_of_months", lambda c: A.conditions_by_month(c, 7), "SELECT year(onset_ts) AS year, month(onset_ts) AS month, COUNT(*) AS condition_count, COUNT(DISTINCT patient_id) AS patient_count, COUNT(DISTINCT condition_name) AS unique_conditions, COUNT(*) FILTER (status = 'active') AS active_count FROM conditions GROUP BY 1, 2 ORDER BY 1 DESC, 2 DESC LIMIT 7", ("conditions",))
-add("src06_scan_filter_project", lambda l: l.where("l_shipdate >= '1998-01-01' AND l_quantity > 40").select("l_orderkey", "l_linenumber", "l_partkey"), "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_quantity > 40", tables=("lineitem",))
+add("src13_scan_filter_project", lambda l: l.where("l_shipdate >= '1998-01-01' AND l_quantity > 40").select("l_orderkey", "l_linenumber", "l_partkey"), "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_quantity > 40", tables=("lineitem",))
 
 # ---- runtime ----
 add("prj01_include", lambda c: runtime.include(c, ["source_fhir_id", "status", "absent"]), "SELECT source_fhir_id, status FROM conditions", ("conditions",))
@@ -365,10 +381,10 @@ add("stm06_bad_transitions", lambda e: runtime.bad_transitions(e.select(F.col("u
     WHERE NOT coalesce((b IS NULL AND s = 'started') OR (b = 'started' AND s IN ('in_progress', 'failed')) OR (b = 'in_progress' AND s IN ('in_progress', 'completed', 'failed')) OR (b = 'failed' AND s = 'in_progress'), false)""", tables=("events",))
 add("agg30_enrichment_stats", lambda p: fhir.enrichment_stats(p, "patients", ["birth_date", "city"]), "SELECT 'patients' AS collection, 'birth_date' AS field, COUNT(birth_date) AS count, MIN(birth_date) AS sample FROM patients UNION ALL SELECT 'patients', 'city', COUNT(city), MIN(city) FROM patients", ("patients",))
 add("udf04_clinical_summary", lambda d: d.select("doc_id", F.sha2(fhir.clinical_summary(F.col("text")), 256).alias("summary")),
-    rf"SELECT doc_id, CASE WHEN length(c) < 20 THEN NULL ELSE sha256(c[1:500]) END AS summary FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^ \t\n\r\f]+', '', 'g'), '<[^>]+>', '', 'g'), '{SP}', ' ', 'g')) AS c FROM documents)", tables=("documents",))
+    rf"SELECT doc_id, CASE WHEN length(c) < 20 THEN NULL ELSE sha256(c) END AS summary FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^ \t\n\r\f]+', '', 'g'), '<[^>]+>', '', 'g'), '{SP}', ' ', 'g')) AS c FROM documents)", tables=("documents",))
 add("agg40_collection_counters", lambda o: observe.counters(_checkpoints(o), "pipeline_stage", "status", value="records_processed"), CHECK + "SELECT pipeline_stage, status, COUNT(*) AS events, CAST(SUM(p) AS BIGINT) AS total FROM c GROUP BY 1, 2", tables=("orders",))
 add("srt10_keep_last_fifty", lambda e: observe.last_n(e, "event_type", [F.desc("event_id")], 50).select("event_id"), "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 50", tables=("events",))
-add("agg23_metrics_summary", lambda e: e.agg(F.round(F.avg(F.when(F.col("event_type") != "error", 100.0).otherwise(0.0)), 2).alias("success_rate"), F.round(F.avg("value"), 4).alias("average_duration"), F.count("*").alias("operations")), "SELECT ROUND(AVG(CASE WHEN event_type <> 'error' THEN 100.0 ELSE 0.0 END), 2) AS success_rate, ROUND(AVG(value), 4) AS average_duration, COUNT(*) AS operations FROM events", tables=("events",))
+add("agg23_metrics_summary", lambda e: observe.metrics_summary(_traces(e), "success", "execution_time_ms"), "SELECT ROUND(AVG(CASE WHEN event_type <> 'error' THEN 100.0 ELSE 0.0 END), 2) AS success_rate, ROUND(AVG(value), 4) AS average_duration, COUNT(*) AS operations FROM events", tables=("events",))
 
 # ---- streams, run over what is there ----
 
@@ -384,13 +400,13 @@ def _stream(name: str, make: Callable[[DataFrame], DataFrame], sql: str | None =
 
 
 _stream("stm01_windowed_counts", lambda e: stateful.windowed_counts(e, "ts", "event_type", "1 day", "1 hour").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "count"), "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, COUNT(*) AS count FROM events GROUP BY 1, 2", "complete")
-_stream("stm02_rate_limit_stream", lambda e: stateful.rate_limit(e.select("user_id", "ts"), "user_id", "ts", 2, 7200.0))
+_stream("stm02_rate_limit_stream", lambda e: stateful.rate_limit(e.select("user_id", "ts"), "user_id", "ts", 2, 7200.0), LIMIT_SQL + "SELECT CAST(user_id AS VARCHAR) AS key, ts, allowed FROM f")
 _stream("stm09_dedup_stream", lambda e: stateful.dedup(e.select("user_id", "event_type", "ts"), "ts", ["user_id", "event_type"], "60 days").select("user_id", "event_type"), "SELECT DISTINCT user_id, event_type FROM events")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | catalog_etl.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | catalog_etl.SQL

@@ -14,8 +14,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from vitalgrain.functions import scalars as S
 
-#: The anatomical roots, and the shape of a code on each level.
-ROOTS = "A B C D G H J L M N P R S V".split()
+#: The anatomical roots, the names that members stand under, and the shape of a code on each level.
+ROOTS = ("A", "B", "C", "D", "G", "H", "J", "L", "M", "N", "P", "R", "S", "V")
+CONCEPTS = ("minConcept", "rxclassMinConcept", "minConceptItem")
 LEVEL_2, LEVEL_3, LEVEL_4 = r"^[A-Z]\d{2}$", r"^[A-Z]\d{2}[A-Z]$", r"^[A-Z]\d{2}[A-Z]{2}$"
 
 
@@ -53,15 +54,26 @@ class RestReader(DataSourceReader):
                     yield partition.value, None  # a failed address is a row without body
 
 
-def edges(trees: DataFrame, body: str = "body", depth: int = 8) -> DataFrame:
-    """(parent, code, name) from nested class trees, unfolded one level per step."""
-    level = trees.select(F.lit(None).cast("string").alias("parent"), F.explode(F.from_json(F.get_json_object(body, "$.rxclassTree"), "array<string>")).alias("node"))
-    out = None
-    for _ in range(depth):
+def edges(trees: DataFrame, body: str = "body", most_levels: int = 100) -> DataFrame:
+    """(parent, code, name) from nested class trees, unfolded one level per step until no level is left.
+
+    A level is written once, so that the next one doesn't parse those above it again.
+    """
+    from vitalgrain.streaming.bounded import shared_folder
+
+    spark, at = trees.sparkSession, shared_folder(trees.sparkSession)
+    nodes = lambda c, path: F.explode(F.from_json(F.get_json_object(c, path), "array<string>"))
+    level, parts = trees.select(F.lit(None).cast("string").alias("parent"), nodes(body, "$.rxclassTree").alias("node")), []
+    for k in range(most_levels):
         here = level.select("parent", F.get_json_object("node", "$.rxclassMinConceptItem.classId").alias("code"), F.get_json_object("node", "$.rxclassMinConceptItem.className").alias("name"), "node")
-        out = here.drop("node") if out is None else out.unionByName(here.drop("node"))
-        level = here.select(F.col("code").alias("parent"), F.explode(F.from_json(F.get_json_object("node", "$.rxclassTree"), "array<string>")).alias("node"))
-    return out.where("code IS NOT NULL").distinct()
+        here.write.parquet(f"{at}/level-{k}")
+        here = spark.read.schema(here.schema).parquet(f"{at}/level-{k}")
+        if here.isEmpty():
+            break
+        parts.append(f"{at}/level-{k}")
+        level = here.select(F.col("code").alias("parent"), nodes("node", "$.rxclassTree").alias("node"))
+    found = spark.read.schema("parent string, code string, name string").parquet(*(parts or [f"{at}/level-0"]))
+    return found.where("code IS NOT NULL").distinct()
 
 
 def level_4(nodes: DataFrame) -> DataFrame:
@@ -91,24 +103,65 @@ def recursive_paths(spark: SparkSession, nodes: DataFrame) -> DataFrame:
 
 
 def members(answers: DataFrame, body: str = "body") -> DataFrame:
-    """(atc_code, rxcui, name) from answers in three layouts, the first that has members; ingredients only where there are any."""
-    concept = "struct<rxcui:string,name:string,tty:string>"
+    """(atc_code, rxcui, name) from answers in three layouts, the first that has members; ingredients only where there are any.
+
+    A member stands by itself or under one of the names in ``CONCEPTS``, whichever first has an id and a name.
+    """
+    concept = "rxcui:string,name:string,tty:string"
+    member = f"struct<{concept},{','.join(f'{c}:struct<{concept}>' for c in CONCEPTS)},drugMember:struct<{concept}>>"
     parsed = answers.select(
         "atc_code",
-        F.from_json(
-            body,
-            f"drugMemberGroup struct<drugMember:array<struct<minConcept:{concept}>>>, rxclassDrugInfoList struct<rxclassDrugInfo:array<struct<minConcept:{concept}>>>, rxclassMinConceptList struct<rxclassMinConcept:array<{concept}>>",
-        ).alias("b"),
+        F.from_json(body, f"drugMemberGroup struct<drugMember:array<{member}>>, rxclassDrugInfoList struct<rxclassDrugInfo:array<{member}>>, rxclassMinConceptList struct<rxclassMinConcept:array<{member}>>").alias("b"),
     )
-    inner = lambda a: F.transform(a, lambda m: m["minConcept"])
-    layouts = [inner(F.col("b.drugMemberGroup.drugMember")), inner(F.col("b.rxclassDrugInfoList.rxclassDrugInfo")), F.col("b.rxclassMinConceptList.rxclassMinConcept")]
-    valid = [F.filter(a, lambda m: (F.trim(m["rxcui"]) != "") & (F.trim(m["name"]) != "")) for a in layouts]
+
+    def named(m):
+        return F.coalesce((F.trim(m["rxcui"]) != "") & (F.trim(m["name"]) != ""), F.lit(False))
+
+    def own(m):
+        places = [m["drugMember"], *(m[c] for c in CONCEPTS), F.struct(m["rxcui"], m["name"], m["tty"])]
+        return F.coalesce(*(F.when(named(p), p) for p in places))
+
+    layouts = [F.col("b.drugMemberGroup.drugMember"), F.col("b.rxclassDrugInfoList.rxclassDrugInfo"), F.col("b.rxclassMinConceptList.rxclassMinConcept")]
+    valid = [F.filter(F.transform(a, own), lambda m: m.isNotNull()) for a in layouts]
     chosen = F.coalesce(*(F.when(F.size(a) > 0, a) for a in valid))
     only = F.filter(chosen, lambda m: m["tty"] == "IN")
     listed = parsed.select("atc_code", F.explode(F.when(F.size(only) > 0, only).otherwise(chosen)).alias("m"))
     return listed.select("atc_code", F.trim("m.rxcui").alias("rxcui"), F.trim("m.name").alias("name")).dropDuplicates(["rxcui", "atc_code"])
 
 
+def rest(spark: SparkSession, urls: list[str], delay: float = 0.3, retries: int = 3) -> DataFrame:
+    """(url, body) of each address."""
+    spark.dataSource.register(RestSource)
+    return spark.read.format("rest_json").option("urls", " ".join(urls)).option("delay", delay).option("retries", retries).load()
+
+
+def fetch_members(spark: SparkSession, codes: list[str], base: str, **options) -> DataFrame:
+    """(atc_code, rxcui, name) of some thousand classes: ingredients alone are asked for first, and all members where there are none."""
+    from urllib.parse import quote
+
+    def asked(some: list[str], suffix: str) -> DataFrame:
+        address = {f"{base}/rxclass/classMembers.json?classId={quote(c)}&relaSource=ATC{suffix}": c for c in some}
+        found = rest(spark, list(address), **options)
+        return members(found.select(F.element_at(F.create_map(*(F.lit(x) for pair in address.items() for x in pair)), F.col("url")).alias("atc_code"), "body"))
+
+    first = asked(codes, "&ttys=IN").persist()
+    missing = sorted(set(codes) - {r.atc_code for r in first.select("atc_code").distinct().collect()})  # of the codes given
+    return first.unionByName(asked(missing, "")) if missing else first
+
+
+def extract(spark: SparkSession, base: str, roots: tuple[str, ...] = ROOTS, **options) -> DataFrame:
+    """The drug table by way of the service: the trees of the roots, then the members of their classes."""
+    trees = rest(spark, [f"{base}/rxclass/classTree.json?classId={r}&classType=ATC1-4" for r in roots], **options)
+    classes = level_4(edges(trees))
+    codes = sorted(r.atc_code for r in classes.select("atc_code").collect())  # the classification has a few thousand codes
+    return drug_rows(fetch_members(spark, codes, base, **options), classes)
+
+
+def drug_table(trees: DataFrame, answers: DataFrame) -> DataFrame:
+    """The long table from stored answers: class trees (body), and members by class (atc_code, body)."""
+    return drug_rows(members(answers), level_4(edges(trees)))
+
+
 def drug_rows(found: DataFrame, classes: DataFrame) -> DataFrame:
     """The long table: one row per ingredient and class."""
     return found.join(classes, "atc_code").select(

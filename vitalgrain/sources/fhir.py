@@ -47,9 +47,14 @@ SCHEMAS = {
 
 
 # ---- scan ----
-def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, resource_type, resource, fhir_id, ingestion_metadata); files that aren't JSON have a null type."""
-    files = spark.read.text(paths, wholetext=True, pathGlobFilter="*.json").select(F.col("_metadata.file_name").alias("file"), "value")
+def find_files(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """(path, file, bytes) of the JSON files that lie directly in the folders; the contents aren't read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folders)
+    return found.select("path", F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("bytes"))
+
+
+def parse(files: DataFrame) -> DataFrame:
+    """(file, resource_type, resource, fhir_id, ingestion_metadata) of the JSON texts ``value``; what isn't JSON has a null type."""
     head = files.withColumn("h", F.from_json("value", "resourceType string, entry array<struct<resource:string>>"))
     is_bundle = F.col("h.resourceType") == "Bundle"
     inside = F.transform(F.coalesce(F.col("h.entry"), F.array().cast("array<struct<resource:string>>")), lambda e: e["resource"])
@@ -61,6 +66,18 @@ def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
 
 
+def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The resources of all JSON files below the paths."""
+    return parse(spark.read.text(paths, wholetext=True, pathGlobFilter="*.json").select(F.col("_metadata.file_name").alias("file"), "value"))
+
+
+def ingest(resources: DataFrame, path: str) -> DataFrame:
+    """Write the resources once, a folder per type, and read them back: a transform then reads its own type alone."""
+    resources.write.mode("overwrite").partitionBy("resource_type").parquet(path)
+    schema = "file string, resource string, fhir_id string, ingestion_metadata struct<ingested_at:timestamp,ingestion_version:string>, resource_type string"
+    return resources.sparkSession.read.schema(schema).parquet(path)
+
+
 def failed_files(resources: DataFrame) -> DataFrame:
     """Files of which nothing could be read."""
     return resources.groupBy("file").agg(F.count("resource_type").alias("n")).where("n = 0").select("file")
@@ -72,6 +89,21 @@ def route(resources: DataFrame, resource_type: str) -> DataFrame:
     return rows.select(F.coalesce("fhir_id", F.sha2("resource", 256)).alias("row_key"), F.from_json("resource", SCHEMAS[resource_type]).alias("r")).select("row_key", "r.*")
 
 
+def by_raw_table(resources: DataFrame) -> DataFrame:
+    """(raw_table, count): where each resource goes; types without a table are counted under null."""
+    pairs = F.create_map(*(F.lit(x) for pair in RAW_NAMES.items() for x in pair))
+    return resources.groupBy(F.element_at(pairs, F.coalesce("resource_type", F.lit(""))).alias("raw_table")).agg(F.count("*").alias("count"))
+
+
+def final_name(raw: str) -> str:
+    return FINAL_NAMES.get(raw, raw)
+
+
+def ingestion_name(final: str) -> str:
+    """The raw table behind a clean one."""
+    return next((raw for raw, name in FINAL_NAMES.items() if name == final), final)
+
+
 def ingest_counts(resources: DataFrame) -> DataFrame:
     return resources.groupBy("resource_type").agg(F.count("*").alias("count"))
 
@@ -269,20 +301,16 @@ TRANSFORMS: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 def transform(resources: DataFrame) -> dict[str, DataFrame]:
-    """Clean table -> its rows; every table is a plan of its own over the same scan."""
-    out = {}
-    for kind, f in TRANSFORMS.items():
-        raw = RAW_NAMES[kind]
-        out[FINAL_NAMES.get(raw, raw)] = f(route(resources, kind))
-    return out
+    """Clean table -> its rows. Over what ``ingest`` gave, each table reads the folder of its type alone."""
+    return {final_name(RAW_NAMES[kind]): f(route(resources, kind)) for kind, f in TRANSFORMS.items()}
 
 
 def transform_stats(resources: DataFrame, kind: str) -> DataFrame:
     """Rows read, kept and skipped of one type."""
-    read, kept = route(resources, kind), TRANSFORMS[kind](route(resources, kind))
-    return read.agg(F.count("*").alias("processed")).withColumn("_one", F.lit(1)).join(kept.agg(F.count("*").alias("transformed")).withColumn("_one", F.lit(1)), "_one").select(
-        F.lit(kind).alias("resource_type"), "processed", "transformed", (F.col("processed") - F.col("transformed")).alias("skipped")
-    )
+    read = route(resources, kind).select(F.lit(1).alias("r"), F.lit(0).alias("k"))
+    kept = TRANSFORMS[kind](route(resources, kind)).select(F.lit(0).alias("r"), F.lit(1).alias("k"))
+    both = read.unionAll(kept).agg(F.coalesce(F.sum("r"), F.lit(0)).alias("processed"), F.coalesce(F.sum("k"), F.lit(0)).alias("transformed"))
+    return both.select(F.lit(kind).alias("resource_type"), "processed", "transformed", (F.col("processed") - F.col("transformed")).alias("skipped"))
 
 
 def enrichment_stats(df: DataFrame, table: str, fields: list[str]) -> DataFrame:
@@ -291,7 +319,7 @@ def enrichment_stats(df: DataFrame, table: str, fields: list[str]) -> DataFrame:
     return df.select(F.explode(pairs).alias("p")).where("trim(p.value) <> ''").groupBy("p.field").agg(F.count("*").alias("count"), F.min("p.value").alias("sample")).select(F.lit(table).alias("collection"), "*")
 
 
-def clinical_summary(text: Column) -> Column:
-    """The part of summaries that needs no model: null under 20 characters, clean text under 500, else its start."""
+def clinical_summary(text: Column, model: Callable[[Column], Column] | None = None) -> Column:
+    """Null under 20 characters, the clean text under 500; longer texts are the model's, or stay whole without one."""
     clean = S.clean_text(text)
-    return F.when(F.length(clean) < 20, F.lit(None)).when(F.length(clean) < 500, clean).otherwise(F.substring(clean, 1, 500))
+    return F.when(F.length(clean) < 20, F.lit(None)).when(F.length(clean) < 500, clean).otherwise(model(clean) if model else clean)

@@ -13,9 +13,12 @@ from vitalgrain.streaming import stateful
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; on this machine only where that is unset."""
+    """A fresh folder below spark.checkpoint.dir; a local master may do without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file:///tmp/checkpoints/{os.getpid()}-streams"
         atexit.register(shutil.rmtree, base[7:], ignore_errors=True)
     return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex[:12]}"

@@ -40,20 +40,30 @@ def dedup(df: DataFrame, at: str, keys: list[str], late: str = "1 hour") -> Data
     return df.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late).dropDuplicatesWithinWatermark(keys).drop("_at")
 
 
-def rate_limit(df: DataFrame, key: str, at: str, limit: int = 60, seconds: float = 60.0) -> DataFrame:
-    """(key, ts, allowed): the state of a key is the times of its last allowed requests, at most ``limit``."""
+def rate_limit(df: DataFrame, key: str, at: str, limit: int = 60, seconds: float = 60.0, late: str = "1 hour") -> DataFrame:
+    """(key, ts, allowed): the state of a key is the times of its last allowed requests, at most ``limit``.
+
+    The requests of a key's micro-batch are put in order over all its frames; ``maxFilesPerTrigger`` bounds
+    a micro-batch. Rows that come later than ``late`` behind the newest are left out, and a key's state goes
+    when the watermark has passed all its times.
+    """
 
     def step(k, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen = list(state.get[0]) if state.exists else []
-        for frame in frames:
-            frame = frame.sort_values(at)
-            allowed = []
-            for now in frame[at].astype("datetime64[us]").astype("int64") / 1e6:
-                seen = [t for t in seen if now - t < seconds]
-                allowed.append(len(seen) < limit)
-                if allowed[-1]:
-                    seen.append(now)
-            yield pd.DataFrame({"key": [str(k[0])] * len(frame), "ts": frame[at].to_numpy(), "allowed": allowed})
+        frame = pd.concat(list(frames), ignore_index=True).sort_values("_at", kind="stable")
+        allowed = []
+        for now in frame["_at"].astype("datetime64[us]").astype("int64") / 1e6:
+            seen = [t for t in seen if now - t < seconds]
+            allowed.append(len(seen) < limit)
+            if allowed[-1]:
+                seen.append(now)
         state.update((seen,))
+        if seen:
+            state.setTimeoutTimestamp(max(int((seen[-1] + seconds) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"key": [str(k[0])] * len(frame), "ts": frame[at].to_numpy(), "allowed": allowed})
 
-    return df.groupBy(key).applyInPandasWithState(step, "key string, ts timestamp_ntz, allowed boolean", "seen array<double>", "append", GroupStateTimeout.NoTimeout)
+    timed = df.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late)
+    return timed.groupBy(key).applyInPandasWithState(step, "key string, ts timestamp_ntz, allowed boolean", "seen array<double>", "append", GroupStateTimeout.EventTimeTimeout)
