@@ -32,8 +32,8 @@ def test_matches_the_library_and_round_trips(spark, tmp_path):
 def test_every_token_is_reached_by_merges(spark):
     ranks = bpe.load_ranks(PATH)
     tokens = [(t.decode(), r) for t, r in ranks.items() if len(t) > 1 and t.decode("utf-8", "ignore").encode() == t][::97]
-    tok = bpe.Tokenizer(PATH)
-    out = spark.createDataFrame(tokens, "w string, r int").select("r", tok.folded(F.array("w")).alias("ids")).collect()
+    tok = bpe.Tokenizer(spark, PATH, bpe.work_dir(spark, "test"))
+    out = tok.folded(spark.createDataFrame(tokens, "w string, r int").select("r", F.array("w").alias("w")), "w").collect()
     assert all(x.ids == [[x.r]] for x in out)
 
 

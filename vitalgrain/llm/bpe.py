@@ -2,7 +2,7 @@
 
 A text is split by the tokenizer's pattern. Each distinct word of the corpus is merged once, by a fold
 of Spark's higher-order functions over its bytes that always takes the lowest-ranked adjacent pair,
-leftmost first. Ranks come from a literal table: the pairs (left id, right id) -> merged id form a
+leftmost first. Ranks come from a literal map: the pairs (left id, right id) -> merged id form a
 sparse matrix whose rows are laid over each other without collisions (row displacement), so that a
 lookup costs two array reads.
 
@@ -27,12 +27,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
 import zlib
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalgrain.llm.common import chunk_file, chunked, load_file, materialize, rereadable, save_file, small_batches, split_column, tidied, tidied_result, tidy, work_dir
@@ -75,27 +74,24 @@ def merge_table(path: str) -> tuple[list[int], list[int]]:
     return offsets.tolist(), [None if c == EMPTY else c for c in cells.tolist()]
 
 
-def literal(values: list, kind: str) -> Column:
-    """A literal array; the optimizer folds the JSON into it once."""
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
-
-
 def let(value: Column, body) -> Column:
     """body(value), with value computed once and shared."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 class Tokenizer:
-    """The fold for one vocabulary; ``path`` is a rank file."""
+    """The fold for one vocabulary; ``path`` is a rank file.
+
+    The rank map is a literal row, written to ``at`` and taken as a scalar: it reaches the tasks as a
+    constant, without standing in every description of the plan, which would be megabytes each.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, spark: SparkSession, path: str, at: str):
         self.ranks = load_ranks(path)
         offsets, cells = merge_table(path)
-        self.tables = F.struct(
-            literal(offsets, "array<int>").alias("offsets"),
-            literal(cells, "array<bigint>").alias("cells"),
-            literal([self.ranks[bytes([b])] for b in range(256)], "array<bigint>").alias("bytes"),
-        )
+        row = (offsets, cells, [self.ranks[bytes([b])] for b in range(256)])
+        tables = materialize(spark.createDataFrame([row], "offsets array<int>, cells array<bigint>, bytes array<bigint>"), f"{at}/ranks")
+        self.tables = tables.select(F.struct("offsets", "cells", "bytes").alias("t")).scalar()
 
     def fold(self, t: Column, word: Column) -> Column:
         """The ids of one word, given the tables: merge the lowest-ranked pair until none is left.
@@ -135,9 +131,10 @@ class Tokenizer:
         ids = F.transform(chars, lambda c: F.get(t["bytes"], F.ascii(c)))
         return let(ids, lambda x: F.when(F.size(x) > 1, all_merges(x)).otherwise(F.transform(x, lambda y: y.cast("int"))))
 
-    def folded(self, words: Column) -> Column:
-        """The ids of each word of an array."""
-        return let(self.tables, lambda t: F.transform(words, lambda w: self.fold(t, w)))
+    def folded(self, df: DataFrame, words: str, out: str = "ids") -> DataFrame:
+        """Adds ``out``: the ids of each word of the array ``words``."""
+        made = let(F.col("_ranks"), lambda t: F.transform(words, lambda w: self.fold(t, w)))
+        return df.withColumn("_ranks", self.tables).withColumn(out, made).drop("_ranks")
 
 
 def pack_words(words: list[bytes]) -> bytes:
@@ -243,7 +240,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     docs = rereadable(docs, at)
     size = docs.select(F.sum(F.octet_length(text)).alias("n")).first().n or 0
     groups = max(1, size // 6 // group_words)
-    tokenizer = Tokenizer(path)
+    tokenizer = Tokenizer(spark, path, at)
 
     plain = plain_pattern(pattern)
 
@@ -272,7 +269,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
         return tidied_result(pa.table({"g": pa.array([rows["g"][0].as_py()], pa.int32()), "w": pa.array([[w.decode("utf-8", "surrogatepass") for w in words]], pa.list_(pa.string()))}))
 
     united = sent.groupBy("g").applyInArrow(unite, "g int, w array<string>")
-    folded = united.select("g", "w", tokenizer.folded(F.col("w")).alias("ids"))
+    folded = tokenizer.folded(united, "w")
 
     def answer(asked, known):
         """Per chunk: how many ids each of its words has, and the ids, packed."""
