@@ -46,6 +46,43 @@ def test_lm_score(spark):
     assert lm_score.score(empty(spark)).count() == 0
 
 
+def test_lm_score_is_the_models_log_probability(spark, monkeypatch):
+    """Each score again, token by token: the softmax over classes times the word's share of its class."""
+    made = []
+    real = lm_score.train_all
+    monkeypatch.setattr(lm_score, "train_all", lambda texts, counts, *a, **k: made.append((real(texts, counts, *a, **k), counts)) or made[-1][0])
+    rows, classes, buckets = corpus(), 8, 4
+    out = {r.doc_id: r.score for r in lm_score.score(frame(spark, rows), classes=classes, buckets=buckets, head=20, sample_docs=100).collect()}
+    model, class_counts = made[0]
+    tokens = lambda t: (t or "").encode().lower().split() + [b""]
+    counts = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in tokens(t))
+    by_count = sorted(counts, key=lambda w: (-counts[w], w))
+    step = lambda n: math.floor(math.log2(n) * 64)
+    most = max(n for n in range(1, len(by_count) + 1) if n <= 20 and (n == len(by_count) or step(counts[by_count[n]]) < step(counts[by_count[n - 1]])))
+    own = by_count[: min(classes, most)]
+    place = {w: i for i, w in enumerate(own)}
+    class_of = lambda w: place.get(w, len(own) + zlib.crc32(w[-2:]) % buckets)
+    inside = Counter()
+    kinds = Counter()
+    for w, n in counts.items():
+        if w not in place:
+            inside[class_of(w)] += n
+            kinds[class_of(w)] += 1
+    assert class_counts.tolist() == [counts[w] for w in own] + [inside[len(own) + b] for b in range(buckets)]
+    start = len(model.bias)
+    for i, t in rows:
+        seen, total = [], 0.0
+        for w in tokens(t):
+            v = sum(table[seen[-k] if len(seen) >= k else start] for k, table in enumerate(model.context, 1))
+            z = model.out @ v + model.bias
+            c = class_of(w)
+            total += float(z[c] - np.log(np.exp(z).sum())) / math.log(10)
+            if w not in place:
+                total += math.log10((counts[w] + 1) / (inside[c] + kinds[c] + 1))
+            seen.append(c)
+        assert out[i] == pytest.approx(total, rel=1e-4, abs=1e-3)
+
+
 def test_lm_is_normalised():
     counts = np.array([50.0, 30, 20, 5])
     model = lm_score.train_model([np.array([0, 1, 2, 0, 1, 2, 3] * 30)], counts, context=2, epochs=5)
@@ -249,6 +286,19 @@ def test_top_word_counts_all_words():
     assert quality.text_features(None)[at] == 0
 
 
+def test_quality_score_is_a_sum_of_tables():
+    """Scores again, one text at a time, by walking the cut points."""
+    rng = np.random.default_rng(2)
+    x = rng.random((500, 4))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(int)
+    model = quality.fit(x, y, rounds=30)
+    for row, got in zip(x[:50], model.score(x[:50]), strict=True):
+        at = lambda cuts, v: sum(v >= c for c in cuts)
+        z = model.intercept + sum(t[at(c, v)] for c, t, v in zip(model.cuts, model.tables, row, strict=True))
+        z += sum(g[at(model.coarse[i], row[i]), at(model.coarse[j], row[j])] for (i, j), g in zip(model.pairs, model.grids, strict=True))
+        assert got == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 def test_pairs_matter():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 3))
@@ -281,6 +331,33 @@ def found_items(spark, items, texts):
     return {(r.doc_id, r.item_id) for r in decontaminate.contaminated(decontaminate.find(frame(spark, enumerate(texts)), df)).collect()}
 
 
+def test_decontamination_against_brute_force(spark):
+    """Windows of word-for-word copies, counted again by plain loops, over texts without numbers and names."""
+    rng = random.Random(12)
+    plain = [w for w in (x.split()[0].lower() for x in WORDS) if w.isalpha()]
+    draw = lambda n: [rng.choice(plain) for _ in range(n)]
+    items = [draw(rng.randrange(3, 40)) for _ in range(25)] + [draw(12)] * 2
+    docs = []
+    for _ in range(40):
+        w = draw(rng.randrange(0, 30))
+        for _ in range(rng.randrange(0, 3)):
+            some = rng.choice(items)
+            a = rng.randrange(len(some))
+            w += some[a : a + rng.randrange(1, 40)] + draw(rng.randrange(0, 9))
+        docs.append(w)
+    runs = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    want = {}
+    for d, w in enumerate(docs):
+        for i, item in enumerate(items):
+            size = min(10, len(item))
+            if both := runs(w, size) & runs(item, size):
+                want[d, i] = (len(both), len(runs(item, size)))
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    for limit in (1_000_000, 0):
+        got = decontaminate.find(frame(spark, [(d, " ".join(w)) for d, w in enumerate(docs)]), table, filter_windows=limit).collect()
+        assert {(r.doc_id, r.item_id): (r.n_windows, r.item_windows) for r in got} == want
+
+
 def test_decontamination_of_slots_and_short_items(spark):
     items = ["Compute 12 + 7 - 3 + 4", "Paris, London, Rome, Berlin, 7, 9", "Define entropy."]
     texts = ["so Compute 12 + 7 - 3 + 4 va", "we saw paris, london, rome, berlin, 7, 9 there", "now define entropy please", "Compute 13 + 7 - 3 + 4", "define it"]
@@ -362,6 +439,60 @@ def test_secret_scan(spark):
     assert secret_scan.train(empty(spark)) is None and secret_scan.scan(empty(spark), None).count() == 0
 
 
+def test_base_spans_against_plain_search():
+    """The patterns' spans, found again place by place without regular expressions."""
+    rng = random.Random(13)
+    pieces = ["password", "PassWD", "secret", "token", "api_key", "ApiKey", "apikey", "api__key", "AKIA", "'", '"', " ", "  ", ":", "=", "abc123", "ABCDEF0123456789", "0123456789abcdef", "xyz!", "é", "-_.+/", "\n", "f00d"]
+    value_chars = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def assign_at(t, i):
+        low = "".join(c.lower() if c.isascii() else c for c in t)
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if not low.startswith(word, i):
+                continue
+            ends = {i + len(word)}
+            ends |= {e + 1 for e in ends if e < len(t) and t[e] in "'\""}
+            for e in sorted(ends, reverse=True):
+                while e < len(t) and t[e] == " ":
+                    e += 1
+                if e < len(t) and t[e] in ":=":
+                    e += 1
+                    while e < len(t) and t[e] == " ":
+                        e += 1
+                    if e < len(t) and t[e] in "'\"":
+                        e += 1
+                    start = e
+                    while e < len(t) and t[e] in value_chars:
+                        e += 1
+                    if e > start:
+                        return e, e - start
+        return None
+
+    def runs(t, first, chars, least):
+        i = 0
+        while i < len(t):
+            if t.startswith(first, i) and (e := next((k for k in range(i + len(first), len(t) + 1) if k == len(t) or t[k] not in chars), None)) and e > i + len(first):
+                if e - i >= least:
+                    yield i, e
+                i = e
+            else:
+                i += 1
+
+    for _ in range(3000):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randrange(0, 14)))
+        want, i = [], 0
+        while i < len(t):
+            if found := assign_at(t, i):
+                if found[1] >= 6:
+                    want.append((i, 0, found[0]))
+                i = found[0]
+            else:
+                i += 1
+        want += [(s, 1, e) for s, e in runs(t, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20)]
+        want += [(s, 2, e) for s, e in runs(t, "", set("0123456789abcdef"), 24)]
+        assert secret_scan.base_spans(t) == sorted(want), t
+
+
 def test_field_tags_what_patterns_miss(spark):
     rng = random.Random(6)
     key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
