@@ -39,9 +39,8 @@ def main() -> None:
         runs = []
         for i in range(3):
             began = time.perf_counter()
-            resources = fhir.scan(spark, [f"{at}/in"])
-            resources.write.parquet(f"{at}/{i}/raw")
-            for name, df in fhir.transform(spark.read.parquet(f"{at}/{i}/raw")).items():
+            resources = fhir.ingest(fhir.scan(spark, [f"{at}/in"]), f"{at}/{i}/raw")  # each transform reads its own type
+            for name, df in fhir.transform(resources).items():
                 df.write.parquet(f"{at}/{i}/{name}")
             runs.append(time.perf_counter() - began)
         took["etl_100_patients"] = round(min(runs[1:]), 4)

@@ -45,5 +45,5 @@ def test_pushdown_and_no_python(spark):
     for name in ("tool03_conditions_by_name", "agg06_financial_by_patient", "tool02_timeline", "stub26_patient_claims", "win01_keep_first"):
         plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan, name
-    plan = catalog.queries()["src06_scan_filter_project"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = catalog.queries()["src13_scan_filter_project"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_shipdate" in plan and "GreaterThan(l_quantity" in plan and "l_comment" not in plan
