@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalgrain.llm import bpe, decontaminate, jaccard_join, quality, secret_scan
-from vitalgrain.llm.common import made_folders, materialize, remove, remove_unread, table, work_dir
+from vitalgrain.llm.common import free_name, made_folders, materialize, remove, remove_unread, table, work_dir
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Work folders of the stages so far.
@@ -39,7 +39,8 @@ def stage(f):
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.7 go."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, out="_quality").where("_quality >= 0.7").select(*docs.columns)
+    own = free_name(docs, "_quality")
+    return quality.score(docs, model, out=own).where(F.col(own) >= 0.7).select(*(f"`{c}`" for c in docs.columns))
 
 
 @stage
@@ -58,7 +59,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts give way to a mark; n_chars follows."""
     clean = secret_scan.redact(docs, secret_scan.train(docs))
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*(f"`{c}`" for c in docs.columns))
 
 
 @stage

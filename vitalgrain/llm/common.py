@@ -61,13 +61,18 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-#: Column of row numbers; an id may be null or stand in several rows.
-ROW = "_row"
-
-
-def with_row(df: DataFrame) -> DataFrame:
-    """With a row number, written once so that it holds."""
-    return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), f"{work_dir(df.sparkSession, 'rows')}/numbered")
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores if ``df`` has a column of that name (in either case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row(df: DataFrame) -> tuple[DataFrame, str]:
+    """(rows with a row number, its column), written once so that it holds; an id may be null or stand in several rows."""
+    row = free_name(df, "_row")
+    return materialize(df.withColumn(row, F.monotonically_increasing_id()), f"{work_dir(df.sparkSession, 'rows')}/numbered"), row
 
 
 def open_fs(path: str):

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrain.llm.common import ROW, materialize, small_batches, tidied, with_row, work_dir
+from vitalgrain.llm.common import materialize, small_batches, tidied, with_row, work_dir
 
 #: Units that count as a slot behind a number.
 UNITS = (
@@ -283,6 +283,6 @@ def contaminated(pairs: DataFrame, share: float = 0.5, windows: int = 3) -> Data
 
 def remove(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows without those that hold benchmark items, whatever their id."""
-    rows = with_row(docs)
-    bad = contaminated(find(rows, benchmark, key=ROW, **options)).select(F.col("doc_id").alias(ROW)).distinct()
-    return rows.join(bad, ROW, "left_anti").select(*docs.columns)
+    rows, row = with_row(docs)
+    bad = contaminated(find(rows, benchmark, key=row, **options)).select(F.col("doc_id").alias(row)).distinct()
+    return rows.join(bad, row, "left_anti").select(*(f"`{c}`" for c in docs.columns))

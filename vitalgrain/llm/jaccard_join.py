@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrain.llm.common import ROW, materialize, small_batches, tidied, with_row, work_dir
+from vitalgrain.llm.common import materialize, small_batches, tidied, with_row, work_dir
 from vitalgrain.llm.components import components
 
 VALUES, ROWS = 128, 4  # MinHash values; values per band
@@ -313,9 +313,9 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5
 
 def keep_one(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """One row of each class: the one with the smallest id, of equal ids the first; null ids come last."""
-    rows = with_row(docs)
-    found = join(rows, key=ROW, **options).where("linked_rows > 0").select(F.col("doc_id").alias(ROW), "class_id")
-    members = found.join(rows.select(ROW, F.col(key).alias("_id")), ROW)
-    kept = members.groupBy("class_id").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", ROW)).alias("m")).select(F.col(f"m.{ROW}").alias(ROW))
-    gone = found.select(ROW).join(kept, ROW, "left_anti")
-    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+    rows, row = with_row(docs)
+    found = join(rows, key=row, **options).where("linked_rows > 0").select(F.col("doc_id").alias(row), "class_id")
+    members = found.join(rows.select(row, F.col(key).alias("_id")), row)
+    kept = members.groupBy("class_id").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", row)).alias("m")).select(F.col(f"m.{row}").alias(row))
+    gone = found.select(row).join(kept, row, "left_anti")
+    return rows.join(gone, row, "left_anti").select(*(f"`{c}`" for c in docs.columns))
