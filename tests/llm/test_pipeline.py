@@ -86,6 +86,26 @@ def test_stages_on_empty_tables(spark, tmp_path):
         assert df.count() == 0
 
 
+def test_a_cluster_without_a_shared_folder_is_refused(spark):
+    from types import SimpleNamespace as N
+
+    from vitalgrain.llm import common
+
+    made = lambda master, found: N(conf=N(get=lambda *_: found), sparkContext=N(master=master))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            common.shared_dir(made(master, None))
+        assert common.shared_dir(made(master, "hdfs://shared/")) == "hdfs://shared"
+    assert common.shared_dir(spark).startswith("file:///tmp/checkpoints/") and spark.conf.get("spark.checkpoint.dir", None) is None
+
+
+def test_copies_of_one_row_cannot_enlarge_a_sample(spark):
+    from vitalgrain.llm.common import hash_sample
+
+    df = spark.range(2000).selectExpr("id", "'x' AS t").union(spark.range(3000).selectExpr("cast(null as long) AS id", "'copy' AS t"))
+    assert hash_sample(df, ["id", "t"], 500).count() < 500 and hash_sample(df, ["id", "t"], 5000).count() == 5000
+
+
 def test_only_the_entry_and_the_pipeline_import_it():
     for path in (ROOT / "vitalgrain").rglob("*.py"):
         if "llm" in path.parts:
