@@ -130,6 +130,16 @@ def test_examples_come_in_order(spark):
     assert got == [("y", 9, ["n0", "n1"]), ("w", 5, ["n0", "n1"]), ("z", 5, ["n0", "n1"])]
 
 
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace as N
+
+    from vitalgrain.streaming import bounded
+
+    with pytest.raises(ValueError):
+        bounded.shared_folder(N(conf=N(get=lambda *_: None), sparkContext=N(master="yarn")))
+    assert bounded.shared_folder(N(conf=N(get=lambda *_: "s3://b/c"), sparkContext=N(master="yarn"))).startswith("s3://b/c/streams/")
+
+
 def test_masks_nest_and_repeat(spark):
     df = spark.createDataFrame([("1", "Ann", ("Ames", "secret"))], "patient_id string, first_name string, details struct<city:string,ssn:string>")
     once = governance.mask(df, "read_only")
