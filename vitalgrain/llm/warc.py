@@ -129,7 +129,7 @@ def write(
     repeated = large.groupBy("digest").agg(F.max("id").alias("leader"), F.count("*").alias("n")).where("n > 1 AND leader IS NOT NULL")
     marks = large.join(repeated.drop("n"), "digest").where("id IS NULL OR id < leader").select(shard, "id", "digest", F.lit(0).alias("kind"), "leader", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("x"))
     bodies = rows.select(shard, "id", "digest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("leader"), "url", "x")
-    ordered = marks.unionByName(bodies).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "id", "digest", "kind", "url")
+    ordered = marks.unionByName(bodies).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "id", "digest", "kind", "url")
 
     schema = pa.schema([("temp", pa.string()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 
