@@ -105,25 +105,34 @@ class Model:
     out: np.ndarray
     bias: np.ndarray
 
-    def log_probs(self, classes: np.ndarray, starts: np.ndarray, block: int = 4096) -> np.ndarray:
-        """Natural log probability of each class given those before it in its text; starts: place of each one's text start."""
+    def log_probs(self, classes: np.ndarray, starts: np.ndarray, block: int = 2048) -> np.ndarray:
+        """Natural log probability of each class given those before it in its text; starts: place of each one's text start.
+
+        Where no score can leave the range of ``exp``, which
+        lengths of vectors tell, the largest one needs no taking off.
+        """
         before = len(self.bias)
         at = np.arange(len(classes))
         out = np.empty(len(classes), np.float64)
-        columns = np.ascontiguousarray(self.out.T)
+        columns = np.ascontiguousarray(np.concatenate([self.out, self.bias[:, None]], 1).T, np.float32)
+        longest, most = float(np.sqrt((self.out**2).sum(1).max())), float(np.abs(self.bias).max())
+        v = np.ones((block, len(columns)), np.float32)
+        scores = np.empty((block, before), np.float32)
         for a in range(0, len(classes), block):
             b = min(a + block, len(classes))
-            v = np.zeros((b - a, self.out.shape[1]), np.float32)
+            n, own = b - a, classes[a:b]
+            v[:n, :-1] = 0
             for k, table in enumerate(self.context, 1):
                 i = at[a:b] - k
-                v += table[np.where(i >= starts[a:b], classes[np.maximum(i, 0)], before)]
-            z = v @ columns
-            z += self.bias
-            top = z.max(1)
-            own = z[np.arange(b - a), classes[a:b]]
-            z -= top[:, None]
+                v[:n, :-1] += table[np.where(i >= starts[a:b], classes[np.maximum(i, 0)], before)]
+            z = np.matmul(v[:n], columns, out=scores[:n])
+            picked = z[np.arange(n), own].astype(np.float64)
+            if float(np.sqrt((v[:n, :-1] ** 2).sum(1).max())) * longest + most > 60:
+                top = z.max(1)
+                z -= top[:, None]
+                picked -= top
             np.exp(z, out=z)
-            out[a:b] = own - top - np.log(z.sum(1, dtype=np.float64))
+            out[a:b] = picked - np.log(z.sum(1))
         return out
 
 
@@ -137,8 +146,10 @@ def new_state(counts: np.ndarray, context: int = 4, size: int = 24) -> list[np.n
 
 
 def _summed(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of ``values`` by ``at``."""
-    return np.stack([np.bincount(at, column, n) for column in np.ascontiguousarray(values.T)], 1).astype(np.float32)
+    """Sums of the rows of ``values`` by ``at``, by one count over all cells."""
+    size = values.shape[1]
+    cells = (at[:, None] * size + np.arange(size)).ravel()
+    return np.bincount(cells, values.ravel(), n * size).reshape(n, size).astype(np.float32)
 
 
 def learn_texts(state: list[np.ndarray], texts: list[np.ndarray], counts: np.ndarray, rng, epochs: int = 1, noise: int = 96, rate: float = 0.08, batch: int = 512) -> None:
@@ -177,7 +188,8 @@ def learn_texts(state: list[np.ndarray], texts: list[np.ndarray], counts: np.nda
             g_out, g_bias = _summed(y, d_own[:, None] * v, n), np.bincount(y, d_own, n).astype(np.float32)
             np.add.at(g_out, drawn, d_other.T @ v)
             np.add.at(g_bias, drawn, d_other.sum(0))
-            by_class = [_summed(i, dv, n + 1) for i in h]  # gradients of the projected vectors
+            # gradients of the projected vectors, of all places at once
+            by_class = _summed(np.concatenate([i + k * (n + 1) for k, i in enumerate(h)]), np.concatenate([dv] * context), context * (n + 1)).reshape(context, n + 1, -1)
             g_rows = sum(g @ m.T for g, m in zip(by_class, maps, strict=True))
             g_maps = np.stack([rows.T @ g for g in by_class])
             for p, s, g in zip(params, squares, [g_rows, g_out, g_bias, g_maps], strict=True):  # Adagrad
