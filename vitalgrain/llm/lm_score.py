@@ -108,8 +108,7 @@ class Model:
     def log_probs(self, classes: np.ndarray, starts: np.ndarray, block: int = 2048) -> np.ndarray:
         """Natural log probability of each class given those before it in its text; starts: place of each one's text start.
 
-        Where no score can leave the range of ``exp``, which
-        lengths of vectors tell, the largest one needs no taking off.
+        Where no score can leave the range of ``exp``, which the lengths of vectors tell, the largest one needs no taking off.
         """
         before = len(self.bias)
         at = np.arange(len(classes))
