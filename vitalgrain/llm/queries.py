@@ -161,9 +161,103 @@ def op10_secret_scan(spark, sf_dir):
     return secret_scan.digest(secret_scan.scan(docs, secret_scan.train(docs), drops=("text",)))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    from vitalgrain.llm import prefix_trie
+
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_structure_repair(spark, sf_dir):
+    from vitalgrain.llm import structure_repair
+
+    return structure_repair.repair(structure_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+#: CRC-32 in SQL: a table from its rule, and a fold over the bytes of an ASCII string
+CRC = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+CRC_OF = "xor(list_reduce(list_concat([4294967295], list_transform(string_split({s}, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
+
+#: the automaton's moves as tables, folded over each conversation's rows; nothing else is shared with the query
+OP13_SQL = r"""
+WITH RECURSIVE """ + CRC + r""", d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS x,
+    """ + CRC_OF.format(s="coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')") + r""" % 20 AS k
+  FROM conversations, crc
+), m AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE r END AS r,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(x, '[.!?]', '', 'g') ELSE x END AS x
+  FROM d, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS c(c)
+), o AS (
+  SELECT *, row_number() OVER w AS i, left(r, 1) AS f, coalesce(lag(left(r, 1)) OVER w || left(r, 1) NOT IN ('su', 'ua', 'au'), false) AS odd,
+    right(rtrim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last
+  FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, sha256(x))
+), e AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, r, x ORDER BY i) > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM o
+), a AS (
+  SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (odd) AS illegal, count(*) AS n
+  FROM e GROUP BY 1
+), ins(s, t, letters, paid) AS (
+  VALUES (0, 0, '', 0), (0, 2, 'I', 2), (0, 3, 'II', 4), (1, 1, '', 0), (1, 2, 'I', 2), (1, 3, 'II', 4), (2, 2, '', 0), (2, 3, 'I', 2), (2, 2, 'II', 4), (3, 3, '', 0), (3, 2, 'I', 2), (3, 3, 'II', 4)
+), act(f, s, t, letter, paid) AS (
+  VALUES (NULL, 0, 0, 'D', 3), (NULL, 1, 1, 'D', 3), (NULL, 2, 2, 'D', 3), (NULL, 3, 3, 'D', 3), ('s', 0, 1, 'K', 0), ('u', 0, 2, 'K', 0), ('u', 1, 2, 'K', 0), ('u', 3, 2, 'K', 0), ('a', 2, 3, 'K', 0),
+    (NULL, 0, 2, 'R', 2), (NULL, 1, 2, 'R', 2), (NULL, 3, 2, 'R', 2), (NULL, 2, 3, 'R', 2)
+), st AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS s, 0 AS cost, '' AS audit FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, s, cost, audit FROM (
+    SELECT e.conv_id, e.i, act.t AS s, st.cost + ins.paid + act.paid + CASE WHEN letter <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END AS cost, audit || letters || letter AS audit
+    FROM st JOIN e ON e.conv_id IS NOT DISTINCT FROM st.conv_id AND e.i = st.i + 1 JOIN ins ON ins.s = st.s JOIN act ON act.s = ins.t AND (act.f IS NULL OR act.f = e.f) AND (letter = 'D' OR coalesce(fault, '') NOT IN ('blank', 'duplicate'))
+  ) QUALIFY row_number() OVER (PARTITION BY conv_id, s ORDER BY cost, audit) = 1
+), z AS (
+  SELECT st.conv_id, gaps, blank, duplicate, truncated, illegal, cost + paid AS cost, audit || letters AS audit FROM st LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM st.conv_id JOIN ins ON ins.s = st.s
+  WHERE st.i = coalesce(a.n, 0) AND ins.t IN (0, 3) QUALIFY row_number() OVER (PARTITION BY st.conv_id ORDER BY cost + paid, audit || letters) = 1
+), p AS (
+  SELECT conv_id, unnest(string_split(audit, '')) AS l, unnest(range(length(audit))) AS j FROM z WHERE audit <> ''
+), q AS (
+  SELECT *, count(*) FILTER (l <> 'I') OVER w AS i, count(*) FILTER (l <> 'D') OVER w AS spot FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY j)
+), g AS (
+  SELECT q.*, e.r, e.x, bool_or(l = 'K' AND f = 's') OVER (PARTITION BY q.conv_id) AS sys FROM q LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM q.conv_id AND e.i = q.i AND l <> 'I' WHERE l <> 'D'
+), h AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN l = 'K' THEN r WHEN (spot - CAST(sys AS INT)) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN l = 'I' THEN '' ELSE x END, chr(10) ORDER BY j)) AS h FROM g GROUP BY 1
+)
+SELECT z.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(cost AS BIGINT) AS cost, audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM z LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
+
+
+OP11_SQL = r"""
+WITH """ + CRC + r""", own AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), n AS (SELECT conv_id, count(*) AS n FROM own GROUP BY 1
+), f AS (SELECT conv_id, conv_id - conv_id % 20 AS b, """ + CRC_OF.format(s="CAST(conv_id AS VARCHAR)") + r""" % 4 AS h FROM n, crc
+), b AS (
+  SELECT f.conv_id, i, r, x FROM f JOIN own ON own.conv_id = f.b AND own.i < f.h
+  UNION ALL SELECT f.conv_id, i + 4, r, x FROM f JOIN own ON own.conv_id = f.conv_id AND own.i >= f.h
+), c AS (
+  SELECT conv_id, row_number() OVER w AS d, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words, md5(string_agg(length(r) || ':' || length(x) || ':' || r || x, '') OVER w) AS k
+  FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), p AS (SELECT conv_id, d, words, k FROM c UNION ALL SELECT conv_id, 0, 0, '' FROM n
+), q AS (SELECT *, lag(k) OVER w AS up, lead(k) OVER w IS NULL AS last FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY d)
+), g AS (
+  SELECT k, d AS depth, any_value(up) AS up, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+  FROM q GROUP BY 1, 2
+), kids AS (SELECT up AS k, count(*) AS n FROM g WHERE up IS NOT NULL GROUP BY 1
+), below AS (SELECT DISTINCT a.k AS top, z.k FROM p a JOIN p z ON a.conv_id = z.conv_id AND a.d <= z.d
+), sums AS (
+  SELECT top, count(*) FILTER (kids.n IS NULL) AS n_leaves, CAST(sum((n_convs - 1) * words) AS BIGINT) AS saved_tokens FROM below JOIN g USING (k) LEFT JOIN kids USING (k) GROUP BY 1
+)
+SELECT g.conv_id, g.depth, o.conv_id AS parent_conv_id, g.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, saved_tokens, g.ends_sha256
+FROM g JOIN sums ON sums.top = g.k LEFT JOIN g o ON o.k = g.up LEFT JOIN kids ON kids.k = g.k
+"""
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql():
-    return {"op2_jaccard_join": OP2_SQL, "op3_warc": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op9_substring_dedup": OP9_SQL}
+    return {"op2_jaccard_join": OP2_SQL, "op3_warc": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op9_substring_dedup": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op13_structure_repair": OP13_SQL}
