@@ -167,6 +167,13 @@ def op11_prefix_trie(spark, sf_dir):
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_pii(spark, sf_dir):
+    from vitalgrain.llm import pii
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(pii.find(docs, pii.learn(docs), drops=("text",)))
+
+
 def op13_structure_repair(spark, sf_dir):
     from vitalgrain.llm import structure_repair
 
