@@ -57,33 +57,40 @@ def rate_limit(df: DataFrame, key: str, at: str, limit: int = 60, seconds: float
     return _fold(df, key, [at, *([tie] if tie else [])], "allowed boolean", deque, step)
 
 
-def circuit_breaker(df: DataFrame, key: str, at: str, ok: str, failures: int = 5, rest: float = 60.0, probes: int = 3, tie: str | None = None) -> DataFrame:
+#: (state, failures in a row, probes won, probes lost, when it opened or last failed) of a breaker at rest.
+CLOSED = ("closed", 0, 0, 0, 0)
+
+
+def breaker_step(s: tuple, now: int, ok: bool, failures: int, rest: int, probes: int, losses: int) -> tuple[tuple, str]:
+    """What a call at ``now`` makes of a breaker, and the state that it met."""
+    state, failed, won, lost, since = s
+    if state == "open" and now - since >= rest:
+        state, won, lost = "half_open", 0, 0
+    met = state
+    if state == "closed":
+        failed = 0 if ok else failed + 1
+        if failed >= failures:
+            state, since = "open", now
+    elif state == "half_open":
+        won, lost = won + ok, lost + (not ok)
+        if lost >= losses:
+            state, since = "open", now
+        elif won >= probes:
+            return CLOSED, met
+    return (state, failed, won, lost, since), met
+
+
+def circuit_breaker(df: DataFrame, key: str, at: str, ok: str, failures: int = 5, rest: float = 60.0, probes: int = 3, losses: int = 1, tie: str | None = None) -> DataFrame:
     """Adds ``state`` that each call met: closed, open or half_open.
 
-    Failures in a row open it; after the rest calls are let through to probe; enough successes close
-    it, one failure opens it again. Calls that meet it open aren't made and change nothing.
+    Failures in a row open it; after the rest calls are let through to probe: ``probes`` successes close it,
+    ``losses`` failures open it again. Calls that meet it open aren't made and change nothing.
     """
 
     def step(s, row):
-        state, failed, won, since = s
-        now = row[at].timestamp()
-        if state == "open" and now - since >= rest:
-            state, won = "half_open", 0
-        met = state
-        if state == "closed":
-            failed = 0 if row[ok] else failed + 1
-            if failed >= failures:
-                state, since = "open", now
-        elif state == "half_open":
-            if not row[ok]:
-                state, since = "open", now
-            else:
-                won += 1
-                if won >= probes:
-                    state, failed = "closed", 0
-        return (state, failed, won, since), met
-
-    return _fold(df, key, [at, *([tie] if tie else [])], "state string", lambda: ("closed", 0, 0, 0.0), step)
+        return breaker_step(s, round(row[at].timestamp() * 1e6), row[ok], failures, int(rest * 1e6), probes, losses)
+
+    return _fold(df, key, [at, *([tie] if tie else [])], "state string", lambda: CLOSED, step)
 
 
 def sessions_expired(df: DataFrame, key: str, at: str, address: str, minutes: int = 30) -> DataFrame:

@@ -15,10 +15,10 @@ from vitalgrain.functions import filters as L
 from vitalgrain.functions import scalars as S
 from vitalgrain.operators import analytics as A
 from vitalgrain.operators import governance, joins, limits, observe, quality, runtime, sinks, timeline
-from vitalgrain.plans import catalog_etl, pipeline, tools
+from vitalgrain.plans import catalog_etl, catalog_state, pipeline, tools
 from vitalgrain.sources import fhir
 from vitalgrain.sources.entities import entity, entity_sql, read_table
-from vitalgrain.streaming import bounded, stateful
+from vitalgrain.streaming import bounded, machines, stateful
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -347,7 +347,7 @@ LIMIT_SQL = """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, epoch_us(ts) A
       FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1, LATERAL (SELECT f.before IS NULL OR e.s - f.before >= 7200000000 AS ok) v
     ) """
 add("stm02_rate_limit_batch", lambda e: limits.rate_limit(e.select("event_id", "user_id", "ts"), "user_id", "ts", 2, 7200.0, "event_id").select("event_id", "allowed"), LIMIT_SQL + "SELECT event_id, allowed FROM f", tables=("events",))
-add("stm03_circuit_breaker_batch", lambda e: limits.circuit_breaker(e.select("event_id", "user_id", "ts", (F.col("event_type") != "error").alias("ok")), "user_id", "ts", "ok", 2, 36000.0, 2, "event_id").select("event_id", "state"),
+add("stm03_circuit_breaker_batch", lambda e: limits.circuit_breaker(e.select("event_id", "user_id", "ts", (F.col("event_type") != "error").alias("ok")), "user_id", "ts", "ok", 2, 36000.0, 2, tie="event_id").select("event_id", "state"),
     """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS s, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), f AS (
       SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, user_id, '' AS met, 'closed' AS state, 0 AS failed, 0 AS won, CAST(0 AS BIGINT) AS since FROM e WHERE n = 1
       UNION ALL SELECT e.n, e.event_id, e.user_id, m.met,
@@ -401,12 +401,13 @@ def _stream(name: str, make: Callable[[DataFrame], DataFrame], sql: str | None =
 
 _stream("stm01_windowed_counts", lambda e: stateful.windowed_counts(e, "ts", "event_type", "1 day", "1 hour").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "count"), "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, COUNT(*) AS count FROM events GROUP BY 1, 2", "complete")
 _stream("stm02_rate_limit_stream", lambda e: stateful.rate_limit(e.select("user_id", "ts"), "user_id", "ts", 2, 7200.0), LIMIT_SQL + "SELECT CAST(user_id AS VARCHAR) AS key, ts, allowed FROM f")
+catalog_state.add("stm02_rate_limit_machine", lambda: machines.RateLimit(2, 7200.0), lambda: "request", LIMIT_SQL + "SELECT CAST(user_id AS VARCHAR) AS key, event_id AS tie, epoch_us(ts) AS micros, CASE WHEN allowed THEN 'allowed' ELSE 'refused' END AS what FROM f")
 _stream("stm09_dedup_stream", lambda e: stateful.dedup(e.select("user_id", "event_type", "ts"), "ts", ["user_id", "event_type"], "60 days").select("user_id", "event_type"), "SELECT DISTINCT user_id, event_type FROM events")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES | catalog_etl.QUERIES
+    return _QUERIES | catalog_etl.QUERIES | catalog_state.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | catalog_etl.SQL
+    return _SQL | catalog_etl.SQL | catalog_state.SQL
