@@ -174,18 +174,6 @@ def metrics_summary(df: DataFrame, ok: str, ms: str) -> DataFrame:
     return df.agg(F.round(F.avg(F.when(F.col(ok), 100.0).otherwise(0.0)), 2).alias("success_rate"), F.round(F.avg(ms), 4).alias("average_duration"), F.count("*").alias("operations"))
 
 
-def running_mean(df: DataFrame, kind: str, order: list[str], value: str) -> DataFrame:
-    """Adds ``running_mean``: the mean of the kind's values up to and with each row."""
-    by = Window.partitionBy(kind).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running_mean", F.avg(value).over(by))
-
-
-def flushes(df: DataFrame, key: str, order: list[str], size: int = 10) -> DataFrame:
-    """Adds ``flush``: the number of the flush that takes a key's operation, when every ``size`` of them are flushed."""
-    at = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("flush", F.floor((at - 1) / size).cast("long"))
-
-
 def matrix_summary(runs: DataFrame, passed: Column, tool: str) -> DataFrame:
     """One row over a matrix of test runs: how many there are, passed, their share, and distinct tools."""
     return runs.agg(F.count("*").alias("total"), F.count_if(passed).alias("passed"), F.round(F.avg(F.when(passed, 100.0).otherwise(0.0)), 2).alias("success_rate"), F.count_distinct(tool).alias("tools"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vitalgrain.functions import filters as L
 from vitalgrain.functions import scalars as S
 from vitalgrain.operators import analytics as A
-from vitalgrain.operators import governance, joins, limits, observe, quality, runtime, sinks, timeline
+from vitalgrain.operators import governance, joins, limits, observe, quality, runtime, scans, sinks, timeline
 from vitalgrain.plans import catalog_etl, catalog_state, pipeline, tools
 from vitalgrain.sources import fhir
 from vitalgrain.sources.entities import entity, entity_sql, read_table
@@ -358,6 +358,10 @@ add("stm03_circuit_breaker_batch", lambda e: limits.circuit_breaker(e.select("ev
       FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1,
         LATERAL (SELECT CASE WHEN f.state = 'open' AND e.s - f.since >= 36000000000 THEN 'half_open' ELSE f.state END AS met, CASE WHEN f.state = 'open' AND e.s - f.since >= 36000000000 THEN 0 ELSE f.won END AS won) m
     ) SELECT event_id, met AS state FROM f WHERE n > 0""", tables=("events",))
+add("win03_requests_in_blocks", lambda e: limits.requests_in_blocks(e, "user_id", "ts", 3600, 24).select("event_id", "in_window"), _SQL["win03_requests_in_window"], tables=("events",))
+add("stm02_rate_limit_blocks", lambda e: limits.rate_limit_blocks(e.select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 2, 7200.0, 24).select("event_id", "allowed"), _SQL["stm02_rate_limit_batch"], tables=("events",))
+add("stm03_circuit_breaker_blocks", lambda e: limits.circuit_breaker_blocks(e.select("event_id", "user_id", "ts", (F.col("event_type") != "error").alias("ok")), "user_id", "ts", "ok", "event_id", 2, 36000.0, 2, seconds=864_000.0).select("event_id", "state"), _SQL["stm03_circuit_breaker_batch"], tables=("events",))
+add("win07_numbered_events", lambda e: scans.numbered_steps(e, "event_type", ["ts", "event_id"]).select("event_id", "step"), "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS step FROM events", tables=("events",))
 add("stm07_sessions", lambda e: limits.sessions_expired(e.withColumn("ip", F.col("event_id") % 2), "user_id", "ts", "ip").agg(F.count_if("expired").alias("expired"), F.count_if("moved").alias("moved")), "SELECT COUNT(*) FILTER (gap > 1800000000) AS expired, COUNT(*) FILTER (moved) AS moved FROM (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap, event_id % 2 <> first_value(event_id % 2) OVER w AS moved FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))", tables=("events",))
 add("agg33_health", lambda e: observe.health(_traces(e), "success"), "SELECT COUNT(*) AS checks, ROUND(AVG(CASE WHEN event_type <> 'error' THEN 100.0 ELSE 0.0 END), 2) AS success_rate, AVG(CASE WHEN event_type <> 'error' THEN 100.0 ELSE 0.0 END) >= 80 AS healthy FROM events", tables=("events",))
 add("agg38_audit_summary", lambda e: observe.audit_summary(_traces(e).select("ts", "success", F.col("execution_time_ms").alias("result_count"), F.col("session_id").alias("user_id")), "2024-01-30 00:00:00"), "SELECT COUNT(*) AS access_events, COUNT(*) FILTER (event_type = 'error') AS failures, COUNT(*) FILTER (value > 50) AS high_volume, COUNT(DISTINCT user_id) AS unique_users FROM events WHERE ts >= TIMESTAMP '2024-01-23'", tables=("events",))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vitalgrain.functions import errors
 from vitalgrain.functions import filters as L
 from vitalgrain.functions import scalars as S
-from vitalgrain.operators import governance, joins, observe, quality, runtime, sinks
+from vitalgrain.operators import governance, joins, observe, quality, runtime, scans, sinks
 from vitalgrain.plans import pipeline
 from vitalgrain.sources import drug_classes, fhir
 from vitalgrain.sources.entities import entity, entity_sql, read_table
@@ -286,7 +286,7 @@ def _retried(s, n):
 
 
 add("stm04_retry", _retried, "SELECT COUNT(*) AS n, 3 AS tries FROM nation", tables=("nation",))
-add("stm08_trace_flushes", lambda s, e: observe.flushes(e, "user_id", ["ts", "event_id"]).groupBy("user_id", "flush").agg(F.count("*").alias("n")), "SELECT user_id, (r - 1) // 10 AS flush, COUNT(*) AS n FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) GROUP BY 1, 2", tables=("events",))
+add("stm08_trace_flushes", lambda s, e: scans.flushes(e, "user_id", ["ts", "event_id"]).groupBy("user_id", "flush").agg(F.count("*").alias("n")), "SELECT user_id, (r - 1) // 10 AS flush, COUNT(*) AS n FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) GROUP BY 1, 2", tables=("events",))
 add("hsh02_cache_key", lambda s, n: s.createDataFrame([(runtime.cache_key("find", {"b": 1, "a": "x"}, "admin"), runtime.cache_key("find", {"a": "x", "b": 1}, "admin") == runtime.cache_key("find", {"b": 1, "a": "x"}, "billing"))], "key string, shared boolean"), """SELECT sha256('["find", {"a": "x", "b": 1}, "admin"]') AS key, false AS shared""", tables=("nation",))
 add("idx01_table_layout", lambda s, n: _with_views(s, {"vg_layout": n}, lambda: s.createDataFrame([(len(runtime.table_layout(s, "vg_layout")), runtime.table_layout(s, "vg_layout")["files"])], "facts int, files int")), "SELECT 5 AS facts, 1 AS files", tables=("nation",))
 add("idx01_column_use", lambda s, e: runtime.column_use(e.select(F.array(F.lit("user_id"), F.when(F.col("event_id") % 2 == 0, "ts")).alias("columns"), "ts")), "SELECT 'user_id' AS field, COUNT(*) AS uses, MAX(ts) AS last_used FROM events UNION ALL SELECT 'ts', COUNT(*), MAX(ts) FROM events WHERE event_id % 2 = 0", tables=("events",))
@@ -372,7 +372,7 @@ add("arr06_nested_mask", lambda s, p: governance.mask(NESTED(p), "clinician").se
 QUERIES["gov02_nested_records"], SQL["gov02_nested_records"] = QUERIES["arr06_nested_mask"], SQL["arr06_nested_mask"]
 add("gov06_permissions", lambda s, p: s.createDataFrame([(r, governance.has_permission(r, "read_phi"), governance.has_permission(r, "read_financial")) for r in governance.ROLES], "role string, phi boolean, financial boolean"), "SELECT * FROM (VALUES ('admin', true, true), ('clinician', true, false), ('researcher', false, false), ('billing', false, true), ('read_only', false, false)) v(role, phi, financial)", ("patients",))
 add("win02_originals_and_duplicates", lambda s, c: _split(c), "SELECT source_fhir_id, CASE WHEN row_number() OVER (PARTITION BY patient_id, condition_name ORDER BY source_fhir_id) = 1 THEN 'original' ELSE 'duplicate' END AS part FROM conditions", ("conditions",))
-add("win05_running_mean", lambda s, e: observe.running_mean(e, "event_type", ["ts", "event_id"], "value").select("event_id", F.round(F.col("running_mean") + 1e-9, 4).alias("running_mean")), "SELECT event_id, ROUND(AVG(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 1e-9, 4) AS running_mean FROM events", tables=("events",))
+add("win05_running_mean", lambda s, e: scans.running_mean(e, "event_type", ["ts", "event_id"], "value").select("event_id", F.round(F.col("running_mean") + 1e-9, 4).alias("running_mean")), "SELECT event_id, ROUND(AVG(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 1e-9, 4) AS running_mean FROM events", tables=("events",))
 
 
 def _split(c: DataFrame) -> DataFrame:
