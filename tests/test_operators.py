@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitalgrain.functions import errors, filters
-from vitalgrain.operators import governance, joins, limits, observe, sinks
+from vitalgrain.operators import governance, joins, limits, quality, sinks
+from vitalgrain.operators.sketches import percentile_index
 from vitalgrain.plans import pipeline, tools
 from vitalgrain.streaming import stateful
 
@@ -183,15 +184,37 @@ def test_tools_refuse_unknown_groups(spark):
 
 
 def test_p95_by_index(spark):
-    for n in (1, 2, 19, 20, 21, 400):
-        values = [float((i * 37) % n) for i in range(n)]
-        df = spark.createDataFrame([(v,) for v in values], "ms double").withColumn("success", F.lit(True))
-        for cells, most in ((1_000, 10_000), (3, 2)):  # also found by cutting ranges again
-            assert observe._p95(df, "ms", cells, most).first().p95 == sorted(values)[min(int(n * 0.95), n - 1)]
+    for n in (1, 2, 19, 20, 21, 400, 5000):
+        values = [float((i * 37) % n // (1 + n // 2000)) for i in range(n)]
+        df = spark.createDataFrame([(v,) for v in values], "ms double").repartition(5)
+        for accuracy in (10_000, 30):  # also with a summary that leaves a bracket
+            assert percentile_index(df, "ms", 0.95, accuracy).first().value == sorted(values)[min(int(n * 0.95), n - 1)]
     odd = [1.0, 2.0, 1e300, -1e300, float("inf"), 3.0, float("nan")] + [float(i) / 7 for i in range(40)]
     df = spark.createDataFrame([(v,) for v in odd + [None]], "ms double")
-    want = sorted(odd, key=lambda v: (v != v, v))[int(len(odd) * 0.95)]
-    assert observe._p95(df, "ms", 3, 2).first().p95 == want
+    for accuracy in (10_000, 10):
+        for share in (0.5, 0.95, 0.99):
+            want = sorted(odd, key=lambda v: (v != v, v))[int(len(odd) * share)]
+            got = percentile_index(df, "ms", share, accuracy).first().value
+            assert got == want or got != got and want != want
+    assert percentile_index(df.where("ms IS NULL"), "ms").first().value is None
+
+
+def test_p95_runs_no_job_while_planned_and_reads_twice(spark, tmp_path):
+    spark.range(100).selectExpr("id * 1.0D AS ms").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    tracker, group = spark.sparkContext.statusTracker(), "plan-only"
+    spark.sparkContext.setJobGroup(group, "")
+    planned = percentile_index(df, "ms")
+    assert not tracker.getJobIdsForGroup(group) and planned._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 2
+
+
+def test_profile_counts_distinct_values_in_one_scan(spark, tmp_path):
+    spark.range(3000).selectExpr("CAST(id AS STRING) AS a", "CAST(id % 7 AS STRING) AS b", "CASE WHEN id % 5 > 0 THEN repeat('x', CAST(id % 5 - 1 AS INT)) END AS c", "id % 100 AS d").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    found = quality.profile(df, df.columns)
+    assert found._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
+    assert {r.field: (r.rows, r.nulls, r.blanks, r.distinct_values) for r in found.collect()} == {"a": (3000, 0, 0, 100), "b": (3000, 0, 0, 7), "c": (3000, 600, 600, 4), "d": (3000, 0, 0, 100)}
+    assert {r.field: r.distinct_values for r in quality.profile(df, df.columns, most=3000).collect()} == {"a": 3000, "b": 7, "c": 4, "d": 100}
 
 
 def test_lookup_keeps_rows_without_match(spark):

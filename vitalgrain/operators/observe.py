@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalgrain.functions import scalars as S
+from vitalgrain.operators.sketches import percentile_index
 
 #: Upper bounds of the histogram.
 BUCKETS = (0.1, 0.5, 1.0, 2.5, 5.0, 10.0)
@@ -21,46 +22,13 @@ def histogram(df: DataFrame, value: str, bounds: tuple[float, ...] = BUCKETS) ->
     return one.select(F.explode(F.array(*rows, F.struct(F.lit("+Inf").alias("le"), F.col("all").alias("count")))).alias("b")).select("b.*")
 
 
-def _p95(df: DataFrame, value: str, cells: int = 1_000, most: int = 10_000) -> DataFrame:
-    """The value at index int(0.95 n) of the sorted values, found without gathering or sorting them.
-
-    Running totals over ``cells`` ranges of values tell in which one the index lies; that range is cut again
-    until it has at most ``most`` different values, which are few enough to be looked at. However the
-    values are spread, no task ever holds more than these. Not a number counts as the largest value.
-    """
-    known = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    total = known.agg(F.sum("n")).first()[0]
-    if total is None:
-        return df.sparkSession.createDataFrame([(None,)], "p95 double")
-    want, before, inside = min(int(total * 0.95), total - 1), 0, known
-    v = F.col("v")
-    finite = F.abs(v) < float("inf")  # not a number is no less
-    for _ in range(100):  # each cut leaves a fraction of the range; doubles have 64 bits
-        low, high, kinds = inside.agg(F.min(F.when(finite, v)), F.max(F.when(finite, v)), F.count("*")).first()
-        width = 0.0 if low is None else high / 2 - low / 2  # halves, so that no difference overflows
-        if kinds <= most or not width:
-            break
-        cell = F.when(F.isnan(v), cells + 1).when(v == float("inf"), cells).when(v == float("-inf"), -1).otherwise(F.least(F.floor((v / 2 - low / 2) / width * cells), F.lit(cells - 1))).cast("int")
-        sums = sorted(inside.groupBy(cell.alias("c")).agg(F.sum("n").alias("n")).collect())  # at most one row per cell
-        for c, n in sums:
-            if before + n > want:
-                break
-            before += n
-        inside = inside.where(cell == c)
-    for x, n in sorted(inside.collect(), key=lambda r: (r.v != r.v, r.v)):  # at most ``most`` rows
-        before += n
-        if before > want:
-            break
-    return df.sparkSession.createDataFrame([(float(x),)], "p95 double")
-
-
 def performance_report(queries: DataFrame, ms: str = "execution_time_ms", ok: str = "success") -> DataFrame:
     good = F.count_if(F.col(ok))
     one = queries.agg(
         F.count("*").alias("total"), good.alias("succeeded"), F.count_if(~F.col(ok)).alias("failed"), F.round(F.avg(F.when(F.col(ok), 100.0).otherwise(0.0)), 2).alias("success_rate"),
         F.round(F.avg(ms), 4).alias("average_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"),
     ).withColumn("_one", F.lit(1))
-    return one.join(_p95(queries, ms).withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return one.join(percentile_index(queries, ms, 0.95, name="p95").withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
 def by_type(queries: DataFrame, kind: str, ms: str) -> DataFrame:

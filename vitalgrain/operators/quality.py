@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vitalgrain.functions import scalars as S
 from vitalgrain.operators.joins import orphans
+from vitalgrain.operators.sketches import distinct_up_to
 
 Rule = Callable[[], Column]
 
@@ -87,22 +88,15 @@ def summary(validated: DataFrame, by: str = "rule_name") -> DataFrame:
 
 
 def profile(df: DataFrame, columns: list[str], most: int = 100) -> DataFrame:
-    """Per column: rows, completeness, nulls, blanks and distinct values up to a bound.
-
-    One scan counts, and one more finds values: (column, value) pairs are made distinct before their shuffle,
-    and of each column no more than ``most`` reach its count.
-    """
-    from pyspark.sql import Window
-
+    """Per column: rows, completeness, nulls, blanks and distinct values up to a bound; one scan, a row per task is shuffled."""
     aggs = [F.count("*").alias("n")]
-    for c in columns:
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}__null"), F.count_if(F.trim(F.col(c).cast("string")) == "").alias(f"{c}__blank")]
+    for i, c in enumerate(columns):
+        text = F.col(f"`{c}`").cast("string")
+        aggs.append(F.struct(F.count_if(text.isNull()).alias("nulls"), F.count_if(F.trim(text) == "").alias("blanks"), distinct_up_to(text, most).alias("values")).alias(f"c{i}"))
     one = df.agg(*aggs)
-    rows = F.array(*(F.struct(F.lit(c).alias("field"), F.col("n").alias("rows"), F.col(f"{c}__null").alias("nulls"), F.col(f"{c}__blank").alias("blanks")) for c in columns))
-    values = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns))).alias("v")).select("v.*").dropna().distinct()
-    few = values.withColumn("_n", F.row_number().over(Window.partitionBy("field").orderBy("value"))).where(F.col("_n") <= most)
-    found = one.select(F.explode(rows).alias("p")).select("p.*", S.percentage(F.col("p.rows") - F.col("p.nulls") - F.col("p.blanks"), F.col("p.rows")).alias("completeness"))
-    return found.join(few.groupBy("field").agg(F.count("*").alias("distinct_values")), "field", "left").withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0)))
+    rows = F.array(*(F.struct(F.lit(c).alias("field"), F.col("n").alias("rows"), F.col(f"c{i}.nulls").alias("nulls"), F.col(f"c{i}.blanks").alias("blanks"), F.col(f"c{i}.values").alias("distinct_values")) for i, c in enumerate(columns)))
+    found = one.select(F.explode(rows).alias("p")).select("p.*")
+    return found.withColumn("completeness", S.percentage(F.col("rows") - F.col("nulls") - F.col("blanks"), F.col("rows")))
 
 
 def exact_duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
