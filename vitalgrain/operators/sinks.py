@@ -75,8 +75,10 @@ def bucketed(df: DataFrame, table: str, key: str, buckets: int, unique: bool = F
 
 
 def rename(spark: SparkSession, source: str, target: str) -> None:
-    spark.sql(f"DROP TABLE IF EXISTS `{target}`")
-    spark.sql(f"ALTER TABLE `{source}` RENAME TO `{target}`")
+    """Give a table another name in its database; a table of that name goes."""
+    quoted = lambda name: ".".join(f"`{part}`" for part in name.split("."))
+    spark.sql(f"DROP TABLE IF EXISTS {quoted(target)}")
+    spark.sql(f"ALTER TABLE {quoted(source)} RENAME TO {quoted(target)}")
 
 
 def drop_database(spark: SparkSession, name: str) -> None:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from vitalgrain.functions import errors
 from vitalgrain.functions import filters as L
 from vitalgrain.functions import scalars as S
-from vitalgrain.operators import governance, joins, observe, quality, runtime, scans, sinks
+from vitalgrain.operators import bloom, governance, joins, observe, quality, runtime, scans, sinks
+from vitalgrain.operators.log_table import LogTable
 from vitalgrain.plans import pipeline
 from vitalgrain.sources import drug_classes, fhir
 from vitalgrain.sources.entities import entity, entity_sql, read_table
@@ -179,12 +180,21 @@ def _written(spark: SparkSession, write: Callable[[str], None]) -> DataFrame:
 
 
 def _drug_upsert(s, d):
-    def write(at):
-        first = d.select("ingredient_rxcui", "primary_drug_name")
-        sinks.upsert_table(first, at, "ingredient_rxcui")
-        sinks.upsert_table(drug_classes.valid_drugs(first.withColumn("primary_drug_name", F.when(F.col("ingredient_rxcui").cast("int") % 2 == 0, F.concat(F.lit("new "), "primary_drug_name")).otherwise(" ")))[0], at, "ingredient_rxcui")
+    table = LogTable(s, f"{shared_folder(s)}/drugs")
+    first = d.select("ingredient_rxcui", "primary_drug_name")
+    table.upsert(first, "ingredient_rxcui")
+    table.upsert(drug_classes.valid_drugs(first.withColumn("primary_drug_name", F.when(F.col("ingredient_rxcui").cast("int") % 2 == 0, F.concat(F.lit("new "), "primary_drug_name")).otherwise(" ")))[0], "ingredient_rxcui")
+    return table.read()
 
-    return _written(s, write)
+
+def _patients_log(s, p):
+    """Two changes, folded buckets, and a third change over them."""
+    table = LogTable(s, f"{shared_folder(s)}/patients")
+    table.upsert(p.select("patient_id", "city", "state"), "patient_id", 8)
+    table.upsert(p.select("patient_id", F.when(F.col("gender") == "male", "moved").alias("city")), "patient_id")
+    table.compact(2)
+    table.upsert(p.select("patient_id", F.when(F.col("gender") != "female", F.lit("new")).alias("state"), "gender"), "patient_id")
+    return table.read()
 
 
 def _overwrite_in_place(s, c):
@@ -196,12 +206,11 @@ def _overwrite_in_place(s, c):
 
 
 def _new_content(s, c):
-    def write(at):
-        rows = c.select("source_fhir_id", "patient_id", "condition_name")
-        sinks.upsert_new_content(rows.where("condition_name < '3'"), at, "source_fhir_id", ["patient_id", "condition_name"])
-        sinks.upsert_new_content(rows, at, "source_fhir_id", ["patient_id", "condition_name"])
-
-    return _written(s, write).select("source_fhir_id")
+    table = LogTable(s, f"{shared_folder(s)}/conditions")
+    rows = c.select("source_fhir_id", "patient_id", "condition_name")
+    table.upsert_new_content(rows.where("condition_name < '3'"), "source_fhir_id", ["patient_id", "condition_name"])
+    table.upsert_new_content(rows, "source_fhir_id", ["patient_id", "condition_name"])
+    return table.read().select("source_fhir_id")
 
 
 def _database(s, c):
@@ -210,7 +219,7 @@ def _database(s, c):
     s.sql(f"CREATE DATABASE {name}")
     try:
         sinks.bucketed(c.select("source_fhir_id", "patient_id"), f"{name}.raw", "patient_id", 4)
-        s.sql(f"ALTER TABLE {name}.raw RENAME TO {name}.clean")
+        sinks.rename(s, f"{name}.raw", f"{name}.clean")
         layout = {r.col_name.strip(): r.data_type for r in s.sql(f"DESCRIBE EXTENDED {name}.clean").collect()}
         rows = s.table(f"{name}.clean").agg(F.count("*").alias("n")).first().n
     finally:
@@ -218,14 +227,24 @@ def _database(s, c):
     return s.createDataFrame([(layout["Num Buckets"], layout["Bucket Columns"], rows, s.catalog.databaseExists(name))], "buckets string, columns string, n long, there boolean")
 
 
+def _unknown_by_filter(s, c):
+    """Contents that aren't known yet, by a stored filter of the known ones and one of the others."""
+    rows = quality.hashed(c, ["patient_id", "condition_name"])
+    known, size = rows.where("status = 'active'"), c.count()
+    blocks = bloom.blocks_for(size)
+    return bloom.anti_join(rows, known, "content_hash", bloom.build(known, "content_hash", blocks), blocks, size).select("source_fhir_id")
+
+
 def _log(s, c):
     at = f"{shared_folder(s)}/log"
-    for status in ("active", "resolved"):
-        sinks.append_log(c.where(F.col("status") == status).select(F.lit("access").alias("event"), "patient_id", "status"), at)
+    for known in (F.col("status") == "active", ~F.col("status").eqNullSafe("active")):  # two appends, all rows
+        sinks.append_log(c.where(known).select(F.lit("access").alias("event"), "patient_id", "status"), at)
     return s.read.schema("event string, patient_id string, status string").json(at).groupBy("event", "status").agg(F.count("*").alias("n"))
 
 
 add("snk02_drugs_upsert", _drug_upsert, "SELECT ingredient_rxcui, CASE WHEN CAST(ingredient_rxcui AS INT) % 2 = 0 THEN 'new ' || primary_drug_name ELSE primary_drug_name END AS primary_drug_name FROM drugs", ("drugs",))
+add("snk01_patients_log", _patients_log, "SELECT patient_id, CASE WHEN gender = 'male' THEN 'moved' ELSE city END AS city, CASE WHEN gender <> 'female' THEN 'new' ELSE state END AS state, gender FROM patients", ("patients",))
+add("join07_unknown_by_filter", _unknown_by_filter, "SELECT source_fhir_id FROM conditions WHERE (patient_id, condition_name) NOT IN (SELECT patient_id, condition_name FROM conditions WHERE status = 'active')", ("conditions",))
 add("snk03_upsert_by_first_key", lambda s, c: joins.upsert_by_first_key(c.select(F.when(F.col("status") != "active", F.col("source_fhir_id")).alias("source_fhir_id"), "patient_id", "status").dropDuplicates(["source_fhir_id", "patient_id"]), c.where("status <> 'active'").select("source_fhir_id", "patient_id", F.lit("new").alias("status"))).groupBy("status").agg(F.count("*").alias("n")),
     "SELECT 'new' AS status, COUNT(*) AS n FROM conditions WHERE status <> 'active' UNION ALL SELECT 'active', COUNT(DISTINCT patient_id) FROM conditions WHERE status = 'active'", ("conditions",))
 add("snk04_overwrite_in_place", _overwrite_in_place, "SELECT source_fhir_id, upper(status) AS status FROM conditions", ("conditions",))
@@ -233,7 +252,7 @@ add("snk05_rename_and_drop", _database, "SELECT '4' AS buckets, '[`patient_id`]'
 QUERIES["snk06_bucketed"], SQL["snk06_bucketed"] = QUERIES["snk05_rename_and_drop"], SQL["snk05_rename_and_drop"]
 QUERIES["snk10_drop_database"], SQL["snk10_drop_database"] = QUERIES["snk05_rename_and_drop"], SQL["snk05_rename_and_drop"]
 add("snk07_new_content_only", _new_content, "SELECT source_fhir_id FROM conditions WHERE condition_name < '3' UNION SELECT source_fhir_id FROM conditions WHERE (patient_id, condition_name) NOT IN (SELECT patient_id, condition_name FROM conditions WHERE condition_name < '3')", ("conditions",))
-add("snk13_audit_log", _log, "SELECT 'access' AS event, status, COUNT(*) AS n FROM conditions WHERE status IN ('active', 'resolved') GROUP BY 2", ("conditions",))
+add("snk13_audit_log", _log, "SELECT 'access' AS event, status, COUNT(*) AS n FROM conditions GROUP BY 2", ("conditions",))
 add("snk14_log_lines", lambda s, p: sinks.log_lines(p.select("patient_id", F.struct("city", F.col("gender").alias("kind")).alias("context")), "patient seen", "INFO"), """SELECT '{"level":"INFO","message":"patient seen","patient_id":"' || patient_id || '","context_city":"' || city || '","context_kind":"' || gender || '"}' AS line FROM patients""", ("patients",))
 add("snk16_result_cache", lambda s, c: _cached(c), "SELECT COUNT(*) AS n, 1 AS made FROM conditions", ("conditions",))
 
