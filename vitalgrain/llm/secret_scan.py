@@ -11,9 +11,12 @@ falls into short segments that are decoded exactly.
 
 The field is trained in numpy on windows of words. The patterns label some; in copies of those the
 keyword is masked and the value changed, and in others secrets are planted that no pattern knows: keys
-without a keyword, passwords with symbols, key blocks over several words or lines. A word that looks
-like a secret but matches no pattern is neither label, so windows end before it. The windows come from
-a bounded sample of documents (``sample_docs``), chosen by a hash of the id; scanning covers all rows.
+without a keyword, passwords with symbols beside a word that announces them, key blocks over several words
+or lines. Plain text is all else: odd words that match no pattern too, unless they mix letters, cases and digits
+as keys do (then a window ends before them), and planted addresses, dates, numbers, paths, code and compounds, made of the
+documents' own words. A path has to be better than plain text by ``CAUTION`` per begun secret. The windows come from
+a bounded sample of documents (``sample_docs``), chosen by a hash of the id, and are at most ``most_windows`` for each;
+scanning covers all rows.
 
 Defined results: a null text counts as empty and has no spans; spans count code points, end
 exclusive; spans of the field that touch a pattern's span are dropped, the pattern's stays; repeated
@@ -48,11 +51,14 @@ ASSIGN = re.compile("(" + "|".join(map(_either_case, KEYWORDS)) + r""")["']?\x20
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{24,}")
 HINTS = ("passw", "secret", "token", "api")
+#: Words that announce a secret, for the field.
+ANNOUNCE = (*HINTS, "pwd", "pass", "key", "credential", "login", "auth", "bearer", "clave", "senha", "kennwort", "motdepasse")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VALUE = re.compile(r"[A-Za-z0-9+/_=.-]{8,}")
 QUOTES = "\"'`()[]{}<>"
 WINDOW = 10  # words to either side of a training centre
 PLAIN_EVERY, MIXED_EVERY = 400, 20  # a training window for so many words, and for so many words beyond letters
+CAUTION = 3.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -76,28 +82,43 @@ def word_class(word: bytes) -> tuple:
     plain = word.rstrip(b".,!?;:$%&*#|")
     text = plain.decode("utf-8", "replace")
     tail = len(word) - len(plain) > 1
-    if text.isalpha():
+    low = text.lower()
+    announced = next((k for k in ANNOUNCE if k in low), "")
+    if text.isalpha() and (len(text) < 16 or text[1:].islower() or text.isupper()):
         case = 0 if text.islower() else 1 if text[1:].islower() else 2 if text.isupper() else 3
-        low = text.lower()
-        return ("alpha", case, _bucket(len(text), 4, 8, 16, 24), any(k in low for k in HINTS) and low[:12], tail)
+        return ("alpha", case, _bucket(len(text), 4, 8, 16, 24), announced, tail)
     counts = Counter(text)
     n = max(1, len(text))
     entropy = -sum(c / n * log2(c / n) for c in counts.values())
     digits = sum(c.isdigit() for c in text)
-    low = text.lower()
     alphabet = (
         ("hex" if re.fullmatch("[0-9a-f]+", text.strip("\"'")) else "")
         + ("up" if re.search("[A-Z]", text) else "")
         + ("low" if re.search("[a-z]", text) else "")
     )
     odd = len(re.sub(r"[A-Za-z0-9]", "", text))
+    mixed, longest = _mixed(text)
     return (
         "mixed", alphabet, _bucket(len(text), 3, 6, 10, 16, 24, 40), _bucket(digits / n, 0.01, 0.2, 0.5, 0.9),
-        _bucket(entropy, 1.5, 2.5, 3.3, 4), _bucket(odd, 1, 2, 4, 8), text[:1] in "\"'", text[-1:] in "=:",
-        "=" in text[1:-1], text.startswith("AKIA"), any(k in low for k in HINTS), "@" in text, text.count(".") == 3, tail,
+        _bucket(entropy, 1.5, 2.5, 3.3, 4), _bucket(mixed, 1, 3, 6, 10), _bucket(longest, 4, 8, 12, 16, 20, 28), _bucket(odd, 1, 2, 4, 8), text[:1] in "\"'", text[-1:] in "=:",
+        _bucket(len(re.findall(r"[!@#$%^&*?]", text[1:-1])), 1, 2, 3), bool(re.search("[A-Z].*[a-z]|[a-z].*[A-Z]", text)), "=" in text[1:-1], text.startswith("AKIA"), announced, "@" in text, "://" in text or text.startswith("www."), text.count(".") == 3, tail,
     )
 
 
+def _mixed(text: str) -> tuple[int, int]:
+    """Of the pieces of letters and digits: how often the most mixed one changes between small letters, capitals and digits, and how long it is.
+
+    A capital before small letters is no change, as in names of code.
+    """
+    most, longest = 0, 0
+    for piece in re.findall(r"[A-Za-z0-9]{4,}", text):
+        kinds = re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "0", piece)))
+        changes = sum(x != y and x + y != "Aa" for x, y in zip(kinds, kinds[1:]))
+        if (changes, len(piece)) > (most, longest):
+            most, longest = changes, len(piece)
+    return most, longest
+
+
 def _file_class(n_words: int, odd: float) -> tuple:
     return ("file", _bucket(n_words, 50, 200, 1000), _bucket(odd, 0.05, 0.3))
 
@@ -153,32 +174,55 @@ def _labels(text: str, words: list[tuple[int, int]]) -> np.ndarray:
 
 
 def _doubtful(word: str) -> bool:
-    """Whether an unmatched word looks like a secret, so that it can't stand for plain text."""
-    return any(
-        any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and -sum(n / len(v) * log2(n / len(v)) for n in Counter(v).values()) >= 3
-        for v in VALUE.findall(word)
-        if "@" not in word and "://" not in word
-    )
+    """Whether an unmatched word mixes letters and digits as a key does, so that it can't stand for plain text."""
+    mixed, longest = _mixed(word)
+    return longest >= 12 and mixed >= 4 and mixed * 5 >= longest
 
 
 ALNUM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
 
-def _planted(rng: random.Random) -> list[str]:
-    """The words of a secret that the patterns don't know."""
+def _planted(rng: random.Random) -> tuple[list[str], list[str]]:
+    """(words that announce it, words) of a secret that the patterns don't know."""
     draw = lambda some, n: "".join(rng.choice(some) for _ in range(n))
-    form = rng.randrange(4)
+    form = rng.randrange(5)
     if form == 0:  # a key without a keyword
-        return [draw(ALNUM, rng.randrange(20, 48))]
-    if form == 1:  # a password with symbols in it
-        value = list(draw("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", rng.randrange(3, 7)) + draw("0123456789", 2) + draw("!@#$%^&*-_+?", 3))
+        return [], [draw(ALNUM, rng.randrange(20, 48))]
+    if form == 1:  # a password with symbols in it, mostly announced, else with louder ones
+        said = [rng.choice(["password", "Password:", "pwd", "pwd:", "login:", "credentials:", "passwd", "pass"])] if rng.random() < 0.4 else []
+        value = list(draw("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", rng.randrange(3, 7)) + draw("0123456789", 2) + draw("!@#$%^&*-_+?" if said else "!@#$%^&*", 3))
         rng.shuffle(value)
-        return ["".join(value) + draw(ALNUM, 1)]
+        return said, ["".join(value) + draw(ALNUM, 1)]
     if form == 2:  # a key in groups
-        return [draw(ALNUM, rng.randrange(16, 40)) for _ in range(rng.randrange(2, 5))]
+        return [], [draw(ALNUM, rng.randrange(16, 40)) for _ in range(rng.randrange(2, 5))]
+    if form == 3:  # a key behind a short name, with separators in it
+        return [], [rng.choice(["", draw("abcdefghijklmnopqrstuvwxyz", rng.randrange(2, 5)) + rng.choice("_-.")]) + rng.choice("_-.").join(draw(ALNUM, rng.randrange(12, 40)) for _ in range(rng.randrange(1, 4)))]
     kind = rng.choice(["RSA PRIVATE", "PRIVATE", "OPENSSH PRIVATE", "EC PRIVATE"])
     lines = [draw(ALNUM + "+/", 64) for _ in range(rng.randrange(1, 8))] + [draw(ALNUM + "+/", rng.randrange(16, 60)) + "=="]
-    return [*f"-----BEGIN {kind} KEY-----".split(), *lines, *f"-----END {kind} KEY-----".split()]
+    return [], [*f"-----BEGIN {kind} KEY-----".split(), *lines, *f"-----END {kind} KEY-----".split()]
+
+
+def _plain(rng: random.Random, words: list[str]) -> str:
+    """An odd word of plain text: addresses, times, numbers, paths, code, compounds."""
+    said = lambda: rng.choice(words).strip(QUOTES + ".,;:!?") or "a"
+    few = lambda sep, a, b: sep.join(said().lower() for _ in range(rng.randrange(a, b)))
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    y, m, d = rng.randrange(1900, 2040), rng.randrange(1, 13), rng.randrange(1, 29)
+    host = f"{rng.choice(['www.', '', 'news.', 'en.'])}{few('-', 1, 3)}.{rng.choice(['com', 'org', 'net', 'example.com', 'de', 'co.uk'])}"
+    forms = (
+        lambda: f"{rng.choice(['https://', 'http://', ''])}{host}/{few('/', 1, 4)}{rng.choice(['', '/', '.html', f'-{num(rng.randrange(1, 9))}', f'?id={num(5)}&page={num(1)}', f'/{y}/{m:02d}/{few("-", 1, 5)}', '#' + said().lower(), f'/{said().title()}_{said().lower()}-{said().lower()}', f'/wiki/{said().title()}-{said()}_{said()}#{said().title()}'])}",
+        lambda: f"{said().lower()}{rng.choice(['.', '_', ''])}{rng.choice([said().lower(), num(2)])}@{host}",
+        lambda: f"{y}-{m:02d}-{d:02d}{rng.choice(['', f'T{num(1)}{rng.randrange(10)}:{num(2)}:{num(2)}Z', f'T{num(2)}:{num(2)}:{num(2)}+0{num(1)}:00', f'_{num(4)}'])}",
+        lambda: rng.choice([f"{d:02d}/{m:02d}/{y}", f"{d}.{m}.{y}", f"{num(2)}:{num(2)}", f"{num(1)}:{num(2)}pm", f"{y}-{y + 1}", f"{y}s"]),
+        lambda: rng.choice([f"{num(3)}-{num(3)}-{num(4)}", f"+{num(2)}-{num(3)}-{num(7)}", f"({num(3)})", f"{num(3)}.{num(3)}.{num(4)}", num(rng.randrange(1, 17))]),
+        lambda: rng.choice([f"978-{num(1)}-{num(2)}-{num(6)}-{num(1)}", f"978{num(10)}", f"{num(4)}-{num(3)}X", f"10.{num(4)}/{said().lower()}.{y}.{num(5)}", f"doi:10.{num(4)}/{said().lower()[:4]}{num(4)}", f"arXiv:{num(4)}.{num(5)}v{num(1)}"]),
+        lambda: rng.choice([few("-", 2, 5), few("/", 2, 4), few("_", 2, 4), "".join(said().title() for _ in range(rng.randrange(2, 4))), f"lib{said().lower()}-dev", f"{said().lower()}-{num(2)}.{num(1)}", f"{said().lower()}-{said().title()}", f"{said().title()}-{said().title()}'s", f"{rng.choice('ABCDKX')}{num(1)}-{said().lower()}"]),
+        lambda: rng.choice([f"{few('_', 1, 4)}({few(', ', 1, 2)})", f"self.{few('_', 1, 3)}[{num(1)}]", f"{said()}::{said()}", f"{said().lower()}->{said().lower()}", f"x{num(1)}+y{num(1)}=z{num(1)}", f"a{num(1)}*b{num(1)}-c", f"{said().lower()}={num(3)}", f"<{said().lower()}>"]),
+        lambda: rng.choice([f"/usr/{few('/', 1, 4)}.so.{num(1)}", f"C:\\{said()}\\{said()}.txt", f"~/{few('/', 1, 3)}.py", f"v{num(1)}.{num(1)}.{num(2)}-rc{num(1)}", f"{num(1)}.{num(2)}.{num(1)}"]),
+        lambda: rng.choice([f'{said().lower()}="{said().lower()}-{num(1)}"><{said().lower()}>{said()}', f"</div><{said().lower()}><h{num(1)}>{said()}", f"{few('/', 1, 4)}.py:{num(rng.randrange(1, 4))}", f"{few('.', 2, 6)}", f"{said()}.{said()}{said().title()}", f"{said()[:3].upper()}-{num(2)}..{num(2)}", f"`{few('/', 1, 3)}.md:{num(3)}`", f"{said().upper()}={said().upper()}"]),
+        lambda: rng.choice([f"${num(1)},{num(3)}.{num(2)}", f"{num(2)}%", f"{num(2)}km/h", f"#{said()}{y}", f"C{num(1)}H{num(2)}O{num(1)}", f"{said()[:2].upper()}{num(4)}", f"#{num(3)}abc", f"{num(1)}x{num(2)}", f"**{said()}**", f"§{num(1)}.{num(1)}"]),
+    )
+    return rng.choice(forms)() + rng.choice(["", "", ".", ","])
 
 
 def _masked(words: list[str], labels: list[int], rng: random.Random) -> tuple[list[str], list[int]]:
@@ -188,6 +232,8 @@ def _masked(words: list[str], labels: list[int], rng: random.Random) -> tuple[li
         if l:
             m = ASSIGN.search(w)
             value = m[2] if m else w
+            if _mixed(value)[1] < 12:  # alone, it would say nothing
+                return [], []
             for some in ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
                 value = "".join(rng.choice(some) if c in some else c for c in value)
             w = value
@@ -198,8 +244,8 @@ def _masked(words: list[str], labels: list[int], rng: random.Random) -> tuple[li
     return out, marks
 
 
-def _windows(texts):
-    """Training windows of one batch of texts: bytes of the words, labels, file class."""
+def _windows(texts, most: int = 24):
+    """Training windows of one batch of texts, at most ``most`` and three planted ones for each: bytes of the words, labels, file class."""
     out = []
     for text in texts:
         spots = [m.span() for m in WORD.finditer(text or "")]
@@ -215,6 +261,14 @@ def _windows(texts):
         def add(some, marks, n=len(words), odd=odd, got=got):
             got.append({"words": [w.encode("utf-8", "surrogatepass") for w in some], "labels": marks, "n": n, "odd": odd})
 
+        def put(some, marks, got, span=2 * WINDOW + 1, n=len(words), odd=odd):
+            """A planted window; one over ``span`` words loses words at its ends."""
+            cut = max(0, len(some) - span)
+            if rng.random() < 0.5:  # in a text of any length and oddness
+                n, odd = rng.choice([1, 20, 100, 500, 5000]), rng.random()
+            part = slice(min(4, cut // 2), len(some) - (cut - min(4, cut // 2)))
+            got.append({"words": [w.encode("utf-8", "surrogatepass") for w in some[part]], "labels": marks[part], "n": n, "odd": odd})
+
         # every secret, and of other places and words more the longer the text is
         found = [i for i, l in enumerate(labels) if l == 1]
         plain = rng.sample(range(len(words)), 1 + len(words) // PLAIN_EVERY)
@@ -227,24 +281,35 @@ def _windows(texts):
                 continue
             a, b = max([a, *(i + 1 for i in doubts if i < c)]), min([b, *(i for i in doubts if i > c)])
             add(words[a:b], labels[a:b])
-            if labels[c]:
-                add(*_masked(words[a:b], labels[a:b], rng))
-        if got and rng.random() < 0.25:
-            base, secret = got[-1], _planted(rng)
-            at = rng.randrange(len(base["words"]) + 1)
-            left, right = slice(max(0, at - 4), at), slice(at, at + 4)
-            secret = secret[: 2 * WINDOW + 1 - 8]
+            if labels[c] and (masked := _masked(words[a:b], labels[a:b], rng))[0]:
+                add(*masked)
+        if len(got) > most:
+            got = rng.sample(got, most)
+        if got:
+            base, span = got[-1], 2 * WINDOW + 1
             some = [w.decode("utf-8", "surrogatepass") for w in base["words"]]
-            add(some[left] + secret + some[right], base["labels"][left] + [1] + [2] * (len(secret) - 1) + base["labels"][right])
+            at = rng.randrange(len(some) + 1)
+            left, right = slice(max(0, at - 4), at), slice(at, at + 4)
+            own = [some[i] for i in range(len(some)) if not base["labels"][i]] or ["a"]
+            for _ in range(2):
+                odd_words = [w for _ in range(rng.randrange(1, 6)) for w in _plain(rng, own).split()]
+                if rng.random() < 0.4:  # nothing but such words, the same one again too
+                    odd_words = [w for w in odd_words for _ in range(rng.choice([1, 1, 2, 3]))]
+                    put(odd_words, [0] * len(odd_words), got)
+                else:
+                    put(some[left] + odd_words + some[right], base["labels"][left] + [0] * len(odd_words) + base["labels"][right], got)
+            if rng.random() < 0.4:
+                before, secret = _planted(rng)
+                put(some[left] + before + secret + some[right], base["labels"][left] + [0] * len(before) + [1] + [2] * (len(secret) - 1) + base["labels"][right], got, span)
         out.append(got)
     return [out]
 
 
-def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs: int = 4_000, steps: int = 100, l2: float = 1e-4) -> Field | None:
-    """Fit the field on windows of a bounded sample."""
+def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs: int = 4_000, steps: int = 100, l2: float = 1e-4, most_windows: int = 24) -> Field | None:
+    """Fit the field on windows of a bounded sample: ``sample_docs`` documents, ``most_windows`` for each."""
     sample = hash_sample(docs.select(F.col(key).alias("k"), F.col(text).alias("x")), ["k", "x"], sample_docs).select("x")
     rows = add_columns(
-        sample, lambda: _windows, "w array<struct<words:array<binary>,labels:array<tinyint>,n:int,odd:double>>", ["x"], ("x",)
+        sample, lambda: lambda texts: _windows(texts, most_windows), "w array<struct<words:array<binary>,labels:array<tinyint>,n:int,odd:double>>", ["x"], ("x",)
     ).select(F.explode("w").alias("w")).select("w.*").toArrow().to_pylist()
     rows = sorted(rows, key=lambda r: (r["words"], r["labels"], r["n"]))
     if not any(1 in r["labels"] for r in rows):
@@ -354,6 +419,7 @@ class Scanner:
         e = x[:, :3] + self.field.file_scores(_file_class(len(words), float(self.odd[ids].mean())))
         e[1:] += x[:-1, 3:6]
         e[:-1] += x[1:, 6:]
+        e[:, 1] -= CAUTION
         open_at = np.flatnonzero(e[:, 0] - e[:, 1:].max(1) <= self.margin)
         out: list[tuple[int, int]] = []
         if not len(open_at):
