@@ -1,17 +1,19 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become template tokens: numbers, units behind a number and capitalised names in mid-sentence
-turn into typed placeholders, anything else is lower-cased and loses its punctuation. Every
+turn into typed placeholders, neighbouring names into one; anything else is lower-cased and loses its punctuation. Every
 run of ``window`` template tokens of a benchmark item (the whole item if it is shorter) is a window.
 Documents and items are joined on the hashes of their windows. A hit counts if the template tokens
 agree and its slots are consistent: equal values of the item stand opposite equal values of the
 document and different ones opposite different ones, so a question with new numbers or names is
-caught, while a chance meeting of placeholders is not.
+caught, while a chance meeting of placeholders is not. That holds over the passage: windows that lie
+at one distance of document and item are looked at together, and where their slots don't fit one to one, only those count that
+have the item's own values.
 
 Item windows (two longs each) reach the scan as a filter if there are at most ``filter_windows`` of
 them; beyond that the scan passes all windows on. Either way the hits are settled by the same hash
 join, which Spark shuffles if the item side is large. Tokens of a hit travel with it, so that it is
-compared in full. Windows of which half or more are placeholders, and items of fewer than ``least``
+compared in full. Windows of which half or more are numbers and names, and items of fewer than ``least``
 tokens, say too little as templates and have to agree word for word.
 
 Defined results: null and empty texts have no windows, nor do texts without letters and digits; ``find`` names no document of a null id, ``remove`` goes by row; repeated items or documents give the result of one; other
@@ -33,6 +35,9 @@ from vitalgrain.llm.common import materialize, small_batches, tidied, with_row,
 UNITS = (
     "mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "oz", "lb", "ml", "l", "s", "sec", "min", "h", "hr", "hrs", "day", "days",
     "week", "weeks", "month", "months", "year", "years", "usd", "eur", "mph", "kmh", "w", "kw", "v", "a", "hz", "c", "f",
+    "mile", "miles", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "kilometre", "kilometres", "centimeter", "centimeters", "inch", "inches", "foot", "feet", "yard", "yards",
+    "gram", "grams", "kilogram", "kilograms", "pound", "pounds", "ounce", "ounces", "liter", "liters", "litre", "litres", "gallon", "gallons", "second", "seconds", "minute", "minutes", "hour", "hours",
+    "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "degree", "degrees", "watt", "watts", "volt", "volts",
 )
 PLAIN, NUMBER, NAME, UNIT = range(4)
 MARKS = ("", "<number>", "<name>", "<unit>")
@@ -93,6 +98,7 @@ class Tokens:
             self.raw, self.docs, self.spans = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
             self.kinds = self.open_kinds = np.zeros(0, np.int8)
             self.hashes = self.open_hashes = self.raw
+            self.starts = [np.zeros(0, np.int64)] * 3
             return
         first, last = self._split_units(first, last, kept)
         count = np.concatenate([[0], np.cumsum(kept)])
@@ -122,6 +128,10 @@ class Tokens:
                 kinds[after[np.isin(self.raw[after], _unit_hashes()) & (kinds[after] == PLAIN)]] = UNIT
             made += [kinds, np.where(kinds == PLAIN, self.raw, _mark_hashes()[kinds])]
         self.kinds, self.hashes, self.open_kinds, self.open_hashes = made
+        more = np.zeros(len(self.raw), bool)
+        more[1:] = (self.kinds[1:] == NAME) & (self.kinds[:-1] == NAME) & (self.docs[1:] == self.docs[:-1])
+        #: of each form, where its tokens begin among the words: neighbouring names are one token, in both templates alike
+        self.starts = [np.flatnonzero(~more)] * 2 + [np.arange(len(self.raw))]
 
     def _split_units(self, first: np.ndarray, last: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words' edges, with a number and the unit glued to it as two words."""
@@ -140,10 +150,12 @@ class Tokens:
         """(place, hash) of each run of ``size`` tokens of one text.
 
         Forms: 0 template, 1 template in which capitalised words are names wherever they stand, both
-        without runs made of slots for the most part; 2 the tokens themselves.
+        without runs of which half or more are numbers and names; 2 the tokens themselves.
         """
-        tokens = (self.hashes, self.open_hashes, self.raw)[form]
-        kinds = (self.kinds, self.open_kinds, np.zeros(len(self.kinds), np.int8))[form]
+        starts = self.starts[form]
+        tokens = (self.hashes, self.open_hashes, self.raw)[form][starts]
+        kinds = (self.kinds, self.open_kinds, np.zeros(len(self.kinds), np.int8))[form][starts]
+        docs = self.docs[starts]
         n = len(tokens) - size + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -153,8 +165,8 @@ class Tokens:
             for k in range(size):
                 out += tokens[k : k + n] * up[k + 1]
             out = _mix(out)
-        slots = np.concatenate([[0], np.cumsum(kinds != PLAIN)])
-        at = np.flatnonzero((self.docs[:n] == self.docs[size - 1 :]) & ((slots[size:] - slots[:-size]) * 2 < size))
+        slots = np.concatenate([[0], np.cumsum((kinds == NUMBER) | (kinds == NAME))])
+        at = np.flatnonzero((docs[:n] == docs[size - 1 :]) & ((slots[size:] - slots[:-size]) * 2 < size))
         return at, out[at].astype(np.int64)
 
     def word(self, i: int) -> str:
@@ -163,10 +175,12 @@ class Tokens:
 
     def template(self, at: int, size: int, form: int = 0) -> tuple[str, list[str]]:
         """The window's template and the values of its slots."""
-        words = [self.word(i) for i in range(at, at + size)]
+        starts = self.starts[form]
+        edges = [*starts[at : at + size].tolist(), int(starts[at + size]) if at + size < len(starts) else len(self.raw)]
+        kinds = (self.kinds, self.open_kinds, np.zeros(len(self.raw), np.int8))[form][starts[at : at + size]].tolist()
+        words = [" ".join(self.word(i) for i in range(a, b if k == NAME else a + 1)) for a, b, k in zip(edges[:-1], edges[1:], kinds, strict=True)]
         if form == RAW:
             return "= " + " ".join(words), []
-        kinds = (self.kinds, self.open_kinds)[form][at : at + size].tolist()
         return " ".join(MARKS[k] or w for w, k in zip(words, kinds, strict=True)), [w for w, k in zip(words, kinds, strict=True) if k]
 
 
@@ -198,34 +212,35 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
 
     spark = docs.sparkSession
     small_batches(spark)
-    kind = "hash long, size int, template string, values array<string>, part long"
+    kind = "hash long, size int, template string, values array<string>, part long, spot int"
 
     def forms(size):
         return (0, 1, RAW) if size >= least else (RAW,)
 
     def explode_items(batches):
-        schema = pa.schema([("item_id", pa.int64()), ("hash", pa.int64()), ("size", pa.int32()), ("template", pa.string()), ("values", pa.list_(pa.string())), ("part", pa.int64())])
+        schema = pa.schema([("item_id", pa.int64()), ("hash", pa.int64()), ("size", pa.int32()), ("template", pa.string()), ("values", pa.list_(pa.string())), ("part", pa.int64()), ("spot", pa.int32())])
         for batch in batches:
             rows = []
             for k, t in zip(batch["k"].to_pylist(), batch["x"].to_pylist(), strict=True):
                 toks = Tokens([t])
-                size = min(window, len(toks.hashes))
-                if not size:
+                sizes = [min(window, len(s)) for s in toks.starts]
+                if not sizes[RAW]:
                     continue
                 # a window's part in the item: its template, or its tokens where the template says too little
-                parts = dict(zip(*(x.tolist() for x in toks.windows(size, RAW)), strict=True))
-                if size >= least:
-                    parts |= dict(zip(*(x.tolist() for x in toks.windows(size)), strict=True))
-                for form in forms(size):
-                    for i, h in zip(*(x.tolist() for x in toks.windows(size, form)), strict=True):
-                        template, values = toks.template(i, size, form)
-                        rows.append({"item_id": k, "hash": h, "size": size, "template": template, "values": values, "part": parts[i]})
+                parts = dict(zip(*(x.tolist() for x in toks.windows(sizes[RAW], RAW)), strict=True))
+                if sizes[0] >= least:
+                    at, h = toks.windows(sizes[0])
+                    parts |= dict(zip(toks.starts[0][at].tolist(), h.tolist(), strict=True))
+                for form in (f for f in (0, 1, RAW) if f == RAW or sizes[f] >= least):
+                    for i, h in zip(*(x.tolist() for x in toks.windows(sizes[form], form)), strict=True):
+                        template, values = toks.template(i, sizes[form], form)
+                        rows.append({"item_id": k, "hash": h, "size": sizes[form], "template": template, "values": values, "part": parts.get(int(toks.starts[form][i]), h), "spot": i})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     items = materialize(
         benchmark.select(F.col(item_key).cast("long").alias("k"), F.col(item_text).alias("x"))
         .mapInArrow(explode_items, f"item_id long, {kind}")
-        .dropDuplicates(["item_id", "hash", "template", "values", "part"]),
+        .dropDuplicates(["item_id", "hash", "template", "values", "part", "spot"]),
         f"{work_dir(spark, 'items')}/windows",
     )
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most window values
@@ -240,35 +255,45 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
         if known is not None:
             bits = np.zeros(low_bits + 1, bool)
             bits[known & low_bits] = True
-        schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("template", pa.string()), ("values", pa.list_(pa.string()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("template", pa.string()), ("values", pa.list_(pa.string())), ("spots", pa.list_(pa.int32()))])
         for batch in batches:
             for ids, texts in batches_of(batch["k"].to_pylist(), batch["x"].to_pylist()):
                 toks, out = Tokens(texts), []
                 for size in sizes:
-                    seen = set()
                     for form in forms(size):
+                        seen: dict = {}
                         at, h = toks.windows(size, form)
                         if bits is not None:
                             some = np.flatnonzero(bits[h & low_bits])
                             some = some[np.isin(h[some], known)]
                             at, h = at[some], h[some]
-                        for i, x, d in zip(at.tolist(), h.tolist(), toks.docs[at].tolist(), strict=True):
+                        for i, x, d in zip(at.tolist(), h.tolist(), toks.docs[toks.starts[form][at]].tolist(), strict=True):
                             if ids[d] is None:
                                 continue
                             template, values = toks.template(i, size, form)
-                            if (d, template, tuple(values)) not in seen:
-                                seen.add((d, template, tuple(values)))
-                                out.append({"doc_id": ids[d], "hash": x, "template": template, "values": values})
+                            spots = seen.setdefault((d, template, tuple(values)), [])
+                            if not spots:
+                                out.append({"doc_id": ids[d], "hash": x, "template": template, "values": values, "spots": spots})
+                            spots.append(i)
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    hits = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("x")).mapInArrow(tidied(scan), "doc_id long, hash long, template string, values array<string>")
+    hits = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("x")).mapInArrow(tidied(scan), "doc_id long, hash long, template string, values array<string>, spots array<int>")
     own = items.withColumnRenamed("values", "item_values")
     pair = F.array_distinct(F.arrays_zip(F.col("item_values").alias("a"), F.col("values").alias("b")))
-    one_to_one = (F.size(pair) == F.size(F.array_distinct("item_values"))) & (F.size(pair) == F.size(F.array_distinct("values")))
+
+    def one_to_one(pairs):
+        return (F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["a"])))) & (F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["b"]))))
+
     totals = items.groupBy("item_id").agg(F.count_distinct("part").alias("item_windows"))
+    fits = hits.join(own, ["hash", "template"]).withColumn("pairs", pair)
+    # of one item at one distance there are no more windows than the item has
+    passages = (
+        fits.select("doc_id", "item_id", "part", "pairs", (F.col("values") == F.col("item_values")).alias("same"), F.explode("spots").alias("at"), "spot")
+        .groupBy("doc_id", "item_id", (F.col("at") - F.col("spot")).alias("distance"))
+        .agg(F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.collect_set("part").alias("parts"), F.collect_set(F.when(F.col("same"), F.col("part"))).alias("own"))
+    )
     return (
-        hits.join(own, ["hash", "template"])
-        .where((F.size("values") == 0) | one_to_one)
+        passages.select("doc_id", "item_id", F.explode(F.when(one_to_one(F.col("pairs")), F.col("parts")).otherwise(F.col("own"))).alias("part"))
         .groupBy("doc_id", "item_id")
         .agg(F.count_distinct("part").alias("n_windows"))
         .join(totals, "item_id")
