@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vitalgrain.functions import filters as L
 from vitalgrain.functions import scalars as S
+from vitalgrain.functions import user
 from vitalgrain.operators import analytics as A
 from vitalgrain.operators import governance, joins, limits, observe, quality, runtime, scans, sinks, timeline
 from vitalgrain.plans import catalog_etl, catalog_state, pipeline, tools
@@ -286,6 +287,18 @@ _pipe("pipe02_project_fields", [{"$match": {"$or": [{"status": "active"}, {"pati
       "SELECT source_fhir_id, year(onset_ts) AS year, CASE WHEN status = 'active' THEN 1 ELSE 0 END AS open, status || ':' || condition_name AS label FROM conditions WHERE status = 'active' OR patient_id = '3'", ("conditions",))
 _pipe("pipe06_skip_limit_count", [{"$sort": {"source_fhir_id": 1}}, {"$skip": 100}, {"$limit": 250}, {"$match": {"status": {"$ne": "active"}}}, {"$count": "n"}], "SELECT COUNT(*) AS n FROM (SELECT * FROM conditions ORDER BY source_fhir_id LIMIT 250 OFFSET 100) WHERE status <> 'active'", ("conditions",))
 _pipe("pipe08_lookup_unwind", [{"$match": {"status": "active"}}, {"$lookup": {"from": "patients", "localField": "patient_id", "foreignField": "patient_id", "as": "p"}}, {"$unwind": "$p"}, {"$group": {"_id": "$p.state", "n": {"$sum": 1}}}], "SELECT state AS _id, COUNT(*) AS n FROM conditions JOIN patients USING (patient_id) WHERE status = 'active' GROUP BY 1", ("conditions", "patients"))
+FACETS = [{"$facet": {
+    "top": [{"$group": {"_id": "$condition_name", "n": {"$sum": 1}}}, {"$sort": {"n": -1, "_id": 1}}, {"$limit": 3}],
+    "active": [{"$match": {"status": "active"}}, {"$count": "n"}], "none": [{"$match": {"status": "no such"}}, {"$count": "n"}],
+    "kinds": [{"$match": {"condition_name": {"$ne": None}}}, {"$group": {"_id": "$status", "n": {"$sum": 1}, "last": {"$max": "$condition_name"}}}],
+}}]
+add("pipe10_facet_once", lambda c: pipeline.compile_pipeline(c, FACETS).select(*(F.to_json(x).alias(x) for x in ("top", "active", "none", "kinds"))),
+    """SELECT (SELECT '[' || string_agg('{"_id":"' || condition_name || '","n":' || n || '}', ',' ORDER BY n DESC, condition_name) || ']' FROM (SELECT condition_name, COUNT(*) AS n FROM conditions GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3)) AS top,
+      (SELECT '[{"n":' || COUNT(*) || '}]' FROM conditions WHERE status = 'active') AS active, '[{"n":0}]' AS none,
+      (SELECT '[' || string_agg('{"_id":"' || status || '","n":' || n || ',"last":"' || last || '"}', ',' ORDER BY status) || ']' FROM (SELECT status, COUNT(*) AS n, MAX(condition_name) AS last FROM conditions WHERE condition_name IS NOT NULL GROUP BY 1)) AS kinds""", ("conditions",))
+add("pipe10_facet_buckets", lambda c: pipeline.compile_pipeline(c, [{"$facet": {"sizes": [{"$bucket": {"groupBy": "$total_value", "boundaries": [0, 10000, 100000, 200000], "default": "more"}}], "states": [{"$group": {"_id": "$status", "n": {"$sum": 1}}}, {"$sort": {"_id": -1}}, {"$skip": 1}, {"$limit": 1}]}}]).select(*(F.to_json(x).alias(x) for x in ("sizes", "states"))),
+    """SELECT (SELECT '[' || string_agg('{"_id":"' || k || '","count":' || n || '}', ',' ORDER BY k) || ']' FROM (SELECT CASE WHEN total_value >= 0 AND total_value < 10000 THEN '0' WHEN total_value >= 10000 AND total_value < 100000 THEN '10000' WHEN total_value >= 100000 AND total_value < 200000 THEN '100000' ELSE 'more' END AS k, COUNT(*) AS n FROM claims GROUP BY 1)) AS sizes,
+      (SELECT '[' || string_agg('{"_id":"' || status || '","n":' || n || '}', ',') || ']' FROM (SELECT status, COUNT(*) AS n FROM claims GROUP BY 1 ORDER BY 1 DESC LIMIT 1 OFFSET 1)) AS states""", ("claims",))
 _pipe("pipe10_facet", [{"$facet": {"by_status": [{"$group": {"_id": "$status", "n": {"$sum": 1}}}], "total": [{"$count": "n"}]}}, {"$project": {"n_status": {"$size": "$by_status"}, "n_total": {"$size": "$total"}}}], "SELECT CAST(COUNT(DISTINCT status) AS INT) AS n_status, 1 AS n_total FROM conditions", ("conditions",))
 _pipe("pipe11_bucket", [{"$bucket": {"groupBy": "$value", "boundaries": [0, 5, 50, 200], "default": "more", "output": {"n": {"$sum": 1}, "top": {"$max": "$value"}}}}], "SELECT CASE WHEN value >= 0 AND value < 5 THEN '0' WHEN value >= 5 AND value < 50 THEN '5' WHEN value >= 50 AND value < 200 THEN '50' ELSE 'more' END AS _id, COUNT(*) AS n, MAX(value) AS top FROM observations GROUP BY 1", ("observations",))
 _pipe("pipe18_switch", [{"$group": {"_id": {"$switch": {"branches": [{"case": {"$lt": ["$value", 10]}, "then": "low"}, {"case": {"$and": [{"$gte": ["$value", 10]}, {"$lt": ["$value", 100]}]}, "then": "mid"}], "default": "high"}}, "total": {"$sum": {"$cond": [{"$eq": ["$status", "final"]}, 1, 0]}}, "mean": {"$avg": "$value"}}}, {"$project": {"total": 1, "mean": {"$cond": [{"$gt": ["$mean", 0]}, "yes", "no"]}}}],
@@ -362,6 +375,10 @@ add("win03_requests_in_blocks", lambda e: limits.requests_in_blocks(e, "user_id"
 add("stm02_rate_limit_blocks", lambda e: limits.rate_limit_blocks(e.select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 2, 7200.0, 24).select("event_id", "allowed"), _SQL["stm02_rate_limit_batch"], tables=("events",))
 add("stm03_circuit_breaker_blocks", lambda e: limits.circuit_breaker_blocks(e.select("event_id", "user_id", "ts", (F.col("event_type") != "error").alias("ok")), "user_id", "ts", "ok", "event_id", 2, 36000.0, 2, seconds=864_000.0).select("event_id", "state"), _SQL["stm03_circuit_breaker_batch"], tables=("events",))
 add("win07_numbered_events", lambda e: scans.numbered_steps(e, "event_type", ["ts", "event_id"]).select("event_id", "step"), "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS step FROM events", tables=("events",))
+add("udf06_variance_by_type", lambda e: user.user_aggregate(e, ["event_type"], "value", user.VARIANCE, "variance").select("event_type", F.round("variance", 4).alias("variance")), "SELECT event_type, ROUND(VAR_POP(value), 4) AS variance FROM events GROUP BY 1", tables=("events",))
+add("udf06_sessions", lambda e: user.sessions(e.select("user_id", "ts"), "user_id", "ts", 43_200.0).select("user", "session", "start", "end", "n"),
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 12 HOURS THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT *, SUM(b) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g)
+      SELECT user_id AS "user", CAST(session AS BIGINT) AS session, MIN(ts) AS start, MAX(ts) AS "end", COUNT(*) AS n FROM s GROUP BY 1, 2""", tables=("events",))
 add("stm07_sessions", lambda e: limits.sessions_expired(e.withColumn("ip", F.col("event_id") % 2), "user_id", "ts", "ip").agg(F.count_if("expired").alias("expired"), F.count_if("moved").alias("moved")), "SELECT COUNT(*) FILTER (gap > 1800000000) AS expired, COUNT(*) FILTER (moved) AS moved FROM (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap, event_id % 2 <> first_value(event_id % 2) OVER w AS moved FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))", tables=("events",))
 add("agg33_health", lambda e: observe.health(_traces(e), "success"), "SELECT COUNT(*) AS checks, ROUND(AVG(CASE WHEN event_type <> 'error' THEN 100.0 ELSE 0.0 END), 2) AS success_rate, AVG(CASE WHEN event_type <> 'error' THEN 100.0 ELSE 0.0 END) >= 80 AS healthy FROM events", tables=("events",))
 add("agg38_audit_summary", lambda e: observe.audit_summary(_traces(e).select("ts", "success", F.col("execution_time_ms").alias("result_count"), F.col("session_id").alias("user_id")), "2024-01-30 00:00:00"), "SELECT COUNT(*) AS access_events, COUNT(*) FILTER (event_type = 'error') AS failures, COUNT(*) FILTER (value > 50) AS high_volume, COUNT(DISTINCT user_id) AS unique_users FROM events WHERE ts >= TIMESTAMP '2024-01-23'", tables=("events",))

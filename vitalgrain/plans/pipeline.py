@@ -220,22 +220,88 @@ def _lookup(df, arg, tables):
     return lookup(df, tables(arg["from"]), arg["localField"], arg["foreignField"], arg["as"])
 
 
+def _grouped(stages: list[dict]) -> dict | None:
+    """A facet's part as matches, one grouping, and what is kept of its rows; None if it has another shape."""
+    names = [next(iter(x)) for x in stages]
+    n = next((i for i, x in enumerate(names) if x != "$match"), len(names))
+    if n == len(names) or names[n] not in ("$group", "$count", "$bucket") or names[n + 1 :] != [x for x in ("$sort", "$skip", "$limit") if x in names[n + 1 :]]:
+        return None
+    (kind, arg), rest = next(iter(stages[n].items())), {k: v for x in stages[n + 1 :] for k, v in x.items()}
+    if kind == "$count":
+        key, aggs = None, {arg: {"$sum": 1}}
+    elif kind == "$bucket":
+        key, aggs = bucket_of(arg), arg.get("output", {"count": {"$sum": 1}})
+    else:
+        key, aggs = None if arg["_id"] is None else expression(arg["_id"]), {k: v for k, v in arg.items() if k != "_id"}
+        if key is None:  # one row, also of nothing
+            return None
+    if not aggs or any(next(iter(a)) in ("$push", "$addToSet") for a in aggs.values()):
+        return None
+    matches = [condition(next(iter(x.values()))) for x in stages[:n]]
+    return {"match": L.all_of(*matches) if matches else F.lit(True), "key": key, "aggs": aggs, "count": kind == "$count", "sort": rest.get("$sort"), "skip": rest.get("$skip", 0), "limit": rest.get("$limit")}
+
+
+def facet_rows(df: DataFrame, parts: dict[str, dict]) -> DataFrame:
+    """One scan for all parts: (part, a struct of its columns per part, place). A row goes to each part that it matches, and is summed up by (part, key)
+    before it is shuffled; of a part with a limit only so many of its groups stay."""
+    from pyspark.sql import Window
+
+    tags = F.array_compact(F.array(*(F.when(p["match"], F.lit(i)) for i, p in enumerate(parts.values()))))
+    rows = df.withColumn("_part", F.explode(tags))
+    keys = {f"_k{i}": F.when(F.col("_part") == i, p["key"]) for i, p in enumerate(parts.values()) if p["key"] is not None}
+    aggs = [accumulator(spec).alias(f"_a{i}_{name}") for i, p in enumerate(parts.values()) for name, spec in p["aggs"].items()]
+    summed = rows.groupBy("_part", *(c.alias(k) for k, c in keys.items())).agg(*aggs)
+    order = []
+    for i, p in enumerate(parts.values()):
+        columns = {"_id": F.col(f"_k{i}")} if p["key"] is not None else {}
+        columns |= {name: F.col(f"_a{i}_{name}") for name in p["aggs"]}
+        p["row"] = F.struct(*(c.alias(k) for k, c in columns.items()))
+        sort = p["sort"] or {}
+        wanted = [(columns[k], v) for k, v in sort.items() if k in columns] + [(c, 1) for k, c in columns.items() if k not in sort]
+        order += [(F.asc_nulls_first if v == 1 else F.desc_nulls_last)(F.when(F.col("_part") == i, c)) for c, v in wanted]
+    placed = summed.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    kept = F.lit(False)
+    for i, p in enumerate(parts.values()):
+        kept = kept | ((F.col("_part") == i) & (F.col("_place") > p["skip"]) & (F.lit(True) if p["limit"] is None else F.col("_place") <= p["skip"] + p["limit"]))
+    return placed.where(kept)
+
+
 def _facet(df, arg, tables):
-    """Each part's rows as one array; the results are small by what the parts do, so they meet in one row."""
+    """Each part's rows as one array, in one row. Parts that match and group share one scan and one grouping; others are planned one by one.
+
+    An array is as long as its part's limit, or as its groups; ``facet_rows`` gives the same without arrays.
+    """
+    shapes = {name: _grouped(stages) for name, stages in arg.items()}
+    shared = {name: p for name, p in shapes.items() if p is not None}
     out = None
+    if len(shared) > 1:
+        rows = facet_rows(df, shared)
+        arrays = []
+        for i, (name, p) in enumerate(shared.items()):
+            found = F.transform(F.sort_array(F.collect_list(F.when(F.col("_part") == i, F.struct("_place", p["row"].alias("row"))))), lambda x: x["row"])
+            if p["count"]:  # the count of nothing is a row, too
+                found = F.when(F.size(found) == 0, F.array(F.struct(*(F.lit(0).cast("long").alias(c) for c in p["aggs"])))).otherwise(found)
+            arrays.append(found.alias(name))
+        out = rows.agg(*arrays).withColumn("_one", F.lit(1))
     for name, stages in arg.items():
+        if len(shared) > 1 and name in shared:
+            continue
         part = compile_pipeline(df, stages, tables)
         one = part.agg(F.sort_array(F.collect_list(F.struct(*part.columns))).alias(name)).withColumn("_one", F.lit(1))
         out = one if out is None else out.join(one, "_one")
-    return out.drop("_one")
+    return out.select(*arg)
 
 
-def _bucket(df, arg, _):
+def bucket_of(arg: dict) -> Column:
     c, bounds = expression(arg["groupBy"]), arg["boundaries"]
     key = F
     for low, high in zip(bounds, bounds[1:], strict=False):
         key = key.when((c >= low) & (c < high), F.lit(str(low)))
-    key = key.otherwise(F.lit(str(arg["default"]) if "default" in arg else None))
+    return key.otherwise(F.lit(str(arg["default"]) if "default" in arg else None))
+
+
+def _bucket(df, arg, _):
+    key = bucket_of(arg)
     output = arg.get("output", {"count": {"$sum": 1}})
     return df.groupBy(key.alias("_id")).agg(*(accumulator(v).alias(k) for k, v in output.items()))
 
