@@ -25,6 +25,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from vitalgrain.functions.errors import NotFoundError, ValidationError
 from vitalgrain.operators import bloom
 from vitalgrain.operators.quality import hashed
+from vitalgrain.operators.sinks import create_once, read_bytes
 
 WIDTH = 12  # digits of a version
 EVERY = 20  # versions between entries that list all folders
@@ -58,12 +59,7 @@ class LogTable:
         return sorted(int(s.getPath().getName()[:WIDTH]) for s in fs.listStatus(folder) if s.getPath().getName().endswith(".json")) if fs.exists(folder) else []
 
     def _entry(self, number: int) -> dict:
-        p, fs = _fs(self.spark, f"{self.path}/log/{number:0{WIDTH}d}.json")
-        stream = fs.open(p)
-        try:
-            return json.loads(bytes(stream.readAllBytes()))
-        finally:
-            stream.close()
+        return json.loads(read_bytes(self.spark, f"{self.path}/log/{number:0{WIDTH}d}.json"))
 
     def version(self, number: int | None = None) -> Version:
         """The state after a version, by default the last one."""
@@ -99,35 +95,11 @@ class LogTable:
                 entry["state"] = [(c, b, s) for (c, b), s in before.folders.items()]
                 entry["filters"], entry["blocks"] = before.filters, entry.get("blocks") or before.blocks
                 entry["schema"] = json.loads(StructType([*before.schema.fields, *(f for f in StructType.fromJson(entry["schema"]).fields if f.name not in before.schema.names)]).json())
-            text = json.dumps(entry).encode()
-            target, fs = _fs(self.spark, f"{self.path}/log/{number:0{WIDTH}d}.json")
-            temp, _ = _fs(self.spark, f"{self.path}/log/.{uuid.uuid4().hex}")
-            out = fs.create(temp, True)
-            out.write(bytearray(text))
-            out.close()
-            if self._placed(fs, temp, target):
+            if create_once(self.spark, f"{self.path}/log/{number:0{WIDTH}d}.json", json.dumps(entry).encode()):
                 return number
             if not check(self.version()):
                 raise ValidationError("another writer has changed what this one has read", path=self.path)
 
-    def _placed(self, fs, temp, target) -> bool:
-        """Give a written file its name unless that is taken, in one step: by a link on local disks, where a rename would replace."""
-        from py4j.protocol import Py4JJavaError
-
-        try:
-            if fs.getScheme() != "file":
-                return fs.rename(temp, target)
-            files, of = self.spark.sparkContext._jvm.java.nio.file.Files, self.spark.sparkContext._jvm.java.nio.file.Path.of
-            files.createLink(of(fs.makeQualified(target).toUri()), of(fs.makeQualified(temp).toUri()))
-            return True
-        except Py4JJavaError:
-            if not fs.exists(target):
-                raise
-            return False
-        finally:
-            if fs.exists(temp):
-                fs.delete(temp, False)
-
     # ---- changes ----
     def _write(self, rows: DataFrame, key: str, buckets: int) -> tuple[str, list[int]]:
         """Write rows by bucket; (commit, buckets that have some)."""

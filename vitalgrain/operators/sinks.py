@@ -21,6 +21,42 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    p, fs = _hadoop(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
+def create_once(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Write a small file that must not be there yet, whole and in one step; False if somebody else has.
+
+    It is written under another name first. Hadoop's rename refuses a name that is taken; on local disks, where it would replace, a link does.
+    """
+    from py4j.protocol import Py4JJavaError
+
+    target, fs = _hadoop(spark, path)
+    temp, _ = _hadoop(spark, f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+    out = fs.create(temp, True)
+    out.write(bytearray(data))
+    out.close()
+    try:
+        if fs.getScheme() != "file":
+            return fs.rename(temp, target)
+        files, of = spark.sparkContext._jvm.java.nio.file.Files, spark.sparkContext._jvm.java.nio.file.Path.of
+        files.createLink(of(fs.makeQualified(target).toUri()), of(fs.makeQualified(temp).toUri()))
+        return True
+    except Py4JJavaError:
+        if not fs.exists(target):
+            raise
+        return False
+    finally:
+        if fs.exists(temp):
+            fs.delete(temp, False)
+
+
 def swap(spark: SparkSession, staged: str, path: str) -> None:
     """Put a written folder in a table's place; the old one goes last, and comes back if the new one can't take its place."""
     new, fs = _hadoop(spark, staged)

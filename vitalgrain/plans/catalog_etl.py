@@ -16,6 +16,7 @@ from vitalgrain.functions import filters as L
 from vitalgrain.functions import scalars as S
 from vitalgrain.operators import bloom, governance, joins, observe, quality, runtime, scans, sinks
 from vitalgrain.operators.log_table import LogTable
+from vitalgrain.operators.shared_cache import SharedCache
 from vitalgrain.plans import pipeline
 from vitalgrain.sources import drug_classes, fhir
 from vitalgrain.sources.entities import entity, entity_sql, read_table
@@ -254,20 +255,21 @@ QUERIES["snk10_drop_database"], SQL["snk10_drop_database"] = QUERIES["snk05_rena
 add("snk07_new_content_only", _new_content, "SELECT source_fhir_id FROM conditions WHERE condition_name < '3' UNION SELECT source_fhir_id FROM conditions WHERE (patient_id, condition_name) NOT IN (SELECT patient_id, condition_name FROM conditions WHERE condition_name < '3')", ("conditions",))
 add("snk13_audit_log", _log, "SELECT 'access' AS event, status, COUNT(*) AS n FROM conditions GROUP BY 2", ("conditions",))
 add("snk14_log_lines", lambda s, p: sinks.log_lines(p.select("patient_id", F.struct("city", F.col("gender").alias("kind")).alias("context")), "patient seen", "INFO"), """SELECT '{"level":"INFO","message":"patient seen","patient_id":"' || patient_id || '","context_city":"' || city || '","context_kind":"' || gender || '"}' AS line FROM patients""", ("patients",))
-add("snk16_result_cache", lambda s, c: _cached(c), "SELECT COUNT(*) AS n, 1 AS made FROM conditions", ("conditions",))
 
 
-def _cached(c: DataFrame) -> DataFrame:
-    """The second get finds what the first has made."""
-    cache, made = runtime.ResultCache(), []
+def _cached(s, sf_dir) -> DataFrame:
+    """Another session finds what the first has made, and a count of the results that are there."""
+    at = shared_folder(s)
+    for session in (s, s.newSession(), s.newSession()):
+        c = entity(session, sf_dir, "conditions")
+        out = SharedCache(session, at).get("count", {"table": "conditions"}, "admin", c.groupBy("status").agg(F.count("*").alias("n")))
+    p, fs = sinks._hadoop(s, at)
+    made = [x for k in fs.listStatus(p) for x in fs.listStatus(k.getPath()) if x.getPath().getName().startswith("result-")]
+    return s.read.schema(out.schema).parquet(*{f.rpartition("/")[0] for f in out.inputFiles()}).withColumn("made", F.lit(len(made)))
 
-    def make():
-        made.append(1)
-        return c.agg(F.count("*").alias("n"))
 
-    for _ in range(2):
-        out = cache.get("count", {"table": "conditions"}, "admin", make)
-    return out.withColumn("made", F.lit(len(made)))
+QUERIES["snk16_result_cache"] = _cached
+SQL["snk16_result_cache"] = entity_sql("conditions") + "SELECT status, COUNT(*) AS n, 1 AS made FROM conditions GROUP BY 1"
 
 
 # ---- sources and runtime ----
