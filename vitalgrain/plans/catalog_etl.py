@@ -273,6 +273,39 @@ SQL["snk16_result_cache"] = entity_sql("conditions") + "SELECT status, COUNT(*)
 
 
 # ---- sources and runtime ----
+def _members_by_rest(s, nations, customers):
+    """A table joined with a service's answers, which a server on this machine gives for the time of the query."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import parse_qs, urlsplit
+
+    names = {str(r.n_nationkey): r.n_name for r in nations.collect()}  # one row per nation
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            code = parse_qs(urlsplit(self.path).query)["classId"][0]
+            body = json.dumps({"drugMemberGroup": {"drugMember": [{"minConcept": {"rxcui": code, "name": names[code], "tty": "IN"}}]}}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        found = drug_classes.fetch_members(s, sorted(names), f"http://127.0.0.1:{server.server_port}", delay=0.02)
+        at = f"{shared_folder(s)}/members"
+        found.write.parquet(at)
+    finally:
+        server.shutdown()
+    members = s.read.schema(found.schema).parquet(at)
+    return customers.join(members, F.col("c_nationkey").cast("string") == F.col("atc_code")).groupBy("name").agg(F.count("*").alias("n"))
+
+
+add("src09_members_by_rest", _members_by_rest, "SELECT n_name AS name, COUNT(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1", tables=("nation", "customer"))
 add("src12_full_scan", lambda s, n: n, "SELECT * FROM nation", tables=("nation",))
 add("src15_cursor", lambda s, n: s.createDataFrame([(i, len(b), min(b)) for i, b in enumerate(runtime.cursor(n.orderBy("n_nationkey"), 10, lambda r: r.n_nationkey))], "batch int, n int, least long"), "SELECT CAST(n_nationkey // 10 AS INT) AS batch, CAST(COUNT(*) AS INT) AS n, MIN(n_nationkey) AS least FROM nation GROUP BY 1", tables=("nation",))
 QUERIES["udf05_stream_transformer"], SQL["udf05_stream_transformer"] = QUERIES["src15_cursor"], SQL["src15_cursor"]

@@ -5,14 +5,17 @@ The service answers are rows of JSON text, whether they come from files or from
 
 from __future__ import annotations
 
+import math
 import time
 import urllib.request
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 from vitalgrain.functions import scalars as S
+from vitalgrain.streaming.bounded import shared_folder
 
 #: The anatomical roots, the names that members stand under, and the shape of a code on each level.
 ROOTS = ("A", "B", "C", "D", "G", "H", "J", "L", "M", "N", "P", "R", "S", "V")
@@ -21,7 +24,10 @@ LEVEL_2, LEVEL_3, LEVEL_4 = r"^[A-Z]\d{2}$", r"^[A-Z]\d{2}[A-Z]$", r"^[A-Z]\d{2}
 
 
 class RestSource(DataSource):
-    """spark.read.format("rest_json").option("urls", "a b c"): one row (url, body) per address, with retries."""
+    """spark.read.format("rest_json").option("urls", "a b c"): one row (url, body) per address, with retries, a null body where they fail.
+
+    A filter on url (equal, or in a list) reaches the source, so other addresses aren't asked.
+    """
 
     @classmethod
     def name(cls):
@@ -34,24 +40,61 @@ class RestSource(DataSource):
         return RestReader(self.options)
 
 
+class Share(InputPartition):
+    """The addresses of one task, and its share of a host's schedule: the slots ``first``, ``first + step``, ... of ``delay`` seconds from ``begin``."""
+
+    def __init__(self, urls: list[str], begin: float, delay: float, first: int, step: int):
+        self.value, self.urls, self.begin, self.delay, self.first, self.step = None, urls, begin, delay, first, step
+
+    def wait(self, last: int) -> int:
+        """Sleep until the task's next slot after ``last`` that isn't over; its number. No two tasks share a slot."""
+        now = max(last + 1, math.floor((time.time() - self.begin) / self.delay) + 1) if self.delay > 0 else last + 1
+        slot = now + (self.first - now) % self.step
+        time.sleep(max(0.0, self.begin + slot * self.delay - time.time()))
+        return slot
+
+
 class RestReader(DataSourceReader):
+    """Requests to a host go out at most one per ``delay`` seconds, whatever the number of tasks: the tasks of a host (``per_host``) take turns
+    in one schedule by the clock. A try that fails waits for a later turn, longer each time."""
+
     def __init__(self, options):
-        self.urls = options.get("urls", "").split()
-        self.delay, self.retries = float(options.get("delay", "0.3")), int(options.get("retries", "3"))
+        self.urls = list(dict.fromkeys(options.get("urls", "").split()))
+        self.delay, self.retries, self.per_host = float(options.get("delay", "0.3")), int(options.get("retries", "3")), int(options.get("per_host", "4"))
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("url",):
+                self.urls = [u for u in self.urls if u == f.value]
+            elif isinstance(f, In) and f.attribute == ("url",):
+                self.urls = [u for u in self.urls if u in set(f.value)]
+            else:
+                yield f
 
     def partitions(self):
-        return [InputPartition(u) for u in self.urls]
+        hosts: dict[str, list[str]] = {}
+        for u in self.urls:
+            hosts.setdefault(urlsplit(u).netloc, []).append(u)
+        begin, out = time.time(), []
+        for urls in hosts.values():
+            n = max(1, min(self.per_host, len(urls)))
+            out += [Share(urls[i::n], begin, self.delay, i, n) for i in range(n)]
+        return out or [Share([], begin, self.delay, 0, 1)]
 
     def read(self, partition):
-        for attempt in range(self.retries + 1):
-            try:
-                time.sleep(self.delay if not attempt else 0.4 * 1.8**attempt)
-                with urllib.request.urlopen(partition.value, timeout=30) as answer:  # noqa: S310
-                    yield partition.value, answer.read().decode("utf-8", "replace")
-                return
-            except OSError:
-                if attempt == self.retries:
-                    yield partition.value, None  # a failed address is a row without body
+        slot = -1
+        for url in partition.urls:
+            for attempt in range(self.retries + 1):
+                if attempt:
+                    time.sleep(0.4 * 1.8**attempt)
+                slot = partition.wait(slot)
+                try:
+                    with urllib.request.urlopen(url, timeout=30) as answer:  # noqa: S310
+                        yield url, answer.read().decode("utf-8", "replace")
+                    break
+                except OSError:
+                    if attempt == self.retries:
+                        yield url, None  # a failed address is a row without body
 
 
 def edges(trees: DataFrame, body: str = "body", most_levels: int = 100) -> DataFrame:
@@ -59,8 +102,6 @@ def edges(trees: DataFrame, body: str = "body", most_levels: int = 100) -> DataF
 
     A level is written once, so that the next one doesn't parse those above it again.
     """
-    from vitalgrain.streaming.bounded import shared_folder
-
     spark, at = trees.sparkSession, shared_folder(trees.sparkSession)
     nodes = lambda c, path: F.explode(F.from_json(F.get_json_object(c, path), "array<string>"))
     level, parts = trees.select(F.lit(None).cast("string").alias("parent"), nodes(body, "$.rxclassTree").alias("node")), []
@@ -129,10 +170,11 @@ def members(answers: DataFrame, body: str = "body") -> DataFrame:
     return listed.select("atc_code", F.trim("m.rxcui").alias("rxcui"), F.trim("m.name").alias("name")).dropDuplicates(["rxcui", "atc_code"])
 
 
-def rest(spark: SparkSession, urls: list[str], delay: float = 0.3, retries: int = 3) -> DataFrame:
+def rest(spark: SparkSession, urls: list[str], delay: float = 0.3, retries: int = 3, per_host: int = 4) -> DataFrame:
     """(url, body) of each address."""
     spark.dataSource.register(RestSource)
-    return spark.read.format("rest_json").option("urls", " ".join(urls)).option("delay", delay).option("retries", retries).load()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("rest_json").option("urls", " ".join(urls)).option("delay", delay).option("retries", retries).option("per_host", per_host).load()
 
 
 def fetch_members(spark: SparkSession, codes: list[str], base: str, **options) -> DataFrame:
@@ -144,7 +186,9 @@ def fetch_members(spark: SparkSession, codes: list[str], base: str, **options) -
         found = rest(spark, list(address), **options)
         return members(found.select(F.element_at(F.create_map(*(F.lit(x) for pair in address.items() for x in pair)), F.col("url")).alias("atc_code"), "body"))
 
-    first = asked(codes, "&ttys=IN").persist()
+    at = shared_folder(spark)
+    asked(codes, "&ttys=IN").write.parquet(f"{at}/ingredients")  # asked once
+    first = spark.read.schema("atc_code string, rxcui string, name string").parquet(f"{at}/ingredients")
     missing = sorted(set(codes) - {r.atc_code for r in first.select("atc_code").distinct().collect()})  # of the codes given
     return first.unionByName(asked(missing, "")) if missing else first
 
