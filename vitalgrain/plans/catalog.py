@@ -16,7 +16,7 @@ from vitalgrain.functions import scalars as S
 from vitalgrain.functions import user
 from vitalgrain.operators import analytics as A
 from vitalgrain.operators import governance, joins, limits, observe, quality, runtime, scans, sinks, timeline
-from vitalgrain.plans import catalog_etl, catalog_state, pipeline, tools
+from vitalgrain.plans import catalog_etl, catalog_requests, catalog_state, pipeline, tools
 from vitalgrain.sources import fhir
 from vitalgrain.sources.entities import entity, entity_sql, read_table
 from vitalgrain.streaming import bounded, machines, stateful
@@ -427,8 +427,8 @@ _stream("stm09_dedup_stream", lambda e: stateful.dedup(e.select("user_id", "even
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES | catalog_etl.QUERIES | catalog_state.QUERIES
+    return _QUERIES | catalog_etl.QUERIES | catalog_state.QUERIES | catalog_requests.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | catalog_etl.SQL | catalog_state.SQL
+    return _SQL | catalog_etl.SQL | catalog_state.SQL | catalog_requests.SQL
