@@ -116,22 +116,23 @@ class Model:
         columns = np.ascontiguousarray(np.concatenate([self.out, self.bias[:, None]], 1).T, np.float32)
         longest, most = float(np.sqrt((self.out**2).sum(1).max())), float(np.abs(self.bias).max())
         v = np.ones((block, len(columns)), np.float32)
-        scores = np.empty((block, before), np.float32)
+        scores, ones = np.empty((block, before), np.float32), np.ones(before, np.float32)
         for a in range(0, len(classes), block):
             b = min(a + block, len(classes))
             n, own = b - a, classes[a:b]
-            v[:n, :-1] = 0
+            summed = np.zeros((n, len(columns) - 1), np.float32)
             for k, table in enumerate(self.context, 1):
                 i = at[a:b] - k
-                v[:n, :-1] += table[np.where(i >= starts[a:b], classes[np.maximum(i, 0)], before)]
+                summed += table.take(np.where(i >= starts[a:b], classes.take(i, mode="wrap"), before), 0)
+            v[:n, :-1] = summed
             z = np.matmul(v[:n], columns, out=scores[:n])
             picked = z[np.arange(n), own].astype(np.float64)
-            if float(np.sqrt((v[:n, :-1] ** 2).sum(1).max())) * longest + most > 60:
+            if float(np.sqrt(np.einsum("ij,ij->i", summed, summed).max())) * longest + most > 60:
                 top = z.max(1)
                 z -= top[:, None]
                 picked -= top
             np.exp(z, out=z)
-            out[a:b] = picked - np.log(z.sum(1))
+            out[a:b] = picked - np.log(np.matmul(z, ones))
         return out
 
 
@@ -144,11 +145,11 @@ def new_state(counts: np.ndarray, context: int = 4, size: int = 24) -> list[np.n
     return [x.astype(np.float32) for x in params] + [np.full(x.shape, 1e-4, np.float32) for x in params]
 
 
-def _summed(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of ``values`` by ``at``, by one count over all cells."""
+def _summed(at: list[np.ndarray], values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by each of ``at``, one count over all cells for each."""
     size = values.shape[1]
-    cells = (at[:, None] * size + np.arange(size)).ravel()
-    return np.bincount(cells, values.ravel(), n * size).reshape(n, size).astype(np.float32)
+    flat, steps = values.ravel().astype(np.float64), np.arange(size)
+    return np.stack([np.bincount((i[:, None] * size + steps).ravel(), flat, n * size) for i in at]).reshape(len(at), n, size).astype(np.float32)
 
 
 def learn_texts(state: list[np.ndarray], texts: list[np.ndarray], counts: np.ndarray, rng, epochs: int = 1, noise: int = 96, rate: float = 0.08, batch: int = 512) -> None:
@@ -171,26 +172,28 @@ def learn_texts(state: list[np.ndarray], texts: list[np.ndarray], counts: np.nda
             pick = order[a : a + batch]
             y, h = joined[pick], [joined[pick - k] for k in range(1, context + 1)]
             drawn = np.minimum(np.searchsorted(steps, rng.random(noise)), n - 1)
-            v = sum((rows @ m)[i] for m, i in zip(maps, h, strict=True))
-            drawn_out, own_out = out[drawn], out[y]
+            projected = np.matmul(rows, maps)
+            v = projected[0].take(h[0], 0)
+            for table, i in zip(projected[1:], h[1:], strict=True):
+                v += table.take(i, 0)
+            drawn_out, own_out = out.take(drawn, 0), out.take(y, 0)
             own = np.einsum("ij,ij->i", v, own_out) + bias[y] - log_qk[y]
-            other = v @ drawn_out.T
-            other += bias[drawn] - log_qk[drawn]
+            other = v @ -drawn_out.T
+            other += log_qk[drawn] - bias[drawn]
             d_own = -1 / (1 + np.exp(np.minimum(own, 80)))
-            np.negative(other, out=other)
-            np.minimum(other, 80, out=other)
-            np.exp(other, out=other)
+            with np.errstate(over="ignore"):  # one over infinity is 0
+                np.exp(other, out=other)
             other += 1
             d_other = np.divide(np.float32(12 / noise), other, out=other)
             dv = d_own[:, None] * own_out
             dv += d_other @ drawn_out
-            g_out, g_bias = _summed(y, d_own[:, None] * v, n), np.bincount(y, d_own, n).astype(np.float32)
+            g_out, g_bias = _summed([y], d_own[:, None] * v, n)[0], np.bincount(y, d_own, n).astype(np.float32)
             np.add.at(g_out, drawn, d_other.T @ v)
             np.add.at(g_bias, drawn, d_other.sum(0))
             # gradients of the projected vectors, of all places at once
-            by_class = _summed(np.concatenate([i + k * (n + 1) for k, i in enumerate(h)]), np.concatenate([dv] * context), context * (n + 1)).reshape(context, n + 1, -1)
-            g_rows = sum(g @ m.T for g, m in zip(by_class, maps, strict=True))
-            g_maps = np.stack([rows.T @ g for g in by_class])
+            by_class = _summed(h, dv, n + 1)
+            g_rows = np.matmul(by_class, maps.transpose(0, 2, 1)).sum(0)
+            g_maps = np.matmul(rows.T, by_class)
             for p, s, g in zip(params, squares, [g_rows, g_out, g_bias, g_maps], strict=True):  # Adagrad
                 g /= len(pick)
                 s += g * g
