@@ -31,3 +31,19 @@ def test_digests_and_empty_table(spark):
     assert (out.n_turns, out.loss_chars, out.loss_sha256) == (1, 2, hashlib.sha256(b"ab").hexdigest())
     assert out.turns_sha256 == hashlib.sha256(b"assistant\nab\n").hexdigest()
     assert chat_format.format_chat(rows(spark, [])).count() == 0
+
+
+def test_long_conversations_take_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    took = []
+    for n in (2_000, 20_000):
+        rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn "), F.col("id").cast("string")).alias("text"))
+        began = time.perf_counter()
+        (got,) = chat_format.format_chat(rows).collect()
+        took.append(time.perf_counter() - began)
+        own = [f"turn {i}" for i in range(n) if i % 3]
+        assert [got.formatted[s.start : s.end] for s in got.loss_spans] == own
+    assert took[1] < 10 + 4 * took[0]

@@ -16,7 +16,7 @@ One conversation becomes one string, so it has to fit in a row (2 GB); that is t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The template's marks.
@@ -36,63 +36,24 @@ def unescape(text: Column) -> Column:
 
 def format_chat(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_spans (code points, end exclusive)."""
-    rows = df.select(
-        F.col(conv).alias("conv_id"),
-        F.struct(
-            F.col(turn).alias("turn"),
-            F.coalesce(F.col(role), F.lit("")).alias("role"),
-            F.coalesce(F.col(text), F.lit("")).alias("text"),
-        ).alias("t"),
-    )
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    n = F.size("turns")
-    starts = grouped.withColumn(
-        "starts",
-        F.filter(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", i - 1)["role"]),
-        ),
-    )
-    blocks = starts.select(
-        "conv_id",
-        F.transform(
-            "starts",
-            lambda s, k: F.struct(
-                F.get("turns", s)["role"].alias("role"),
-                F.transform(
-                    F.slice("turns", s + 1, F.coalesce(F.get("starts", k + 1), n) - s), lambda t: escape(t["text"])
-                ).alias("texts"),
-            ),
-        ).alias("blocks"),
-    )
-    heads = blocks.withColumn("heads", F.transform("blocks", lambda b: F.concat(F.lit(OPEN), escape(b["role"]), F.lit(CLOSE))))
-    spans_type = "array<struct<start:int,end:int>>"
-    state = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), spans_type).alias("spans"))
-
-    def walk(acc: Column, k: Column) -> Column:
-        """Advance over block k; a loss block adds one span per text."""
-        block = F.get("blocks", k)
-        begin = acc["at"] + F.length(F.get("heads", k))
-        inner = F.struct(begin.alias("at"), F.from_json(F.lit("[]"), spans_type).alias("spans"))
-        inside = F.aggregate(
-            block["texts"],
-            inner,
-            lambda a, x: F.struct(
-                (a["at"] + F.length(x) + len(SEP)).alias("at"),
-                F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(x)).alias("end")))).alias("spans"),
-            ),
-        )
-        return F.struct(
-            (inside["at"] - len(SEP) + len(END)).alias("at"),
-            F.when(block["role"] == LOSS_ROLE, F.concat(acc["spans"], inside["spans"])).otherwise(acc["spans"]).alias("spans"),
-        )
-
-    return heads.select(
+    said = lambda c: F.coalesce(F.col(c), F.lit(""))
+    rows = df.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), said(role).alias("role"), said(text).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    placed = rows.select(
+        "conv_id", "role", F.row_number().over(order).alias("n"), escape(F.col("text")).alias("body"),
+        (~F.lag("role").over(order).eqNullSafe(F.col("role"))).alias("opens"), (~F.lead("role").over(order).eqNullSafe(F.col("role"))).alias("ends"),
+    )
+    # each turn brings its block's head or a separator, its text, and its block's end
+    head = F.when(F.col("opens"), F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(CLOSE))).otherwise(SEP)
+    pieces = placed.select("conv_id", "n", (F.col("role") == LOSS_ROLE).alias("loss"), F.length("body").alias("size"), F.length(head).alias("before"), F.concat(head, "body", F.when(F.col("ends"), END).otherwise("")).alias("piece"))
+    upto = F.sum(F.length("piece")).over(Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    start = (upto - F.length("piece") + F.col("before")).cast("int")
+    spans = pieces.select("conv_id", F.struct("n", "piece", "loss", start.alias("start"), (start + F.col("size")).alias("end")).alias("p"))
+    grouped = spans.groupBy("conv_id").agg(F.sort_array(F.collect_list("p")).alias("pieces"))
+    return grouped.select(
         "conv_id",
-        F.array_join(
-            F.transform("blocks", lambda b, k: F.concat(F.get("heads", k), F.array_join(b["texts"], SEP), F.lit(END))), ""
-        ).alias("formatted"),
-        F.aggregate(F.sequence(F.lit(0), F.size("blocks") - 1), state, walk)["spans"].alias("loss_spans"),
+        F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"),
+        F.transform(F.filter("pieces", lambda p: p["loss"]), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"))).alias("loss_spans"),
     )
 
 
