@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrain.operators import observe, runtime, scans, sinks
+from vitalgrain.operators import observe, runtime, scans, sinks, text_index
 from vitalgrain.operators import request_log as R
 from vitalgrain.plans import catalog_etl as T
 from vitalgrain.plans import pipeline
@@ -207,3 +207,17 @@ add("pipe17_explained", "lineitem", _explained, 'SELECT l_returnflag AS _id, COU
 add("pipe13_add_fields", "lineitem", lambda l: pipeline.compile_pipeline(l, [{"$addFields": {"month": {"$month": "$l_shipdate"}, "large": {"$cond": [{"$lt": ["$l_quantity", 25]}, "no", "yes"]}}}, {"$group": {"_id": "$large", "n": {"$sum": 1}, "last": {"$max": "$month"}}}]),
     "SELECT CASE WHEN l_quantity < 25 THEN 'no' ELSE 'yes' END AS _id, COUNT(*) AS n, MAX(month(l_shipdate)) AS last FROM lineitem GROUP BY 1")
 
+
+
+def _searched(term: str, literal: bool):
+    def make(d: DataFrame) -> DataFrame:
+        at = f"{shared_folder(d.sparkSession)}/trigrams"
+        rows = d.select("doc_id", "text")
+        text_index.build(rows, "doc_id", "text", at)
+        return text_index.search(rows, "doc_id", "text", at, term, literal).select("doc_id")
+
+    return make
+
+
+add("flt13_indexed_search", "documents", _searched("the.", True), "SELECT doc_id FROM documents WHERE contains(lower(text), 'the.')")
+add("tool11_indexed_pattern", "documents", _searched("@mail[0-9]\\.example", False), "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)@mail[0-9]\\.example')")
