@@ -423,7 +423,8 @@ add("arr02_first_where", lambda s, p: p.select("p_partkey", S.first_where(F.spli
 add("arr05_set_size", lambda s, c: pipeline.compile_pipeline(c, [{"$group": {"_id": "$patient_id", "kinds": {"$addToSet": "$status"}}}, {"$project": {"n": {"$size": "$kinds"}}}]), "SELECT patient_id AS _id, CAST(COUNT(DISTINCT status) AS INT) AS n FROM conditions GROUP BY 1", ("conditions",))
 NESTED = lambda p: p.select("patient_id", F.struct("city", F.lit("secret").alias("ssn"), F.array(F.struct("state", F.lit("x").alias("phone_number"))).alias("details")).alias("address"), "balance")
 add("arr06_nested_mask", lambda s, p: governance.mask(NESTED(p), "clinician").select("patient_id", F.to_json("address").alias("address")), """SELECT patient_id, '{"city":"' || city || '","details":[{"state":"' || state || '"}]}' AS address FROM patients""", ("patients",))
-QUERIES["gov02_nested_records"], SQL["gov02_nested_records"] = QUERIES["arr06_nested_mask"], SQL["arr06_nested_mask"]
+RECORDS = lambda p: p.select("patient_id", F.array(F.struct("city", F.lit("secret").alias("ssn")), F.struct(F.col("state").alias("city"), F.col("balance").cast("string").alias("ssn"))).alias("address"), F.lit("x").alias("ssn"))
+add("gov02_nested_records", lambda s, p: governance.mask(RECORDS(p), "clinician").select("patient_id", F.to_json("address").alias("address")), """SELECT patient_id, '[{"city":"' || city || '"},{"city":"' || state || '"}]' AS address FROM patients""", ("patients",))
 add("gov06_permissions", lambda s, p: s.createDataFrame([(r, governance.has_permission(r, "read_phi"), governance.has_permission(r, "read_financial")) for r in governance.ROLES], "role string, phi boolean, financial boolean"), "SELECT * FROM (VALUES ('admin', true, true), ('clinician', true, false), ('researcher', false, false), ('billing', false, true), ('read_only', false, false)) v(role, phi, financial)", ("patients",))
 add("win02_originals_and_duplicates", lambda s, c: _split(c), "SELECT source_fhir_id, CASE WHEN row_number() OVER (PARTITION BY patient_id, condition_name ORDER BY source_fhir_id) = 1 THEN 'original' ELSE 'duplicate' END AS part FROM conditions", ("conditions",))
 add("win05_running_mean", lambda s, e: scans.running_mean(e, "event_type", ["ts", "event_id"], "value").select("event_id", F.round(F.col("running_mean") + 1e-9, 4).alias("running_mean")), "SELECT event_id, ROUND(AVG(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 1e-9, 4) AS running_mean FROM events", tables=("events",))
