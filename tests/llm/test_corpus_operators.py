@@ -397,6 +397,27 @@ def test_nearest_neighbours(spark, options):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["near copies", "many dimensions", "lengths", "lists"])
+def test_nearest_neighbours_that_codes_cannot_tell_apart(spark, kind):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 200 if kind == "many dimensions" else 16))
+    if kind in ("near copies", "lists"):
+        x[::2] = x[0] + rng.normal(size=(750, 16)) * 1e-3
+    if kind == "lengths":  # squares overflow and vanish
+        x *= 10.0 ** rng.integers(-250, 250, (1500, 1))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(3)
+    out = ann.search(df, df.where("vec_id % 50 = 0"), k=5, keep=64, sample_rows=500, books=4, **({"list_rows": 100} if kind == "lists" else {})).collect()
+    unit = x / np.abs(x).max(1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 1500, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        got = [r.vec_id for r in sorted((r for r in out if r.query_id == q), key=lambda r: r.rank)]
+        hit += len(set(np.argsort(-s)[:5].tolist()) & set(got))
+    assert hit >= (140 if kind == "lists" else 150)
+
+
 def test_nearest_neighbours_of_repeated_rows(spark):
     """A row that occurs twice is one candidate, but as a query it has a list for each of its rows."""
     x = np.random.default_rng(5).normal(size=(40, 8)).tolist()

@@ -4,19 +4,23 @@ Unit vectors are approximated by a sum of one codeword from each of ``books`` fu
 codebooks. Codebooks are fitted on the residuals of the books before, from a bounded sample of
 vectors (``sample_rows``, by a hash of the row), and then refitted jointly by least squares. Every
 vector is encoded by beam search over the books and stored as one byte per book plus the norm of its
-approximation. A query looks up its inner products with all codewords once; a candidate's score is
-the sum of its codewords' entries over the stored norm. The best ``keep`` candidates of a query over
-the whole table, its shortlist, are scored exactly in double precision from the original vectors.
+approximation and its angle from the vector. A query looks up its inner products with all codewords
+once; a candidate's score is the sum of its codewords' entries over the stored norm. The best ``keep``
+candidates of a query in a block, its shortlist, are scored exactly in double precision from the original
+vectors. So is every other one that could still be among the block's k nearest: its angle from the query
+is at least that of its approximation, less the stored one. Vectors that the codes can't tell apart (near
+copies, many clusters, many dimensions) make shortlists long, at worst whole blocks, and lose nothing.
 
 Distribution: the index is cut into lists by the nearest of up to ``most_lists`` coarse centres, about
 one per ``list_rows`` rows. How many lists a query visits is fitted on the sample, so that ``target``
-of the sample's true neighbours lie in them: few lists where vectors form clusters, nearly all where
-they don't. A list of more than ``list_rows`` rows is dealt in blocks by a hash, and so are the queries
-that visit it beyond ``query_rows``; a task scores one block of codes for one block of queries, whatever
-the size of the table, and returns one packed row per query. Shortlists meet the vectors in a join.
+of the true neighbours in it lie in them, for vectors of the sample and for a sample of the queries: few
+lists where vectors form clusters, nearly all where they don't. A list of more than ``list_rows`` rows
+(fewer where there are more than 64 dimensions) is dealt in blocks by a hash, and so are the queries
+that visit it beyond ``query_rows``; a task scores one block of codes and vectors for one block of
+queries, whatever the size of the table, and returns each query's k nearest of the block.
 
 Ties in exact scores go to the smaller id; ties in approximate scores as well, so equal vectors never
-push a smaller id out. Defined results: vectors that are null, of a length other than the commonest
+push a smaller id out. Lengths don't matter, however large or small. Defined results: vectors that are null, of a length other than the commonest
 one, zero, or hold null or non-finite components take no part, nor do null ids; rows that repeat id and
 vector are one candidate, and each query row has a list of its own; a query never returns its own id;
 fewer than k candidates are all returned; an empty table gives no rows.
@@ -112,6 +116,16 @@ def matrix(lists) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).copy()
 
 
+def even(x: np.ndarray) -> np.ndarray:
+    """Rows divided by powers of two, which changes no cosine: squares of their components neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    x = even(x)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _exact(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Cosines of pairs of rows, one pair at a time in the same order of operations."""
     dot = np.einsum("ij,ij->i", queries, rows)
@@ -130,17 +144,18 @@ class Lists:
         return ((self.centres**2).sum(1) - 2 * x @ self.centres.T).argsort(1, kind="stable")
 
 
-def coarse(x: np.ndarray, lists: int, k: int, target: float, tries: int = 400) -> Lists:
-    """Centres of the sample ``x``, and the visits that reach ``target`` of its own nearest neighbours."""
+def coarse(x: np.ndarray, lists: int, k: int, target: float, tries: int = 400, queries: np.ndarray | None = None) -> Lists:
+    """Centres of the sample ``x``, and the visits that reach ``target`` of the nearest neighbours in it, its own and those of ``queries``."""
     found = Lists(_means(x, lists, np.random.default_rng(12)) if lists > 1 else x[:1], 1)
-    if lists > 1:
-        asked = x[:: max(1, len(x) // tries)]
+    if lists < 2:
+        return found
+    for asked in (x[:: max(1, len(x) // tries)], *([queries] if queries is not None and len(queries) else [])):
         near = asked @ x.T
         near[near > 1 - 1e-12] = -2  # itself, and copies, which share its list
         best = np.argsort(-near, 1, kind="stable")[:, :k]
         home = found.order(x)[:, 0]
         place = (found.order(asked)[:, None, :] == home[best][..., None]).argmax(2)  # place of the neighbour's list
-        found.visits = int(np.quantile(place, target, method="higher")) + 1
+        found.visits = max(found.visits, int(np.quantile(place, target, method="higher")) + 1)
     return found
 
 
@@ -153,6 +168,31 @@ def shortlist(ids: np.ndarray, scores: np.ndarray, keep: int) -> np.ndarray:
     return np.concatenate([pick, np.flatnonzero(scores == edge)[: keep - len(pick)]])
 
 
+def nearest(scores: np.ndarray, angles: np.ndarray, slack: np.ndarray, query: np.ndarray, unit: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int, keep: int):
+    """(places, cosines) of the k rows nearest to a query: by its shortlist, and by every other row that could be nearer.
+
+    ``scores``: cosines of the approximations, right to ``slack``; ``angles``: between rows and approximations; ``unit``: rows of length 1; ``own``: rows that don't count.
+    """
+    exact = lambda at: _exact(np.repeat(query[None], len(at), 0), rows[at])
+    scores = scores.copy()
+    scores[own] = -np.inf
+    pick = shortlist(None, scores, keep)
+    pick = pick[scores[pick] > -np.inf]
+    values = exact(pick)
+    left = len(scores) - len(own) - len(pick)
+    if left and len(pick) >= k:
+        worst = np.partition(values, len(pick) - k)[len(pick) - k]
+        reach = np.arccos(np.clip(worst, -1, 1)) + 1e-7
+        rest = scores + slack >= np.cos(min(np.pi, reach + angles.max()))
+        rest[pick] = False
+        rest = np.flatnonzero(rest)
+        rest = rest[np.arccos(np.clip(scores[rest] + slack[rest], -1, 1)) - angles[rest] <= reach]
+        rest = rest[unit[rest] @ (query / np.linalg.norm(query)) >= worst - 1e-9]
+        pick, values = np.concatenate([pick, rest]), np.concatenate([values, exact(rest)])
+    best = np.lexsort((pick, -values))[:k]
+    return pick[best], values[best]
+
+
 def search(
     df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", keep: int = 256, sample_rows: int = 8_000,
     list_rows: int = 16_384, most_lists: int = 1_024, query_rows: int = 4_096, target: float = 0.98, beam: int = 4, books: int = 24,
@@ -167,109 +207,82 @@ def search(
         return spark.createDataFrame([], EMPTY)
     dim = first.n
     rows = usable(df, key, vector, dim).dropDuplicates(["id", "v"])
+    wanted = usable(queries, key, vector, dim)
     at = work_dir(spark, "ann")
     sample = hash_sample(rows, ["id", "v"], sample_rows).toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], EMPTY)
     x = matrix(sample["v"].combine_chunks())
-    x = x[np.lexsort(x.T)]
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = units(x[np.lexsort(x.T)])
     model = fit(x, books=books, words=int(min(128, max(2, len(x) // 4))))
     n_rows = rows.count()
-    lists = coarse(x, int(max(1, min(n_rows // list_rows, most_lists, len(x) // 8))), k, target)
+    n_lists = int(max(1, min(n_rows // list_rows, most_lists, len(x) // 8)))
+    some = units(matrix(hash_sample(wanted, ["id", "v"], 400).toArrow()["v"].combine_chunks())) if n_lists > 1 else None
+    lists = coarse(x, n_lists, k, target, queries=some)
+    block_rows = max(1, list_rows * 64 // max(dim, 64))
 
     def index(batches):
         for batch in batches:
             v = matrix(batch["v"])
             if not len(v):
                 continue
-            unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+            unit = units(v)
             codes, norms = model.encode(unit, beam)
-            made = [pa.array(lists.order(unit)[:, 0].astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)]
-            yield pa.RecordBatch.from_arrays([batch["r"], batch["id"], batch["v"], *made], ["r", "id", "v", "list", "codes", "norm"])
+            angles = np.arccos(np.clip(np.einsum("ij,ij->i", unit, model.decode(codes)) / np.maximum(norms, 1e-9), -1, 1))
+            made = [pa.array(lists.order(unit)[:, 0].astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(angles)]
+            yield pa.RecordBatch.from_arrays([batch["r"], batch["id"], batch["v"], *made], ["r", "id", "v", "list", "codes", "norm", "angle"])
 
     numbered = rows.withColumn("r", F.monotonically_increasing_id()).select("r", "id", "v")
-    indexed = materialize(numbered.mapInArrow(tidied(index), "r long, id long, v array<double>, list int, codes binary, norm double"), f"{at}/index")
+    indexed = materialize(numbered.mapInArrow(tidied(index), "r long, id long, v array<double>, list int, codes binary, norm double, angle double"), f"{at}/index")
 
     def visit(batches):
         for batch in batches:
             v = matrix(batch["v"])
             if not len(v):
                 continue
-            near = lists.order(v / np.linalg.norm(v, axis=1, keepdims=True))[:, : lists.visits]
+            near = lists.order(units(v))[:, : lists.visits]
             yield pa.RecordBatch.from_arrays([batch["q"], batch["id"], batch["v"], pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["q", "id", "v", "lists"])
 
-    asked = usable(queries, key, vector, dim).withColumn("q", F.monotonically_increasing_id()).select("q", "id", "v")
+    asked = wanted.withColumn("q", F.monotonically_increasing_id()).select("q", "id", "v")
     asked = materialize(asked.mapInArrow(tidied(visit), "q long, id long, v array<double>, lists array<int>"), f"{at}/queries")
     visits = asked.select("q", "id", "v", F.explode("lists").alias("list"))
 
     # sizes of the lists and of what is asked of them, at most ``most_lists`` rows
     blocks = lambda c, most: F.ceil(F.col(c) / most).cast("int")
-    sizes = indexed.groupBy("list").agg(F.count("*").alias("n")).join(visits.groupBy("list").agg(F.count("*").alias("m")), "list").select("list", blocks("n", list_rows).alias("parts"), blocks("m", query_rows).alias("turns"))
+    sizes = indexed.groupBy("list").agg(F.count("*").alias("n")).join(visits.groupBy("list").agg(F.count("*").alias("m")), "list").select("list", blocks("n", block_rows).alias("parts"), blocks("m", query_rows).alias("turns"))
     sizes = F.broadcast(materialize(sizes, f"{at}/sizes"))
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    codes_of = indexed.select("r", "id", "list", "codes", "norm").join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("r"), F.col("parts")).cast("int")).withColumn("turn", each("turns")).drop("parts", "turns")
+    codes_of = indexed.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("r"), F.col("parts")).cast("int")).withColumn("turn", each("turns")).drop("r", "parts", "turns")
     asked_of = visits.join(sizes, "list").withColumn("turn", F.pmod(F.xxhash64("q"), F.col("turns")).cast("int")).withColumn("part", each("parts")).drop("parts", "turns")
 
     def score(known, wanted):
-        """A block of codes looked up by a block of queries: each one's shortlist, packed."""
+        """A block of codes and vectors looked up by a block of queries: the nearest k of each."""
         out = []
         if known.num_rows and wanted.num_rows:
             order = np.argsort(known["id"].to_numpy(), kind="stable")  # equal scores keep the smaller ids
-            r, ids = known["r"].to_numpy()[order], known["id"].to_numpy()[order]
+            ids = known["id"].to_numpy()[order]
             codes = np.frombuffer(b"".join(known["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             norms = np.maximum(known["norm"].to_numpy()[order], 1e-9).astype(np.float32)
+            angles = known["angle"].to_numpy()[order]
+            rows = even(matrix(known["v"].combine_chunks())[order])
+            unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
             q, own = wanted["q"].to_numpy(), wanted["id"].to_numpy()
-            v = matrix(wanted["v"].combine_chunks())
-            v /= np.linalg.norm(v, axis=1, keepdims=True)
+            v = even(matrix(wanted["v"].combine_chunks()))
+            lengths = np.linalg.norm(v, axis=1, keepdims=True)
             for a in range(0, len(q), 128):
-                tables = np.einsum("mwd,qd->mwq", model.words, v[a : a + 128]).astype(np.float32)
+                tables = np.einsum("mwd,qd->mwq", model.words, v[a : a + 128] / lengths[a : a + 128]).astype(np.float32)
                 scores = tables[0][codes[:, 0]]
                 for m in range(1, codes.shape[1]):
                     scores += tables[m][codes[:, m]]
                 scores = np.ascontiguousarray((scores / norms[:, None]).T)
+                rounding = np.abs(tables).max(1).sum(0) * np.float32(4e-6)
                 for i, s in enumerate(scores):
-                    s[ids == own[a + i]] = -np.inf
-                    pick = shortlist(ids, s, keep)
-                    out.append((int(q[a + i]), r[pick].tolist(), ids[pick].tolist(), s[pick].tolist()))
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float32()))
-        return pa.table({c: pa.array([o[j] for o in out], t) for j, (c, t) in enumerate(zip(("q", "rs", "ids", "scores"), kinds, strict=True))})
-
-    found = codes_of.groupBy("list", "part", "turn").cogroup(asked_of.groupBy("list", "part", "turn")).applyInArrow(score, "q long, rs array<long>, ids array<long>, scores array<float>")
-
-    def merge(batches):
-        """The shortlist of each query over all blocks, whose rows come one after another."""
-        def best(q, r, ids, s):
-            order = np.lexsort((ids, -s))[:keep]
-            fine = order[s[order] > -np.inf]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(fine), q)), pa.array(r[fine])], ["q", "r"])
-
-        last, held = None, None
-        for batch in batches:
-            for q, *lists_ in zip(*(batch[c].to_pylist() for c in ("q", "rs", "ids", "scores")), strict=True):
-                new = [np.array(lists_[0], np.int64), np.array(lists_[1], np.int64), np.array(lists_[2], np.float32)]
-                if q != last:
-                    if held:
-                        yield best(last, *held)
-                    last, held = q, new
-                    continue
-                held = [np.concatenate([a, b]) for a, b in zip(held, new, strict=True)]
-                if len(held[0]) > 8 * keep:
-                    order = np.lexsort((held[1], -held[2]))[:keep]
-                    held = [a[order] for a in held]
-        if held:
-            yield best(last, *held)
-
-    short = found.repartition("q").sortWithinPartitions("q").mapInArrow(tidied(merge), "q long, r long")
-    pairs = short.join(indexed.select("r", F.col("id").alias("vec_id"), F.col("v").alias("row")), "r").join(asked.select("q", F.col("id").alias("query_id"), "v"), "q")
-
-    def exact(batches):
-        for batch in batches:
-            values = np.zeros(0)
-            if batch.num_rows:
-                values = _exact(matrix(batch["v"]), matrix(batch["row"]))
-            yield pa.RecordBatch.from_arrays([batch["q"], batch["query_id"], batch["vec_id"], pa.array(values, pa.float64())], ["q", "query_id", "vec_id", "score"])
+                    same = np.arange(np.searchsorted(ids, own[a + i]), np.searchsorted(ids, own[a + i], "right"))
+                    pick, values = nearest(s, angles, rounding[i] / norms, v[a + i], unit, rows, same, k, keep)
+                    out.append((np.full(len(pick), q[a + i]), np.full(len(pick), own[a + i]), ids[pick], values))
+        kinds = {"q": pa.int64(), "query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
+        return pa.table({c: pa.array(np.concatenate([o[j] for o in out]) if out else [], t) for j, (c, t) in enumerate(kinds.items())})
 
-    scored = pairs.select("q", "query_id", "vec_id", "v", "row").mapInArrow(tidied(exact), "q long, query_id long, vec_id long, score double")
+    found = codes_of.groupBy("list", "part", "turn").cogroup(asked_of.groupBy("list", "part", "turn")).applyInArrow(score, "q long, query_id long, vec_id long, score double")
     by = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
