@@ -216,6 +216,24 @@ def test_prefixes_are_as_long_as_it_takes(spark):
         assert Counter(r.prefix for r in substring_dedup.with_prefix(rows, 3, at, most).collect()) == want
 
 
+def test_a_third_read_takes_what_the_second_found():
+    """The last pass hashes and sorts no window: its words, and a note of the windows that go, are enough."""
+    rows = corpus(n=40)
+    ids, texts = [r[0] for r in rows], [r[1] for r in rows]
+    chunk = substring_dedup.Chunk(ids, texts, 20, 40)
+    gone, passed = chunk.settled(np.arange(len(chunk.leaves)) % 2 == 0)
+    light = substring_dedup.Texts(ids, texts, 20)
+    assert not hasattr(light, "hashes")
+    found = light.noted(chunk.note(gone, passed))
+    assert (found[0] == np.sort(gone)).all() and (found[1] == passed).all() and len(gone) and len(passed)
+    assert all((x == y).all() for x, y in zip(light.removed(found[0]), chunk.removed(gone), strict=True))
+    assert substring_dedup.Texts(ids, [*texts[:-1], "other"], 20).noted(chunk.note(gone, passed)) is None
+    values = np.random.default_rng(4).integers(0, 50, 1000).astype(np.uint64)
+    for bits in (6, 64):
+        by, got = substring_dedup.in_order(values, bits)
+        assert (by == np.argsort(values, kind="stable")).all() and (got == np.sort(values)).all()
+
+
 def test_substring_dedup_of_a_path_read_twice(spark, tmp_path):
     rows = corpus(n=10)
     frame(spark, rows).write.parquet(f"{tmp_path}/d")

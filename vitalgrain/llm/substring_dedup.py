@@ -17,8 +17,9 @@ tree, so the others are kept out of the trees beforehand, and the rest is compar
    by their words, and finds the longest common prefixes of neighbours. Leaves below an internal node
    of depth ``window`` are equal windows; all but the earliest are repeats. A group of any size passes
    in parts, of which only the distinct windows are kept.
-4. The chunk reads its documents a third time and takes the answers: overlapping repeated windows add
-   up to the maximal repeats, which are removed.
+4. The chunk reads its documents a third time and takes the answers and what it found out before, a bit
+   or two per word: overlapping repeated windows add up to the maximal repeats, which are removed. Nothing
+   is hashed or sorted again.
 
 Equal windows of a chunk are one leaf, so a passage that a third of all documents share is a row per
 anchor and chunk. Answers carry counts and checksums: a chunk that doesn't meet them stops the job.
@@ -65,6 +66,17 @@ def run_hashes(h: np.ndarray, size: int) -> np.ndarray:
         return _mix(out)
 
 
+def in_order(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of numbers of so many bits, and the numbers in that order."""
+    low = len(values).bit_length()
+    if bits + low > 64:
+        by = np.argsort(values, kind="stable")
+        return by, values[by]
+    joined = values << np.uint64(low) | np.arange(len(values), dtype=np.uint64)  # sorts faster than an order is found
+    joined.sort()
+    return (joined & np.uint64(2**low - 1)).astype(np.int64), joined >> np.uint64(low)
+
+
 def number_of(chunk: str) -> int:
     """The chunk's number: 63 bits of a digest of its name."""
     return int.from_bytes(hashlib.sha1(chunk.encode()).digest()[:8], "big") >> 1
@@ -78,18 +90,56 @@ class Places(dict):
         return i
 
 
-class Chunk:
-    """Documents of one part of a split: their words, windows, and leaves, which are the distinct windows by fingerprint."""
+class Texts:
+    """Documents of one part of a split, in order of ids, and their words."""
 
-    def __init__(self, ids: list, texts: list, window: int, bits: int):
+    def __init__(self, ids: list, texts: list, window: int):
         import xxhash
 
-        self.tokens = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        coded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        self.tokens = [t.split() for t in coded]
         self.order = np.argsort(np.array([LEAST_ID if i is None else i for i in ids], np.int64), kind="stable")
-        ordered = [self.tokens[i] for i in self.order]
-        self.sizes = np.array([len(w) for w in ordered], np.int64)
+        self.sizes = np.array([len(self.tokens[i]) for i in self.order], np.int64)
         self.ends, self.total, self.window = np.cumsum(self.sizes), int(self.sizes.sum()), window
         self.own = np.array([LEAST_ID if ids[i] is None else ids[i] for i in self.order], np.int64)
+        digest = xxhash.xxh64(self.own.tobytes() + np.array([len(t) for t in coded]).tobytes())
+        for text in coded:
+            digest.update(text)
+        self.digest = digest.intdigest()
+
+    def removed(self, gone: np.ndarray) -> list[np.ndarray]:
+        """Per document, in the given order of rows: which words go, given the starts of the windows that do."""
+        edge = np.zeros(self.total + 1, np.int64)
+        np.add.at(edge, gone, 1)
+        np.add.at(edge, gone + self.window, -1)
+        parts = np.split(np.cumsum(edge)[:-1] > 0, self.ends[:-1])
+        out: list = [None] * len(parts)
+        for place, part in zip(self.order.tolist(), parts, strict=True):
+            out[place] = part
+        return out
+
+    def note(self, gone: np.ndarray, passed: np.ndarray) -> bytes:
+        """Two sets of places among the words, which only the same documents read again."""
+        flags = np.zeros((2, self.total), bool)
+        flags[0, gone] = True
+        flags[1, passed] = True
+        return np.array([self.total, self.digest], "<u8").tobytes() + np.packbits(flags).tobytes()
+
+    def noted(self, data: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+        if data[:16] != np.array([self.total, self.digest], "<u8").tobytes():
+            return None
+        flags = np.unpackbits(np.frombuffer(data, np.uint8, offset=16), count=2 * self.total).reshape(2, -1)
+        return np.flatnonzero(flags[0]), np.flatnonzero(flags[1])
+
+
+class Chunk(Texts):
+    """Their windows, and leaves, which are the distinct windows by fingerprint."""
+
+    def __init__(self, ids: list, texts: list, window: int, bits: int):
+        import xxhash
+
+        super().__init__(ids, texts, window)
+        ordered = [self.tokens[i] for i in self.order]
         places = Places()
         self.words = np.fromiter(map(places.__getitem__, chain.from_iterable(ordered)), np.int32, self.total)
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, places), np.uint64, len(places))
@@ -99,8 +149,7 @@ class Chunk:
         self.doc = np.repeat(np.arange(len(ordered), dtype=np.int32), self.sizes)
         self.starts = np.flatnonzero(np.arange(len(prints)) + window <= self.ends[self.doc[: len(prints)]])
         prints = prints[self.starts]
-        self.by = np.argsort(prints, kind="stable")  # equal ones in order of document and place
-        prints = prints[self.by]
+        self.by, prints = in_order(prints, bits)  # equal ones in order of document and place
         first = np.ones(len(prints), bool)
         first[1:] = prints[1:] != prints[:-1]
         self.leaves = prints[first]
@@ -148,17 +197,6 @@ class Chunk:
         for i, k, a, s, own in zip(at.tolist(), n.tolist(), anchor.tolist(), first[at].tolist(), self.own[self.doc[first[at]]].tolist(), strict=True):
             yield i, k, own, b" ".join(flat[s:a]), b" ".join(flat[a : s + k - 1 + self.window])
 
-    def removed(self, gone: np.ndarray) -> list[np.ndarray]:
-        """Per document, in the given order of rows: which words go, given the starts of the windows that do."""
-        edge = np.zeros(self.total + 1, np.int64)
-        np.add.at(edge, gone, 1)
-        np.add.at(edge, gone + self.window, -1)
-        parts = np.split(np.cumsum(edge)[:-1] > 0, self.ends[:-1])
-        out: list = [None] * len(parts)
-        for place, part in zip(self.order.tolist(), parts, strict=True):
-            out[place] = part
-        return out
-
 
 def pack(leaves: np.ndarray) -> bytes:
     """Sorted numbers as steps, byte by byte."""
@@ -331,7 +369,8 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int
     def suffixes(batches):
         schema = pa.schema([("chunk", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("id", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
         for name, rows in chunked(batches, ["split", "id", "x"], 2, chunk_words):
-            c, _, first = opened(name, [r[1] for r in rows], [r[2] for r in rows])
+            c, gone, first = opened(name, [r[1] for r in rows], [r[2] for r in rows])
+            save_file(f"{at}/settled", chunk_file(name), c.note(gone, first))
             number, held = number_of(name), []
             for i, n, own, left, right in c.rows(first):
                 held.append((number, i, n, own, left, right))
@@ -365,7 +404,11 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int
             return
         types = [first.schema.field(c).type for c in (key, *rest)]
         for name, rows in chunked(chain([first], batches), ["_split", "_id", "_x", key, *rest], 2, chunk_words):
-            c, gone, passed = opened(name, [r[1] for r in rows], [r[2] for r in rows])
+            c = Texts([r[1] for r in rows], [r[2] for r in rows], window)
+            found = c.noted(load_file(f"{at}/settled", chunk_file(name)))
+            if found is None:
+                raise RuntimeError(f"{name} was read otherwise than before")
+            gone, passed = found
             if len(passed):
                 data = load_file(f"{at}/repeats", str(number_of(name)))
                 if int(np.frombuffer(data, "<u8", 1)[0]) != len(passed):
