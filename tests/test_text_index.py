@@ -1,7 +1,9 @@
 """Searches by trigrams against scans, and what they read."""
 
 import random
+from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vitalgrain.functions import filters
@@ -42,3 +44,44 @@ def test_a_search_reads_its_trigrams_folders(spark, tmp_path):
 def test_literals_of_patterns():
     assert text_index.literals("the c.t") == ["the c", "t"] and text_index.literals("a|b") == [] and text_index.literals(r"\d+abc") == ["abc"]
     assert text_index.literals("colou?r") == ["colo", "r"] and text_index.literals(r"a\.bcd") == ["a.bcd"] and text_index.literals("x(yz)*w") == ["x", "w"]
+
+
+def by_hand(rows):
+    want = defaultdict(set)
+    for i, t in rows:
+        for k in range(len(t) - 2):
+            want[t[k : k + 3], i // text_index.BLOCK].add(i % text_index.BLOCK)
+    return want
+
+
+def test_postings_are_a_row_per_trigram_and_block_of_a_stretch():
+    """Texts meet in a stretch, whatever their number; they may be cut anywhere, and neighbours have no trigram in common."""
+    rng = random.Random(4)
+    rows = [(rng.randrange(-200_000, 200_000), "".join(rng.choice("abcé😀\0") for _ in range(rng.randrange(0, 60)))) for _ in range(300)]
+    rows += [(i, t[::-1]) for i, t in rows[:20]]  # an id twice
+    batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in part]), pa.array([t.encode() for _, t in part], pa.binary())], ["id", "text"]) for part in (rows[:100], rows[100:])]
+    want = by_hand(rows)
+    for most in (1 << 22, 500, 7):
+        got, n = defaultdict(set), 0
+        for batch in text_index.postings(iter(batches), most):
+            for r in batch.to_pylist():
+                assert r["ids"] == sorted(set(r["ids"]))
+                got[r["gram"], r["block"]] |= set(r["ids"])
+                n += 1
+        assert got == want and (most < 1 << 22 or n == len(want))
+    wide = [(1, "".join(map(chr, range(0x100, 0xD000)))), (2, "".join(map(chr, range(0xE000, 0x10000)))), (3, "abc")]  # too many letters for one stretch of many texts
+    many = wide + [(10 + i, "abc") for i in range(70_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in many]), pa.array([t.encode() for _, t in many], pa.binary())], ["id", "text"])
+    got = defaultdict(set)
+    for made in text_index.postings(iter([batch])):
+        for gram, block, ids in zip(*(made[c].to_pylist() for c in ("gram", "block", "ids")), strict=True):
+            got[gram, block] |= set(ids)
+    assert got == by_hand(many)
+
+
+def test_an_index_holds_each_id_once_per_trigram(spark, tmp_path):
+    rows = [(i * 1000, "the cat" if i % 2 else "catalogue") for i in range(200)] + [(5, None), (6, ""), (7, "ab"), (0, "the cat")]
+    spark.createDataFrame(rows, "id long, text string").repartition(3).write.parquet(f"{tmp_path}/t")
+    text_index.build(spark.read.parquet(f"{tmp_path}/t"), "id", "text", f"{tmp_path}/i", 8)
+    got = {(r.gram, r.block): r.ids for r in spark.read.parquet(f"{tmp_path}/i").collect()}
+    assert got == {k: sorted(v) for k, v in by_hand([(i, t or "") for i, t in rows]).items()}

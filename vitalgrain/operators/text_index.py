@@ -2,7 +2,8 @@
 
 The index holds, for each trigram of a text in lower case, the ids of its rows: a row per trigram and block of 65,536 ids, the ids
 as distances from the block's start, in folders by a hash of the trigram. A search reads the folders of its pattern's trigrams only, keeps the ids
-that have them all, and tests these rows alone. Common trigrams spread over blocks; a pattern without three letters in a row is a scan. Rows of a null id
+that have them all, and tests these rows alone. Tasks send postings of stretches of a few million characters, a row per trigram and block, and not a row
+per trigram and text; longer texts are cut with an overlap. Common trigrams spread over blocks; a pattern without three letters in a row is a scan. Rows of a null id
 are in no posting and are always tested.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +32,73 @@ def folded(text: Column) -> Column:
     return F.translate(F.lower(text), "".join(FOLD), "si")
 
 
+def _stretch(ids: list[int], texts: list[str]):
+    """Batches (gram, block, ids) of a few texts, each id once per trigram."""
+    import pyarrow as pa
+
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    if len(codes) < SIZE:
+        return
+    used = np.zeros(0x110000, bool)
+    used[codes] = True
+    alphabet = np.flatnonzero(used)
+    own, place = np.unique(np.array(ids, np.int64), return_inverse=True)
+    low = len(own).bit_length()
+    if (len(alphabet) ** SIZE).bit_length() + low > 64:  # one text always fits
+        half = len(texts) // 2
+        yield from _stretch(ids[:half], texts[:half])
+        yield from _stretch(ids[half:], texts[half:])
+        return
+    c = (np.cumsum(used, dtype=np.uint32) - np.uint32(1))[codes].astype(np.uint64)
+    base = np.uint64(len(alphabet))
+    keys = (c[:-2] * base + c[1:-1]) * base + c[2:]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    keys = keys << np.uint64(low) | np.repeat(place.astype(np.uint64), sizes)[: len(keys)]
+    whole = np.ones(len(codes), bool)
+    for k in range(1, SIZE):
+        whole[(np.cumsum(sizes) - k)[sizes >= k]] = False  # what starts here goes on in the next text
+    keys = keys[whole[: len(keys)]]
+    if not len(keys):
+        return
+    keys.sort()
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    keys = keys[new]
+    gram, found = keys >> np.uint64(low), own[(keys & np.uint64(2**low - 1)).astype(np.int64)]
+    block = found // BLOCK
+    new = np.ones(len(keys), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])
+    at = np.flatnonzero(new)
+    g = gram[at]
+    letters = alphabet[np.stack([g // (base * base), g // base % base, g % base], 1).astype(np.int64)]
+    names = letters.astype("<u4").tobytes().decode("utf-32-le")
+    steps = pa.array(np.append(at, len(keys)).astype(np.int32))
+    lists = pa.ListArray.from_arrays(steps, pa.array((found - block * BLOCK).astype(np.int32)))
+    yield pa.RecordBatch.from_arrays([pa.array([names[i : i + SIZE] for i in range(0, len(names), SIZE)]), pa.array(block[at]), lists], ["gram", "block", "ids"])
+
+
+def postings(batches, most: int = 1 << 22):
+    """(gram, block, ids) of batches (id, text as UTF-8), by stretches of about ``most`` characters."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        for i, data in zip(batch["id"].to_pylist(), batch["text"], strict=True):
+            text = data.as_py().decode("utf-8", "replace")
+            for a in range(0, len(text) - SIZE + 1, most):
+                ids.append(i)
+                texts.append(text[a : a + most + SIZE - 1])
+                size += len(texts[-1])
+                if size >= most:
+                    yield from _stretch(ids, texts)
+                    ids, texts, size = [], [], 0
+    if ids:
+        yield from _stretch(ids, texts)
+
+
 def build(df: DataFrame, key: str, text: str, path: str, shards: int = 64) -> None:
     """Write the index of a column of texts by whole-number ids."""
-    cut = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.split(folded(F.col(text)), "").alias("c"), F.length(folded(F.col(text))).alias("n"))
-    at = lambda i, k: F.get("c", i + k)
-    grams = F.when(F.col("n") >= SIZE, F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("n") - SIZE), lambda i: F.concat(*(at(i, k) for k in range(SIZE))))))
-    rows = cut.select("id", F.explode(grams).alias("gram"))
-    blocks = rows.groupBy("gram", F.floor(F.col("id") / BLOCK).alias("block")).agg(F.sort_array(F.collect_set((F.col("id") - F.floor(F.col("id") / BLOCK) * BLOCK).cast("int"))).alias("ids"))
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), folded(F.col(text)).cast("binary").alias("text"))
+    parts = rows.mapInArrow(postings, "gram string, block long, ids array<int>")
+    blocks = parts.groupBy("gram", "block").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
     blocks.withColumn("shard", _shard(F.col("gram"), shards)).repartition("shard").sortWithinPartitions("shard", "gram", "block").write.partitionBy("shard").parquet(path)
 
 
