@@ -221,3 +221,24 @@ def test_lookup_keeps_rows_without_match(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "x"), (1, "y")], "j int, v string")
     rows = {r.k: len(r.found) for r in joins.lookup(a, b, "k", "j", "found").collect()}
     assert rows == {1: 2, 2: 0} and joins.unwind(joins.lookup(a, b, "k", "j", "found"), "found").count() == 2
+
+
+def test_drugs_are_dealt_by_name_and_frequent_names_are_split(spark):
+    """A small file of drugs is no small table: none is broadcast, and medications of one name needn't pass one task."""
+    settings = {"skewJoin.skewedPartitionThresholdInBytes": "20000", "skewJoin.skewedPartitionFactor": "2", "advisoryPartitionSizeInBytes": "10000"}
+    old = {k: spark.conf.get(f"spark.sql.adaptive.{k}") for k in settings}
+    name = F.when(F.col("id") % 10 < 8, "Hot").when(F.col("id") % 10 < 9, F.concat(F.lit("d"), F.col("id") % 500))
+    medications = spark.range(100_000).repartition(8).select("id", name.alias("medication_name"))
+    rows = [(str(i), "hOT" if i < 2 else f"D{i}", "a", "b", "c") for i in range(500)]
+    drugs = spark.createDataFrame(rows, "ingredient_rxcui string, primary_drug_name string, therapeutic_class_l2 string, drug_class_l3 string, drug_subclass_l4 string")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(f"spark.sql.adaptive.{k}", v)
+        out = joins.enrich_medications(medications, drugs).select("id", "medication_name", "drug.ingredient_rxcui")
+        got = {r.id: (r.medication_name, r.ingredient_rxcui) for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(f"spark.sql.adaptive.{k}", v)
+    assert len(got) == 100_000 and all(got[i] == (("Hot", "0") if i % 10 < 8 else (f"d{i % 500}", str(i % 500)) if i % 10 < 9 else (None, None)) for i in got)
+    assert "skew=true" in plan and "BroadcastExchange" not in plan
